@@ -43,15 +43,39 @@ def _measured(toks: DataFrame) -> DataFrame:
         F.octet_length("tok").alias("n_bytes"),
         txt.alias("txt"),
         (F.length("tok") - F.length(F.replace("tok", F.lit("\n"), F.lit("")))).alias("n_lines"),
+        F.col("tok").rlike(P.ACTION_TEXT).alias("says_action"),
     ).withColumn("n_words", F.when(F.col("txt") == "", 0).otherwise(word_count(F.col("txt"))))
-    so_far = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    in_order = Window.partitionBy("page_id").orderBy("pos")
+    earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, 0)
+    # An action is an <a> or <button> whose only content is one matching text, possibly
+    # wrapped: k close tags after the text belong to the k open tags right before it.
+    slim = slim.withColumn(
+        "opens_before",
+        F.col("pos") - 1 - F.coalesce(F.max(F.when(F.col("kind") != "open", F.col("pos"))).over(earlier), F.lit(-1)),
+    ).withColumn(
+        "inner",
+        F.last(
+            F.when(F.col("kind") != "close", F.struct("pos", "kind", "says_action", "opens_before")), ignorenulls=True
+        ).over(earlier),
+    )
+    is_action = (
+        (F.col("kind") == "close")
+        & F.col("tag").isin("a", "button")
+        & (F.col("inner.kind") == "text")
+        & F.col("inner.says_action")
+        & (F.col("pos") - F.col("inner.pos") <= F.col("inner.opens_before"))
+    )
+    slim = slim.withColumn("action", F.when(is_action, 1).otherwise(0))
     return slim.select(
-        "page_id", "pos", "tag", "kind", "src", "n_chars", "n_bytes", "n_lines",
+        "page_id", "pos", "tag", "kind", "src", "n_chars", "n_bytes", "n_lines", "action",
         F.sum("n_chars").over(so_far).alias("c_chars"),
         F.sum("n_bytes").over(so_far).alias("c_bytes"),
         F.sum("n_lines").over(so_far).alias("c_lines"),
         F.sum(F.when(F.col("txt") == "", 0).otherwise(F.length("txt") + 1)).over(so_far).alias("c_text"),
         F.sum("n_words").over(so_far).alias("c_words"),
+        F.sum("action").over(so_far).alias("c_actions"),
+        F.count_if((F.col("tag") == "img") & (F.col("kind") == "void")).over(so_far).alias("c_images"),
     )
 
 
@@ -71,6 +95,7 @@ def elements(pages: DataFrame, clustered: bool = False) -> DataFrame:
         F.col("kind").alias("k"), F.col("tag").alias("t"), F.col("pos").alias("end"),
         F.col("c_chars").alias("chars"), F.col("c_bytes").alias("bytes"), F.col("c_lines").alias("lines"),
         F.col("c_text").alias("text"), F.col("c_words").alias("words"), F.col("n_bytes").alias("close_bytes"),
+        F.col("c_actions").alias("actions"), F.col("c_images").alias("images"), F.col("action").alias("own_action"),
         F.col("n_chars").alias("c"), F.col("n_bytes").alias("b"), F.col("n_lines").alias("l"),
     )
     is_block = F.col("tag").isin(P.BLOCK_TAGS) & F.col("kind").isin("open", "close", "void")
@@ -97,14 +122,18 @@ def elements(pages: DataFrame, clustered: bool = False) -> DataFrame:
             F.col(f"{s}.end").alias("end"), F.col(f"{s}.chars").alias("chars"), F.col(f"{s}.bytes").alias("bytes"),
             F.col(f"{s}.lines").alias("lines"), F.col(f"{s}.text").alias("text"), F.col(f"{s}.words").alias("words"),
             F.when(F.col(f"{s}.k") == "close", F.col(f"{s}.close_bytes")).otherwise(0).alias("close_bytes"),
+            F.col(f"{s}.actions").alias("actions"), F.col(f"{s}.images").alias("images"),
+            F.col(f"{s}.own_action").alias("own_action"),
         )
 
     before_block = F.struct(
         (F.col("block.end") - 1).alias("end"), (F.col("block.chars") - F.col("block.c")).alias("chars"),
         (F.col("block.bytes") - F.col("block.b")).alias("bytes"), (F.col("block.lines") - F.col("block.l")).alias("lines"),
         F.col("block.text").alias("text"), F.col("block.words").alias("words"), F.lit(0).alias("close_bytes"),
+        F.col("block.actions").alias("actions"),
+        (F.col("block.images")).alias("images"), F.lit(0).alias("own_action"),
     )
-    page_end = at("last").withField("close_bytes", F.lit(0))
+    page_end = at("last").withField("close_bytes", F.lit(0)).withField("own_action", F.lit(0))
     own_close = (F.col("block.t") == "p") & (F.col("block.k") == "close")
     to_block = F.when(F.col("block").isNull(), page_end).otherwise(before_block)
     fin = (
@@ -131,6 +160,8 @@ def elements(pages: DataFrame, clustered: bool = False) -> DataFrame:
         F.col("c_text").alias("text_off"),
         F.greatest(F.col("fin.text") - F.col("c_text") - 1, F.lit(0)).alias("text_len"),
         (F.col("fin.words") - F.col("c_words")).alias("n_words"),
+        (F.col("fin.images") - F.col("c_images")).alias("n_images"),
+        (F.col("fin.actions") - F.col("c_actions") - F.col("fin.own_action")).alias("n_actions"),
     )
 
 

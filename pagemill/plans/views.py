@@ -219,6 +219,36 @@ def drop_attrs(src: str, pattern: str) -> str:
     )
 
 
+def keywords(x: str) -> str:
+    return "(" + " + ".join(f"case when contains(lower({x}), '{k}') then 0.25e0 else 0e0 end" for k in P.PRODUCT_KEYWORDS) + ")"
+
+
+def navigation(tag: str, src: str, text: str) -> str:
+    attrs = f"lower(concat_ws(' ', {attr(src, 'id')}, {attr(src, 'class')}, {attr(src, 'role')}))"
+    return (
+        f"({tag} in {in_list(P.NAV_TAGS)} or regexp_matches({attrs}, '{P.NAV_ATTR}') "
+        f"or regexp_matches(substr({text}, 1, {P.NAV_TEXT_CHARS}), '{P.NAV_TEXT}'))"
+    )
+
+
+def price(text: str, src: str) -> str:
+    named = " or ".join(f"coalesce(regexp_matches({attr(src, n)}, '{P.PRICE_ATTR}'), false)" for n in P.PRICE_ATTR_NAMES)
+    return f"(regexp_matches({text}, '{P.PRICE_TEXT}') or {named})"
+
+
+def promo(text: str, src: str) -> str:
+    return (
+        f"(regexp_matches(concat_ws(' ', {attr(src, 'class')}, {attr(src, 'id')}), '{P.PROMO_ATTR}') "
+        f"or regexp_matches(substr({text}, 1, {P.PROMO_TEXT_CHARS}), '{P.PROMO_TEXT}'))"
+    )
+
+
+def overlap(text: str, query: str) -> str:
+    wanted = sorted(set(query.split()))
+    has = [f"case when list_contains(regexp_split_to_array(lower({text}), '[{P.WS}]+'), '{w}') then 1 else 0 end" for w in wanted]
+    return "((" + " + ".join(has) + f") / {len(wanted)}e0)"
+
+
 def _markup_views(prefix: str, source: str) -> dict[str, str]:
     t, e = f"{prefix}_tokens", f"{prefix}_elements"
     return {
@@ -278,6 +308,8 @@ def _markup_views(prefix: str, source: str) -> dict[str, str]:
 @cache
 def sql_views() -> dict[str, str]:
     href = "strip_href"
+    entity_weight = "case x.label " + " ".join(f"when '{n}' then {w}" for n, w in P.ENTITY_WEIGHTS.items()) + " else 0 end"
+    tag_weight = "case tag " + " ".join(f"when '{t}' then {w}e0" for t, w in P.TAG_WEIGHTS.items()) + " else 0.5e0 end"
     out = {
         **_markup_views("page", "pages"),
         **_markup_views("listing", "listing"),
@@ -310,6 +342,62 @@ def sql_views() -> dict[str, str]:
         "entities": f"""
             select page_id, node_id, case when tag = 'h3' then 'PRODUCT' when tag = 'p' then 'ORG' else 'MONEY' end as label
             from listing_elements where tag in ('h3', 'p') or (tag = 'span' and {attr("src", "class")} = 'price')""",
+        "distinct_vectors": """
+            select *, row_number() over (partition by page_id order by score desc, vec_id) as r from (
+              select page_id, embedding, arg_min(vec_id, (-score, vec_id)) as vec_id, max(score) as score from vectors group by page_id, embedding)""",
+        "walk": """
+            select page_id, r, [vec_id] as kept, [cast(embedding as double[])] as kept_vectors from distinct_vectors where r = 1
+            union all
+            select w.page_id, d.r,
+              case when list_max(list_transform(w.kept_vectors, lambda k: list_cosine_similarity(k, cast(d.embedding as double[])))) > 0.25
+                then w.kept else list_append(w.kept, d.vec_id) end,
+              case when list_max(list_transform(w.kept_vectors, lambda k: list_cosine_similarity(k, cast(d.embedding as double[])))) > 0.25
+                then w.kept_vectors else list_append(w.kept_vectors, cast(d.embedding as double[])) end
+            from walk w join distinct_vectors d on d.page_id = w.page_id and d.r = w.r + 1""",
+        "listing_actions": """
+            select s.page_id, s.node_id from listing_spans s
+            join listing_tokens t on t.page_id = s.page_id and t.pos > s.start_pos and t.pos < s.end_pos
+            where s.tag in ('a', 'button') and s.closed
+            group by s.page_id, s.node_id
+            having count(*) filter (t.kind = 'text') = 1
+              and count(*) filter (t.kind not in ('text', 'open', 'close')) = 0
+              and bool_or(t.kind = 'text' and regexp_matches(t.tok, '(?i)add|buy|cart'))
+              and coalesce(max(t.pos) filter (t.kind = 'open'), -1) < min(t.pos) filter (t.kind = 'text')
+              and coalesce(min(t.pos) filter (t.kind = 'close'), 1000000000) > min(t.pos) filter (t.kind = 'text')""",
+        "listing_sized": "select * from listing_elements where text_len > 75 and text_len < 3500 and n_words >= 5",
+        "page_sized": "select * from page_elements where text_len > 75 and text_len < 3500 and n_words >= 2",
+        "listing_entity_score": f"""
+            select s.page_id, s.node_id, coalesce(sum({entity_weight}), 0) as entity_score
+            from listing_sized s left join entities x on s.page_id = x.page_id and x.node_id between s.start_pos and s.end_pos
+            group by s.page_id, s.node_id""",
+        "listing_bonus": """
+            select s.page_id, s.node_id,
+              case when exists (select 1 from listing_spans i where i.page_id = s.page_id and i.tag = 'img'
+                  and i.node_id > s.start_pos and i.node_id <= s.end_pos) then 0.5 else 0.0 end
+              + case when exists (select 1 from listing_actions i where i.page_id = s.page_id
+                  and i.node_id > s.start_pos and i.node_id <= s.end_pos) then 1.0 else 0.0 end as bonus
+            from listing_sized s""",
+        "listing_scored": f"""
+            select * from (select s.*, cast(entity_score as double) + {keywords("s.text")} + cast(bonus as double) + s.text_len / (s.outer_len + 1e-6) as score
+              from listing_sized s join listing_entity_score e on s.page_id = e.page_id and s.node_id = e.node_id
+              join listing_bonus b on s.page_id = b.page_id and s.node_id = b.node_id
+              where not {navigation("s.tag", "s.src", "s.text")}) where score > 0""",
+        "listing_flagged": f"select *, {price('text', 'src')} as has_price, {promo('text', 'src')} as promo from listing_elements",
+        "listing_card_candidates": f"""
+            select * from listing_flagged where tag in {in_list(P.TAG_WEIGHTS)} and not promo and text <> ''
+              and (has_price or n_words >= 2)""",
+        "listing_card_scored": f"""
+            select *, case when has_price then 2.5e0 else 0e0 end + {overlap("text", "small red zzz Ring")} * 1e0
+              + case when inner_bytes > 0 then text_len / inner_bytes else 0e0 end * 0.6e0 + {tag_weight} * 0.3e0 as score
+            from listing_card_candidates""",
+        "listing_cropped": """
+            select c.page_id, c.node_id, coalesce(min(a.start_pos), any_value(c.start_pos)) as card_id,
+              coalesce(max(a.end_pos), any_value(c.end_pos)) as card_end
+            from listing_card_scored c left join listing_flagged a on a.page_id = c.page_id and a.start_pos < c.start_pos
+              and a.end_pos >= c.end_pos and a.tag not in ('html', 'body') and a.has_price and a.text_len <= 800
+              and not exists (select 1 from listing_flagged b where b.page_id = c.page_id and b.start_pos > a.start_pos
+                and b.start_pos < c.start_pos and b.end_pos >= c.end_pos and not (b.has_price and b.text_len <= 800))
+            group by c.page_id, c.node_id""",
     }
     return out
 
@@ -323,10 +411,10 @@ def reject_reason(u: str) -> str:
 def _ordered(sql: str, catalog: dict[str, str]) -> list[str]:
     done: list[str] = []
 
-    def visit(text: str) -> None:
+    def visit(text: str, inside: str = "") -> None:
         for name in catalog:
-            if name not in done and re.search(rf"\b{name}\b", re.sub(r"'(?:[^']|'')*'|`[^`]*`", "''", text)):
-                visit(catalog[name])
+            if name not in done and name != inside and re.search(rf"\b{name}\b", re.sub(r"'(?:[^']|'')*'|`[^`]*`", "''", text)):
+                visit(catalog[name], name)
                 if name not in done:
                     done.append(name)
 
@@ -339,7 +427,7 @@ def with_views(sql: str) -> str:
     names = _ordered(sql, catalog)
     if not names:
         return sql
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS MATERIALIZED ({catalog[n]})" for n in names) + "\n" + sql
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS {'' if n == 'walk' else 'MATERIALIZED '}({catalog[n]})" for n in names) + "\n" + sql
 
 
 # ---------------------------------------------------------------- Spark side
