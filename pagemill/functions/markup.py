@@ -18,7 +18,7 @@ def split_tokens(html: Column) -> Column:
 
 def tag_of(token: Column) -> Column:
     """Lower-case tag name of a tag token, empty for any other token."""
-    return F.lower(F.regexp_extract(token, r"^</?([A-Za-z][^\s>/]*)", 1))
+    return F.when(is_text(token), "").otherwise(F.lower(F.regexp_extract(token, r"^</?([A-Za-z][^\s>/]*)", 1)))
 
 
 def kind_of(token: Column, tag: Column) -> Column:

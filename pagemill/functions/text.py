@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagemill.functions.patterns import WS
+from pagemill.functions.patterns import WS, WS_CHARS
 
 
 def strip_ws(text: Column) -> Column:
     """Remove Unicode white space at both ends."""
-    return F.regexp_replace(text, f"^[{WS}]+|[{WS}]+$", "")
+    return F.btrim(text, F.lit(WS_CHARS))
 
 
 def words(text: Column) -> Column:
@@ -22,6 +22,11 @@ def word_count(text: Column) -> Column:
     return F.size(words(text))
 
 
+def stripped_word_count(text: Column) -> Column:
+    """Word count of a text already stripped and not empty."""
+    return F.size(F.split(text, f"[{WS}]+"))
+
+
 def first_words(text: Column, n: int) -> Column:
     return F.array_join(F.slice(words(text), 1, n), " ")
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import markup as M
 from pagemill.functions import patterns as P
-from pagemill.functions.text import word_count
+from pagemill.functions.text import stripped_word_count
 
 BIN = 64  # token positions per bin of the interval join
 
@@ -33,50 +33,95 @@ def tokens(pages: DataFrame, clustered: bool = False) -> DataFrame:
     )
 
 
-def _measured(toks: DataFrame) -> DataFrame:
-    """Tokens without their text, with running totals up to and including each token."""
-    txt = M.token_text(F.col("tok"))
-    slim = toks.select(
+def _sizes(toks: DataFrame) -> DataFrame:
+    """What the element windows need of each token; no text travels further."""
+    tok, kind = F.col("tok"), F.col("kind")
+    return toks.select(
         "page_id", "pos", "tag", "kind",
-        F.when(F.col("kind").isin("open", "void", "raw"), F.regexp_extract("tok", r"(?s)^(<[^>]*>)", 1)).alias("src"),
-        F.length("tok").alias("n_chars"),
-        F.octet_length("tok").alias("n_bytes"),
-        txt.alias("txt"),
-        (F.length("tok") - F.length(F.replace("tok", F.lit("\n"), F.lit("")))).alias("n_lines"),
-        F.col("tok").rlike(P.ACTION_TEXT).alias("says_action"),
-    ).withColumn("n_words", F.when(F.col("txt") == "", 0).otherwise(word_count(F.col("txt"))))
-    in_order = Window.partitionBy("page_id").orderBy("pos")
-    earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    so_far = in_order.rowsBetween(Window.unboundedPreceding, 0)
-    # An action is an <a> or <button> whose only content is one matching text, possibly
-    # wrapped: k close tags after the text belong to the k open tags right before it.
-    slim = slim.withColumn(
-        "opens_before",
-        F.col("pos") - 1 - F.coalesce(F.max(F.when(F.col("kind") != "open", F.col("pos"))).over(earlier), F.lit(-1)),
-    ).withColumn(
-        "inner",
-        F.last(
-            F.when(F.col("kind") != "close", F.struct("pos", "kind", "says_action", "opens_before")), ignorenulls=True
-        ).over(earlier),
-    )
-    is_action = (
-        (F.col("kind") == "close")
-        & F.col("tag").isin("a", "button")
-        & (F.col("inner.kind") == "text")
-        & F.col("inner.says_action")
-        & (F.col("pos") - F.col("inner.pos") <= F.col("inner.opens_before"))
-    )
-    slim = slim.withColumn("action", F.when(is_action, 1).otherwise(0))
-    return slim.select(
-        "page_id", "pos", "tag", "kind", "src", "n_chars", "n_bytes", "n_lines", "action",
-        F.sum("n_chars").over(so_far).alias("c_chars"),
-        F.sum("n_bytes").over(so_far).alias("c_bytes"),
-        F.sum("n_lines").over(so_far).alias("c_lines"),
-        F.sum(F.when(F.col("txt") == "", 0).otherwise(F.length("txt") + 1)).over(so_far).alias("c_text"),
-        F.sum("n_words").over(so_far).alias("c_words"),
-        F.sum("action").over(so_far).alias("c_actions"),
-        F.count_if((F.col("tag") == "img") & (F.col("kind") == "void")).over(so_far).alias("c_images"),
-    )
+        F.when(kind.isin("open", "void"), tok).when(kind == "raw", F.regexp_extract(tok, r"(?s)^(<[^>]*>)", 1)).alias("src"),
+        F.length(tok).alias("n_chars"),
+        F.octet_length(tok).alias("n_bytes"),
+        (F.length(tok) - F.length(F.replace(tok, F.lit("\n"), F.lit("")))).alias("n_lines"),
+        M.token_text(tok).alias("txt"),
+        F.when(kind == "text", F.lower(tok)).alias("lowered"),
+    ).select(
+        "page_id", "pos", "tag", "kind", "src", "n_chars", "n_bytes", "n_lines",
+        F.when(F.col("txt") == "", 0).otherwise(F.length("txt") + 1).alias("n_text"),
+        F.when(F.col("txt") == "", 0).otherwise(stripped_word_count(F.col("txt"))).alias("n_words"),
+        F.exists(F.array(*map(F.lit, P.ACTION_WORDS)), lambda w: F.contains(F.col("lowered"), w)).alias("says_action"),
+    )
+
+
+# ``here`` carries a token's position, its own sizes and the totals up to it through the windows.
+_ELEMENTS = f"""
+WITH runs AS (
+  SELECT *, pos - 1 - coalesce(max(CASE WHEN kind <> 'open' THEN pos END) OVER earlier, -1) AS opens_before
+  FROM {{toks}}
+  WINDOW earlier AS (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), ends AS (
+  SELECT *, last(CASE WHEN kind <> 'close' THEN struct(pos, kind, says_action, opens_before) END, true) OVER earlier AS inside
+  FROM runs
+  WINDOW earlier AS (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), flagged AS (
+  -- An action is an <a> or <button> whose only content is one matching text, possibly wrapped:
+  -- k close tags after the text belong to the k open tags right before it.
+  SELECT page_id, pos, tag, kind, src, n_chars, n_bytes, n_lines, n_text, n_words,
+    CASE WHEN kind = 'close' AND tag IN ('a', 'button') AND inside.kind = 'text' AND inside.says_action
+      AND pos - inside.pos <= inside.opens_before THEN 1 ELSE 0 END AS action,
+    CASE WHEN kind = 'void' AND tag = 'img' THEN 1 ELSE 0 END AS image
+  FROM ends
+), totalled AS (
+  SELECT page_id, pos, tag, kind, src, n_chars,
+    struct(kind, tag, pos, n_chars, n_bytes, n_lines, action,
+      sum(n_chars) OVER so_far AS chars, sum(n_bytes) OVER so_far AS bytes, sum(n_lines) OVER so_far AS lines,
+      sum(n_text) OVER so_far AS text, sum(n_words) OVER so_far AS words,
+      sum(action) OVER so_far AS actions, sum(image) OVER so_far AS images) AS here,
+    CASE WHEN kind IN ('open', 'close') AND tag <> 'p' THEN CASE kind WHEN 'open' THEN 1 ELSE -1 END ELSE 0 END AS step
+  FROM flagged
+  WINDOW so_far AS (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), levels AS (
+  SELECT page_id, pos, tag, kind, src, here,
+    CASE WHEN step <> 0 THEN sum(step) OVER same_tag + CASE WHEN step < 0 THEN 1 ELSE 0 END END AS level
+  FROM totalled
+  WINDOW same_tag AS (PARTITION BY page_id, tag ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), mates AS (
+  SELECT page_id, pos, tag, kind, src, here, lead(here) OVER (PARTITION BY page_id, tag, level ORDER BY pos) AS mate
+  FROM levels
+), bounds AS (
+  SELECT page_id, pos, tag, kind, src, here, mate,
+    last(CASE WHEN tag IN ({", ".join(f"'{t}'" for t in P.BLOCK_TAGS)}) AND kind IN ('open', 'close', 'void') THEN here END, true)
+      OVER (PARTITION BY page_id ORDER BY pos DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS block,
+    first(here) OVER (PARTITION BY page_id ORDER BY pos DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS final
+  FROM mates
+), ruled AS (
+  SELECT page_id, pos, tag, src, here,
+    CASE WHEN kind <> 'open' THEN 'self'
+      WHEN tag = 'p' AND block.tag = 'p' AND block.kind = 'close' THEN 'block'
+      WHEN tag <> 'p' AND mate.kind = 'close' THEN 'mate'
+      WHEN (tag <> 'p' AND tag IN ({", ".join(f"'{t}'" for t in P.ROOT_TAGS)})) OR block IS NULL THEN 'final'
+      ELSE 'before' END AS rule,
+    mate, block, final
+  FROM bounds WHERE kind IN ('open', 'void', 'raw')
+), closed AS (
+  SELECT page_id, pos, tag, src, here, rule,
+    CASE rule WHEN 'self' THEN here WHEN 'mate' THEN mate WHEN 'final' THEN final ELSE block END AS fin
+  FROM ruled
+)
+SELECT page_id, pos AS node_id, tag, src, pos AS start_pos,
+  CASE WHEN rule = 'before' THEN fin.pos - 1 ELSE fin.pos END AS end_pos,
+  rule IN ('mate', 'block') AS closed,
+  here.chars - here.n_chars AS off,
+  fin.chars - here.chars + here.n_chars - CASE WHEN rule = 'before' THEN fin.n_chars ELSE 0 END AS outer_len,
+  fin.bytes - here.bytes - CASE WHEN rule IN ('before', 'mate', 'block') THEN fin.n_bytes ELSE 0 END AS inner_bytes,
+  here.lines - here.n_lines + 1 AS start_line,
+  fin.lines - here.lines + here.n_lines + 1 - CASE WHEN rule = 'before' THEN fin.n_lines ELSE 0 END AS line_count,
+  here.text AS text_off,
+  greatest(fin.text - here.text - 1, 0) AS text_len,
+  fin.words - here.words AS n_words,
+  fin.images - here.images AS n_images,
+  fin.actions - here.actions - CASE WHEN rule IN ('before', 'mate', 'block') THEN fin.action ELSE 0 END AS n_actions
+FROM closed
+"""
 
 
 def elements(pages: DataFrame, clustered: bool = False) -> DataFrame:
@@ -90,79 +135,7 @@ def elements(pages: DataFrame, clustered: bool = False) -> DataFrame:
     ``off``/``outer_len`` cut the element out of the page, ``text_off``/``text_len`` cut its
     text out of the page text, so no text travels through the windows.
     """
-    t = _measured(tokens(pages, clustered))
-    here = F.struct(
-        F.col("kind").alias("k"), F.col("tag").alias("t"), F.col("pos").alias("end"),
-        F.col("c_chars").alias("chars"), F.col("c_bytes").alias("bytes"), F.col("c_lines").alias("lines"),
-        F.col("c_text").alias("text"), F.col("c_words").alias("words"), F.col("n_bytes").alias("close_bytes"),
-        F.col("c_actions").alias("actions"), F.col("c_images").alias("images"), F.col("action").alias("own_action"),
-        F.col("n_chars").alias("c"), F.col("n_bytes").alias("b"), F.col("n_lines").alias("l"),
-    )
-    is_block = F.col("tag").isin(P.BLOCK_TAGS) & F.col("kind").isin("open", "close", "void")
-    pairs = F.col("kind").isin("open", "close") & (F.col("tag") != "p")
-    levels = Window.partitionBy("page_id", "tag").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    same_level = Window.partitionBy("page_id", "tag", "level").orderBy("pos")
-    backwards = Window.partitionBy("page_id").orderBy(F.desc("pos"))
-
-    step = F.when(~pairs, 0).when(F.col("kind") == "open", 1).otherwise(-1)
-    t = t.withColumn("here", here).withColumn(
-        "level",
-        F.when(pairs, F.sum(step).over(levels) + F.when(F.col("kind") == "close", 1).otherwise(0)),
-    )
-    t = t.withColumn("mate", F.lead("here").over(same_level))
-    t = t.withColumn(
-        "block",
-        F.last(F.when(is_block, F.col("here")), ignorenulls=True).over(
-            backwards.rowsBetween(Window.unboundedPreceding, -1)
-        ),
-    ).withColumn("last", F.first("here").over(backwards.rowsBetween(Window.unboundedPreceding, 0)))
-
-    def at(s: str) -> Column:
-        return F.struct(
-            F.col(f"{s}.end").alias("end"), F.col(f"{s}.chars").alias("chars"), F.col(f"{s}.bytes").alias("bytes"),
-            F.col(f"{s}.lines").alias("lines"), F.col(f"{s}.text").alias("text"), F.col(f"{s}.words").alias("words"),
-            F.when(F.col(f"{s}.k") == "close", F.col(f"{s}.close_bytes")).otherwise(0).alias("close_bytes"),
-            F.col(f"{s}.actions").alias("actions"), F.col(f"{s}.images").alias("images"),
-            F.col(f"{s}.own_action").alias("own_action"),
-        )
-
-    before_block = F.struct(
-        (F.col("block.end") - 1).alias("end"), (F.col("block.chars") - F.col("block.c")).alias("chars"),
-        (F.col("block.bytes") - F.col("block.b")).alias("bytes"), (F.col("block.lines") - F.col("block.l")).alias("lines"),
-        F.col("block.text").alias("text"), F.col("block.words").alias("words"), F.lit(0).alias("close_bytes"),
-        F.col("block.actions").alias("actions"),
-        (F.col("block.images")).alias("images"), F.lit(0).alias("own_action"),
-    )
-    page_end = at("last").withField("close_bytes", F.lit(0)).withField("own_action", F.lit(0))
-    own_close = (F.col("block.t") == "p") & (F.col("block.k") == "close")
-    to_block = F.when(F.col("block").isNull(), page_end).otherwise(before_block)
-    fin = (
-        F.when(F.col("kind") != "open", at("here"))
-        .when(F.col("tag") == "p", F.when(own_close, at("block")).otherwise(to_block))
-        .when(F.col("mate.k") == "close", at("mate"))
-        .when(F.col("tag").isin(P.ROOT_TAGS), page_end)
-        .otherwise(to_block)
-    )
-    found = t.where(F.col("kind").isin("open", "void", "raw")).withColumn("fin", fin)
-    return found.select(
-        "page_id",
-        F.col("pos").alias("node_id"),
-        "tag",
-        "src",
-        F.col("pos").alias("start_pos"),
-        F.col("fin.end").alias("end_pos"),
-        (F.col("fin.close_bytes") > 0).alias("closed"),
-        (F.col("c_chars") - F.col("n_chars")).alias("off"),
-        (F.col("fin.chars") - F.col("c_chars") + F.col("n_chars")).alias("outer_len"),
-        F.greatest(F.col("fin.bytes") - F.col("c_bytes") - F.col("fin.close_bytes"), F.lit(0)).alias("inner_bytes"),
-        (F.col("c_lines") - F.col("n_lines") + 1).alias("start_line"),
-        (F.col("fin.lines") - F.col("c_lines") + F.col("n_lines") + 1).alias("line_count"),
-        F.col("c_text").alias("text_off"),
-        F.greatest(F.col("fin.text") - F.col("c_text") - 1, F.lit(0)).alias("text_len"),
-        (F.col("fin.words") - F.col("c_words")).alias("n_words"),
-        (F.col("fin.images") - F.col("c_images")).alias("n_images"),
-        (F.col("fin.actions") - F.col("c_actions") - F.col("fin.own_action")).alias("n_actions"),
-    )
+    return pages.sparkSession.sql(_ELEMENTS, toks=_sizes(tokens(pages, clustered)))
 
 
 def with_depth(elems: DataFrame) -> DataFrame:

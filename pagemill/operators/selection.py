@@ -12,13 +12,7 @@ from pagemill.operators import elements as E
 from pagemill.operators import scoring as S
 from pagemill.operators import vectors as V
 from pagemill.operators.skew import first_per_key
-from pagemill.session import ensure_checkpoint_dir
-
-
-def settled(rows: DataFrame) -> DataFrame:
-    """Write rows that several later steps read, so the page windows run once."""
-    ensure_checkpoint_dir(rows.sparkSession)
-    return rows.checkpoint()
+from pagemill.session import settled
 
 
 def remove_nested(candidates: DataFrame) -> DataFrame:
@@ -152,13 +146,14 @@ def product_filter(
     min_words: int = P.MIN_WORDS,
     min_chars: int = P.MIN_CHARS,
     max_chars: int = P.MAX_CHARS,
+    elems: DataFrame | None = None,
 ) -> DataFrame:
     """Product fragments of every page: filter, score, de-nest, drop near-duplicates, keep the best.
 
     ``vectors``: ``page_id, node_id, embedding`` for the elements that have one; an element
     without a vector is never a near-duplicate. Output: ``page_id, rank, node_id, score, fragment``.
     """
-    scored = S.product_candidates(pages, entities, min_chars=min_chars, max_chars=max_chars, min_words=min_words)
+    scored = S.product_candidates(pages, entities, elems, min_chars, max_chars, min_words)
     outer = settled(
         remove_nested(scored).select("page_id", "node_id", "start_pos", "end_pos", "off", "outer_len", "score")
     )
@@ -189,14 +184,18 @@ def ecommerce_filter(pages: DataFrame, keep_top_n: int = P.KEEP_TOP_N, query: st
     return fragments.select("page_id", place.alias("position"), "card_id", "fragment")
 
 
-def clean_for_model(pages: DataFrame, entities: DataFrame, vectors: DataFrame) -> DataFrame:
+def clean_for_model(
+    pages: DataFrame, entities: DataFrame, vectors: DataFrame, elems: DataFrame | None = None
+) -> DataFrame:
     """Model input of every page: its product fragments, cleaned and outlined."""
     found = product_filter(
-        pages, entities, vectors, P.KEEP_TOP_N, P.PIPELINE_SIMILARITY, min_words=P.PIPELINE_MIN_WORDS
+        pages, entities, vectors, P.KEEP_TOP_N, P.PIPELINE_SIMILARITY, P.PIPELINE_MIN_WORDS, elems=elems
     )
     ordered = F.array_sort(F.collect_list(F.struct("rank", "fragment")))
-    joined = found.groupBy("page_id").agg(
-        F.array_join(F.transform(ordered, lambda r: r["fragment"]), "\n").alias("html")
+    joined = settled(
+        found.groupBy("page_id").agg(
+            F.array_join(F.transform(ordered, lambda r: r["fragment"]), "\n").alias("html")
+        )
     )
     stripped = C.strip_elements(joined, P.MODEL_TAGS_DROPPED)
     bare = stripped.withColumn("html", C.strip_attributes(F.col("html"), P.MODEL_ATTRS_DROPPED))

@@ -14,6 +14,7 @@ from pagemill.operators import vectors as VEC
 from pagemill.operators.skew import first_per_key
 from pagemill.plans import views as V
 from pagemill.plans.registry import query
+from pagemill.session import settled
 
 CARD_QUERY = "small red zzz Ring"
 PAIR_THRESHOLD = 0.25
@@ -27,21 +28,19 @@ def _listing(spark, sf_dir):
     return V.view(spark, sf_dir, "listing")
 
 
-def _sized(spark, sf_dir):
-    return S.size_prefilter(E.elements(_listing(spark, sf_dir)))
-
-
-def _entities(pages):
-    return V.entities(E.elements(pages))
+def _parsed(spark, sf_dir):
+    """The listing pages and their element table, written once for the steps that share it."""
+    pages = settled(_listing(spark, sf_dir))
+    return pages, settled(E.elements(pages))
 
 
 def _scored(spark, sf_dir):
-    pages = _listing(spark, sf_dir)
-    return S.product_candidates(pages, _entities(pages))
+    pages, elems = _parsed(spark, sf_dir)
+    return S.product_candidates(pages, V.entities(elems), elems)
 
 
 def _flagged(spark, sf_dir):
-    pages = _listing(spark, sf_dir)
+    pages = settled(_listing(spark, sf_dir))
     return S.price_flags(E.elements(pages), E.page_texts(pages))
 
 
@@ -92,8 +91,8 @@ def element_nav_filter(spark, sf_dir):
 
 @query("entity_score", "select page_id, node_id, cast(entity_score as double) as entity_score from listing_entity_score")
 def entity_score(spark, sf_dir):
-    pages = _listing(spark, sf_dir)
-    return S.entity_score(S.size_prefilter(E.elements(pages)), _entities(pages)).select("page_id", "node_id", "entity_score")
+    _, elems = _parsed(spark, sf_dir)
+    return S.entity_score(S.size_prefilter(elems), V.entities(elems)).select("page_id", "node_id", "entity_score")
 
 
 @query("keyword_score", f"select doc_id, {V.keywords('text')} as score from (select doc_id, replace(text, 'the', 'brand') as text from documents)")
@@ -104,7 +103,7 @@ def keyword_score(spark, sf_dir):
 
 @query("structure_bonus", "select page_id, node_id, cast(bonus as double) as bonus from listing_bonus")
 def structure_bonus(spark, sf_dir):
-    return _sized(spark, sf_dir).select(
+    return S.size_prefilter(E.elements(_listing(spark, sf_dir))).select(
         "page_id", "node_id", S.structure_bonus(F.col("n_images"), F.col("n_actions")).alias("bonus")
     )
 
@@ -163,12 +162,12 @@ def remove_nested(spark, sf_dir):
          where o.page_id = c.page_id and o.start_pos < c.start_pos and o.end_pos >= c.end_pos and o.score >= c.score)""",
 )
 def covered_ranges(spark, sf_dir):
-    return X.uncovered(X.settled(_card_scored(spark, sf_dir).drop("text", "src"))).select("page_id", "node_id", "tag")
+    return X.uncovered(settled(_card_scored(spark, sf_dir).drop("text", "src"))).select("page_id", "node_id", "tag")
 
 
 @query("crop_to_card", "select page_id, node_id, card_id, card_end from listing_cropped")
 def crop_to_card(spark, sf_dir):
-    flagged = X.settled(_flagged(spark, sf_dir))
+    flagged = settled(_flagged(spark, sf_dir))
     return X.crop_to_card(S.card_candidates(flagged), flagged).select("page_id", "node_id", "card_id", "card_end")
 
 
@@ -182,7 +181,7 @@ def crop_to_card(spark, sf_dir):
        group by c.page_id, c.card_id""",
 )
 def card_promo_strip(spark, sf_dir):
-    flagged = X.settled(_flagged(spark, sf_dir))
+    flagged = settled(_flagged(spark, sf_dir))
     cards = X.crop_to_card(S.card_candidates(flagged), flagged)
     return X.card_fragments(cards, flagged, _listing(spark, sf_dir)).select("page_id", "card_id", "fragment")
 
@@ -264,26 +263,26 @@ def semantic_dedup_lsh(spark, sf_dir):
     return VEC.semantic_dedup_lsh(V.view(spark, sf_dir, "vectors"), PAIR_THRESHOLD).select("vec_id", "score", "copies")
 
 
-def _fragment_vectors(pages):
-    """A small deterministic vector per sized element: counts of a few letters of its text."""
-    sized = S.size_prefilter(E.elements(pages), min_words=2)
-    texted = E.with_text(sized, E.page_texts(pages))
+def fragment_vectors(pages, elems):
+    """A small deterministic vector per sized element: counts of a few characters of its text."""
+    texted = E.with_text(S.size_prefilter(elems, min_words=2), E.page_texts(pages))
     letters = [F.regexp_count("text", F.lit(c)).cast("float") for c in "aeiourst0123456789"]
     return texted.select("page_id", "node_id", F.array(*letters).alias("embedding"))
 
 
 @query("product_filter")
 def product_filter(spark, sf_dir):
-    pages = _listing(spark, sf_dir)
-    return X.product_filter(pages, _entities(pages), _fragment_vectors(pages), similarity=0.9995)
+    pages, elems = _parsed(spark, sf_dir)
+    vectors = fragment_vectors(pages, elems)
+    return X.product_filter(pages, V.entities(elems), vectors, similarity=0.9995, elems=elems)
 
 
 @query("ecommerce_filter")
 def ecommerce_filter(spark, sf_dir):
-    return X.ecommerce_filter(_listing(spark, sf_dir), query=CARD_QUERY)
+    return X.ecommerce_filter(settled(_listing(spark, sf_dir)), query=CARD_QUERY)
 
 
 @query("clean_for_model")
 def clean_for_model(spark, sf_dir):
-    pages = _listing(spark, sf_dir)
-    return X.clean_for_model(pages, _entities(pages), _fragment_vectors(pages))
+    pages, elems = _parsed(spark, sf_dir)
+    return X.clean_for_model(pages, V.entities(elems), fragment_vectors(pages, elems), elems)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Adaptive execution re-plans joins and splits skewed shuffle partitions at run time.
 # Keeping partitionings that cluster on a prefix of the join keys lets everything keyed by
@@ -14,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    # Parsing is CPU-bound per byte: let small inputs still spread over all cores.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
@@ -50,6 +53,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new folder for written tables, next to the checkpoints and so just as shared."""
-    import uuid
-
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """Write rows that several later steps read, and go on from the written table.
+
+    The page windows then run once, later steps read only the columns they need, and a lost
+    executor costs a re-read instead of the whole lineage.
+    """
+    path = scratch_dir(rows.sparkSession, "settled")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
