@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOT_SHARE = 100  # a key is hot when it holds more than 1/HOT_SHARE of the rows
+SALTS = 64
 
 
 def first_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -39,27 +38,19 @@ def dense_ids(rows: DataFrame, key: str, id_col: str, start: Column | int = 0) -
     )
 
 
-def lookup_join(
-    left: DataFrame, unique: DataFrame, keys: list[str], how: str = "inner", counts: DataFrame | None = None
-) -> DataFrame:
-    """Join rows to a table that is unique on ``keys``, splitting off hot keys.
+def salted_lookup(left: DataFrame, unique: DataFrame, keys: list[str], counts: DataFrame, how: str = "inner") -> DataFrame:
+    """Join rows to a table unique on ``keys``, spreading hot keys over ``SALTS`` tasks.
 
-    Keys with more than 1 % of the left rows are at most 100, so their matches are broadcast;
-    the rest meets in an ordinary shuffle join where no key is hot.
+    ``counts`` holds the left rows per key (``keys, _n``). Keys with more than 1 % of the rows
+    are at most 100; their rows get a salt and their lookup rows one copy per salt, and both
+    sides still meet in a single shuffle join.
     """
-    counts = counts if counts is not None else left.groupBy(*keys).agg(F.count("*").alias("_n"))
     total = counts.agg(F.sum("_n").alias("_total"))
-    hot = (
-        counts.join(F.broadcast(total), F.col("_n") * HOT_SHARE > F.col("_total"))  # one row
-        .select(*keys)
-        .withColumn("_hot", F.lit(True))
+    hot = counts.join(F.broadcast(total), F.col("_n") * HOT_SHARE > F.col("_total")).select(  # one row
+        *keys, F.lit(True).alias("_hot")
     )
-    marked = left.join(F.broadcast(hot), keys, "left")  # at most HOT_SHARE rows
-    hot_lookup = unique.join(F.broadcast(hot.drop("_hot")), keys, "left_semi")
-    hot_rows = marked.where("_hot").drop("_hot").join(F.broadcast(hot_lookup), keys, how)
-    rest = marked.where("_hot is null").drop("_hot").join(unique, keys, how)
-    return rest.unionByName(hot_rows)
-
-
-def sum_columns(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, columns)
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int")).otherwise(0)
+    spread = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_hot")
+    copies = unique.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    return spread.join(copies, [*keys, "_salt"], how).drop("_salt")

@@ -1,0 +1,243 @@
+"""Crawl catalog: upserts, audits and what to crawl next."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from pagemill.functions.urls import base_domain
+from pagemill.operators import catalog as K
+from pagemill.operators import links as L
+from pagemill.plans import views as V
+from pagemill.plans.registry import query
+from pagemill.session import settled
+
+FORMAT = "yyyy-MM-dd HH:mm:ss"
+DUCK_FORMAT = "%Y-%m-%d %H:%M:%S"
+DUCK = V.Dialect("duckdb")
+
+
+def _load(spark, sf_dir, *names):
+    return [V.view(spark, sf_dir, n) for n in names]
+
+
+def _shown(c: str):
+    return F.coalesce(F.date_format(c, FORMAT), F.lit("never"))
+
+
+def shown(c: str) -> str:
+    return f"coalesce(strftime({c}, '{DUCK_FORMAT}'), 'never')"
+
+
+def new_ids(key: str, top: str) -> str:
+    return f"({top}) + row_number() over (order by substr(md5({key}), 1, 3), {key})"
+
+
+UPSERTED_DOMAINS = f"""(select id, name from domains union all
+    select {new_ids("name", "select max(id) from domains")} as id, name from (select distinct {V.base_domain("url")} as name from pages)
+    where name not in (select name from domains))"""
+
+
+def _page_names(spark, sf_dir):
+    return V.table(spark, sf_dir, "pages").select(base_domain(F.col("url")).alias("name"))
+
+
+@query("domain_upsert", f"select id, name from {UPSERTED_DOMAINS}")
+def domain_upsert(spark, sf_dir):
+    (domains,) = _load(spark, sf_dir, "domains")
+    return K.domain_upsert(domains, _page_names(spark, sf_dir))
+
+
+@query(
+    "category_link_upsert",
+    f"""select id, url, domain_id from category_links union all
+        select {new_ids("url", "select max(id) from category_links")}, url, d.id from (
+          select url, arg_min(domain, (page_id, ordinal)) as domain from (
+            select page_id, ordinal, url, domain from pruned union all
+            select id, 0, url, 'elsewhere.example.com' from category_links where id % 7 = 0 union all
+            select id, 1, url || '/more', 'brand1.example.com' from category_links where id % 5 = 0 union all
+            select id + 1, 1, url || '/more', 'brand2.example.com' from category_links where id % 5 = 0) group by url) b
+        join {UPSERTED_DOMAINS} d on d.name = b.domain where url not in (select url from category_links)""",
+)
+def category_link_upsert(spark, sf_dir):
+    links, domains = _load(spark, sf_dir, "category_links", "domains")
+    found = L.prune(L.anchors(V.table(spark, sf_dir, "pages"))).select(
+        "page_id", "ordinal", "url", "domain", F.col("html").alias("link_html")
+    )
+    again = links.select(
+        F.col("id").alias("page_id"), F.lit(0).alias("ordinal"), "url", F.lit("elsewhere.example.com").alias("domain"), "link_html"
+    ).where("page_id % 7 = 0")
+    more = links.where("id % 5 = 0").select(
+        F.col("id").alias("page_id"), F.lit(1).alias("ordinal"), F.concat("url", F.lit("/more")).alias("url"),
+        F.lit("brand1.example.com").alias("domain"), "link_html",
+    )
+    late = more.withColumns({"page_id": F.col("page_id") + 1, "domain": F.lit("brand2.example.com")})
+    batch = found.unionByName(again).unionByName(more).unionByName(late)
+    batch = batch.withColumn("found_at", F.lit(V.EPOCH).cast("timestamp_ntz"))
+    known = K.domain_upsert(domains, _page_names(spark, sf_dir))
+    return K.category_link_upsert(links, known, batch, ["page_id", "ordinal"]).select("id", "url", "domain_id")
+
+
+@query(
+    "category_links_by_domain",
+    "select l.url from category_links l join domains d on d.id = l.domain_id where d.name = 'brand7.example.com'",
+)
+def category_links_by_domain(spark, sf_dir):
+    links, domains = _load(spark, sf_dir, "category_links", "domains")
+    return K.links_of_domain(links, domains, "brand7.example.com")
+
+
+PAIR_KEY = "cast(domain_id as string) || ' ' || category_url"
+
+
+@query(
+    "product_insert",
+    f"""select p.product_id, p.copy_no, p.name, p.price, d.id as domain_id, l.id as category_link_id
+        from offers p join domains d on d.name = p.domain join (
+          select id, domain_id, url from category_links where id % 4 > 0 union all
+          select {new_ids(PAIR_KEY, "select max(id) from category_links where id % 4 > 0")} as id, domain_id, category_url
+          from (select distinct d.id as domain_id, o.category_url from offers o join domains d on d.name = o.domain
+            where not exists (select 1 from category_links l where l.id % 4 > 0 and l.domain_id = d.id and l.url = o.category_url))
+        ) l on l.domain_id = d.id and l.url = p.category_url""",
+)
+def product_insert(spark, sf_dir):
+    offers, links, domains = _load(spark, sf_dir, "offers", "category_links", "domains")
+    stored, _ = K.product_insert(offers, links.where("id % 4 > 0"), domains)
+    return stored.select("product_id", "copy_no", "name", "price", "domain_id", "category_link_id")
+
+
+@query(
+    "latest_schema",
+    f"""select domain_id, id, schema_json, {shown("generated_at")} as generated_at from (
+        select *, row_number() over (partition by domain_id order by generated_at desc, id desc) as rn from product_schemas) where rn = 1""",
+)
+def latest_schema(spark, sf_dir):
+    (schemas,) = _load(spark, sf_dir, "product_schemas")
+    return K.latest_schema(schemas).withColumn("generated_at", _shown("generated_at"))
+
+
+@query(
+    "schema_stale",
+    """select d.id, d.name, case when g is null then 'missing' else 'old' end as reason from domains d left join (
+         select domain_id, max(generated_at) as g from product_schemas where domain_id <= 20 group by domain_id) s on s.domain_id = d.id
+       where g is null or (select max(ts) from events) - g > interval 3600 second""",
+)
+def schema_stale(spark, sf_dir):
+    domains, schemas = _load(spark, sf_dir, "domains", "product_schemas")
+    as_of = F.lit(V.table(spark, sf_dir, "events").agg(F.max("ts")).first()[0]).cast("timestamp_ntz")
+    return K.schema_stale(domains, schemas.where("domain_id <= 20"), as_of, max_age_s=3600)
+
+
+@query(
+    "mark_crawled",
+    f"""select l.id, l.url, {shown("coalesce(m.at, l.last_crawled_at)")} as last_crawled_at from category_links l
+        left join (select d.id as domain_id, o.category_url, max({DUCK.at("product_id + 9000")}) as at from offers o
+          join domains d on d.name = o.domain where product_id % 3 = 0 group by 1, 2) m
+        on m.domain_id = l.domain_id and m.category_url = l.url""",
+)
+def mark_crawled(spark, sf_dir):
+    offers, links, domains = _load(spark, sf_dir, "offers", "category_links", "domains")
+    marks = offers.where("product_id % 3 = 0").select(
+        "domain", F.col("category_url").alias("url"), F.expr(V.Dialect("spark").at("product_id + 9000")).alias("crawled_at")
+    )
+    elsewhere = marks.withColumn("domain", F.lit("unknown.example.com"))
+    return K.mark_crawled(links, domains, marks.unionByName(elsewhere)).select(
+        "id", "url", _shown("last_crawled_at").alias("last_crawled_at")
+    )
+
+
+NEXT_SQL = """(select domain_id, id, url, row_number() over (partition by domain_id
+    order by last_crawled_at asc nulls first, found_at, id) as turn from category_links)"""
+
+
+@query("next_to_crawl", f"select domain_id, id, url from {NEXT_SQL} where turn = 1")
+def next_to_crawl(spark, sf_dir):
+    return K.next_to_crawl(*_load(spark, sf_dir, "category_links"))
+
+
+@query("next_k_to_crawl", f"select domain_id, turn, id, url from {NEXT_SQL} where turn <= 3")
+def next_k_to_crawl(spark, sf_dir):
+    return K.next_k_to_crawl(*_load(spark, sf_dir, "category_links")).select("domain_id", "turn", "id", "url")
+
+
+DOUBLED_LINKS = """(select url, domain_id from category_links union all select url, domain_id from category_links where id % 10 = 0
+    union all select url, domain_id + 1 from category_links where id % 7 = 0)"""
+DOUBLED_DOMAINS = "(select name from domains union all select name from domains where id % 5 = 0)"
+
+
+@query(
+    "unique_audit",
+    f"""select 'domain name' as kind, name as value, count(*) as n from {DOUBLED_DOMAINS} group by name having count(*) > 1
+        union all select 'url', url, count(*) from {DOUBLED_LINKS} group by url having count(*) > 1
+        union all select 'url and domain', url || ' ' || cast(domain_id as string), count(*) from {DOUBLED_LINKS}
+          group by url, domain_id having count(*) > 1""",
+)
+def unique_audit(spark, sf_dir):
+    links, domains = _load(spark, sf_dir, "category_links", "domains")
+    pairs = links.select("url", "domain_id")
+    doubled = pairs.unionAll(links.where("id % 10 = 0").select("url", "domain_id")).unionAll(
+        links.where("id % 7 = 0").select("url", F.col("domain_id") + 1)
+    )
+    names = domains.select("name").unionAll(domains.where("id % 5 = 0").select("name"))
+    return K.unique_audit(names, doubled)
+
+
+STORED = """(select o.product_id as id, o.name, o.price, d.id as domain_id, l.id as category_link_id from offers o
+    join domains d on d.name = o.domain join category_links l on l.domain_id = d.id and l.url = o.category_url where o.copy_no = 1)"""
+
+
+def _stored(spark, sf_dir):
+    offers, links, domains = _load(spark, sf_dir, "offers", "category_links", "domains")
+    stored, _ = K.product_insert(offers.where("copy_no = 1"), links, domains)
+    return settled(stored.withColumnRenamed("product_id", "id"))
+
+
+@query(
+    "fk_audit",
+    f"""select 'link without domain' as kind, id from category_links where id % 10 > 0 and domain_id > 23
+        union all select 'product without domain', id from {STORED} where domain_id > 23
+        union all select 'product without link', id from {STORED} where category_link_id % 10 = 0
+        union all select 'schema without domain', id from product_schemas where domain_id > 23""",
+)
+def fk_audit(spark, sf_dir):
+    links, domains, schemas = _load(spark, sf_dir, "category_links", "domains", "product_schemas")
+    return K.fk_audit(domains.where("id <= 23"), links.where("id % 10 > 0"), _stored(spark, sf_dir), schemas)
+
+
+AUDITED = ["name", "title", "price", "original_price", "discount", "url", "sku", "image_url"]
+
+
+@query(
+    "not_null_audit",
+    " union all ".join(f"select '{c}' as \"column\", count(*) filter ({c} is null) as n_null from offers" for c in AUDITED),
+)
+def not_null_audit(spark, sf_dir):
+    return K.not_null_audit(*_load(spark, sf_dir, "offers"), AUDITED)
+
+
+@query(
+    "domain_tree",
+    f"""select d.name as domain, l.id as link_id, l.url, coalesce(p.chunk, -1) as chunk, coalesce(p.products, '') as products
+        from category_links l join domains d on d.id = l.domain_id left join (
+          select category_link_id, cast(floor(id / 128) as bigint) as chunk,
+            string_agg(cast(id as string) || '=' || coalesce(price, '?'), ';' order by id) as products
+          from {STORED} where id % 3 > 0 group by 1, 2) p on p.category_link_id = l.id""",
+)
+def domain_tree(spark, sf_dir):
+    links, domains = _load(spark, sf_dir, "category_links", "domains")
+    tree = K.domain_tree(domains, links, _stored(spark, sf_dir).where("id % 3 > 0"))
+    item = lambda p: F.concat_ws("=", p["id"], F.coalesce(p["price"], F.lit("?")))
+    return tree.select(
+        "domain", F.col("link.id").alias("link_id"), "link.url", F.coalesce("chunk", F.lit(-1)).alias("chunk"),
+        F.coalesce(F.array_join(F.transform("products", item), ";"), F.lit("")).alias("products"),
+    )
+
+
+@query(
+    "products_by_link",
+    f"""select s.id, s.name, s.price, l.url as category_url, d.name as domain from {STORED} s
+        join category_links l on l.id = s.category_link_id join domains d on d.id = l.domain_id""",
+)
+def products_by_link(spark, sf_dir):
+    links, domains = _load(spark, sf_dir, "category_links", "domains")
+    stored = _stored(spark, sf_dir).select("id", "name", "price", "category_link_id")
+    return K.products_by_link(stored, links, domains).select("id", "name", "price", "category_url", "domain")
