@@ -342,6 +342,12 @@ def sql_views() -> dict[str, str]:
         "entities": f"""
             select page_id, node_id, case when tag = 'h3' then 'PRODUCT' when tag = 'p' then 'ORG' else 'MONEY' end as label
             from listing_elements where tag in ('h3', 'p') or (tag = 'span' and {attr("src", "class")} = 'price')""",
+        "items": f"select * from listing_elements where contains(coalesce({attr('src', 'class')}, ''), 'galleryItem')",
+        "chain": """
+            select page_url as start_url, 1 as depth, page_url, [page_url] as seen from responses
+            union all
+            select c.start_url, c.depth + 1, r.next_page, list_append(c.seen, r.next_page) from chain c
+            join responses r on r.page_url = c.page_url where c.depth < 3 and not list_contains(c.seen, r.next_page)""",
         "distinct_vectors": """
             select *, row_number() over (partition by page_id order by score desc, vec_id) as r from (
               select page_id, embedding, arg_min(vec_id, (-score, vec_id)) as vec_id, max(score) as score from vectors group by page_id, embedding)""",
@@ -427,7 +433,7 @@ def with_views(sql: str) -> str:
     names = _ordered(sql, catalog)
     if not names:
         return sql
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS {'' if n == 'walk' else 'MATERIALIZED '}({catalog[n]})" for n in names) + "\n" + sql
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS {'' if n in ('walk', 'chain') else 'MATERIALIZED '}({catalog[n]})" for n in names) + "\n" + sql
 
 
 # ---------------------------------------------------------------- Spark side
