@@ -1,0 +1,74 @@
+"""Fragments of a single page as a SQL table function.
+
+``SELECT * FROM page_fragments('<html>...')`` for one page at hand; a corpus goes through
+``operators.selection``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+from pyspark.sql import SparkSession
+from pyspark.sql.functions import udtf
+
+from pagemill.functions.patterns import KEEP_TOP_N, MAX_CHARS, MIN_CHARS, MIN_WORDS, VOID_TAGS
+
+
+class _Spans(HTMLParser):
+    """Start, end and text pieces of every closed element of one page."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.open: list[tuple[str, int, int]] = []
+        self.pieces: list[str] = []
+        self.spans: list[tuple[int, str, list[str]]] = []
+        self.count = 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in VOID_TAGS:
+            self.open.append((tag, len(self.pieces), self.count))
+        self.count += 1
+
+    def handle_endtag(self, tag):
+        at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
+        if at is not None:
+            _, start, order = self.open[at]
+            del self.open[at:]
+            self.spans.append((order, tag, self.pieces[start:]))
+
+    def handle_data(self, data):
+        if data.strip() and (not self.open or self.open[-1][0] not in ("script", "style")):
+            self.pieces.append(data.strip())
+
+
+@udtf(returnType="ordinal int, tag string, text string, n_words int")
+class PageFragments:
+    """Elements of fragment size, in document order, at most ``keep_top_n`` (0 for all)."""
+
+    def eval(
+        self,
+        html: str,
+        keep_top_n: int = KEEP_TOP_N,
+        min_chars: int = MIN_CHARS,
+        max_chars: int = MAX_CHARS,
+        min_words: int = MIN_WORDS,
+    ) -> Iterator[tuple]:
+        if not html:
+            return
+        parser = _Spans()
+        parser.feed(html)
+        parser.close()
+        kept = 0
+        for order, tag, pieces in sorted(parser.spans):
+            text = " ".join(pieces)
+            n = len(text.split())
+            if min_chars < len(text) < max_chars and n >= min_words:
+                yield order, tag, text, n
+                kept += 1
+                if keep_top_n and kept >= keep_top_n:
+                    return
+
+
+def register(spark: SparkSession, name: str = "page_fragments") -> None:
+    spark.udtf.register(name, PageFragments)
