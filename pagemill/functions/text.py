@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagemill.functions.patterns import WS, WS_CHARS
+from pagemill.functions.patterns import WS, WS_ASCII, WS_CHARS
 
 
 def strip_ws(text: Column) -> Column:
@@ -13,9 +13,15 @@ def strip_ws(text: Column) -> Column:
     return F.btrim(text, F.lit(WS_CHARS))
 
 
+def _pieces(text: Column) -> Column:
+    """Split at white space; a text without multi-byte characters takes the short class."""
+    ascii_only = F.octet_length(text) == F.length(text)
+    return F.when(ascii_only, F.split(text, f"[{WS_ASCII}]+")).otherwise(F.split(text, f"[{WS}]+"))
+
+
 def words(text: Column) -> Column:
     """White-space separated words; an empty text has none."""
-    return F.filter(F.split(text, f"[{WS}]+"), lambda w: w != "")
+    return F.filter(_pieces(text), lambda w: w != "")
 
 
 def word_count(text: Column) -> Column:
@@ -24,7 +30,7 @@ def word_count(text: Column) -> Column:
 
 def stripped_word_count(text: Column) -> Column:
     """Word count of a text already stripped and not empty."""
-    return F.size(F.split(text, f"[{WS}]+"))
+    return F.size(_pieces(text))
 
 
 def first_words(text: Column, n: int) -> Column:

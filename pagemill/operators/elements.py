@@ -8,7 +8,10 @@ table bucketed by ``page_id`` needs no exchange at all (``clustered=True``).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import markup as M
@@ -48,7 +51,7 @@ def _sizes(toks: DataFrame) -> DataFrame:
         "page_id", "pos", "tag", "kind", "src", "n_chars", "n_bytes", "n_lines",
         F.when(F.col("txt") == "", 0).otherwise(F.length("txt") + 1).alias("n_text"),
         F.when(F.col("txt") == "", 0).otherwise(stripped_word_count(F.col("txt"))).alias("n_words"),
-        F.exists(F.array(*map(F.lit, P.ACTION_WORDS)), lambda w: F.contains(F.col("lowered"), w)).alias("says_action"),
+        reduce(or_, [F.contains("lowered", F.lit(w)) for w in P.ACTION_WORDS]).alias("says_action"),
     )
 
 
