@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagemill.functions.patterns import WS, WS_ASCII, WS_CHARS
+from pagemill.functions.patterns import WS_ASCII, WS_CHARS
+from pagemill.functions.staged import let
+
+# The same characters as WS: the white-space property plus four separators it lacks.
+UNICODE_WS = r"(?U)[\s\x1C\x1D\x1E\x1F]+"
 
 
 def strip_ws(text: Column) -> Column:
@@ -14,23 +18,23 @@ def strip_ws(text: Column) -> Column:
 
 
 def _pieces(text: Column) -> Column:
-    """Split at white space; a text without multi-byte characters takes the short class."""
+    """Split at white space; a text without multi-byte characters takes the faster ASCII class."""
     ascii_only = F.octet_length(text) == F.length(text)
-    return F.when(ascii_only, F.split(text, f"[{WS_ASCII}]+")).otherwise(F.split(text, f"[{WS}]+"))
+    return F.when(ascii_only, F.split(text, f"[{WS_ASCII}]+")).otherwise(F.split(text, UNICODE_WS))
 
 
 def words(text: Column) -> Column:
     """White-space separated words; an empty text has none."""
-    return F.filter(_pieces(text), lambda w: w != "")
+    return let(strip_ws(text), lambda t: F.when(t == "", F.expr("cast(array() as array<string>)")).otherwise(_pieces(t)))
 
 
-def word_count(text: Column) -> Column:
-    return F.size(words(text))
+def stripped_word_count(text: Column) -> Column:
+    """Word count of a text already stripped; an empty one has none."""
+    return F.when(text == "", 0).otherwise(F.size(_pieces(text)))
 
 
-def stripped_word_count(text: Column) -> Column:
-    """Word count of a text already stripped and not empty."""
-    return F.size(_pieces(text))
+def word_count(text: Column) -> Column:
+    return let(strip_ws(text), stripped_word_count)
 
 
 def first_words(text: Column, n: int) -> Column:

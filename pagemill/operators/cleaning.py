@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import markup as M
 from pagemill.functions import patterns as P
+from pagemill.functions.staged import computed
 from pagemill.functions.text import strip_ws, word_count, words
 from pagemill.operators import elements as E
 
@@ -86,7 +87,7 @@ def truncate(text: Column, limit: int = P.MODEL_MAX_CHARS) -> Column:
 
 def chunks(rows: DataFrame, id_col: str, text_col: str, size: int = P.CHUNK_WORDS) -> DataFrame:
     """Model input cut into pieces of ``size`` words."""
-    w = rows.select(id_col, words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
+    w = computed(rows.select(id_col, text_col), w=words(F.col(text_col))).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.size("w"), F.lit(size))
     return w.select(id_col, F.posexplode(F.transform(starts, lambda s: F.slice("w", s, F.lit(size)))).alias("chunk_no", "part")).select(
         id_col, "chunk_no", F.size("part").alias("n_words"), F.array_join("part", " ").alias("chunk")

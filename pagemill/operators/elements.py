@@ -50,7 +50,7 @@ def _sizes(toks: DataFrame) -> DataFrame:
     ).select(
         "page_id", "pos", "tag", "kind", "src", "n_chars", "n_bytes", "n_lines",
         F.when(F.col("txt") == "", 0).otherwise(F.length("txt") + 1).alias("n_text"),
-        F.when(F.col("txt") == "", 0).otherwise(stripped_word_count(F.col("txt"))).alias("n_words"),
+        stripped_word_count(F.col("txt")).alias("n_words"),
         reduce(or_, [F.contains("lowered", F.lit(w)) for w in P.ACTION_WORDS]).alias("says_action"),
     )
 
