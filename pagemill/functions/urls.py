@@ -29,17 +29,19 @@ def sample_domain(url: Column) -> Column:
     return F.replace(netloc(url), F.lit("www."), F.lit(""))
 
 
-def _remove_dots(path: Column) -> Column:
-    """Resolve ``.`` and ``..`` and drop empty inner segments; the result starts with ``/``."""
-    inner = F.filter(F.split(path, "/"), lambda s: s != "")
+def _remove_dots(path: Column, relative: Column) -> Column:
+    """Resolve ``.`` and ``..`` of a rooted path; empty inner segments go if it came from a relative one."""
+    parts = F.split(path, "/")
+    inner = F.slice(parts, F.lit(2), F.size(parts))
+    kept = F.filter(inner, lambda s, i: ~relative | (s != "") | (i == F.size(inner) - 1))
     folded = F.aggregate(
-        inner,
+        kept,
         F.lit(""),
         lambda acc, s: F.when(s == "..", F.regexp_replace(acc, r"/[^/]*$", ""))
         .when(s == ".", acc)
         .otherwise(F.concat(acc, F.lit("/"), s)),
     )
-    trailing = F.when(path.rlike(r"(^|/)\.{0,2}$"), F.lit("/")).otherwise(F.lit(""))
+    trailing = F.when(path.rlike(r"/\.{1,2}$"), F.lit("/")).otherwise(F.lit(""))
     return F.concat(folded, trailing)
 
 
@@ -90,14 +92,12 @@ def _join(rest: Column, base: Column) -> Column:
 
 
 def _full_path(p: Column) -> Column:
-    joined = F.when(p["path"].startswith("/"), p["path"]).otherwise(
-        F.concat(F.regexp_replace(p["base_path"], r"[^/]*$", ""), p["path"])
-    )
+    relative = ~p["path"].startswith("/")
+    folder = F.regexp_replace(p["base_path"], r"[^/]*$", "")
+    rooted = F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), p["path"])
     return let(
-        joined,
-        lambda j: F.when(j.rlike(r"(^|/)\.{1,2}(/|$)|//"), _remove_dots(j))
-        .when(j.startswith("/"), j)
-        .otherwise(F.concat(F.lit("/"), j)),
+        F.when(relative, rooted).otherwise(p["path"]),
+        lambda j: F.when(j.rlike(r"/\.{1,2}(/|$)") | (relative & j.contains("//")), _remove_dots(j, relative)).otherwise(j),
     )
 
 
