@@ -11,13 +11,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.operators.skew import salted_lookup
 from pagemill.session import ensure_checkpoint_dir
 
 BLOCK = 512
-PAIR_SCHEMA = "left_id bigint, right_id bigint, cosine double"
+PAIR_SCHEMA = "better bigint, worse bigint, cosine double, better_copies bigint, worse_copies bigint"
 
 
 def mean_pool(tokens: DataFrame, group: str) -> DataFrame:
@@ -43,14 +44,22 @@ def _block_pairs(keys: list[str], threshold: float):
         x = np.array(group["embedding"].tolist(), dtype=np.float64)
         norm = np.linalg.norm(x, axis=1, keepdims=True)
         unit = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
-        ids, blocks = group["vec_id"].to_numpy(), group["block"].to_numpy()
-        low, high = blocks == group["low"].to_numpy(), blocks == group["high"].to_numpy()
+        ids, copies = group["vec_id"].to_numpy(), group["copies"].to_numpy()
+        score = group["score"].to_numpy(dtype=np.float64)
+        blocks = group["block"].to_numpy()
+        low, high = (np.flatnonzero(blocks == group[end].to_numpy()) for end in ("low", "high"))
         cosine = unit[low] @ unit[high].T
         i, j = np.nonzero(cosine > threshold)
-        a, b = ids[low][i], ids[high][j]
-        # Inside one block every pair shows up twice, across blocks once.
-        once = a < b if (low == high).all() else np.ones(len(a), dtype=bool)
-        out = pd.DataFrame({"left_id": np.minimum(a, b)[once], "right_id": np.maximum(a, b)[once], "cosine": cosine[i, j][once]})
+        a, b, c = low[i], high[j], cosine[i, j]
+        # Inside one block every pair shows up twice, across blocks once and in either order.
+        ahead = (score[a] > score[b]) | ((score[a] == score[b]) & (ids[a] < ids[b]))
+        if len(low) and np.array_equal(low, high):
+            a, b, c = a[ahead], b[ahead], c[ahead]
+        else:
+            a, b = np.where(ahead, a, b), np.where(ahead, b, a)
+        out = pd.DataFrame(
+            {"better": ids[a], "worse": ids[b], "cosine": c, "better_copies": copies[a], "worse_copies": copies[b]}
+        )
         for k in keys:
             out[k] = group[k].iloc[0]
         return out
@@ -61,59 +70,50 @@ def _block_pairs(keys: list[str], threshold: float):
 def similar_pairs(distinct: DataFrame, threshold: float, keys: list[str] | None = None, block: int = BLOCK) -> DataFrame:
     """All pairs of a group whose cosine exceeds the (non-negative) threshold; zero vectors have none.
 
-    A group of n vectors is cut into ceil(n / block) hash blocks and each pair of blocks is one
-    task-sized matrix product; only matches are emitted.
+    Each pair names its better-ranked member first (higher score, then lower id). A group of n
+    vectors is cut into ceil(n / block) hash blocks and each pair of blocks is one task-sized
+    matrix product; only matches are emitted.
     """
     if threshold < 0:
         raise ValueError("threshold must not be negative")
     keys = keys or ["page_id"]
-    sizes = distinct.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("n_blocks"))
-    placed = distinct.join(sizes, keys).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("n_blocks")).cast("int"))
-    paired = placed.select(
-        *keys, "vec_id", "embedding", "block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
-    ).select(
-        *keys, "vec_id", "embedding", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
+    rows = distinct.select(*keys, "vec_id", "score", "copies", "embedding")
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    sizes = counts.select(*keys, F.ceil(F.col("_n") / block).cast("int").alias("n_blocks"))
+    placed = salted_lookup(rows, sizes, keys, counts).withColumn(
+        "block", F.pmod(F.xxhash64("vec_id"), F.col("n_blocks")).cast("int")
     )
+    paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(
+        *keys, "vec_id", "score", "copies", "embedding", "block",
+        F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+    )
     types = dict(distinct.dtypes)
     schema = PAIR_SCHEMA + "".join(f", {k} {types[k]}" for k in keys)
     return paired.groupBy(*keys, "low", "high").applyInPandas(_block_pairs(keys, threshold), schema)
 
 
 def cosine_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
-    """Similar pairs of distinct vectors of a page, with the copies each side stands for."""
-    distinct = collapse_copies(vectors)
-    side = distinct.select("page_id", "vec_id", "copies")
-    return (
-        similar_pairs(distinct, threshold)
-        .join(side.withColumnsRenamed({"vec_id": "left_id", "copies": "left_copies"}), ["page_id", "left_id"])
-        .join(side.withColumnsRenamed({"vec_id": "right_id", "copies": "right_copies"}), ["page_id", "right_id"])
+    """Similar pairs of distinct vectors of a page in id order, with the copies each side stands for."""
+    in_order = F.col("better") < F.col("worse")
+    side = lambda ok, no: F.when(in_order, F.col(ok)).otherwise(F.col(no))
+    return similar_pairs(collapse_copies(vectors), threshold).select(
+        "page_id",
+        side("better", "worse").alias("left_id"),
+        side("worse", "better").alias("right_id"),
+        "cosine",
+        side("better_copies", "worse_copies").alias("left_copies"),
+        side("worse_copies", "better_copies").alias("right_copies"),
     )
 
 
 def first_wins(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Greedy choice in rank order (score descending, id): keep a node unless a kept better one
-    is paired with it.
+    """Greedy choice in rank order: keep a node unless a kept better one is paired with it.
 
     Each round keeps every node no undecided better node is paired with and drops its
     partners; rounds end when no pair is left. Rounds are written to the checkpoint folder.
     """
     ensure_checkpoint_dir(nodes.sparkSession)
-    rank = nodes.select("page_id", "vec_id", "score")
-    left = rank.withColumnsRenamed({"vec_id": "left_id", "score": "left_score"})
-    right = rank.withColumnsRenamed({"vec_id": "right_id", "score": "right_score"})
-    left_first = F.col("left_score") >= F.col("right_score")  # ids break ties and left_id < right_id
-    edges = (
-        pairs.select("page_id", "left_id", "right_id")
-        .join(left, ["page_id", "left_id"])
-        .join(right, ["page_id", "right_id"])
-        .select(
-            "page_id",
-            F.when(left_first, F.col("left_id")).otherwise(F.col("right_id")).alias("better"),
-            F.when(left_first, F.col("right_id")).otherwise(F.col("left_id")).alias("worse"),
-        )
-        .distinct()
-        .checkpoint()
-    )
+    edges = pairs.select("page_id", "better", "worse").checkpoint()
     dropped = edges.select("page_id", F.col("worse").alias("vec_id")).limit(0)
     while not edges.isEmpty():
         worse = edges.select("page_id", F.col("worse").alias("better")).distinct()
@@ -172,8 +172,8 @@ def semantic_dedup_lsh(vectors: DataFrame, threshold: float, bands: int = 8, bit
     ensure_checkpoint_dir(vectors.sparkSession)
     whole = vectors.withColumn("page_id", F.lit(0).cast("bigint"))
     distinct = collapse_copies(whole).checkpoint()
-    keyed = band_keys(distinct.select("vec_id", "embedding"), bands, bits)
-    pairs = similar_pairs(keyed, threshold, ["band", "bucket"]).select("left_id", "right_id").distinct()
+    keyed = band_keys(distinct.select("vec_id", "score", "copies", "embedding"), bands, bits)
+    pairs = similar_pairs(keyed, threshold, ["band", "bucket"]).select("better", "worse").distinct()
     return first_wins(distinct, pairs.withColumn("page_id", F.lit(0).cast("bigint"))).select(
         "vec_id", "score", "copies", "embedding"
     )

@@ -75,7 +75,7 @@ def test_semantic_dedup_is_the_greedy_walk(spark, vector_rows, threshold):
 def test_pairs_do_not_depend_on_the_block_size(spark, vector_rows):
     distinct = VEC.collapse_copies(vectors(spark, vector_rows))
     results = [
-        sorted((r.page_id, r.left_id, r.right_id, round(r.cosine, 6)) for r in VEC.similar_pairs(distinct, 0.5, block=b).collect())
+        sorted((r.page_id, r.better, r.worse, round(r.cosine, 6)) for r in VEC.similar_pairs(distinct, 0.5, block=b).collect())
         for b in (4, 1000)
     ]
     assert results[0] == results[1] and results[0]
