@@ -71,8 +71,7 @@ def schema_stale(
 ) -> DataFrame:
     """Domains that need a new schema, with the reason."""
     newest = latest_schema(schemas).select(F.col("domain_id").alias("id"), "generated_at")
-    age = F.timestamp_diff("SECOND", F.col("generated_at"), as_of)
-    older = age >= max_age_s + F.when(F.timestamp_add("SECOND", age, F.col("generated_at")) < as_of, 0).otherwise(1)
+    older = F.timestamp_add("SECOND", F.lit(max_age_s), F.col("generated_at")) < as_of
     reason = (
         F.when(F.col("generated_at").isNull(), "missing").when(F.lit(force), "forced").when(older, "old")
     )

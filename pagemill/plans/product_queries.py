@@ -198,8 +198,8 @@ def site_run(spark, sf_dir):
 @query(
     "strategy_as_data",
     (
-        f"""select page_id, base_id, domain, name, price, sku from ({EXTRACT_SQL}) where page_id % 3 > 0
-            union all select page_id, base_id, domain, name, null, sku from ({EXTRACT_SQL}) where page_id % 3 = 0"""
+        f"""select page_id, base_id, domain, name, price, sku from ({EXTRACT_SQL}) where page_id % 100 % 3 > 0
+            union all select page_id, base_id, domain, name, null, sku from ({EXTRACT_SQL}) where page_id % 100 % 3 = 0"""
     ),
 )
 def strategy_as_data(spark, sf_dir):
@@ -213,6 +213,5 @@ def strategy_as_data(spark, sf_dir):
     old = sites.select("domain", F.lit(1).alias("version"), F.lit(without).alias("schema_json"))
     new = sites.where("no % 3 > 0").select("domain", F.lit(2).alias("version"), F.lit(with_price).alias("schema_json"))
     latest = old.unionByName(new).groupBy("domain").agg(F.max_by("schema_json", "version").alias("schema_json"))
-    kept = pages.withColumn("page_no", F.col("page_id") % 100)
-    out = T.schema_extract(kept, T.schema_fields(latest), elems)
+    out = T.schema_extract(pages, T.schema_fields(latest), elems)
     return out.select("page_id", "base_id", "domain", "name", "price", "sku")
