@@ -34,13 +34,13 @@ def strip_elements(pages: DataFrame, tags: Iterable[str], comments: bool = False
 def strip_attributes(html: Column, names: Iterable[str]) -> Column:
     """A page without the attributes matching the names; evaluated inside the row."""
     names = list(names)
-    is_tag = lambda t: t.rlike(r"^<[A-Za-z]")
+    has_attributes = lambda t: t.rlike(r"^<[A-Za-z][^\s>]*\s")
     opening = lambda t: F.regexp_extract(t, r"(?s)^(<[^>]*>)", 1)
     return F.array_join(
         F.transform(
             M.split_tokens(html),
             lambda t: F.when(
-                is_tag(t),
+                has_attributes(t),
                 F.concat(M.drop_attributes(opening(t), names), F.regexp_extract(t, r"(?s)^<[^>]*>(.*)$", 1)),
             ).otherwise(t),
         ),
