@@ -45,3 +45,13 @@ def test_every_query_but_six_has_sql():
     assert rows_only == {
         "semantic_dedup_lsh", "product_filter", "ecommerce_filter", "clean_for_model", "site_run", "fragments_udtf",
     }
+
+
+def test_site_run_stores_every_valid_product_of_the_due_links(spark, sql):
+    # At this size every site has one listing page, so all of them are due.
+    queries = registry.queries()
+    stored = queries["site_run"](spark, str(DATA)).toPandas()
+    extracted = queries["schema_extract"](spark, str(DATA)).toPandas()
+    assert sorted(stored["sku"]) == sorted(extracted["sku"]) and len(stored)
+    assert stored.groupby("category_url")["category_link_id"].nunique().eq(1).all()
+    assert stored.groupby("domain")["domain_id"].nunique().eq(1).all()
