@@ -6,6 +6,14 @@ from importlib import import_module
 
 MODULES = [
     "fit_packing",
+    "line_dedup",
+    "token_matrix",
+    "cross_parsing",
+    "quality",
+    "block_topk",
+    "warc",
+    "url_filter",
+    "merge_dropout",
 ]
 
 
