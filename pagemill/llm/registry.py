@@ -14,6 +14,7 @@ MODULES = [
     "warc",
     "url_filter",
     "merge_dropout",
+    "prob_minhash",
 ]
 
 
