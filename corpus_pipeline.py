@@ -1,25 +1,77 @@
-"""The corpus pipeline: documents go through the training-data operators, a stage at a time."""
+"""The corpus pipeline: documents go through the training-data operators, a stage at a time.
+
+Every stage but the last returns the columns it was given. A document is a row; rows of equal
+``doc_id`` and text are one document once they have passed ``near_duplicates``.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from pagemill.llm import cross_parsing, fit_packing, line_dedup, prob_minhash, quality
+from pagemill.llm.common import limit_batches, table
+from pagemill.session import apply_settings, scratch_dir
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the labelled ones teach; null texts and texts without letters go."""
+    limit_batches(spark)
+    found = cross_parsing.identify(docs, cross_parsing.training_sample(docs))
+    return found.where(~cross_parsing.unlike(F.col("phrase_letters"), F.col("lang_pred"))).select(docs.columns)
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the model fitted on ``labels``."""
+    limit_batches(spark)
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.judge(docs, model).where("kept").select(docs.columns)
+
+
+def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that their source repeats on many of its pages; ``n_chars`` follows the text."""
+    limit_batches(spark)
+    cut = line_dedup.drop_boilerplate(docs)
+    if "n_chars" in docs.columns:
+        changed = F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        cut = cut.withColumn("n_chars", changed)
+    return cut.select(docs.columns)
 
-from pagemill.llm import fit_packing
-from pagemill.llm.common import limit_batches
-from pagemill.session import scratch_dir
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates: that of the smallest ``doc_id``, once.
+
+    Rows without a ``doc_id`` or text are classes of their own and stay.
+    """
+    limit_batches(spark)
+    classes = prob_minhash.near_duplicates(docs)
+    heads = classes.where("doc_id = class_id").select(F.col("doc_id").alias("__pm_head")).distinct()
+    kept = docs.join(heads, docs["doc_id"] == heads["__pm_head"], "left_semi")
+    w = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
+    first = kept.withColumn("__pm_rn", F.row_number().over(w)).where("__pm_rn = 1").drop("__pm_rn")
+    return first.union(docs.where("doc_id is null"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents that are left, with their places in packed sequences."""
     limit_batches(spark)
     return fit_packing.pack_documents(docs)
 
 
-STAGES = [("packing", packing)]
+STAGES = [
+    ("language", language),
+    ("quality", good_quality),
+    ("line_dedup", without_boilerplate),
+    ("near_duplicates", near_duplicates),
+    ("packing", packing),
+]
+#: Suffix automata, a fitted model and hashed signatures have no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; each stage's result is written as Parquet and read again."""
+    apply_settings(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = scratch_dir(spark, f"pipeline-{name}")
