@@ -16,27 +16,6 @@ def split_tokens(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(P.TOKEN), F.lit(0))
 
 
-def tag_of(token: Column) -> Column:
-    """Lower-case tag name of a tag token, empty for any other token."""
-    return F.when(is_text(token), "").otherwise(F.lower(F.regexp_extract(token, r"^</?([A-Za-z][^\s>/]*)", 1)))
-
-
-def kind_of(token: Column, tag: Column) -> Column:
-    """``text``, ``comment``, ``doctype``, ``close``, ``raw``, ``void`` or ``open``."""
-    return (
-        F.when(
-            tag == "",
-            F.when(token.startswith("<!--"), "comment")
-            .when(token.startswith("<!"), "doctype")
-            .otherwise("text"),
-        )
-        .when(token.startswith("</"), "close")
-        .when(tag.isin("script", "style") & token.rlike(r"(?is)</(script|style)\s*>$"), "raw")
-        .when(tag.isin(P.VOID_TAGS) | token.endswith("/>"), "void")
-        .otherwise("open")
-    )
-
-
 def is_text(token: Column) -> Column:
     return (~token.startswith("<")) | (token == "<")
 
@@ -54,7 +33,7 @@ def page_text(html: Column, separator: str = " ") -> Column:
 
 def attribute_list(open_tag: Column) -> Column:
     """Attributes of an open tag as ``name`` or ``name=value`` texts, in order."""
-    body = F.regexp_replace(F.regexp_extract(open_tag, r"(?s)^(<[^>]*>)", 1), r"^<[^\s>/]+", "")
+    body = F.regexp_replace(F.regexp_extract(open_tag, P.OPEN_TAG, 1), r"^<[^\s>/]+", "")
     return F.regexp_extract_all(body, F.lit(P.ATTRIBUTE), F.lit(0))
 
 
@@ -73,20 +52,6 @@ def attribute(open_tag: Column, name: str) -> Column:
     return attribute_text(F.get(found, F.lit(0)))
 
 
-def attribute_map(open_tag: Column) -> Column:
-    """All attributes as a map, the first of repeated names winning."""
-    found = attribute_list(open_tag)
-    names = F.transform(found, attribute_name)
-    distinct = F.array_distinct(names)
-    return F.map_from_arrays(
-        distinct,
-        F.transform(
-            distinct,
-            lambda n: attribute_text(F.element_at(found, F.array_position(names, n).cast("int"))),
-        ),
-    )
-
-
 def wildcard_regex(names: Iterable[str]) -> str:
     """Shell-style attribute patterns as one anchored expression."""
     escaped = ("".join({"*": ".*", "?": "."}.get(c, f"\\{c}" if c in ".-+[]()" else c) for c in n) for n in names)
@@ -106,7 +71,7 @@ def drop_attributes(open_tag: Column, names: Iterable[str]) -> Column:
 
 def remove_containers(html: Column, tags: Iterable[str]) -> Column:
     """Remove comments and the given non-nesting elements with their content."""
-    parts = "".join(rf"|<{t}\b[^>]*>.*?</{t}\s*>" for t in tags)
+    parts = "".join(rf"|<{t}\b{P.IN_TAG}>.*?</{t}\s*>" for t in tags)
     return F.regexp_replace(html, rf"(?is)<!--.*?-->{parts}", "")
 
 

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagemill.functions.patterns import WS_ASCII, WS_CHARS
+from pagemill.functions.patterns import ENTITIES, REFERENCE, WS_ASCII, WS_CHARS
 from pagemill.functions.staged import let
 
 # The same characters as WS: the white-space property plus four separators it lacks.
 UNICODE_WS = r"(?U)[\s\x1C\x1D\x1E\x1F]+"
 
 
-def strip_ws(text: Column) -> Column:
+def strip_ws(text: Column | str) -> Column:
     """Remove Unicode white space at both ends."""
     return F.btrim(text, F.lit(WS_CHARS))
 
@@ -41,25 +41,39 @@ def first_words(text: Column, n: int) -> Column:
     return F.array_join(F.slice(words(text), 1, n), " ")
 
 
+def _from_number(reference: Column) -> Column:
+    """The character of ``&#12;`` or ``&#xC;``; U+FFFD for numbers that are none."""
+    hexed = F.lower(F.substring(reference, 3, 1)) == "x"
+    number = F.when(hexed, F.conv(F.regexp_extract(reference, "([0-9A-Fa-f]+);$", 1), 16, 10)).otherwise(
+        F.regexp_extract(reference, "([0-9]+);$", 1)
+    )
+    n = number.try_cast("bigint")
+    usable = n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+    safe = F.when(usable, n).otherwise(0xFFFD)
+    return F.decode(F.unhex(F.lpad(F.hex(safe), 8, "0")), "UTF-32")
+
+
 def decode_entities(text: Column) -> Column:
-    """Replace the common named references and decimal character references."""
-    numeric = F.array_join(
-        F.transform(
-            F.regexp_extract_all(text, F.lit(r"(?s)&#[0-9]{1,7};|[^&]+|&"), F.lit(0)),
-            lambda t: F.when(
-                t.startswith("&#") & t.endswith(";"),
-                F.decode(
-                    F.unhex(F.lpad(F.hex(F.regexp_extract(t, r"(\d+)", 1).cast("bigint")), 8, "0")),
-                    "UTF-32",
-                ),
-            ).otherwise(t),
-        ),
-        "",
+    """Replace the named references of ``ENTITIES`` and numeric ones, decimal or hexadecimal, once each.
+
+    A number that is no character gives U+FFFD; anything else stays as it is.
+    """
+    named = F.create_map(*(F.lit(x) for name, value in ENTITIES.items() for x in (f"&{name};", value)))
+    parts = F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0))
+    decoded = F.transform(
+        parts,
+        lambda t: F.when(t.startswith("&#") & t.endswith(";"), _from_number(t))
+        .when(t.startswith("&"), F.coalesce(F.try_element_at(named, t), t))
+        .otherwise(t),
     )
-    named = F.when(text.contains("&#"), numeric).otherwise(text)
-    for name, value in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
-        named = F.replace(named, F.lit(name), F.lit(value))
-    return F.when(text.contains("&"), named).otherwise(text)
+    return F.when(text.contains("&"), F.array_join(decoded, "")).otherwise(text)
+
+
+def escape_markup(text: Column) -> Column:
+    """Text as it is written between tags."""
+    for value, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(value), F.lit(name))
+    return text
 
 
 def is_blank(text: Column) -> Column:

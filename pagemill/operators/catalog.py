@@ -9,19 +9,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import patterns as P
-from pagemill.operators.skew import dense_ids, first_per_key, salted_lookup
+from pagemill.operators.skew import dense_ids, first_per_key
 
 TREE_CHUNK = 128
 
 
-def _highest(table: DataFrame) -> int:
-    return table.agg(F.max("id")).first()[0] or 0
+def _numbered(rows: DataFrame, key: str, table: DataFrame) -> DataFrame:
+    """``rows`` with new ids after the highest of ``table``."""
+    top = table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
+    numbered = dense_ids(rows, key, "id").join(F.broadcast(top))  # one row
+    return numbered.withColumn("id", (F.col("id") + F.col("_top")).cast("bigint")).drop("_top")
 
 
 def domain_upsert(domains: DataFrame, names: DataFrame) -> DataFrame:
     """Domains plus the absent names (column ``name``) under new ids."""
     absent = names.select("name").where("name is not null").distinct().join(domains, "name", "left_anti")
-    return domains.select("id", "name").unionByName(dense_ids(absent, "name", "id", _highest(domains)))
+    return domains.select("id", "name").unionByName(_numbered(absent, "name", domains).select("id", "name"))
 
 
 def category_link_upsert(links: DataFrame, domains: DataFrame, batch: DataFrame, order: list[str]) -> DataFrame:
@@ -30,7 +33,7 @@ def category_link_upsert(links: DataFrame, domains: DataFrame, batch: DataFrame,
     ``domains`` must know the batch's domains already.
     """
     fresh = first_per_key(batch, ["url"], order).join(links.select("url"), "url", "left_anti")
-    numbered = dense_ids(fresh, "url", "id", _highest(links))
+    numbered = _numbered(fresh, "url", links)
     named = domains.select(F.col("id").alias("domain_id"), F.col("name").alias("domain"))
     rows = numbered.join(named, "domain").withColumn("last_crawled_at", F.lit(None).cast("timestamp_ntz"))
     columns = ["id", "url", "domain_id", "link_html", "found_at", "last_crawled_at"]
@@ -49,15 +52,13 @@ def product_insert(products: DataFrame, links: DataFrame, domains: DataFrame) ->
     """
     named = domains.select(F.col("id").alias("domain_id"), F.col("name").alias("domain"))
     known = products.join(named, "domain")
-    pair_counts = known.groupBy("domain_id", "category_url").agg(F.count("*").alias("_n"))
     have = links.select("id", "domain_id", F.col("url").alias("category_url"))
-    absent = pair_counts.select("domain_id", "category_url").join(have, ["domain_id", "category_url"], "left_anti")
+    absent = known.select("domain_id", "category_url").distinct().join(have, ["domain_id", "category_url"], "left_anti")
     keyed = absent.withColumn("_key", F.concat_ws(" ", "domain_id", "category_url"))
-    created = dense_ids(keyed, "_key", "id", _highest(links)).drop("_key")
+    created = _numbered(keyed, "_key", links).drop("_key")
     all_links = have.unionByName(created)
-    stored = salted_lookup(
-        known, all_links.withColumnRenamed("id", "category_link_id"), ["domain_id", "category_url"], pair_counts
-    )
+    # A hot link is split by adaptive execution (session.py): the link side is unique.
+    stored = known.join(all_links.withColumnRenamed("id", "category_link_id"), ["domain_id", "category_url"])
     return stored, all_links.withColumnRenamed("category_url", "url")
 
 
@@ -96,9 +97,11 @@ def next_to_crawl(links: DataFrame) -> DataFrame:
     return links.groupBy("domain_id").agg(F.min_by(F.struct("id", "url"), age).alias("l")).select("domain_id", "l.id", "l.url")
 
 
-def next_k_to_crawl(links: DataFrame, k: int = P.LINKS_PER_RUN) -> DataFrame:
+def next_k_to_crawl(links: DataFrame, k: int | None = P.LINKS_PER_RUN) -> DataFrame:
+    """Per domain the ``k`` links (None: all) never or longest ago crawled, with their ``turn``."""
     w = Window.partitionBy("domain_id").orderBy(F.asc_nulls_first("last_crawled_at"), "found_at", "id")
-    return links.withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= k)
+    turns = links.withColumn("turn", F.row_number().over(w))
+    return turns if k is None else turns.where(F.col("turn") <= k)
 
 
 def unique_audit(domains: DataFrame, links: DataFrame) -> DataFrame:
@@ -139,15 +142,15 @@ def not_null_audit(rows: DataFrame, columns: list[str]) -> DataFrame:
     return counts.select(F.inline(pairs))
 
 
-def domain_tree(domains: DataFrame, links: DataFrame, products: DataFrame) -> DataFrame:
+def domain_tree(domains: DataFrame, links: DataFrame, products: DataFrame, chunk: int = TREE_CHUNK) -> DataFrame:
     """Domain, link and its products as nested rows.
 
-    A link's products come in chunks of at most 128 consecutive ids, so no link is gathered
+    A link's products come in chunks of at most ``chunk`` consecutive ids, so no link is gathered
     into one row however many products it has; a link without products has one empty chunk.
     """
     item = F.struct("id", "name", "price")
     chunks = (
-        products.withColumn("chunk", F.floor(F.col("id") / TREE_CHUNK))
+        products.withColumn("chunk", F.floor(F.col("id") / chunk))
         .groupBy("category_link_id", "chunk")
         .agg(F.array_sort(F.collect_list(item)).alias("products"))
     )
@@ -161,5 +164,4 @@ def domain_tree(domains: DataFrame, links: DataFrame, products: DataFrame) -> Da
 def products_by_link(products: DataFrame, links: DataFrame, domains: DataFrame) -> DataFrame:
     named = links.join(domains.select(F.col("id").alias("domain_id"), F.col("name").alias("domain")), "domain_id")
     lookup = named.select(F.col("id").alias("category_link_id"), F.col("url").alias("category_url"), "domain")
-    counts = products.groupBy("category_link_id").agg(F.count("*").alias("_n"))
-    return salted_lookup(products, lookup, ["category_link_id"], counts)
+    return products.join(lookup, "category_link_id")

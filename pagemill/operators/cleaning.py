@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import markup as M
@@ -14,62 +14,32 @@ from pagemill.functions.text import strip_ws, word_count, words
 from pagemill.operators import elements as E
 
 
-def joined_tokens(toks: DataFrame, text: Column | str, name: str) -> DataFrame:
-    """One text per page from its token rows, in order."""
-    value = F.col(text) if isinstance(text, str) else text
-    ordered = F.array_sort(F.collect_list(F.struct("pos", value.alias("x"))))
-    return toks.groupBy("page_id").agg(F.array_join(F.transform(ordered, lambda r: r["x"]), "").alias(name))
-
-
-def strip_elements(pages: DataFrame, tags: Iterable[str], comments: bool = False, clustered: bool = False) -> DataFrame:
-    """Each page without the given elements (and their content)."""
-    toks = E.tokens(pages, clustered)
-    cut = E.elements(pages, clustered).where(F.col("tag").isin(list(tags)))
-    kept = E.outside(toks, cut)
-    if comments:
-        kept = kept.where("kind <> 'comment'")
-    return joined_tokens(kept, "tok", "html")
+def strip_elements(pages: DataFrame, tags: Iterable[str], comments: bool = False) -> DataFrame:
+    """Each page without the given elements (and their content); nothing left gives an empty text."""
+    tags = list(tags)
+    return E.rewritten(pages, lambda page: page.without(tags, comments))
 
 
 def strip_attributes(html: Column, names: Iterable[str]) -> Column:
     """A page without the attributes matching the names; evaluated inside the row."""
     names = list(names)
     has_attributes = lambda t: t.rlike(r"^<[A-Za-z][^\s>]*\s")
-    opening = lambda t: F.regexp_extract(t, r"(?s)^(<[^>]*>)", 1)
+    opening = lambda t: F.regexp_extract(t, P.OPEN_TAG, 1)
     return F.array_join(
         F.transform(
             M.split_tokens(html),
             lambda t: F.when(
                 has_attributes(t),
-                F.concat(M.drop_attributes(opening(t), names), F.regexp_extract(t, r"(?s)^<[^>]*>(.*)$", 1)),
+                F.concat(M.drop_attributes(opening(t), names), F.substring(t, F.length(opening(t)) + 1, F.length(t))),
             ).otherwise(t),
         ),
         "",
     )
 
 
-def outline(pages: DataFrame, clustered: bool = False) -> DataFrame:
-    """Pretty form: one token per line, indented by one space per open element."""
-    toks = E.tokens(pages, clustered).withColumn("line", strip_ws(F.col("tok"))).where("line <> ''")
-    elems = E.elements(pages, clustered)
-    steps = elems.select(
-        "page_id",
-        F.explode(
-            F.array(
-                F.struct((F.col("start_pos") + 1).alias("p"), F.lit(1).alias("d")),
-                # An own close tag is back on the element's level, an implied end follows it.
-                F.struct(
-                    F.when(F.col("closed"), F.col("end_pos")).otherwise(F.col("end_pos") + 1).alias("p"),
-                    F.lit(-1).alias("d"),
-                ),
-            )
-        ).alias("s"),
-    ).select("page_id", F.col("s.p").alias("pos"), F.col("s.d").alias("d"))
-    shown = toks.select("page_id", "pos", "line").unionByName(steps, allowMissingColumns=True)
-    w = Window.partitionBy("page_id").orderBy("pos").rangeBetween(Window.unboundedPreceding, 0)
-    lines = shown.withColumn("depth", F.coalesce(F.sum("d").over(w), F.lit(0))).where("line is not null")
-    text = F.concat(F.repeat(F.lit(" "), F.greatest(F.col("depth"), F.lit(0)).cast("int")), F.col("line"), F.lit("\n"))
-    return joined_tokens(lines, text, "html")
+def outline(pages: DataFrame) -> DataFrame:
+    """Pretty form of each page: one token per line, indented by one space per open element."""
+    return E.rewritten(pages, lambda page: page.outline())
 
 
 def head_body_text(html: Column) -> tuple[Column, Column]:
@@ -81,8 +51,9 @@ def head_body_text(html: Column) -> tuple[Column, Column]:
     return M.page_text(head), M.page_text(body)
 
 
-def truncate(text: Column, limit: int = P.MODEL_MAX_CHARS) -> Column:
-    return F.substring(text, 1, limit)
+def truncate(text: Column, limit: int | None = P.MODEL_MAX_CHARS) -> Column:
+    """The first ``limit`` characters; None cuts nothing."""
+    return text if limit is None else F.substring(text, 1, limit)
 
 
 def chunks(rows: DataFrame, id_col: str, text_col: str, size: int = P.CHUNK_WORDS) -> DataFrame:
@@ -94,13 +65,14 @@ def chunks(rows: DataFrame, id_col: str, text_col: str, size: int = P.CHUNK_WORD
     )
 
 
-def preview(pages: DataFrame) -> DataFrame:
-    """Heading facts and the first characters of each page with its scripts and styles removed."""
+def preview(pages: DataFrame, chars: int | None = P.PREVIEW_CHARS) -> DataFrame:
+    """Heading facts and the first ``chars`` characters (None: all) of each page without scripts and styles.
+
+    A cut preview ends in "..."; ``cleaned_length`` says how long the whole is.
+    """
     cleaned = M.remove_containers(F.col("html"), ["script", "style"])
-    shown = F.concat(
-        F.substring("cleaned", 1, P.PREVIEW_CHARS),
-        F.when(F.length("cleaned") > P.PREVIEW_CHARS, "...").otherwise(""),
-    )
+    more = F.lit("") if chars is None else F.when(F.length("cleaned") > chars, "...").otherwise("")
+    shown = F.concat(truncate(F.col("cleaned"), chars), more)
     return pages.select("page_id", "url", "html", cleaned.alias("cleaned")).select(
         "page_id",
         "url",

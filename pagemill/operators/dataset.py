@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import patterns as P
 from pagemill.functions.text import strip_ws
 from pagemill.functions.urls import sample_domain
-from pagemill.operators.skew import salted_lookup
+from pagemill.operators.cleaning import truncate
 
 
 def named_links(links: DataFrame, domains: DataFrame) -> DataFrame:
@@ -54,13 +54,18 @@ def continue_counts(urls: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 def balanced_sample(links: DataFrame, domains: DataFrame, total: int) -> DataFrame:
-    """``max(1, total // number of domains)`` URLs per domain by id, cut at ``total``; no refill."""
+    """``max(1, total // number of domains)`` URLs per domain by id, cut at ``total``; no refill.
+
+    The first rows are found within 64 salts of each domain, then among those: a hot domain is never
+    sorted by one task, whatever the quota is.
+    """
     n_domains = links.select("domain_id").distinct().count()
     if not n_domains or total <= 0:
         return named_links(links, domains).select("domain", "id", "url").limit(0)
     quota = max(1, total // n_domains)
-    w = Window.partitionBy("domain_id").orderBy("id")
-    taken = links.withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= quota)
+    parts = links.select("domain_id", "id", "url", F.pmod(F.xxhash64("id"), F.lit(64)).alias("_salt"))
+    ranked = lambda rows, *keys: rows.withColumn("turn", F.row_number().over(Window.partitionBy(*keys).orderBy("id"))).where(F.col("turn") <= quota)
+    taken = ranked(ranked(parts, "domain_id", "_salt").drop("turn"), "domain_id")
     return named_links(taken, domains).select("domain", "id", "url").orderBy("domain", "id").limit(total)
 
 
@@ -116,8 +121,7 @@ def duplicate_samples(batch: DataFrame, order: str) -> DataFrame:
     )
     repeated = groups.where("_n > 1")
     firsts = repeated.select("content_hash", "f.first_id", "f.first_url")
-    joined = salted_lookup(hashed, firsts, ["content_hash"], groups.select("content_hash", "_n"))
-    return joined.where(F.col(order) != F.col("first_id"))
+    return hashed.join(firsts, "content_hash").where(F.col(order) != F.col("first_id"))
 
 
 def content_lookup(hashes: DataFrame, contents: DataFrame) -> DataFrame:
@@ -159,8 +163,9 @@ def training_records(samples: DataFrame) -> DataFrame:
     return samples.select("url", html.alias("html_content"), F.col("is_plp").alias("label"), "domain", F.col("ts").alias("timestamp"))
 
 
-def plp_prompt(html: Column) -> Column:
-    return F.concat(F.lit(P.PLP_PROMPT_HEAD), F.substring(html, 1, P.MODEL_MAX_CHARS), F.lit("\n"))
+def plp_prompt(html: Column, question: str = P.LISTING_QUESTION, limit: int | None = P.MODEL_MAX_CHARS) -> Column:
+    """The question and the first ``limit`` characters of the page (None: all of it)."""
+    return F.concat(F.lit(question), truncate(html, limit), F.lit("\n"))
 
 
 def plp_verdict(response: Column, error: Column) -> Column:
@@ -169,9 +174,9 @@ def plp_verdict(response: Column, error: Column) -> Column:
     return F.when(error.isNotNull(), False).otherwise(F.coalesce(says, F.lit(False)))
 
 
-def model_page_grid(pages: DataFrame, models: list[str] | None = None) -> DataFrame:
+def model_page_grid(pages: DataFrame, models: list[str]) -> DataFrame:
     """Every model with every page, as narrow rows; the model list is a literal."""
-    names = F.array(*[F.lit(m) for m in (models or P.MODELS)])
+    names = F.array(*[F.lit(m) for m in models])
     return pages.select("page_id", "url", F.explode(names).alias("model"))
 
 

@@ -1,184 +1,78 @@
-"""Pages as tables: one row per token, one row per element.
+"""Pages as element tables.
 
 An element is an interval of token positions inside its page, so nesting questions become
-window or interval-join questions. Everything is clustered by page: pages are repartitioned
-once (before the tokens are exploded) and every later window reuses that exchange. A page
-table bucketed by ``page_id`` needs no exchange at all (``clustered=True``).
+comparisons of intervals. A page is taken apart where it is read, once: no page text is shuffled,
+and depth, sizes, flags, text and markup of its elements come out of the same pass.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from pagemill.functions import markup as M
-from pagemill.functions import patterns as P
-from pagemill.functions.text import stripped_word_count
+from pagemill.functions.page import Page
 
 BIN = 64  # token positions per bin of the interval join
-
-
-def by_page(pages: DataFrame, clustered: bool = False) -> DataFrame:
-    slim = pages.select("page_id", "html")
-    return slim if clustered else slim.repartition("page_id")
-
-
-def tokens(pages: DataFrame, clustered: bool = False) -> DataFrame:
-    """``page_id, pos, tok, tag, kind``"""
-    return (
-        by_page(pages, clustered)
-        .select("page_id", F.posexplode(M.split_tokens(F.col("html"))).alias("pos", "tok"))
-        .withColumn("tag", M.tag_of(F.col("tok")))
-        .withColumn("kind", M.kind_of(F.col("tok"), F.col("tag")))
-    )
-
-
-def _sizes(toks: DataFrame) -> DataFrame:
-    """What the element windows need of each token; no text travels further."""
-    tok, kind = F.col("tok"), F.col("kind")
-    return toks.select(
-        "page_id", "pos", "tag", "kind",
-        F.when(kind.isin("open", "void"), tok).when(kind == "raw", F.regexp_extract(tok, r"(?s)^(<[^>]*>)", 1)).alias("src"),
-        F.length(tok).alias("n_chars"),
-        F.octet_length(tok).alias("n_bytes"),
-        (F.length(tok) - F.length(F.replace(tok, F.lit("\n"), F.lit("")))).alias("n_lines"),
-        M.token_text(tok).alias("txt"),
-        F.when(kind == "text", F.lower(tok)).alias("lowered"),
-    ).select(
-        "page_id", "pos", "tag", "kind", "src", "n_chars", "n_bytes", "n_lines",
-        F.when(F.col("txt") == "", 0).otherwise(F.length("txt") + 1).alias("n_text"),
-        stripped_word_count(F.col("txt")).alias("n_words"),
-        reduce(or_, [F.contains("lowered", F.lit(w)) for w in P.ACTION_WORDS]).alias("says_action"),
-    )
-
-
-# ``here`` carries a token's position, its own sizes and the totals up to it through the windows.
-_ELEMENTS = f"""
-WITH runs AS (
-  SELECT *, pos - 1 - coalesce(max(CASE WHEN kind <> 'open' THEN pos END) OVER earlier, -1) AS opens_before
-  FROM {{toks}}
-  WINDOW earlier AS (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
-), ends AS (
-  SELECT *, last(CASE WHEN kind <> 'close' THEN struct(pos, kind, says_action, opens_before) END, true) OVER earlier AS inside
-  FROM runs
-  WINDOW earlier AS (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
-), flagged AS (
-  -- An action is an <a> or <button> whose only content is one matching text, possibly wrapped:
-  -- k close tags after the text belong to the k open tags right before it.
-  SELECT page_id, pos, tag, kind, src, n_chars, n_bytes, n_lines, n_text, n_words,
-    CASE WHEN kind = 'close' AND tag IN ('a', 'button') AND inside.kind = 'text' AND inside.says_action
-      AND pos - inside.pos <= inside.opens_before THEN 1 ELSE 0 END AS action,
-    CASE WHEN kind = 'void' AND tag = 'img' THEN 1 ELSE 0 END AS image
-  FROM ends
-), totalled AS (
-  SELECT page_id, pos, tag, kind, src, n_chars,
-    struct(kind, tag, pos, n_chars, n_bytes, n_lines, action,
-      sum(n_chars) OVER so_far AS chars, sum(n_bytes) OVER so_far AS bytes, sum(n_lines) OVER so_far AS lines,
-      sum(n_text) OVER so_far AS text, sum(n_words) OVER so_far AS words,
-      sum(action) OVER so_far AS actions, sum(image) OVER so_far AS images) AS here,
-    CASE WHEN kind IN ('open', 'close') AND tag <> 'p' THEN CASE kind WHEN 'open' THEN 1 ELSE -1 END ELSE 0 END AS step
-  FROM flagged
-  WINDOW so_far AS (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
-), levels AS (
-  SELECT page_id, pos, tag, kind, src, here,
-    CASE WHEN step <> 0 THEN sum(step) OVER same_tag + CASE WHEN step < 0 THEN 1 ELSE 0 END END AS level
-  FROM totalled
-  WINDOW same_tag AS (PARTITION BY page_id, tag ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
-), mates AS (
-  SELECT page_id, pos, tag, kind, src, here, lead(here) OVER (PARTITION BY page_id, tag, level ORDER BY pos) AS mate
-  FROM levels
-), bounds AS (
-  SELECT page_id, pos, tag, kind, src, here, mate,
-    last(CASE WHEN tag IN ({", ".join(f"'{t}'" for t in P.BLOCK_TAGS)}) AND kind IN ('open', 'close', 'void') THEN here END, true)
-      OVER (PARTITION BY page_id ORDER BY pos DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS block,
-    first(here) OVER (PARTITION BY page_id ORDER BY pos DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS final
-  FROM mates
-), ruled AS (
-  SELECT page_id, pos, tag, src, here,
-    CASE WHEN kind <> 'open' THEN 'self'
-      WHEN tag = 'p' AND block.tag = 'p' AND block.kind = 'close' THEN 'block'
-      WHEN tag <> 'p' AND mate.kind = 'close' THEN 'mate'
-      WHEN (tag <> 'p' AND tag IN ({", ".join(f"'{t}'" for t in P.ROOT_TAGS)})) OR block IS NULL THEN 'final'
-      ELSE 'before' END AS rule,
-    mate, block, final
-  FROM bounds WHERE kind IN ('open', 'void', 'raw')
-), closed AS (
-  SELECT page_id, pos, tag, src, here, rule,
-    CASE rule WHEN 'self' THEN here WHEN 'mate' THEN mate WHEN 'final' THEN final ELSE block END AS fin
-  FROM ruled
-)
-SELECT page_id, pos AS node_id, tag, src, pos AS start_pos,
-  CASE WHEN rule = 'before' THEN fin.pos - 1 ELSE fin.pos END AS end_pos,
-  rule IN ('mate', 'block') AS closed,
-  here.chars - here.n_chars AS off,
-  fin.chars - here.chars + here.n_chars - CASE WHEN rule = 'before' THEN fin.n_chars ELSE 0 END AS outer_len,
-  fin.bytes - here.bytes - CASE WHEN rule IN ('before', 'mate', 'block') THEN fin.n_bytes ELSE 0 END AS inner_bytes,
-  here.lines - here.n_lines + 1 AS start_line,
-  fin.lines - here.lines + here.n_lines + 1 - CASE WHEN rule = 'before' THEN fin.n_lines ELSE 0 END AS line_count,
-  here.text AS text_off,
-  greatest(fin.text - here.text - 1, 0) AS text_len,
-  fin.words - here.words AS n_words,
-  fin.images - here.images AS n_images,
-  fin.actions - here.actions - CASE WHEN rule IN ('before', 'mate', 'block') THEN fin.action ELSE 0 END AS n_actions
-FROM closed
-"""
-
-
-def elements(pages: DataFrame, clustered: bool = False) -> DataFrame:
-    """One row per element, with its interval and sizes.
-
-    Closing rules: void tags and script/style blocks close at once; ``p`` ends at its own
-    close tag or before the next block-level tag; any other tag ends at the close tag of its
-    own nesting level; an unclosed tag ends before the next block-level tag, and an unclosed
-    root tag at the end of the page.
-
-    ``off``/``outer_len`` cut the element out of the page, ``text_off``/``text_len`` cut its
-    text out of the page text, so no text travels through the windows.
+ROWS = 2_000  # element rows per Arrow batch, about; one page's rows stay together
+_FIELDS = {
+    "node_id": "int", "tag": "string", "src": "string", "start_pos": "int", "end_pos": "int", "parent_pos": "int", "closed": "boolean",
+    "depth": "int", "off": "bigint", "outer_len": "bigint", "inner_bytes": "bigint", "start_line": "bigint",
+    "line_count": "bigint", "text_len": "bigint", "n_words": "bigint", "n_images": "bigint", "n_actions": "bigint",
+    "text": "string", "fragment": "string",
+}
+
+
+def elements(pages: DataFrame, text: bool = False, fragment: bool = False) -> DataFrame:
+    """One row per element of ``pages`` (``page_id, html``), with its interval and sizes.
+
+    ``parent_pos`` is the ``start_pos`` of the innermost element around it, ``depth`` how many there are.
+    ``off``/``outer_len`` locate the element in the page. ``text`` and ``fragment`` add its text and
+    its markup. Closing rules: see :meth:`pagemill.functions.page.Page.spans`. A page without a body
+    tag gets an element ``body`` around all of it, with ``node_id`` -1. Null and empty pages have no
+    elements.
     """
-    return pages.sparkSession.sql(_ELEMENTS, toks=_sizes(tokens(pages, clustered)))
+    names = [n for n in _FIELDS if n not in ("text", "fragment") or (text if n == "text" else fragment)]
+    key = pages.schema["page_id"].dataType.simpleString()
+    schema = ", ".join([f"page_id {key}", *(f"{n} {_FIELDS[n]}" for n in names)])
+    keep = [list(_FIELDS).index(n) for n in names]
+    order = [to_arrow_schema(pages.select("page_id").schema).field(0).type, *(_ARROW[_FIELDS[n]] for n in names)]
 
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True))
+        picked = [columns[0], *(columns[1 + k] for k in keep)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(picked, order, strict=True)], ["page_id", *names])
 
-def with_depth(elems: DataFrame) -> DataFrame:
-    """Add the number of open elements around each element's start."""
-    steps = elems.select(
-        "page_id",
-        "node_id",
-        F.explode(
-            F.array(
-                F.struct(F.col("start_pos").alias("p"), F.lit(1).alias("d")),
-                F.struct((F.col("end_pos") + 1).alias("p"), F.lit(-1).alias("d")),
-            )
-        ).alias("s"),
-    )
-    w = Window.partitionBy("page_id").orderBy("s.p", "s.d").rowsBetween(Window.unboundedPreceding, 0)
-    depth = (
-        steps.withColumn("depth", F.sum("s.d").over(w) - 1)
-        .where("s.d = 1")
-        .select("page_id", "node_id", "depth")
-    )
-    return elems.join(depth, ["page_id", "node_id"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for page_id, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows += [(page_id, *r) for r in Page(html).elements(text, fragment)]
+                if len(rows) >= ROWS:
+                    yield batch_of(rows)
+                    rows = []
+            if rows:
+                yield batch_of(rows)
 
+    return pages.select("page_id", "html").mapInArrow(run, schema)
 
-def page_texts(pages: DataFrame, clustered: bool = False) -> DataFrame:
-    """``page_id, html, page_text`` on the same clustering as the element table."""
-    return by_page(pages, clustered).withColumn("page_text", M.page_text(F.col("html")))
 
+_ARROW = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
 
-def with_text(elems: DataFrame, texts: DataFrame) -> DataFrame:
-    """Cut each element's text out of its page's text."""
-    cut = F.substring(F.col("page_text"), (F.col("text_off") + 1).cast("int"), F.col("text_len").cast("int"))
-    joined = elems.join(texts.select("page_id", "page_text"), "page_id")
-    return joined.withColumn("text", cut).drop("page_text")
 
+def rewritten(pages: DataFrame, fn: Callable[[Page], str]) -> DataFrame:
+    """``page_id, html`` with each page's html put through ``fn``; null counts as empty."""
+    key = pages.schema["page_id"].dataType.simpleString()
 
-def with_fragment(elems: DataFrame, pages: DataFrame, clustered: bool = False) -> DataFrame:
-    """Cut each element's markup out of its page."""
-    cut = F.substring(F.col("html"), (F.col("off") + 1).cast("int"), F.col("outer_len").cast("int"))
-    joined = elems.join(by_page(pages, clustered), "page_id")
-    return joined.withColumn("fragment", cut).drop("html")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = [fn(Page(h)) for h in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string())], ["page_id", "html"])
+
+    return pages.select("page_id", "html").mapInArrow(run, f"page_id {key}, html string")
 
 
 def containing(inner: DataFrame, outer: DataFrame, strict: bool = True, bin_size: int = BIN) -> DataFrame:
@@ -201,20 +95,3 @@ def containing(inner: DataFrame, outer: DataFrame, strict: bool = True, bin_size
     return i.join(o, (F.col("page_id") == F.col("o_page")) & (F.col("i_bin") == F.col("o_bin")) & inside).drop(
         "o_page", "o_bin", "i_bin"
     )
-
-
-def outside(rows: DataFrame, intervals: DataFrame) -> DataFrame:
-    """Rows (``page_id, pos``) that lie in none of the intervals (``page_id, start_pos, end_pos``)."""
-    marks = intervals.select("page_id", F.col("start_pos").alias("pos"), F.col("end_pos").alias("cut_end"))
-    merged = rows.withColumn("cut_end", F.lit(None).cast("int")).unionByName(marks, allowMissingColumns=True)
-    # A mark sorts before the row at its own position.
-    w = (
-        Window.partitionBy("page_id")
-        .orderBy("pos", F.col("cut_end").desc_nulls_last())
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    return (
-        merged.withColumn("covered_to", F.max("cut_end").over(w))
-        .where("cut_end is null and (covered_to is null or covered_to < pos)")
-        .drop("cut_end", "covered_to")
-    )

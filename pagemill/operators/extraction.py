@@ -13,167 +13,229 @@ from pagemill.operators import elements as E
 from pagemill.operators.skew import first_per_key
 from pagemill.session import settled
 
-PAYLOAD = "products array<struct<name string, price string>>, next_page string"
-PRODUCT_FIELDS = ["name", "price", "original_price", "discount", "image_url", "url", "sku", "description"]
+PAYLOAD = "products array<struct<name string, title string, price string>>, next_page string"
+PRODUCT_FIELDS = ["name", "title", "price", "original_price", "discount", "image_url", "url", "sku", "description"]
 
 
 # ---------------------------------------------------------------- selectors
 
+_NAME = r"[A-Za-z0-9_-]+"
+_VALUE = r"""(?:"[^"]*"|'[^']*'|[^\]\s"']+)"""
+_CONDITION = rf"\[\s*[A-Za-z0-9_:.-]+\s*(?:[~|^$*]?=\s*{_VALUE}\s*)?\]"
+_PART = rf"(?:\.{_NAME}|#{_NAME}|{_CONDITION})"
+_SIMPLE = rf"(?:(?:[A-Za-z][A-Za-z0-9-]*|\*){_PART}*|{_PART}+)"
+_PATH = rf"{_SIMPLE}(?:(?:\s*>\s*|\s+){_SIMPLE})*"
+#: Selectors that are understood: tags, classes, ids, attribute conditions, descendants, children, lists.
+SELECTOR = rf"^\s*(?:{_PATH}(?:\s*,\s*{_PATH})*)?\s*$"
+
+
+def understood(selector: Column) -> Column:
+    return F.coalesce(selector.rlike(SELECTOR), F.lit(False))
+
+
+def _step(text: Column) -> Column:
+    """One step of a path: ``tag, classes, ids, conditions, child``."""
+    conditions = F.regexp_extract_all(text, F.lit(_CONDITION), F.lit(0))
+    bare = F.regexp_replace(text, _CONDITION, "")
+    named = lambda mark: F.regexp_extract_all(bare, F.lit(rf"{mark}({_NAME})"), F.lit(1))
+    return F.struct(
+        F.lower(F.regexp_extract(bare, r"^>?\s*([A-Za-z][A-Za-z0-9-]*)", 1)).alias("tag"),
+        named(r"\.").alias("classes"),
+        named("#").alias("ids"),
+        F.transform(
+            conditions,
+            lambda c: F.struct(
+                F.lower(F.regexp_extract(c, r"^\[\s*([A-Za-z0-9_:.-]+)", 1)).alias("name"),
+                F.regexp_extract(c, r"^\[\s*[A-Za-z0-9_:.-]+\s*([~|^$*]?=)", 1).alias("test"),
+                F.regexp_replace(F.regexp_extract(c, rf"=\s*({_VALUE})\s*\]$", 1), r"""^["']|["']$""", "").alias("value"),
+            ),
+        ).alias("conditions"),
+        text.startswith(">").alias("child"),
+    )
+
 
-def selector_steps(selector: Column) -> Column:
-    """``a div.b`` as an array of ``tag, cls, id, attr`` steps, outermost first."""
+def selector_paths(selector: Column) -> Column:
+    """Each path of a comma list as an array of steps, outermost first; an empty selector has none."""
+    paths = F.regexp_extract_all(strip_ws(selector), F.lit(_PATH), F.lit(0))
     return F.transform(
-        F.filter(F.split(strip_ws(selector), r"\s+"), lambda s: s != ""),
-        lambda s: F.struct(
-            F.regexp_extract(s, r"^([A-Za-z][A-Za-z0-9]*)", 1).alias("tag"),
-            F.regexp_extract(s, r"\.([A-Za-z0-9_-]+)", 1).alias("cls"),
-            F.regexp_extract(s, r"#([A-Za-z0-9_-]+)", 1).alias("id"),
-            F.regexp_extract(s, r"\[([A-Za-z0-9_:-]+)\]", 1).alias("attr"),
-        ),
+        paths, lambda p: F.transform(F.regexp_extract_all(p, F.lit(rf">?\s*{_SIMPLE}"), F.lit(0)), lambda s: _step(F.trim(s)))
     )
 
 
-def matches(step: Column) -> Column:
-    """Does an element row (``tag, cls, html_id, attr_names``) satisfy one selector step?"""
+def matches(step: Column, element: Column) -> Column:
+    """Does an element (``tag, cls, html_id, attrs``) satisfy one selector step?"""
+
+    def holds(c: Column) -> Column:
+        value, wanted = F.try_element_at(element["attrs"], c["name"]), c["value"]
+        given = wanted != ""
+        return F.coalesce(
+            F.when(c["test"] == "", F.lit(True))
+            .when(c["test"] == "=", value == wanted)
+            .when(c["test"] == "~=", F.array_contains(F.split(value, r"\s+"), wanted))
+            .when(c["test"] == "|=", (value == wanted) | value.startswith(F.concat(wanted, F.lit("-"))))
+            .when(c["test"] == "^=", given & value.startswith(wanted))
+            .when(c["test"] == "$=", given & value.endswith(wanted))
+            .otherwise(given & value.contains(wanted))
+            & value.isNotNull(),
+            F.lit(False),
+        )
+
     return (
-        ((step["tag"] == "") | (step["tag"] == F.col("tag")))
-        & ((step["cls"] == "") | F.array_contains(F.col("cls"), step["cls"]))
-        & ((step["id"] == "") | (step["id"] == F.col("html_id")))
-        & ((step["attr"] == "") | F.array_contains(F.col("attr_names"), step["attr"]))
+        ((step["tag"] == "") | (step["tag"] == element["tag"]))
+        & F.forall(step["classes"], lambda c: F.array_contains(element["cls"], c))
+        & F.forall(step["ids"], lambda i: F.coalesce(i == element["html_id"], F.lit(False)))
+        & F.forall(step["conditions"], holds)
     )
 
 
 def _selectable(elems: DataFrame) -> DataFrame:
+    """Add ``el``, what selectors look at; the first of repeated attributes counts."""
     src = F.col("src")
-    return computed(
-        elems,
-        cls=F.split(F.coalesce(M.attribute(src, "class"), F.lit("")), r"\s+"),
-        html_id=M.attribute(src, "id"),
-        attr_names=F.transform(M.attribute_list(src), M.attribute_name),
+    found = computed(elems, names=F.transform(M.attribute_list(src), M.attribute_name), values=F.transform(M.attribute_list(src), M.attribute_text))
+    distinct = F.array_distinct("names")
+    attrs = F.map_from_arrays(distinct, F.transform(distinct, lambda n: F.element_at("values", F.array_position("names", n).cast("int"))))
+    typed = computed(found, attrs=attrs)
+    el = F.struct(
+        "tag",
+        F.split(F.coalesce(F.try_element_at("attrs", F.lit("class")), F.lit("")), r"\s+").alias("cls"),
+        F.try_element_at("attrs", F.lit("id")).alias("html_id"),
+        "attrs",
     )
+    return typed.withColumn("el", el).drop("names", "values", "attrs")
 
 
 def select(elems: DataFrame, wanted: DataFrame, columns: list[str], max_steps: int) -> DataFrame:
-    """Elements matched by the selectors of ``wanted`` (``domain, steps`` and ``columns``).
+    """Elements matched by the paths of ``wanted`` (``domain, steps`` and ``columns``), each once.
 
-    The last step names the element; each earlier step must match an ancestor of the element
-    found for the step after it, the nearest one being tried.
+    The last step names the element; each earlier step must match an ancestor of the element found
+    for the step after it, or its parent where that step asks for a child.
     """
-    last = F.element_at("steps", -1)
-    found = elems.join(wanted, "domain").where(F.size("steps") > 0)
-    found = found.where(matches(last))
-    keep = ["page_id", "domain", "start_pos", "end_pos", "off", "outer_len", "src", *columns]
-    found = found.select(*keep, "steps", F.col("start_pos").alias("at_start"), F.col("end_pos").alias("at_end"))
+    own = ["page_id", "domain", "start_pos", "end_pos", "parent_pos"]
+    found = elems.select(*own, "el").join(wanted, "domain").where((F.size("steps") > 0) & matches(F.element_at("steps", -1), F.col("el")))
+    place = F.struct("start_pos", "end_pos", F.col("parent_pos").alias("parent"))
+    found = found.select(*own, *columns, "steps", place.alias("at"))
+    outer = elems.select("page_id", "start_pos", "end_pos", F.struct("parent_pos", "el").alias("o"))
     for back in range(2, max_steps + 1):
         need = F.size("steps") >= back
         done, open_ = found.where(~need), found.where(need)
-        inner = open_.withColumnsRenamed({"start_pos": "own_start", "end_pos": "own_end"}).withColumns(
-            {"start_pos": F.col("at_start"), "end_pos": F.col("at_end")}
-        )
-        outer = elems.select("page_id", "start_pos", "end_pos", F.struct("tag", "cls", "html_id", "attr_names").alias("o"))
-        step = F.element_at("steps", -back)
-        ok = (
-            ((step["tag"] == "") | (step["tag"] == F.col("o.tag")))
-            & ((step["cls"] == "") | F.array_contains(F.col("o.cls"), step["cls"]))
-            & ((step["id"] == "") | (step["id"] == F.col("o.html_id")))
-            & ((step["attr"] == "") | F.array_contains(F.col("o.attr_names"), step["attr"]))
-        )
-        pairs = E.containing(inner, outer).where(ok)
-        nearest = pairs.groupBy(
-            "page_id", "domain", F.col("own_start").alias("start_pos"), F.col("own_end").alias("end_pos"),
-            "off", "outer_len", "src", *columns, "steps",
-        ).agg(F.max(F.struct("o_start", "o_end")).alias("n"))
+        inner = open_.withColumns({"mine": F.struct("start_pos", "end_pos"), "start_pos": F.col("at.start_pos"), "end_pos": F.col("at.end_pos")})
+        after = F.element_at("steps", 1 - back)
+        pairs = E.containing(inner, outer).where(~after["child"] | (F.col("o_start") == F.col("at.parent")))
+        climbed = pairs.where(matches(F.element_at("steps", -back), F.col("o.el")))
         found = done.unionByName(
-            nearest.withColumn("at_start", F.col("n.o_start")).withColumn("at_end", F.col("n.o_end")).drop("n")
-        )
-    return found.drop("at_start", "at_end", "steps")
+            climbed.select(
+                "page_id", "domain", F.col("mine.start_pos").alias("start_pos"), F.col("mine.end_pos").alias("end_pos"), "parent_pos",
+                *columns, "steps", F.struct(F.col("o_start").alias("start_pos"), F.col("o_end").alias("end_pos"), F.col("o.parent_pos").alias("parent")).alias("at"),
+            )
+        )
+    return found.select("page_id", "domain", "start_pos", "end_pos", *columns).distinct()
 
 
 def schema_fields(schemas: DataFrame) -> DataFrame:
-    """Stored extraction schemas (``domain, schema_json``) as one row per field."""
+    """Stored extraction schemas (``domain, schema_json``) as one row per field, in order of ``place``."""
     field = "struct<name: string, selector: string, type: string, attribute: string, default: string>"
     layout = f"baseSelector string, baseFields array<{field}>, fields array<{field}>"
     parsed = schemas.select("domain", F.from_json("schema_json", layout).alias("s"))
     empty = F.expr(f"cast(array() as array<{field}>)")
     own = F.transform(F.coalesce("s.baseFields", empty), lambda f: f.withField("selector", F.lit("")))
     return parsed.select(
-        "domain", F.col("s.baseSelector").alias("base_selector"), F.explode(F.concat(own, F.coalesce("s.fields", empty))).alias("f")
+        "domain", F.col("s.baseSelector").alias("base_selector"), F.posexplode(F.concat(own, F.coalesce("s.fields", empty))).alias("place", "f")
     ).select(
         "domain", "base_selector", F.col("f.name").alias("field"), F.coalesce("f.selector", F.lit("")).alias("selector"),
         F.coalesce("f.type", F.lit("text")).alias("type"), F.coalesce("f.attribute", F.lit("")).alias("attribute"),
-        F.col("f.default").alias("default_value"),
+        F.col("f.default").alias("default_value"), "place",
     )
 
 
+def rejected_fields(fields: DataFrame) -> DataFrame:
+    """Field rows that extraction leaves out, with the ``reason``."""
+    blank = F.coalesce(strip_ws("base_selector") == "", F.lit(True))
+    reason = (
+        F.when(blank, "no base selector")
+        .when(~understood(F.col("base_selector")), "base selector not understood")
+        .when(~understood(F.col("selector")), "selector not understood")
+    )
+    return fields.withColumn("reason", reason).where("reason is not null")
+
+
 def schema_extract(
     pages: DataFrame, fields: DataFrame, elems: DataFrame | None = None, columns: list[str] | None = None
 ) -> DataFrame:
     """One row per base element of each page, with a column per field.
 
-    ``pages``: ``page_id, domain, html``; ``fields``: rows of :func:`schema_fields`, each page
-    using those of its own domain. A field without a match, or without the attribute, takes
-    its default, else NULL.
+    ``pages``: ``page_id, domain, html``; ``fields``: rows of :func:`schema_fields`, each page using
+    those of its own domain; the rows of :func:`rejected_fields` are left out. A field without a match,
+    or without the attribute, takes its own default, else NULL; of fields of one name the first with a
+    value counts. Without ``columns`` these are PRODUCT_FIELDS, and all others go to the map ``other``.
+    ``elems``: elements with their ``fragment``.
     """
-    elems = elems if elems is not None else E.elements(pages)
-    kept = ["page_id", "tag", "src", "start_pos", "end_pos", "off", "outer_len"]
-    placed = settled(_selectable(elems.select(*kept).join(pages.select("page_id", "domain"), "page_id")))
-    stepped = fields.withColumns({"steps": selector_steps(F.col("selector")), "base_steps": selector_steps(F.col("base_selector"))})
-    depth = fields.select(
-        F.max(F.greatest(F.size(selector_steps(F.col("selector"))), F.size(selector_steps(F.col("base_selector")))))
-    ).first()[0]
-    base_steps = stepped.select("domain", "base_selector", F.col("base_steps").alias("steps")).distinct()
-    bases = settled(select(placed, base_steps, ["base_selector"], depth or 0))
-    spec = ["base_selector", "field", "type", "attribute", "default_value"]
-    own = bases.join(stepped.where("selector = ''").select("domain", *spec), ["domain", "base_selector"]).select(
-        "page_id", F.col("start_pos").alias("base_id"), *spec, "off", "outer_len", "src"
+    elems = elems if elems is not None else E.elements(pages, fragment=True)
+    placed = settled(
+        _selectable(
+            elems.select("page_id", "tag", "src", "start_pos", "end_pos", "parent_pos", "fragment").join(pages.select("page_id", "domain"), "page_id")
+        )
     )
-    hits = select(placed, stepped.where("selector <> ''").select("domain", "steps", *spec), spec, depth or 0)
+    if "place" not in fields.columns:
+        fields = fields.withColumn("place", F.lit(0))
+    usable = fields.where(understood(F.col("selector")) & understood(F.col("base_selector")) & (strip_ws("base_selector") != ""))
+    stepped = settled(usable.withColumns({"paths": selector_paths(F.col("selector")), "base_paths": selector_paths(F.col("base_selector"))}))
+    longest = lambda c: F.coalesce(F.array_max(F.transform(c, F.size)), F.lit(0))
+    depth = stepped.select(F.max(F.greatest(longest("paths"), longest("base_paths")))).first()[0] or 0
+    base_steps = stepped.select("domain", "base_selector", F.explode("base_paths").alias("steps")).distinct()
+    bases = settled(select(placed, base_steps, ["base_selector"], depth))
+    spec = ["base_selector", "field", "selector", "type", "attribute", "default_value", "place"]
     around = bases.select("page_id", "start_pos", "end_pos", F.col("base_selector").alias("o_selector"))
+    wanted = stepped.where("selector <> ''").select("domain", F.explode("paths").alias("steps"), "base_selector", "field", "selector", "place")
+    hits = select(placed, wanted, ["base_selector", "field", "selector", "place"], depth)
     inside = E.containing(hits, around).where("o_selector = base_selector").withColumn("base_id", F.col("o_start"))
-    first = first_per_key(inside, ["page_id", "base_id", "field"], ["start_pos"])
-    cells = first.select("page_id", "base_id", *spec, "off", "outer_len", "src").unionByName(own)
-    with_html = E.with_fragment(cells, pages)
+    keys = ["page_id", "base_id", "base_selector", "field", "selector", "place"]
+    first = inside.groupBy(*keys).agg(F.min("start_pos").alias("hit_pos"))
+    cells = bases.withColumnRenamed("start_pos", "base_id").join(stepped.select("domain", *spec), ["domain", "base_selector"])
+    cells = cells.join(first, keys, "left").withColumn("node", F.when(F.col("selector") == "", F.col("base_id")).otherwise(F.col("hit_pos")))
+    marked = cells.join(placed.select("page_id", F.col("start_pos").alias("node"), "src", "fragment"), ["page_id", "node"], "left")
+    named = F.filter(M.attribute_list(F.col("src")), lambda a: M.attribute_name(a) == F.lower("attribute"))
     value = (
         F.when(F.col("type") == "html", F.col("fragment"))
-        .when(
-            F.col("type") == "attribute",
-            M.attribute_text(
-                F.get(F.filter(M.attribute_list(F.col("src")), lambda a: M.attribute_name(a) == F.col("attribute")), F.lit(0))
-            ),
-        )
+        .when(F.col("type") == "attribute", M.attribute_text(F.get(named, F.lit(0))))
         .otherwise(M.inner_text(F.col("fragment")))
     )
-    valued = computed(with_html, value=value)
-    pivot = valued.groupBy("page_id", "base_id").pivot("field", columns or PRODUCT_FIELDS).agg(F.first("value"))
-    all_bases = bases.select("page_id", "domain", F.col("start_pos").alias("base_id")).distinct()
-    out = all_bases.join(pivot, ["page_id", "base_id"], "left")
-    defaults = fields.where("default_value is not null").groupBy("domain").agg(
-        F.map_from_entries(F.collect_set(F.struct("field", "default_value"))).alias("defaults")
-    )
-    out = out.join(defaults, "domain", "left")
-    for c in columns or PRODUCT_FIELDS:
-        out = out.withColumn(c, F.coalesce(c, F.try_element_at("defaults", F.lit(c))))
-    return out.drop("defaults")
+    valued = computed(marked, value=F.coalesce(value, F.col("default_value"))).where("value is not null")
+    firsts = valued.groupBy("page_id", "base_id", "field").agg(F.min_by("value", F.struct("place", "selector", "base_selector")).alias("value"))
+    shown = columns or PRODUCT_FIELDS
+    pivot = firsts.groupBy("page_id", "base_id").pivot("field", shown).agg(F.first("value"))
+    out = bases.select("page_id", "domain", F.col("start_pos").alias("base_id")).distinct().join(pivot, ["page_id", "base_id"], "left")
+    if columns:
+        return out
+    rest = firsts.where(~F.col("field").isin(shown)).groupBy("page_id", "base_id")
+    other = rest.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", "value")))).alias("other"))
+    return out.join(other, ["page_id", "base_id"], "left")
 
 
 # ---------------------------------------------------------------- payloads
 
 
+def _well_formed(payload: Column) -> Column:
+    """JSON of an object whose ``products``, if it has any, are a list."""
+    parsed = F.try_parse_json(payload)
+    products = F.try_variant_get(parsed, "$.products", "variant")
+    listed = products.isNull() | F.try_variant_get(parsed, "$.products", "array<variant>").isNotNull()
+    return F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT") & listed, F.lit(False))
+
+
 def payload_products(responses: DataFrame) -> DataFrame:
-    """Products of parseable payloads (``page_id, domain, payload``), one row each, with ``next_page``.
+    """Products of well-formed payloads (``page_id, domain, payload``), one row each, with ``next_page``.
 
-    A parseable payload without products gives one row with a NULL product.
+    A well-formed payload without products gives one row with a NULL product.
     """
-    good = responses.where(F.try_parse_json("payload").isNotNull())
+    good = responses.where(_well_formed(F.col("payload")))
     return good.select("page_id", "domain", F.from_json("payload", PAYLOAD).alias("r")).select(
         "page_id", "domain", "r.next_page", F.posexplode_outer("r.products").alias("ordinal", "p")
-    ).select("page_id", "domain", "ordinal", "p.name", "p.price", "next_page")
+    ).select("page_id", "domain", "ordinal", "p.name", "p.title", "p.price", "next_page")
 
 
 def payload_rejects(responses: DataFrame) -> DataFrame:
-    bad = F.try_parse_json("payload").isNull()
     return responses.groupBy("domain").agg(
-        F.count("*").alias("n_payloads"), F.count_if(F.coalesce(bad, F.lit(True))).alias("n_rejected")
+        F.count("*").alias("n_payloads"), F.count_if(~_well_formed(F.col("payload"))).alias("n_rejected")
     )
 
 
@@ -212,11 +274,11 @@ def extract_by_mode(
     """Products of pages (``page_id, domain, html, mode``) by their mode, and the pages with an unknown mode."""
     known = pages.where(F.col("mode").isin("schema", "llm"))
     by_schema = schema_extract(known.where("mode = 'schema'"), fields, elems).select(
-        "page_id", "domain", "name", "price", F.lit("schema").alias("mode")
+        "page_id", "domain", "name", "title", "price", F.lit("schema").alias("mode")
     )
     asked = responses.join(known.where("mode = 'llm'").select("page_id"), "page_id", "left_semi")
     by_model = payload_products(asked).where("ordinal is not null").select(
-        "page_id", "domain", "name", "price", F.lit("llm").alias("mode")
+        "page_id", "domain", "name", "title", "price", F.lit("llm").alias("mode")
     )
     rejected = pages.where(~F.coalesce(F.col("mode").isin("schema", "llm"), F.lit(False)))
     return product_validate(by_schema.unionByName(by_model)), rejected.select("page_id", "mode")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import markup as M
 from pagemill.functions import patterns as P
 from pagemill.functions.staged import computed, let
-from pagemill.functions.text import strip_ws
+from pagemill.functions.text import escape_markup, strip_ws
 from pagemill.functions.urls import base_domain, url_resolve
 from pagemill.operators.skew import first_per_key
 
@@ -34,7 +34,7 @@ def anchors(pages: DataFrame) -> DataFrame:
 
 def _link(cut: Column) -> Column:
     closed = F.regexp_extract(cut, r"(?is)^(<a.*?</a\s*>)", 1)
-    unclosed = F.regexp_extract(cut, r"(?is)^(<a[^>]*>[^<]*)", 1)
+    unclosed = F.regexp_extract(cut, rf"(?is)^(<a{P.IN_TAG}>[^<]*|<a[^>]*>[^<]*)", 1)
     return let(
         F.when(cut.rlike(r"(?i)</a\s*>"), closed).otherwise(unclosed),
         lambda html: F.struct(
@@ -46,10 +46,10 @@ def _link(cut: Column) -> Column:
 
 
 def clean_anchor(html: Column) -> Column:
-    """The anchor without presentation attributes, its body reduced to its text."""
+    """The anchor without presentation attributes, its body reduced to its text (written as markup again)."""
     return F.concat(
-        M.drop_attributes(F.regexp_extract(html, r"(?s)^(<[^>]*>)", 1), P.ANCHOR_ATTRS_DROPPED),
-        M.inner_text(html),
+        M.drop_attributes(F.regexp_extract(html, P.OPEN_TAG, 1), P.ANCHOR_ATTRS_DROPPED),
+        escape_markup(M.inner_text(html)),
         F.lit("</a>"),
     )
 
@@ -101,13 +101,17 @@ def category_links(pages: DataFrame) -> DataFrame:
     )
 
 
-def classifier_prompt(links: DataFrame) -> DataFrame:
-    """One prompt text per page over its pruned links."""
-    line = F.concat(
-        F.lit("- "), F.col("url"), F.lit(" - "), F.substring(clean_anchor(F.col("html")), 1, P.PROMPT_HTML_CHARS)
-    )
+def classifier_prompt(links: DataFrame, html_chars: int | None = P.PROMPT_HTML_CHARS) -> DataFrame:
+    """One prompt text per page over its pruned links, each with at most ``html_chars`` characters of
+    its anchor (None: all of it), and how many anchors were cut."""
+    prepared = computed(links, anchor=clean_anchor(F.col("html")))
+    shown = F.col("anchor") if html_chars is None else F.substring("anchor", 1, html_chars)
+    cut = F.lit(False) if html_chars is None else F.length("anchor") > html_chars
+    line = F.concat(F.lit("- "), F.col("url"), F.lit(" - "), shown)
     lines = F.sort_array(F.collect_list(F.struct("ordinal", line.alias("line"))))
-    return links.groupBy("page_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("prompt"))
+    return prepared.groupBy("page_id").agg(
+        F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("prompt"), F.count_if(cut).alias("n_cut")
+    )
 
 
 def classifier_match(links: DataFrame, responses: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """Scores of page elements.
 
 Two scorers share the element table: one from entities, keywords and structure, one from
-prices, a query and tag weights. Everything that needs only sizes is filtered before any
-text is cut out of a page.
+prices, a query and tag weights. Limits of characters and words are arguments; their defaults stand
+in ``functions/patterns.py``.
 """
 
 from __future__ import annotations
@@ -29,11 +29,17 @@ def joined_attributes(src: Column, names: list[str]) -> Column:
     return F.concat_ws(" ", *[M.attribute(src, n) for n in names])
 
 
-def is_navigation(tag: Column, src: Column, text: Column) -> Column:
+def head_of(text: Column, chars: int | None) -> Column:
+    """The first ``chars`` characters; all of it for None."""
+    return text if chars is None else F.substring(text, 1, chars)
+
+
+def is_navigation(tag: Column, src: Column, text: Column, text_chars: int | None = P.NAV_TEXT_CHARS) -> Column:
+    """Navigation by tag, by attributes, or by the words its text begins with (``text_chars``; None: anywhere)."""
     return (
         tag.isin(P.NAV_TAGS)
         | F.lower(joined_attributes(src, ["id", "class", "role"])).rlike(P.NAV_ATTR)
-        | F.substring(text, 1, P.NAV_TEXT_CHARS).rlike(P.NAV_TEXT)
+        | head_of(text, text_chars).rlike(P.NAV_TEXT)
     )
 
 
@@ -69,18 +75,16 @@ def text_density(text_len: Column, outer_len: Column) -> Column:
 
 
 def product_candidates(
-    pages: DataFrame,
+    elems: DataFrame,
     entities: DataFrame,
-    elems: DataFrame | None = None,
     min_chars: int = P.MIN_CHARS,
     max_chars: int = P.MAX_CHARS,
     min_words: int = P.MIN_WORDS,
+    nav_chars: int | None = P.NAV_TEXT_CHARS,
 ) -> DataFrame:
-    """Elements of product size outside navigation, with a positive score."""
-    elems = elems if elems is not None else E.elements(pages)
+    """Elements (with their text) of product size outside navigation, with a positive score."""
     sized = size_prefilter(elems, min_chars, max_chars, min_words)
-    texted = E.with_text(sized, E.page_texts(pages))
-    flagged = computed(texted, nav=is_navigation(F.col("tag"), F.col("src"), F.col("text")))
+    flagged = computed(sized, nav=is_navigation(F.col("tag"), F.col("src"), F.col("text"), nav_chars))
     scored = entity_score(flagged.where("not nav").drop("nav"), entities)
     score = (
         F.col("entity_score")
@@ -99,19 +103,17 @@ def looks_like_price(text: Column, src: Column) -> Column:
     return text.rlike(P.PRICE_TEXT) | in_attributes
 
 
-def is_promo(text: Column, src: Column) -> Column:
-    return joined_attributes(src, ["class", "id"]).rlike(P.PROMO_ATTR) | F.substring(
-        text, 1, P.PROMO_TEXT_CHARS
-    ).rlike(P.PROMO_TEXT)
+def is_promo(text: Column, src: Column, text_chars: int | None = P.PROMO_TEXT_CHARS) -> Column:
+    """A promotion by attributes, or by the words its text begins with (``text_chars``; None: anywhere)."""
+    return joined_attributes(src, ["class", "id"]).rlike(P.PROMO_ATTR) | head_of(text, text_chars).rlike(P.PROMO_TEXT)
 
 
-def price_flags(elems: DataFrame, texts: DataFrame) -> DataFrame:
-    """Elements with their text and the flags ``has_price`` and ``promo``."""
-    texted = E.with_text(elems, texts)
+def price_flags(elems: DataFrame, promo_chars: int | None = P.PROMO_TEXT_CHARS) -> DataFrame:
+    """Elements (with their text) with the flags ``has_price`` and ``promo``."""
     return computed(
-        texted,
+        elems,
         has_price=looks_like_price(F.col("text"), F.col("src")),
-        promo=is_promo(F.col("text"), F.col("src")),
+        promo=is_promo(F.col("text"), F.col("src"), promo_chars),
     )
 
 

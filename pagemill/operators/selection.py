@@ -87,14 +87,15 @@ def crop_to_card(candidates: DataFrame, flagged: DataFrame, max_chars: int = P.C
     )
 
 
-def card_fragments(cards: DataFrame, flagged: DataFrame, pages: DataFrame) -> DataFrame:
+def card_fragments(cards: DataFrame, flagged: DataFrame) -> DataFrame:
     """Markup of each distinct card without its promotion descendants.
 
-    ``cards``: ``page_id, card_id``. Output: ``page_id, card_id, card_end, start_line, fragment``.
+    ``cards``: ``page_id, card_id``; ``flagged`` has the markup of its elements (``fragment``).
+    Output: ``page_id, card_id, card_end, start_line, fragment``.
     """
     distinct = cards.select("page_id", F.col("card_id").alias("node_id")).distinct()
     kept = flagged.join(distinct, ["page_id", "node_id"], "left_semi").select(
-        "page_id", "node_id", "start_pos", "end_pos", "start_line", "off", "outer_len"
+        "page_id", "node_id", "start_pos", "end_pos", "start_line", "off", "outer_len", "fragment"
     )
     promos = flagged.where("promo").select(
         "page_id", "start_pos", "end_pos", F.col("off").alias("cut_from"), (F.col("off") + F.col("outer_len")).alias("cut_to")
@@ -105,10 +106,11 @@ def card_fragments(cards: DataFrame, flagged: DataFrame, pages: DataFrame) -> Da
         .agg(F.array_sort(F.collect_list(F.struct("cut_from", "cut_to"))).alias("cuts"))
         .withColumnRenamed("card_id", "node_id")
     )
-    joined = kept.join(spans, ["page_id", "node_id"], "left").join(E.by_page(pages), "page_id")
+    joined = kept.join(spans, ["page_id", "node_id"], "left")
 
     def piece(start: Column, stop: Column) -> Column:
-        return F.substring(F.col("html"), (start + 1).cast("int"), F.greatest(stop - start, F.lit(0)).cast("int"))
+        own = start - F.col("off")
+        return F.substring(F.col("fragment"), (own + 1).cast("int"), F.greatest(stop - start, F.lit(0)).cast("int"))
 
     card_stop = F.col("off") + F.col("outer_len")
     cut = F.aggregate(
@@ -131,72 +133,73 @@ def distinct_fragments(fragments: DataFrame, order: str) -> DataFrame:
     return first_per_key(hashed, ["page_id", "_h"], [order]).drop("_h")
 
 
-def top_n(rows: DataFrame, n: int = P.KEEP_TOP_N) -> DataFrame:
-    """Best ``n`` rows of each page by score, document order breaking ties, with their ``rank``."""
+def top_n(rows: DataFrame, n: int | None = P.KEEP_TOP_N) -> DataFrame:
+    """Best ``n`` rows (None: all) of each page by score, document order breaking ties, with their ``rank``."""
     w = Window.partitionBy("page_id").orderBy(F.desc("score"), "node_id")
-    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    ranked = rows.withColumn("rank", F.row_number().over(w))
+    return ranked if n is None else ranked.where(F.col("rank") <= n)
 
 
 def product_filter(
-    pages: DataFrame,
+    elems: DataFrame,
     entities: DataFrame,
     vectors: DataFrame,
-    keep_top_n: int = P.KEEP_TOP_N,
+    keep_top_n: int | None = P.KEEP_TOP_N,
     similarity: float = P.DEFAULT_SIMILARITY,
     min_words: int = P.MIN_WORDS,
     min_chars: int = P.MIN_CHARS,
     max_chars: int = P.MAX_CHARS,
-    elems: DataFrame | None = None,
 ) -> DataFrame:
     """Product fragments of every page: filter, score, de-nest, drop near-duplicates, keep the best.
 
-    ``vectors``: ``page_id, node_id, embedding`` for the elements that have one; an element
-    without a vector is never a near-duplicate. Output: ``page_id, rank, node_id, score, fragment``.
+    ``elems``: elements with ``text`` and ``fragment``. ``vectors``: ``page_id, node_id, embedding``
+    for those that have one; an element without a vector is never a near-duplicate. ``keep_top_n``
+    None keeps all. Output: ``page_id, rank, node_id, score, fragment``.
     """
-    scored = S.product_candidates(pages, entities, elems, min_chars, max_chars, min_words)
-    outer = settled(
-        remove_nested(scored).select("page_id", "node_id", "start_pos", "end_pos", "off", "outer_len", "score")
-    )
+    scored = S.product_candidates(elems, entities, min_chars, max_chars, min_words)
+    outer = settled(remove_nested(scored).select("page_id", "node_id", "start_pos", "end_pos", "score", "fragment"))
     ranked = outer.join(vectors, ["page_id", "node_id"]).select("page_id", "node_id", "score", "embedding")
     kept = V.semantic_dedup(ranked.withColumnRenamed("node_id", "vec_id"), similarity)
     dropped = ranked.select("page_id", "node_id").join(
         kept.select("page_id", F.col("vec_id").alias("node_id")), ["page_id", "node_id"], "left_anti"
     )
     best = top_n(outer.join(dropped, ["page_id", "node_id"], "left_anti"), keep_top_n)
-    return E.with_fragment(best, pages).select("page_id", "rank", "node_id", "score", "fragment")
+    return best.select("page_id", "rank", "node_id", "score", "fragment")
 
 
-def ecommerce_filter(pages: DataFrame, keep_top_n: int = P.KEEP_TOP_N, query: str = "") -> DataFrame:
-    """Price cards of every page, cropped, without promotions and exact repeats.
+def ecommerce_filter(
+    pages: DataFrame, keep_top_n: int | None = P.KEEP_TOP_N, query: str = "", card_chars: int = P.CARD_MAX_CHARS
+) -> DataFrame:
+    """Price cards of every page, cropped to ``card_chars`` of text, without promotions and exact repeats.
 
-    Output: ``page_id, position, card_id, fragment`` in source order.
+    Output: ``page_id, position, card_id, fragment`` in source order; ``keep_top_n`` None keeps all.
     """
-    clean = settled(C.strip_elements(pages, P.JUNK_TAGS, comments=True))
-    flagged = settled(S.price_flags(E.elements(clean), E.page_texts(clean)))
+    clean = C.strip_elements(pages, P.JUNK_TAGS, comments=True)
+    flagged = settled(S.price_flags(E.elements(clean, text=True, fragment=True)))
     in_body = flagged.where(~F.col("tag").isin("html", "head", "body"))
     scored = S.card_candidates(in_body).withColumn("score", S.card_score(query))
     cropped = settled(
-        crop_to_card(scored.select("page_id", "node_id", "start_pos", "end_pos", "score"), flagged)
+        crop_to_card(scored.select("page_id", "node_id", "start_pos", "end_pos", "score"), flagged, card_chars)
     )
     best = top_n(uncovered(cropped, "card_id", "card_end"), keep_top_n)
-    fragments = distinct_fragments(card_fragments(best, flagged, clean), "card_id")
+    fragments = distinct_fragments(card_fragments(best, flagged), "card_id")
     place = F.row_number().over(Window.partitionBy("page_id").orderBy("card_id"))
     return fragments.select("page_id", place.alias("position"), "card_id", "fragment")
 
 
 def clean_for_model(
-    pages: DataFrame, entities: DataFrame, vectors: DataFrame, elems: DataFrame | None = None
+    pages: DataFrame,
+    elems: DataFrame,
+    entities: DataFrame,
+    vectors: DataFrame,
+    keep_top_n: int | None = P.KEEP_TOP_N,
+    similarity: float = P.PIPELINE_SIMILARITY,
 ) -> DataFrame:
-    """Model input of every page: its product fragments, cleaned and outlined."""
-    found = product_filter(
-        pages, entities, vectors, P.KEEP_TOP_N, P.PIPELINE_SIMILARITY, P.PIPELINE_MIN_WORDS, elems=elems
-    )
+    """Model input of every page: its product fragments, cleaned and outlined; empty where there is none."""
+    found = product_filter(elems, entities, vectors, keep_top_n, similarity, P.PIPELINE_MIN_WORDS)
     ordered = F.array_sort(F.collect_list(F.struct("rank", "fragment")))
-    joined = settled(
-        found.groupBy("page_id").agg(
-            F.array_join(F.transform(ordered, lambda r: r["fragment"]), "\n").alias("html")
-        )
-    )
+    fragments = found.groupBy("page_id").agg(F.array_join(F.transform(ordered, lambda r: r["fragment"]), "\n").alias("html"))
+    joined = pages.select("page_id").join(fragments, "page_id", "left")
     stripped = C.strip_elements(joined, P.MODEL_TAGS_DROPPED)
     bare = stripped.withColumn("html", C.strip_attributes(F.col("html"), P.MODEL_ATTRS_DROPPED))
     return C.outline(bare)

@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_SHARE = 100  # a key is hot when it holds more than 1/HOT_SHARE of the rows
-SALTS = 64
-
 
 def first_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key.
@@ -36,21 +33,3 @@ def dense_ids(rows: DataFrame, key: str, id_col: str, start: Column | int = 0) -
         .withColumn(id_col, (F.lit(start) + F.col("_off") + F.col("_rn")).cast("bigint"))
         .drop("_b", "_rn", "_off")
     )
-
-
-def salted_lookup(left: DataFrame, unique: DataFrame, keys: list[str], counts: DataFrame, how: str = "inner") -> DataFrame:
-    """Join rows to a table unique on ``keys``, spreading hot keys over ``SALTS`` tasks.
-
-    ``counts`` holds the left rows per key (``keys, _n``). Keys with more than 1 % of the rows
-    are at most 100; their rows get a salt and their lookup rows one copy per salt, and both
-    sides still meet in a single shuffle join.
-    """
-    total = counts.agg(F.sum("_n").alias("_total"))
-    hot = counts.join(F.broadcast(total), F.col("_n") * HOT_SHARE > F.col("_total")).select(  # one row
-        *keys, F.lit(True).alias("_hot")
-    )
-    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int")).otherwise(0)
-    spread = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_hot")
-    copies = unique.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
-    return spread.join(copies, [*keys, "_salt"], how).drop("_salt")

@@ -7,17 +7,18 @@ hot page nor a hot vector ends up in one task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.operators.skew import salted_lookup
-from pagemill.session import ensure_checkpoint_dir
+from pagemill.session import ensure_checkpoint_dir, settled
 
 BLOCK = 512
+HEADS, OTHERS = 1_024, 4_096  # vectors of a page that one task walks, and that meet the kept ones in one task
 PAIR_SCHEMA = "better bigint, worse bigint, cosine double, better_copies bigint, worse_copies bigint"
 
 
@@ -80,7 +81,7 @@ def similar_pairs(distinct: DataFrame, threshold: float, keys: list[str] | None
     rows = distinct.select(*keys, "vec_id", "score", "copies", "embedding")
     counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
     sizes = counts.select(*keys, F.ceil(F.col("_n") / block).cast("int").alias("n_blocks"))
-    placed = salted_lookup(rows, sizes, keys, counts).withColumn(
+    placed = rows.join(sizes, keys).withColumn(
         "block", F.pmod(F.xxhash64("vec_id"), F.col("n_blocks")).cast("int")
     )
     paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(
@@ -106,6 +107,69 @@ def cosine_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
     )
 
 
+def _unit(rows: pd.Series) -> np.ndarray:
+    x = np.array(rows.tolist(), dtype=np.float64)
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+
+def _walk(threshold: float):
+    def walk(group: pd.DataFrame) -> pd.DataFrame:
+        """Of the best vectors of a page, in rank order: those not too similar to one kept before."""
+        group = group.sort_values(["score", "vec_id"], ascending=[False, True], kind="stable")
+        unit = _unit(group["embedding"])
+        open_ = np.ones(len(group), bool)
+        for i in range(len(group)):
+            if open_[i]:
+                open_[i + 1 :] &= unit[i + 1 :] @ unit[i] <= threshold
+        return group[open_]
+
+    return walk
+
+
+def _unlike(threshold: float):
+    def unlike(rest: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
+        """Vectors of a block that resemble none of the kept ones of their page."""
+        if len(rest) and len(kept):
+            rest = rest[(_unit(rest["embedding"]) @ _unit(kept["embedding"]).T <= threshold).all(axis=1)]
+        return rest.drop(columns="block")
+
+    return unlike
+
+
+def semantic_dedup(vectors: DataFrame, threshold: float, block: int = HEADS) -> DataFrame:
+    """Keep vectors in rank order (score, then id), discarding those too similar to a kept one of their page.
+
+    Each round walks the best ``block`` vectors of every page in one task per page, and takes away from
+    the rest, in blocks of bounded size, what resembles one that was kept. No pairs are stored. Pages
+    of up to ``block`` distinct vectors take one round; a larger page takes one per ``block`` vectors
+    that are neither copies nor discarded, each linear in what is left. From a threshold of 1 on,
+    nothing is too similar and all vectors are returned as they are.
+    """
+    columns = ["page_id", "vec_id", "score", "embedding"]
+    if threshold >= 1:
+        return vectors.select(*columns)
+    zero = F.forall("embedding", lambda x: x == 0)
+    # Zero vectors resemble nothing, not even their copies.
+    alone = vectors.where(zero | F.col("embedding").isNull()).select(*columns)
+    rest = settled(collapse_copies(vectors.where(~zero)).select(*columns))
+    schema = ", ".join(f"{n} {t}" for n, t in rest.dtypes)
+    kept = alone
+    while not rest.isEmpty():
+        w = Window.partitionBy("page_id").orderBy(F.desc("score"), "vec_id")
+        heads = rest.withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= block).drop("turn")
+        chosen = settled(heads.groupBy("page_id").applyInPandas(_walk(threshold), schema))
+        kept = kept.unionByName(chosen)
+        later = rest.join(heads.select("page_id", "vec_id"), ["page_id", "vec_id"], "left_anti")
+        counts = later.groupBy("page_id").agg(F.ceil(F.count("*") / OTHERS).cast("int").alias("n"))
+        # One count per page with vectors left: no more rows than large pages.
+        placed = later.join(counts, "page_id").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("n")).cast("int")).drop("n")
+        beside = chosen.join(counts, "page_id").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
+        keys = ["page_id", "block"]
+        rest = settled(placed.groupBy(*keys).cogroup(beside.groupBy(*keys)).applyInPandas(_unlike(threshold), schema))
+    return kept
+
+
 def first_wins(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Greedy choice in rank order: keep a node unless a kept better one is paired with it.
 
@@ -129,19 +193,6 @@ def first_wins(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return nodes.join(dropped, ["page_id", "vec_id"], "left_anti")
 
 
-def semantic_dedup(vectors: DataFrame, threshold: float) -> DataFrame:
-    """Keep vectors in rank order, discarding those too similar to a kept one of their page."""
-    if threshold >= 1:
-        return vectors.select("page_id", "vec_id", "score", "embedding")
-    ensure_checkpoint_dir(vectors.sparkSession)
-    distinct = collapse_copies(vectors).checkpoint()
-    zero = F.forall("embedding", lambda x: x == 0)
-    # Zero vectors resemble nothing, not even their copies.
-    kept = first_wins(distinct.where(~zero), similar_pairs(distinct.where(~zero), threshold))
-    zeros = vectors.where(zero).select("page_id", "vec_id", "score", F.lit(1).cast("bigint").alias("copies"), "embedding")
-    return kept.unionByName(zeros, allowMissingColumns=True).select("page_id", "vec_id", "score", "embedding")
-
-
 def band_keys(vectors: DataFrame, bands: int, bits: int, seed: int = 42) -> DataFrame:
     """Repeat each vector once per band of random-hyperplane sign bits (``band, bucket``)."""
     schema = ", ".join(f"{n} {t}" for n, t in vectors.dtypes) + ", band int, bucket bigint"
@@ -163,15 +214,27 @@ def band_keys(vectors: DataFrame, bands: int, bits: int, seed: int = 42) -> Data
     return vectors.mapInPandas(project, schema)
 
 
-def semantic_dedup_lsh(vectors: DataFrame, threshold: float, bands: int = 8, bits: int = 6) -> DataFrame:
+def plan_bands(n: int, threshold: float, bucket: int = 256, missed: float = 0.01) -> tuple[int, int]:
+    """``bands, bits`` for ``n`` vectors: buckets of about ``bucket`` unrelated vectors, and a share of
+    at most ``missed`` of the pairs at the threshold that no band brings together."""
+    bits = max(6, math.ceil(math.log2(max(1, n / bucket))))
+    agree = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** bits
+    return math.ceil(math.log(missed) / math.log(1 - min(agree, 0.99))), bits
+
+
+def semantic_dedup_lsh(vectors: DataFrame, threshold: float, bands: int | None = None, bits: int | None = None) -> DataFrame:
     """Corpus-wide form: only vectors sharing a band bucket are compared.
 
-    Pairs are verified exactly, so nothing dissimilar is dropped; similar pairs that share no
-    bucket may stay. Hot buckets are compared block by block like hot pages.
+    Pairs are verified exactly, so nothing dissimilar is dropped; a similar pair that shares no
+    bucket may stay (see :func:`plan_bands`, which chooses both numbers from the corpus unless they
+    are given). Hot buckets are compared block by block like hot pages.
     """
     ensure_checkpoint_dir(vectors.sparkSession)
     whole = vectors.withColumn("page_id", F.lit(0).cast("bigint"))
     distinct = collapse_copies(whole).checkpoint()
+    if bands is None or bits is None:
+        planned = plan_bands(distinct.count(), threshold)
+        bands, bits = bands or planned[0], bits or planned[1]
     keyed = band_keys(distinct.select("vec_id", "score", "copies", "embedding"), bands, bits)
     pairs = similar_pairs(keyed, threshold, ["band", "bucket"]).select("better", "worse").distinct()
     return first_wins(distinct, pairs.withColumn("page_id", F.lit(0).cast("bigint"))).select(

@@ -115,16 +115,24 @@ def latest_schema(spark, sf_dir):
     return K.latest_schema(schemas).withColumn("generated_at", _shown("generated_at"))
 
 
+MORE_DOMAINS = "(select id, name from domains union all select id + 1000, 'new-' || name from domains)"
+
+
+def _with_new_domains(domains):
+    """The domains and as many that nothing refers to yet."""
+    return domains.unionByName(domains.select((F.col("id") + 1000).alias("id"), F.concat(F.lit("new-"), "name").alias("name")))
+
+
 @query(
     "schema_stale",
-    """select d.id, d.name, case when g is null then 'missing' else 'old' end as reason from domains d left join (
-         select domain_id, max(generated_at) as g from product_schemas where domain_id <= 20 group by domain_id) s on s.domain_id = d.id
+    f"""select d.id, d.name, case when g is null then 'missing' else 'old' end as reason from {MORE_DOMAINS} d left join (
+         select domain_id, max(generated_at) as g from product_schemas group by domain_id) s on s.domain_id = d.id
        where g is null or (select max(ts) from events) - g > interval 3600 second""",
 )
 def schema_stale(spark, sf_dir):
     domains, schemas = _load(spark, sf_dir, "domains", "product_schemas")
     as_of = F.lit(V.table(spark, sf_dir, "events").agg(F.max("ts")).first()[0]).cast("timestamp_ntz")
-    return K.schema_stale(domains, schemas.where("domain_id <= 20"), as_of, max_age_s=3600)
+    return K.schema_stale(_with_new_domains(domains), schemas, as_of, max_age_s=3600)
 
 
 @query(
@@ -193,14 +201,21 @@ def _stored(spark, sf_dir):
 
 @query(
     "fk_audit",
-    f"""select 'link without domain' as kind, id from category_links where id % 10 > 0 and domain_id > 23
-        union all select 'product without domain', id from {STORED} where domain_id > 23
-        union all select 'product without link', id from {STORED} where category_link_id % 10 = 0
-        union all select 'schema without domain', id from product_schemas where domain_id > 23""",
+    f"""select 'link without domain' as kind, id + 1000000 as id from category_links
+        union all select 'product without domain', id + 1000000 from {STORED}
+        union all select 'product without link', id + 1000000 from {STORED}
+        union all select 'schema without domain', id + 1000000 from product_schemas""",
 )
 def fk_audit(spark, sf_dir):
+    """The whole catalog, and a copy of each row under parents that are not there."""
     links, domains, schemas = _load(spark, sf_dir, "category_links", "domains", "product_schemas")
-    return K.fk_audit(domains.where("id <= 23"), links.where("id % 10 > 0"), _stored(spark, sf_dir), schemas)
+
+    def doubled(rows, *parents):
+        lost = {c: (F.col(c) + n).cast(dict(rows.dtypes)[c]) for c, n in (("id", 1000000), *((p, 2000000) for p in parents))}
+        return rows.unionByName(rows.withColumns(lost))
+
+    products = doubled(_stored(spark, sf_dir).select("id", "domain_id", "category_link_id"), "domain_id", "category_link_id")
+    return K.fk_audit(domains, doubled(links, "domain_id"), products, doubled(schemas, "domain_id"))
 
 
 AUDITED = ["name", "title", "price", "original_price", "discount", "url", "sku", "image_url"]
@@ -220,11 +235,11 @@ def not_null_audit(spark, sf_dir):
         from category_links l join domains d on d.id = l.domain_id left join (
           select category_link_id, cast(floor(id / 128) as bigint) as chunk,
             string_agg(cast(id as string) || '=' || coalesce(price, '?'), ';' order by id) as products
-          from {STORED} where id % 3 > 0 group by 1, 2) p on p.category_link_id = l.id""",
+          from {STORED} group by 1, 2) p on p.category_link_id = l.id""",
 )
 def domain_tree(spark, sf_dir):
     links, domains = _load(spark, sf_dir, "category_links", "domains")
-    tree = K.domain_tree(domains, links, _stored(spark, sf_dir).where("id % 3 > 0"))
+    tree = K.domain_tree(domains, links, _stored(spark, sf_dir))
     item = lambda p: F.concat_ws("=", p["id"], F.coalesce(p["price"], F.lit("?")))
     return tree.select(
         "domain", F.col("link.id").alias("link_id"), "link.url", F.coalesce("chunk", F.lit(-1)).alias("chunk"),

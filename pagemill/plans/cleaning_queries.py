@@ -17,9 +17,10 @@ STRIPPED_TAGS = ["nav", "style", "b", "li"]
 
 
 def cut_sql(tags, extra: str = "true") -> str:
-    return f"""select t.page_id, string_agg(tok, '' order by pos) as html from page_tokens t
-        where {extra} and not exists (select 1 from page_spans s where s.page_id = t.page_id
-            and s.tag in {V.in_list(tags)} and t.pos between s.start_pos and s.end_pos) group by t.page_id"""
+    return f"""select p.page_id, coalesce(k.html, '') as html from pages p left join (
+          select t.page_id, string_agg(tok, '' order by pos) as html from page_tokens t
+          where {extra} and not exists (select 1 from page_spans s where s.page_id = t.page_id
+              and s.tag in {V.in_list(tags)} and t.pos between s.start_pos and s.end_pos) group by t.page_id) k on k.page_id = p.page_id"""
 
 
 @query("strip_elements", cut_sql(STRIPPED_TAGS))
@@ -30,7 +31,7 @@ def strip_elements(spark, sf_dir):
 @query(
     "strip_attributes",
     f"""select page_id, string_agg(case when regexp_matches(tok, '^<[A-Za-z]') then
-          {V.drop_attrs("regexp_extract(tok, '(?s)^(<[^>]*>)', 1)", "^(?:class|char.*|hr.f)$")} || regexp_extract(tok, '(?s)^<[^>]*>(.*)$', 1)
+          {V.drop_attrs(V.open_tag("tok"), "^(?:class|char.*|hr.f)$")} || substr(tok, length({V.open_tag("tok")}) + 1)
           else tok end, '' order by pos) as html from page_tokens group by page_id
         union all
         select page_id, regexp_replace(regexp_replace(html, ' (class|data-item-id|data-total-products|src)="[^"]*"', '', 'g'), 'zzz', '') from listing""",
@@ -47,11 +48,12 @@ def strip_attributes(spark, sf_dir):
 
 @query(
     "html_outline",
-    f"""select page_id, string_agg(repeat(' ', cast(depth as int)) || line || chr(10), '' order by pos) as html
+    f"""select p.page_id, coalesce(o.html, '') as html from pages p left join (
+        select page_id, string_agg(repeat(' ', cast(depth as int)) || line || chr(10), '' order by pos) as html
         from (select t.page_id, t.pos, any_value({V.stripped("t.tok")}) as line,
             count(s.node_id) as depth from page_tokens t left join page_spans s on s.page_id = t.page_id
               and t.pos > s.start_pos and t.pos <= case when s.closed then s.end_pos - 1 else s.end_pos end
-            group by t.page_id, t.pos) where line <> '' group by page_id""",
+            group by t.page_id, t.pos) where line <> '' group by page_id) o on o.page_id = p.page_id""",
 )
 def html_outline(spark, sf_dir):
     return C.outline(V.table(spark, sf_dir, "pages"))
@@ -78,7 +80,7 @@ def page_text(spark, sf_dir):
     "clean_size_report",
     f"""select domain, count(*) as n_pages, sum(raw) as raw_chars, sum(clean) as clean_chars, round(sum(clean) / sum(raw), 6) as ratio
         from (select {V.base_domain("url")} as domain, length(html) as raw,
-            length(regexp_replace(html, '(?is)<!--.*?-->|<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>|<noscript\\b[^>]*>.*?</noscript\\s*>', '', 'g')) as clean
+            length(regexp_replace(html, '{V.containers(["script", "style", "noscript"])}', '', 'g')) as clean
           from pages) group by domain""",
 )
 def clean_size_report(spark, sf_dir):
@@ -136,7 +138,7 @@ def chunk_for_model(spark, sf_dir):
     f"""select page_id, url, length(html) as html_length, length(cleaned) as cleaned_length,
           {V.stripped("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title\\s*>', 1)")} as title,
           substr(cleaned, 1, 2000) || case when length(cleaned) > 2000 then '...' else '' end as preview
-        from (select *, regexp_replace(html, '(?is)<!--.*?-->|<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>', '', 'g') as cleaned from pages)""",
+        from (select *, regexp_replace(html, '{V.containers(["script", "style"])}', '', 'g') as cleaned from pages)""",
 )
 def page_preview(spark, sf_dir):
     return C.preview(V.table(spark, sf_dir, "pages"))

@@ -10,6 +10,7 @@ from pagemill.operators import scoring as S
 from pagemill.operators import selection as X
 from pagemill.plans import views as V
 from pagemill.plans.catalog_queries import DUCK_FORMAT, FORMAT
+from pagemill.plans.fragment_queries import fragment_vectors
 from pagemill.plans.registry import query
 from pagemill.session import scratch_dir, settled
 from pagemill.sources import readers, sinks
@@ -32,9 +33,15 @@ def _labelled(spark, sf_dir):
 LABELLED = "(select url from category_links where id in (select doc_id from samples))"
 
 
-@query("category_url_pool", f"select id, url, domain from {NAMED_LINKS} order by id limit {POOL_LIMIT}")
+@query("category_url_pool", f"select id, url, domain from {NAMED_LINKS}")
 def category_url_pool(spark, sf_dir):
-    return D.url_pool(*_load(spark, sf_dir, "category_links", "domains"), limit=POOL_LIMIT)
+    return D.url_pool(*_load(spark, sf_dir, "category_links", "domains"))
+
+
+@query("category_url_pool_first", f"select id, url, domain from {NAMED_LINKS} where domain = 'brand11.example.com' order by id limit {POOL_LIMIT}")
+def category_url_pool_first(spark, sf_dir):
+    """The first URLs of one domain: both limits are what is asked for."""
+    return D.url_pool(*_load(spark, sf_dir, "category_links", "domains"), domain="brand11.example.com", limit=POOL_LIMIT)
 
 
 @query("domain_stats", f"select domain, count(*) as n_urls from {NAMED_LINKS} group by domain")
@@ -76,11 +83,11 @@ def balanced_sample(spark, sf_dir):
 
 @query(
     "url_source_priority",
-    "select trim(line) as url, 1 as priority from text_lines where trim(line) <> '' and trim(line) not like '#%' and line like '%http%'",
+    f"select {V.stripped('line')} as url, 1 as priority from text_lines where {V.stripped('line')} <> '' and {V.stripped('line')} not like '#%'",
 )
 def url_source_priority(spark, sf_dir):
     lines, links = _load(spark, sf_dir, "text_lines", "category_links")
-    from_text = readers.urls_from_lines(lines.where("line like '%http%'"), "line")
+    from_text = readers.urls_from_lines(lines, "line")
     empty = links.where("id < 0").select("url")
     return D.by_priority(empty, from_text, links)
 
@@ -134,24 +141,20 @@ def duplicate_samples(spark, sf_dir):
 @query(
     "content_lookup",
     """select doc_id, md5(coalesce(best, '')) as html_md5, length(coalesce(best, '')) as n_chars from (
-         select s.doc_id, case when s.doc_id % 10 = 0 then null else coalesce(c.cleaned, c.raw) end as best from samples s join (
-           select content_hash, max(html_content) as raw, max(cleaned_html) as cleaned from samples where doc_id % 10 > 0 group by content_hash
-           union all select content_hash, null, null from samples where doc_id % 10 = 0
-             and content_hash not in (select content_hash from samples where doc_id % 10 > 0) group by content_hash) c
-         on c.content_hash = s.content_hash where s.doc_id % 10 > 0
-         union all select doc_id, null from samples where doc_id % 10 = 0)""",
+         select s.doc_id, coalesce(c.cleaned, c.raw) as best from samples s join (
+           select content_hash, max(html_content) as raw, max(cleaned_html) as cleaned from samples group by content_hash) c
+         on c.content_hash = s.content_hash
+         union all select doc_id + 1000000, null from samples)""",
 )
 def content_lookup(spark, sf_dir):
     samples = V.view(spark, sf_dir, "samples")
-    stored = samples.where("doc_id % 10 > 0")
-    contents = stored.select("content_hash", F.lit("raw").alias("variant"), F.col("html_content").alias("html")).unionByName(
-        stored.where("cleaned_html is not null").select(
+    contents = samples.select("content_hash", F.lit("raw").alias("variant"), F.col("html_content").alias("html")).unionByName(
+        samples.where("cleaned_html is not null").select(
             "content_hash", F.lit("cleaned").alias("variant"), F.col("cleaned_html").alias("html")
         )
     )
-    wanted = samples.select(
-        "doc_id", F.when(F.col("doc_id") % 10 > 0, F.col("content_hash")).otherwise("unknown").alias("content_hash")
-    )
+    unknown = samples.select((F.col("doc_id") + 1000000).alias("doc_id"), F.lit("unknown").alias("content_hash"))
+    wanted = samples.select("doc_id", "content_hash").unionByName(unknown)
     found = D.content_lookup(wanted, contents)
     return found.select("doc_id", F.md5("html").alias("html_md5"), F.length("html").alias("n_chars"))
 
@@ -201,7 +204,7 @@ def training_export(spark, sf_dir):
     )
 
 
-PROMPT_SQL = "'" + V.P.PLP_PROMPT_HEAD.replace("'", "''") + "' || substr(html, 1, 16000) || chr(10)"
+PROMPT_SQL = "'" + V.P.LISTING_QUESTION.replace("'", "''") + "' || substr(html, 1, 16000) || chr(10)"
 
 
 @query("plp_prompt", f"select page_id, {PROMPT_SQL} as prompt from pages")
@@ -221,10 +224,10 @@ def plp_verdict(spark, sf_dir):
 
 @query(
     "model_page_grid",
-    "select page_id, url, model from pages, (select unnest(" + str(V.P.MODELS).replace('"', "'") + ") as model)",
+    "select page_id, url, model from pages, (select unnest(" + str(V.MODELS).replace('"', "'") + ") as model)",
 )
 def model_page_grid(spark, sf_dir):
-    return D.model_page_grid(V.table(spark, sf_dir, "pages"))
+    return D.model_page_grid(V.table(spark, sf_dir, "pages"), V.MODELS)
 
 
 @query(
@@ -240,13 +243,17 @@ def verdict_by_model(spark, sf_dir):
     """select count(*) as total, sum(p * is_plp) as true_positive, sum(p * (1 - is_plp)) as false_positive,
          sum((1 - p) * is_plp) as false_negative, sum((1 - p) * (1 - is_plp)) as true_negative,
          round(avg(case when p = is_plp then 1.0 else 0.0 end), 6) as accuracy
-       from (select is_plp, case when len(string_split(html_content, '. ')) > 5 then 1 else 0 end as p from samples)""",
+       from (select case when l.html like '%galleryItem%' then 1 else 0 end as is_plp, case when k.page_id is null then 0 else 1 end as p
+         from listing l left join (select distinct page_id from product_kept) k on k.page_id = l.page_id)""",
 )
 def filter_accuracy(spark, sf_dir):
-    samples = V.view(spark, sf_dir, "samples")
-    # A fixed fragment table: sentences beyond the fifth count as fragments.
-    counts = samples.select("doc_id", (F.size(F.split("html_content", r"\. ")) - 5).alias("n_fragments"))
-    return D.filter_accuracy(samples, counts, "doc_id").withColumn("accuracy", F.round("accuracy", 6))
+    """Does the product filter find a fragment on the pages that hold items, and only there?"""
+    pages = settled(V.view(spark, sf_dir, "listing"))
+    elems = settled(E.elements(pages, text=True, fragment=True))
+    found = X.product_filter(elems, V.entities(elems), fragment_vectors(elems), similarity=V.FRAGMENT_SIMILARITY)
+    counts = found.groupBy("page_id").agg(F.count("*").alias("n_fragments"))
+    labelled = pages.select("page_id", F.col("html").contains("galleryItem").cast("int").alias("is_plp"))
+    return D.filter_accuracy(labelled, counts, "page_id").withColumn("accuracy", F.round("accuracy", 6))
 
 
 @query(
@@ -257,21 +264,19 @@ def filter_accuracy(spark, sf_dir):
        where rank <= 20 group by page_id""",
 )
 def fragment_counts(spark, sf_dir):
-    pages = settled(V.view(spark, sf_dir, "listing"))
-    elems = settled(E.elements(pages))
-    best = E.with_fragment(X.top_n(S.product_candidates(pages, V.entities(elems), elems)), pages)
-    counted = D.fragment_counts(best)
+    elems = settled(E.elements(V.view(spark, sf_dir, "listing"), text=True, fragment=True))
+    counted = D.fragment_counts(X.top_n(S.product_candidates(elems, V.entities(elems))))
     return counted.withColumn("first_fragments", F.array_join("first_fragments", " | "))
 
 
 @query(
     "visited_union",
-    "select url from pages where page_id % 2 = 0 union select url from category_links where id % 3 = 0 union select url from pages where page_id % 4 = 0",
+    "select url from pages union select url from category_links",
 )
 def visited_union(spark, sf_dir):
-    pages, links = V.table(spark, sf_dir, "pages").select("page_id", "url"), V.view(spark, sf_dir, "category_links")
-    cached = links.where("id % 3 = 0").select("url").unionByName(pages.where("page_id % 4 = 0").select("url"))
-    return D.visited_union(pages.where("page_id % 2 = 0"), cached)
+    """Every page as new; every category link, and the pages once more, as cached."""
+    pages, links = V.table(spark, sf_dir, "pages").select("url"), V.view(spark, sf_dir, "category_links").select("url")
+    return D.visited_union(pages, links.unionByName(pages))
 
 
 @query("frontier_except", "select url from category_links except select url from category_links where last_crawled_at is not null")

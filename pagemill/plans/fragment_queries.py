@@ -30,18 +30,17 @@ def _listing(spark, sf_dir):
 
 def _parsed(spark, sf_dir):
     """The listing pages and their element table, written once for the steps that share it."""
-    pages = settled(_listing(spark, sf_dir))
-    return pages, settled(E.elements(pages))
+    pages = _listing(spark, sf_dir)
+    return pages, settled(E.elements(pages, text=True, fragment=True))
 
 
 def _scored(spark, sf_dir):
-    pages, elems = _parsed(spark, sf_dir)
-    return S.product_candidates(pages, V.entities(elems), elems)
+    elems = settled(E.elements(_listing(spark, sf_dir), text=True))
+    return S.product_candidates(elems, V.entities(elems))
 
 
-def _flagged(spark, sf_dir):
-    pages = settled(_listing(spark, sf_dir))
-    return S.price_flags(E.elements(pages), E.page_texts(pages))
+def _flagged(spark, sf_dir, fragment=False):
+    return S.price_flags(E.elements(_listing(spark, sf_dir), text=True, fragment=fragment))
 
 
 def _card_scored(spark, sf_dir):
@@ -51,21 +50,16 @@ def _card_scored(spark, sf_dir):
 @query(
     "element_table",
     f"""select e.page_id, e.node_id, e.tag, trim(array_to_string(regexp_extract_all(regexp_replace(e.src, '^<[^\\s>/]+', ''),
-            '{V.P.ATTRIBUTE.replace(chr(39), chr(39) * 2)}', 0), '')) as attrs, e.end_pos, e.closed, e.outer_len, e.inner_bytes,
+            '{V.sql_pattern(V.P.ATTRIBUTE)}', 0), '')) as attrs, e.end_pos, e.closed, e.outer_len, e.inner_bytes,
           e.n_words, md5(e.text) as text_md5, md5(e.fragment) as fragment_md5,
           (select count(*) from page_spans a where a.page_id = e.page_id and a.start_pos < e.start_pos and a.end_pos >= e.start_pos) as depth
         from page_elements e""",
 )
 def element_table(spark, sf_dir):
-    pages = _pages(spark, sf_dir)
-    texts = E.page_texts(pages)
-    elems = E.with_depth(E.elements(pages)).join(texts, "page_id")
-    cut = lambda c, at, n: F.substring(c, (F.col(at) + 1).cast("int"), F.col(n).cast("int"))
-    return elems.select(
+    return E.elements(_pages(spark, sf_dir), text=True, fragment=True).select(
         "page_id", "node_id", "tag", F.trim(F.array_join(M.attribute_list(F.col("src")), "")).alias("attrs"),
         "end_pos", "closed", "outer_len", "inner_bytes", "n_words",
-        F.md5(cut("page_text", "text_off", "text_len")).alias("text_md5"),
-        F.md5(cut("html", "off", "outer_len")).alias("fragment_md5"), "depth",
+        F.md5("text").alias("text_md5"), F.md5("fragment").alias("fragment_md5"), F.col("depth").cast("bigint").alias("depth"),
     )
 
 
@@ -80,9 +74,8 @@ NAV_SQL = "select '{0}' as source, page_id, node_id, tag from {1} where not " +
 @query("element_nav_filter", NAV_SQL.format("pages", "page_sized") + " union all " + NAV_SQL.format("listing", "listing_sized"))
 def element_nav_filter(spark, sf_dir):
     def kept(pages, source, min_words):
-        sized = S.size_prefilter(E.elements(pages), min_words=min_words)
-        texted = E.with_text(sized, E.page_texts(pages))
-        return texted.where(~S.is_navigation(F.col("tag"), F.col("src"), F.col("text"))).select(
+        sized = S.size_prefilter(E.elements(pages, text=True), min_words=min_words)
+        return sized.where(~S.is_navigation(F.col("tag"), F.col("src"), F.col("text"))).select(
             F.lit(source).alias("source"), "page_id", "node_id", "tag"
         )
 
@@ -181,15 +174,15 @@ def crop_to_card(spark, sf_dir):
        group by c.page_id, c.card_id""",
 )
 def card_promo_strip(spark, sf_dir):
-    flagged = settled(_flagged(spark, sf_dir))
+    flagged = settled(_flagged(spark, sf_dir, fragment=True).drop("text"))
     cards = X.crop_to_card(S.card_candidates(flagged), flagged)
-    return X.card_fragments(cards, flagged, _listing(spark, sf_dir)).select("page_id", "card_id", "fragment")
+    return X.card_fragments(cards, flagged).select("page_id", "card_id", "fragment")
 
 
-@query("fragment_exact_dedup", "select source, min(doc_id) as doc_id, md5(text) as hash from documents group by source, text")
+@query("fragment_exact_dedup", "select page_id, min(node_id) as node_id, md5(fragment) as hash from page_elements group by page_id, fragment")
 def fragment_exact_dedup(spark, sf_dir):
-    hashed = V.table(spark, sf_dir, "documents").select("source", "doc_id", F.md5("text").alias("hash"))
-    return first_per_key(hashed, ["source", "hash"], ["doc_id"])
+    fragments = E.elements(_pages(spark, sf_dir), fragment=True).select("page_id", "node_id", "fragment")
+    return X.distinct_fragments(fragments, "node_id").select("page_id", "node_id", F.md5("fragment").alias("hash"))
 
 
 @query(
@@ -263,26 +256,43 @@ def semantic_dedup_lsh(spark, sf_dir):
     return VEC.semantic_dedup_lsh(V.view(spark, sf_dir, "vectors"), PAIR_THRESHOLD).select("vec_id", "score", "copies")
 
 
-def fragment_vectors(pages, elems):
+VECTOR_CHARS = "aeiourst0123456789"
+
+
+def fragment_vectors(elems):
     """A small deterministic vector per sized element: counts of a few characters of its text."""
-    texted = E.with_text(S.size_prefilter(elems, min_words=2), E.page_texts(pages))
-    letters = [F.regexp_count("text", F.lit(c)).cast("float") for c in "aeiourst0123456789"]
-    return texted.select("page_id", "node_id", F.array(*letters).alias("embedding"))
+    letters = [F.regexp_count("text", F.lit(c)).cast("float") for c in VECTOR_CHARS]
+    return S.size_prefilter(elems, min_words=2).select("page_id", "node_id", F.array(*letters).alias("embedding"))
 
 
-@query("product_filter")
+@query(
+    "product_filter",
+    """select page_id, rank, node_id, round(score, 6) as score, md5(fragment) as fragment_md5 from (
+         select *, row_number() over (partition by page_id order by score desc, node_id) as rank from product_kept) where rank <= 20""",
+)
 def product_filter(spark, sf_dir):
-    pages, elems = _parsed(spark, sf_dir)
-    vectors = fragment_vectors(pages, elems)
-    return X.product_filter(pages, V.entities(elems), vectors, similarity=0.9995, elems=elems)
+    _, elems = _parsed(spark, sf_dir)
+    found = X.product_filter(elems, V.entities(elems), fragment_vectors(elems), similarity=V.FRAGMENT_SIMILARITY)
+    return found.select("page_id", "rank", "node_id", F.round("score", 6).alias("score"), F.md5("fragment").alias("fragment_md5"))
 
 
-@query("ecommerce_filter")
+@query(
+    "ecommerce_filter",
+    """select page_id, row_number() over (partition by page_id order by card_id) as position, card_id, fragment from (
+         select page_id, min(card_id) as card_id, fragment from card_best group by page_id, fragment)""",
+)
 def ecommerce_filter(spark, sf_dir):
-    return X.ecommerce_filter(settled(_listing(spark, sf_dir)), query=CARD_QUERY)
+    return X.ecommerce_filter(_listing(spark, sf_dir), query=CARD_QUERY)
 
 
-@query("clean_for_model")
+@query(
+    "clean_for_model",
+    f"""select l.page_id, coalesce(o.html, '') as html from listing l left join (
+         select page_id, string_agg(repeat(' ', cast(depth as int)) || line || chr(10), '' order by pos) as html from (
+           select t.page_id, t.pos, any_value({V.stripped("t.tok")}) as line, count(s.node_id) as depth from model_tokens t
+           left join model_spans s on s.page_id = t.page_id and t.pos > s.start_pos and t.pos <= case when s.closed then s.end_pos - 1 else s.end_pos end
+           group by t.page_id, t.pos) where line <> '' group by page_id) o on o.page_id = l.page_id""",
+)
 def clean_for_model(spark, sf_dir):
     pages, elems = _parsed(spark, sf_dir)
-    return X.clean_for_model(pages, V.entities(elems), fragment_vectors(pages, elems), elems)
+    return X.clean_for_model(pages, elems, V.entities(elems), fragment_vectors(elems), similarity=V.FRAGMENT_SIMILARITY)

@@ -40,13 +40,13 @@ def anchor_extract(spark, sf_dir):
     return L.anchors(pages(spark, sf_dir)).select("page_id", "ordinal", "href", "html", "title")
 
 
-STYLED = "replace(replace(replace(html, '<a ', '<a class=\"x\" target=''_blank'' data-k=1 '), 'href=', 'rel=nofollow href='), '</a>', ' <b>more</b></a>')"
+STYLED = "replace(replace(replace(html, '<a ', '<a class=\"x\" target=''_blank'' data-k=1 '), 'href=', 'rel=nofollow href='), '</a>', ' <b>more</b>&lt;i> &#x26;amp; &</a>')"
 
 
 @query(
     "anchor_clean",
-    f"""select page_id, ordinal, {V.drop_attrs("regexp_extract(styled, '(?s)^(<[^>]*>)', 1)", "^(?:rel|target|style|aria-haspopup|aria-expanded|class)$")}
-        || body || 'more</a>' as clean_html from (select *, {STYLED} as styled from anchors)""",
+    f"""select page_id, ordinal, {V.drop_attrs(V.open_tag("styled"), "^(?:rel|target|style|aria-haspopup|aria-expanded|class)$")}
+        || {V.escaped("body")} || 'more' || '&lt;i&gt; &amp;amp; &amp;</a>' as clean_html from (select *, {STYLED} as styled from anchors)""",
 )
 def anchor_clean(spark, sf_dir):
     styled = L.anchors(pages(spark, sf_dir)).withColumn(
@@ -117,8 +117,8 @@ def category_link_output(spark, sf_dir):
 
 @query(
     "classifier_prompt",
-    """select p.page_id, string_agg('- ' || p.url || ' - ' || substr(c.clean_html, 1, 150), chr(10) order by p.ordinal) as prompt
-       from pruned p join clean_anchors c on p.page_id = c.page_id and p.ordinal = c.ordinal group by p.page_id""",
+    """select p.page_id, string_agg('- ' || p.url || ' - ' || substr(c.clean_html, 1, 150), chr(10) order by p.ordinal) as prompt,
+         count(*) filter (length(c.clean_html) > 150) as n_cut from pruned p join clean_anchors c on p.page_id = c.page_id and p.ordinal = c.ordinal group by p.page_id""",
 )
 def classifier_prompt(spark, sf_dir):
     return L.classifier_prompt(L.prune(L.anchors(pages(spark, sf_dir))))

@@ -12,6 +12,7 @@ from pagemill.operators import links as L
 from pagemill.operators import scoring as S
 from pagemill.operators import selection as X
 from pagemill.plans import views as V
+from pagemill.plans.catalog_queries import FORMAT, new_ids
 from pagemill.plans.registry import query
 from pagemill.session import settled
 
@@ -40,7 +41,7 @@ left join {child_sql("text", f"e.tag = 'div' and {V.attr('e.src', 'class')} = 'p
 
 def _listing(spark, sf_dir):
     pages = settled(V.view(spark, sf_dir, "listing"))
-    return pages, settled(E.elements(pages))
+    return pages, settled(E.elements(pages, text=True, fragment=True))
 
 
 @query("schema_extract", EXTRACT_SQL)
@@ -49,6 +50,13 @@ def schema_extract(spark, sf_dir):
     return T.schema_extract(pages, settled(V.view(spark, sf_dir, "schema_fields")), elems, CELLS)
 
 
+def _answers(spark, sf_dir):
+    """The model's answers, and for each another that is JSON of a wrong shape."""
+    good = V.view(spark, sf_dir, "responses")
+    odd = F.element_at(F.array(*map(F.lit, ["[1]", "5", '{"products":"oops"}', '"text"', "null"])), (F.col("page_id") % 5 + 1).cast("int"))
+    return good.unionByName(good.withColumn("payload", odd))
+
+
 @query(
     "payload_explode",
     """select page_id, domain, i - 1 as ordinal, json_extract_string(p, '$.name') as name, json_extract_string(p, '$.price') as price, next_page
@@ -57,15 +65,16 @@ def schema_extract(spark, sf_dir):
          from responses where json_valid(payload))""",
 )
 def payload_explode(spark, sf_dir):
-    return T.payload_products(V.view(spark, sf_dir, "responses"))
+    return T.payload_products(_answers(spark, sf_dir)).drop("title")
 
 
 @query(
     "payload_reject",
-    "select domain, count(*) as n_payloads, count(*) filter (not json_valid(payload)) as n_rejected from responses group by domain",
+    """select domain, count(*) as n_payloads, count(*) filter (not json_valid(payload)) + count(*) as n_rejected
+       from responses group by domain""".replace("count(*) as n_payloads", "2 * count(*) as n_payloads"),
 )
 def payload_reject(spark, sf_dir):
-    return T.payload_rejects(V.view(spark, sf_dir, "responses"))
+    return T.payload_rejects(_answers(spark, sf_dir))
 
 
 PRICE_OK = f"coalesce(regexp_full_match({V.stripped(chr(114) + 'eplace(price, ' + chr(39) + '$' + chr(39) + ', ' + chr(39) * 2 + ')')}, '\\d[\\d,]*\\.?\\d*'), false)"
@@ -117,7 +126,7 @@ def extract_by_mode(spark, sf_dir):
     failed = rejected.join(pages.select("page_id", "domain"), "page_id").select(
         "page_id", "domain", null.alias("name"), null.alias("price"), F.lit("rejected").alias("mode")
     )
-    return products.unionByName(failed)
+    return products.drop("title").unionByName(failed)
 
 
 @query(
@@ -157,7 +166,7 @@ def listing_coverage(spark, sf_dir):
 )
 def fragment_coverage(spark, sf_dir):
     pages, elems = _listing(spark, sf_dir)
-    return T.fragment_coverage(S.product_candidates(pages, V.entities(elems), elems), elems)
+    return T.fragment_coverage(S.product_candidates(elems, V.entities(elems)), elems)
 
 
 @query(
@@ -171,9 +180,20 @@ def extraction_report(spark, sf_dir):
     return T.extraction_report(V.view(spark, sf_dir, "offers").withColumn("run_id", run))
 
 
-@query("site_run")
+SITE_NAMES = f"(select {V.base_domain('url')} as name from pages union select domain from listing)"
+SITE_DOMAINS = f"""(select id, name from domains union all select {new_ids("name", "select max(id) from domains")} as id, name
+    from {SITE_NAMES} where name not in (select name from domains))"""
+SITE_URLS = f"(select url from pruned where {V.reject_reason('url')} is null union select url from listing)"
+
+
+@query(
+    "site_run",
+    f"""select e.domain, l.url as category_url, e.name, e.price, e.url, e.sku, d.id as domain_id, k.id as category_link_id, '{V.AS_OF}' as crawled_at
+        from ({EXTRACT_SQL}) e join listing l on l.page_id = e.page_id join {SITE_DOMAINS} d on d.name = e.domain
+        join (select {new_ids("url", "0")} as id, url from {SITE_URLS}) k on k.url = l.url""",
+)
 def site_run(spark, sf_dir):
-    """Category phase, then product phase over the next links of every site."""
+    """Category phase, then product phase over all due links of every site, then their crawl marks."""
     sites = settled(V.view(spark, sf_dir, "listing"))
     crawled = V.table(spark, sf_dir, "pages")
     domains = settled(
@@ -187,12 +207,17 @@ def site_run(spark, sf_dir):
     batch = found.unionByName(listed).withColumn("found_at", F.lit(V.EPOCH).cast("timestamp_ntz"))
     none = V.view(spark, sf_dir, "category_links").limit(0)
     links = settled(K.category_link_upsert(none, domains, batch, ["page_id", "ordinal"]))
-    turn = K.next_k_to_crawl(links).select("url")
+    turn = K.next_k_to_crawl(links, None).select("url")
     due = settled(sites.join(turn, "url", "left_semi"))
     products = settled(T.product_validate(T.schema_extract(due, settled(V.view(spark, sf_dir, "schema_fields")))))
     placed = products.join(due.select("page_id", F.col("url").alias("category_url")), "page_id")
     stored, _ = K.product_insert(placed, links, domains)
-    return stored.select("domain", "category_url", "name", "price", "url", "sku", "domain_id", "category_link_id")
+    marks = due.select("domain", "url", F.lit(V.AS_OF).cast("timestamp_ntz").alias("crawled_at"))
+    marked = K.mark_crawled(links, domains, marks).select(F.col("id").alias("category_link_id"), "last_crawled_at")
+    return stored.join(marked, "category_link_id").select(
+        "domain", "category_url", "name", "price", "url", "sku", "domain_id", "category_link_id",
+        F.date_format("last_crawled_at", FORMAT).alias("crawled_at"),
+    )
 
 
 @query(

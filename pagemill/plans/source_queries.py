@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pagemill.functions import markup as M
 from pagemill.functions.urls import base_domain
 from pagemill.plans import views as V
 from pagemill.plans.registry import query
@@ -22,11 +23,8 @@ FETCHED = """select page_id, url, case when page_id % 9 = 0 then '' when page_id
 )
 def page_scan(spark, sf_dir):
     fetched = spark.sql(FETCHED, pages=V.table(spark, sf_dir, "pages"))
-    kept, dropped = R.usable_pages(fetched)
     size = F.length(F.coalesce("html", F.lit(""))).alias("n_chars")
-    reasons = dropped.select("page_id", "url", F.col("reason").alias("outcome"))
-    sizes = fetched.select("page_id", size)
-    return kept.select("page_id", "url", F.lit("kept").alias("outcome"), size).unionByName(reasons.join(sizes, "page_id"))
+    return R.with_outcome(fetched).select("page_id", "url", F.coalesce("reason", F.lit("kept")).alias("outcome"), size)
 
 
 @query(
@@ -115,15 +113,16 @@ def labels_append_sink(spark, sf_dir):
     "page_artifact_sink",
     f"""select case when page_id % 2 = 0 then 'r1' else '' end as run_id, kind, replace(domain, '.', '_')
           || case when page_id % 2 = 0 then '_r1' else '' end || '_' || kind as name, md5(html) as body_md5
-        from (select page_id, html, {V.base_domain("url")} as domain, unnest(['raw', 'copy']) as kind from pages)""",
+        from (select page_id, html, {V.base_domain("url")} as domain, unnest(['raw', 'cleaned']) as kind from pages)""".replace(
+        "md5(html)", f"md5(case kind when 'raw' then html else regexp_replace(html, '{V.containers(['script', 'style'])}', '', 'g') end)"
+    ),
 )
 def page_artifact_sink(spark, sf_dir):
     pages = V.table(spark, sf_dir, "pages")
     run_id = F.when(F.col("page_id") % 2 == 0, "r1").otherwise("")
-    rows = pages.select(
-        base_domain(F.col("url")).alias("domain"), run_id.alias("run_id"), F.explode(F.array(F.lit("raw"), F.lit("copy"))).alias("kind"),
-        F.col("html").alias("body"),
-    )
+    cleaned = M.remove_containers(F.col("html"), ["script", "style"])
+    bodies = F.array(*(F.struct(F.lit(k).alias("kind"), b.alias("body")) for k, b in (("raw", F.col("html")), ("cleaned", cleaned))))
+    rows = pages.select(base_domain(F.col("url")).alias("domain"), run_id.alias("run_id"), F.inline(bodies))
     named = rows.withColumn("name", sinks.artifact_name(F.col("domain"), F.col("run_id"), F.col("kind")))
     path = scratch_dir(spark, "artifacts")
     sinks.write_artifacts(named, path)

@@ -1,44 +1,42 @@
-"""Incremental forms and the table function, run over the whole tables."""
+"""Incremental forms, run over the whole tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagemill.functions import udtf
 from pagemill.functions.urls import base_domain
 from pagemill.operators import catalog as K
 from pagemill.operators import links as L
 from pagemill.plans import views as V
 from pagemill.plans.catalog_queries import DUCK_FORMAT, FORMAT, UPSERTED_DOMAINS, new_ids
 from pagemill.plans.registry import query
-from pagemill.session import scratch_dir
+from pagemill.session import scratch_dir, settled
 from pagemill.streaming import jobs as J
 
 
-def _arriving(spark, rows, *parts):
-    """Rows written as files in the order of the given conditions, read back as a stream."""
-    path = scratch_dir(spark, "arriving")
+def _arriving(spark, rows, parts, make, **run):
+    """The parts of ``rows`` arrive one after the other; each is a batch of as many files as its tasks wrote."""
+    path, checkpoint = scratch_dir(spark, "arriving"), scratch_dir(spark, "stream")
     for part in parts:
-        rows.where(part).coalesce(1).write.mode("append").parquet(path)
-    return J.read_files(spark, path, rows.schema, files_per_trigger=1)
+        rows.where(part).write.mode("append").parquet(path)
+        J.run_now(make(J.read_files(spark, path, rows.schema)), checkpoint, **run)
 
 
 @query("stream_content_dedup", "select distinct md5(html) as content_hash, length(html) as n_chars from pages")
 def stream_content_dedup(spark, sf_dir):
     pages = V.table(spark, sf_dir, "pages")
     again = pages.withColumn("page_id", F.col("page_id") + 1000000)
-    stream = _arriving(spark, pages.unionByName(again), "page_id < 1000000", "page_id >= 1000000")
     out = scratch_dir(spark, "deduped")
-    J.run_now(J.content_dedup(stream), scratch_dir(spark, "stream"), out)
+    _arriving(spark, pages.unionByName(again), ["page_id < 1000000", "page_id >= 1000000"], J.content_dedup, path=out)
     return spark.read.parquet(out).select("content_hash", F.length("html").alias("n_chars"))
 
 
 @query("stream_label_stats", "select domain, is_plp, count(*) as n_samples from samples group by domain, is_plp")
 def stream_label_stats(spark, sf_dir):
     samples = V.view(spark, sf_dir, "samples").select("doc_id", "domain", "is_plp")
-    stream = _arriving(spark, samples, "doc_id % 3 = 0", "doc_id % 3 = 1", "doc_id % 3 = 2")
     out = scratch_dir(spark, "stats")
-    J.run_now(J.label_stats(stream), scratch_dir(spark, "stream"), mode="complete", each=J.write_whole(out))
+    parts = ["doc_id % 3 = 0", "doc_id % 3 = 1", "doc_id % 3 = 2"]
+    _arriving(spark, samples, parts, J.label_stats, mode="complete", each=J.write_whole(out))
     return spark.read.parquet(out)
 
 
@@ -58,28 +56,26 @@ def stream_label_stats(spark, sf_dir):
 def stream_catalog_upsert(spark, sf_dir):
     """Two batches of found links, then crawl marks for the links with an even last id digit."""
     pages = V.table(spark, sf_dir, "pages")
-    domains = K.domain_upsert(
-        V.view(spark, sf_dir, "domains"), pages.select(base_domain(F.col("url")).alias("name"))
-    )
+    names = pages.select(base_domain(F.col("url")).alias("name"))
+    domains = settled(K.domain_upsert(V.view(spark, sf_dir, "domains"), names))
     found = L.prune(L.anchors(pages)).select(
         F.lit("found").alias("kind"), "domain", "url", F.col("html").alias("link_html"),
         F.lit(V.EPOCH).cast("timestamp_ntz").alias("at"),
         F.struct((F.col("page_id") % 2).alias("part"), "page_id", "ordinal").alias("seq"),
     )
     none = V.view(spark, sf_dir, "category_links").limit(0)
-    store, checkpoint = scratch_dir(spark, "catalog"), scratch_dir(spark, "stream")
+    store = scratch_dir(spark, "catalog")
     J.start_catalog(spark, store, none)
-    stream = _arriving(spark, found, "seq.part = 0", "seq.part = 1")
-    J.run_now(stream, checkpoint, each=J.catalog_upsert(store, domains))
-    links = J.catalog_table(spark, store)
+    _arriving(spark, settled(found), ["seq.part = 0", "seq.part = 1"], lambda s: s, each=J.catalog_upsert(store, domains))
+    links = settled(J.catalog_table(spark, store))
     named = links.join(domains.select(F.col("id").alias("domain_id"), F.col("name").alias("domain")), "domain_id")
     marks = named.where("id % 10 % 2 = 0").select(
         F.lit("crawled").alias("kind"), "domain", "url", "link_html", F.lit(V.AS_OF).cast("timestamp_ntz").alias("at"),
         F.struct(F.lit(2).cast("bigint").alias("part"), F.col("id").alias("page_id"), F.lit(0).alias("ordinal")).alias("seq"),
     )
-    later, second = scratch_dir(spark, "catalog"), scratch_dir(spark, "stream")
+    later = scratch_dir(spark, "catalog")
     J.start_catalog(spark, later, links)
-    J.run_now(_arriving(spark, marks, "true"), second, each=J.catalog_upsert(later, domains))
+    _arriving(spark, marks, ["true"], lambda s: s, each=J.catalog_upsert(later, domains))
     return J.catalog_table(spark, later).select(
         "id", "url", "domain_id", F.coalesce(F.date_format("last_crawled_at", FORMAT), F.lit("never")).alias("last_crawled_at")
     )
@@ -92,16 +88,7 @@ def stream_catalog_upsert(spark, sf_dir):
 )
 def stream_latest_schema(spark, sf_dir):
     schemas = V.view(spark, sf_dir, "product_schemas")
-    stream = _arriving(spark, schemas, "id % 3 = 1", "id % 3 = 0", "id % 3 = 2")
     out = scratch_dir(spark, "schemas")
-    J.run_now(J.latest_schema(stream), scratch_dir(spark, "stream"), mode="complete", each=J.write_whole(out))
+    parts = ["id % 3 = 1", "id % 3 = 0", "id % 3 = 2"]
+    _arriving(spark, schemas, parts, J.latest_schema, mode="complete", each=J.write_whole(out))
     return spark.read.parquet(out).withColumn("generated_at", F.date_format("generated_at", FORMAT))
-
-
-@query("fragments_udtf")
-def fragments_udtf(spark, sf_dir):
-    udtf.register(spark)
-    return spark.sql(
-        "select page_id, f.ordinal, f.tag, f.n_words, md5(f.text) as text_md5 from {pages}, lateral page_fragments(html) f",
-        pages=V.table(spark, sf_dir, "pages"),
-    )

@@ -23,6 +23,8 @@ PARTS_PER_BLOCK = 2000  # keeps a listing page near 80 cards at any scale
 LINK_BLOCK = 100
 EPOCH = "2024-01-01 00:00:00"
 AS_OF = "2024-02-01 00:00:00"
+FRAGMENT_SIMILARITY = 0.9995
+MODELS = [f"model-{x}" for x in "abcd"]  # stand-ins for the models whose answers are compared
 
 
 class Dialect:
@@ -52,7 +54,7 @@ def shared(d: Dialect) -> dict[str, str]:
         f"""select '{m}' as model, doc_id,
             case when (quality = 1) = (doc_id % {i + 5} > 0) then ' True.' else 'False' end as response,
             case when doc_id % 9 = 0 then 'timeout' end as error from labels"""
-        for i, m in enumerate(P.MODELS)
+        for i, m in enumerate(MODELS)
     )
     fields = [
         ("name", "h3", "text", "", ""),
@@ -149,10 +151,32 @@ def shared(d: Dialect) -> dict[str, str]:
 # ---------------------------------------------------------------- views only the SQL side needs
 
 
+def sql_pattern(p: str) -> str:
+    """A pattern of the package as a SQL text."""
+    return P.linear(p).replace("'", "''")
+
+
 def decoded(x: str) -> str:
-    for name, value in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
-        x = f"replace({x}, '{name}', '{value}')"
-    return x
+    digits = "regexp_extract(t, '([0-9A-Fa-f]+);$', 1)"
+    n = f"try_cast(case when lower(substr(t, 3, 1)) = 'x' then '0x' || {digits} else {digits} end as bigint)"
+    char = f"chr(cast(case when {n} between 1 and 1114111 and not {n} between 55296 and 57343 then {n} else 65533 end as int))"
+    named = " ".join("when '&{}' then '{}'".format(f"{k};", v.replace("'", "''")) for k, v in P.ENTITIES.items())
+    one = f"case when t like '&#%;' then {char} when t like '&%' then case t {named} else t end else t end"
+    parts = f"regexp_extract_all({x}, '{sql_pattern(P.REFERENCE)}', 0)"
+    return f"case when contains({x}, '&') then array_to_string(list_transform({parts}, lambda t: {one}), '') else {x} end"
+
+
+def open_tag(x: str) -> str:
+    return f"regexp_extract({x}, '{sql_pattern(P.OPEN_TAG)}', 1)"
+
+
+def escaped(x: str) -> str:
+    return f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+def containers(tags) -> str:
+    """A pattern for comments and the given non-nesting elements."""
+    return "(?is)<!--.*?-->" + "".join(rf"|<{t}\b{sql_pattern(P.IN_TAG)}>.*?</{t}\s*>" for t in tags)
 
 
 def stripped(x: str) -> str:
@@ -210,7 +234,7 @@ def resolve(h: str, b: str) -> str:
 
 def drop_attrs(src: str, pattern: str) -> str:
     keep = (
-        f"list_filter(regexp_extract_all(regexp_replace({src}, '^<[^\\s>/]+', ''), '{P.ATTRIBUTE.replace(chr(39), chr(39) * 2)}', 0), "
+        f"list_filter(regexp_extract_all(regexp_replace({src}, '^<[^\\s>/]+', ''), '{sql_pattern(P.ATTRIBUTE)}', 0), "
         f"lambda a: not regexp_matches(lower(regexp_extract(a, '^\\s+([^\\s=]+)', 1)), '{pattern}'))"
     )
     return (
@@ -261,7 +285,7 @@ def _markup_views(prefix: str, source: str) -> dict[str, str]:
                   when tag in {in_list(P.VOID_TAGS)} or tok like '%/>' then 'void' else 'open' end as kind
                 from (select *, lower(regexp_extract(tok, '^</?([A-Za-z][^\\s>/]*)', 1)) as tag
                   from (select page_id, unnest(range(len(toks))) as pos, unnest(toks) as tok
-                    from (select page_id, regexp_extract_all(html, '{P.TOKEN}', 0) as toks from {source}))))""",
+                    from (select page_id, regexp_extract_all(html, '{sql_pattern(P.TOKEN)}', 0) as toks from {source}))))""",
         f"{prefix}_blocks": f"""
             select page_id, pos, tag, kind from {t}
             where tag in {in_list(P.BLOCK_TAGS)} and kind in ('open', 'close', 'void')""",
@@ -278,7 +302,7 @@ def _markup_views(prefix: str, source: str) -> dict[str, str]:
             from {t} o join {prefix}_blocks b on o.page_id = b.page_id and b.pos > o.pos
             where o.kind = 'open' group by o.page_id, o.pos""",
         f"{prefix}_spans": f"""
-            select t.page_id, t.pos as node_id, t.tag, t.kind, regexp_extract(t.tok, '(?s)^(<[^>]*>)', 1) as src,
+            select t.page_id, t.pos as node_id, t.tag, t.kind, regexp_extract(t.tok, '{sql_pattern(P.OPEN_TAG)}', 1) as src,
               t.pos as start_pos,
               case when t.kind <> 'open' then t.pos
                 when t.tag = 'p' then case when block_what = 'p close' then block_pos else coalesce(block_pos - 1, last_pos) end
@@ -310,24 +334,58 @@ def sql_views() -> dict[str, str]:
     href = "strip_href"
     entity_weight = "case x.label " + " ".join(f"when '{n}' then {w}" for n, w in P.ENTITY_WEIGHTS.items()) + " else 0 end"
     tag_weight = "case tag " + " ".join(f"when '{t}' then {w}e0" for t, w in P.TAG_WEIGHTS.items()) + " else 0.5e0 end"
+    letters = ", ".join(f"cast(length(text) - length(replace(text, '{c}', '')) as double)" for c in "aeiourst0123456789")
+    alike = f"""(list_max(list_transform(w.kept_vectors, lambda k: list_cosine_similarity(k, d.v))) > {FRAGMENT_SIMILARITY} and list_sum(d.v) > 0)"""
     out = {
         **_markup_views("page", "pages"),
         **_markup_views("listing", "listing"),
+        **_markup_views("model", "model_source"),
+        "product_ranked": f"""
+            select *, row_number() over (partition by page_id order by score desc, node_id) as r, [{letters}] as v
+            from listing_scored c where not exists (select 1 from listing_scored o
+              where o.page_id = c.page_id and o.start_pos < c.start_pos and o.end_pos >= c.end_pos)""",
+        "product_walk": f"""
+            select page_id, r, [node_id] as kept, [v] as kept_vectors from product_ranked where r = 1
+            union all
+            select w.page_id, d.r, case when {alike} then w.kept else list_append(w.kept, d.node_id) end,
+              case when {alike} then w.kept_vectors else list_append(w.kept_vectors, d.v) end
+            from product_walk w join product_ranked d on d.page_id = w.page_id and d.r = w.r + 1""",
+        "product_kept": """
+            select p.page_id, p.node_id, p.score, p.fragment from product_ranked p join (
+              select page_id, unnest(kept) as node_id from (select page_id, kept, row_number() over (partition by page_id order by r desc) as last
+                from product_walk) where last = 1) k on k.page_id = p.page_id and k.node_id = p.node_id""",
+        "model_source": """
+            select page_id, string_agg(fragment, chr(10) order by rank) as html from (
+              select *, row_number() over (partition by page_id order by score desc, node_id) as rank from product_kept) where rank <= 20 group by page_id""",
+        "card_ranked": """
+            select *, row_number() over (partition by page_id order by score desc, node_id) as rank from (
+              select s.page_id, s.node_id, s.score, s.start_pos, s.end_pos, c.card_id, c.card_end from listing_card_scored s
+              join listing_cropped c on c.page_id = s.page_id and c.node_id = s.node_id) a
+            where not exists (select 1 from listing_card_scored o join listing_cropped b on b.page_id = o.page_id and b.node_id = o.node_id
+              where o.page_id = a.page_id and b.card_id <= a.start_pos and b.card_end >= a.end_pos
+                and (o.score > a.score or (o.score = a.score and o.node_id < a.node_id)))""",
+        "card_best": """
+            select c.page_id, c.card_id, string_agg(t.tok, '' order by t.pos) as fragment
+            from (select distinct page_id, card_id, card_end from card_ranked where rank <= 20) c
+            join listing_tokens t on t.page_id = c.page_id and t.pos between c.card_id and c.card_end
+            where not exists (select 1 from listing_flagged p where p.page_id = c.page_id and p.promo
+                and p.start_pos > c.card_id and p.end_pos <= c.card_end and t.pos between p.start_pos and p.end_pos)
+            group by c.page_id, c.card_id""",
         "anchors": f"""
             select page_id, page_url, ordinal, {attr("html", "href")} as href, html,
               case when body = '' then 'No Title' else body end as title, body
-            from (select *, array_to_string(list_filter(list_transform(regexp_extract_all(html, '(?is)<[^>]*>|[^<]+', 0),
-                  lambda t: case when t like '<%' then '' else {stripped(decoded("t"))} end), lambda t: t <> ''), '') as body
+            from (select *, array_to_string(list_filter(list_transform(regexp_extract_all(html, '{sql_pattern(P.TOKEN)}', 0),
+                  lambda t: case when t like '<%' and t <> '<' then '' else {stripped(decoded("t"))} end), lambda t: t <> ''), '') as body
               from (select page_id, page_url, row_number() over (partition by page_id order by i) - 1 as ordinal,
                   case when regexp_matches(cut, '(?i)</a\\s*>') then regexp_extract(cut, '(?is)^(<a.*?</a\\s*>)', 1)
-                    else regexp_extract(cut, '(?is)^(<a[^>]*>[^<]*)', 1) end as html
+                    else regexp_extract(cut, '(?is)^(<a{sql_pattern(P.IN_TAG)}>[^<]*|<a[^>]*>[^<]*)', 1) end as html
                 from (select page_id, page_url, unnest(range(len(cuts))) as i, unnest(cuts) as cut
                   from (select page_id, url as page_url, string_split(regexp_replace(regexp_replace(html,
-                      '(?is)<!--.*?-->|<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>|<noscript\\b[^>]*>.*?</noscript\\s*>|<footer\\b[^>]*>.*?</footer\\s*>',
+                      '{containers(["script", "style", "noscript", "footer"])}',
                       '', 'g'), '(?i)<a([\\s>])', chr(1) || '<a\\1', 'g'), chr(1)) as cuts from pages))
                 where regexp_matches(cut, '(?i)^<a[\\s>]')))""",
         "clean_anchors": f"""
-            select page_id, ordinal, {drop_attrs("regexp_extract(html, '(?s)^(<[^>]*>)', 1)", "^(?:" + "|".join(P.ANCHOR_ATTRS_DROPPED) + ")$")} || body || '</a>' as clean_html from anchors""",
+            select page_id, ordinal, {drop_attrs(open_tag("html"), "^(?:" + "|".join(P.ANCHOR_ATTRS_DROPPED) + ")$")} || {escaped("body")} || '</a>' as clean_html from anchors""",
         "resolved": f"""
             select *, {base_domain("url")} as domain, {base_domain("page_url")} as page_domain
             from (select *, {resolve(href, "page_url")} as url from (select *, {stripped("href")} as strip_href from anchors))""",
@@ -433,7 +491,7 @@ def with_views(sql: str) -> str:
     names = _ordered(sql, catalog)
     if not names:
         return sql
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS {'' if n in ('walk', 'chain') else 'MATERIALIZED '}({catalog[n]})" for n in names) + "\n" + sql
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS {'' if n in ('walk', 'chain', 'product_walk') else 'MATERIALIZED '}({catalog[n]})" for n in names) + "\n" + sql
 
 
 # ---------------------------------------------------------------- Spark side

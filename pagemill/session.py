@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,15 +39,16 @@ def apply_settings(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The reliable checkpoint folder: the cluster's own, else one for this local run."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder for checkpoints and written tables, shared by all executors.
+
+    It is the one that ``spark.checkpoint.dir`` names or the context already has; where neither is set,
+    as in tests, a folder of the warehouse.
+    """
     current = spark.sparkContext.getCheckpointDir()
-    if configured and not current:
-        spark.sparkContext.setCheckpointDir(configured)
-    elif not current:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor shares")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pagemill-ckpt-"))
+    if not current:
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        spark.sparkContext.setCheckpointDir(configured or f"{warehouse.rstrip('/')}/_checkpoints")
     return spark.sparkContext.getCheckpointDir()
 
 

@@ -12,11 +12,16 @@ LABEL_SCHEMA = (
 )
 
 
-def usable_pages(fetched: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Fetched pages (``page_id, url, html, success, error``) and the dropped ones with a reason."""
+def with_outcome(fetched: DataFrame) -> DataFrame:
+    """Add ``reason``: why a fetch gives no page, null if it does."""
     empty = F.coalesce(F.col("html") == "", F.lit(True))
     reason = F.when(~F.coalesce("success", F.lit(False)), F.coalesce("error", F.lit("failed"))).when(empty, "empty")
-    marked = fetched.withColumn("reason", reason)
+    return fetched.withColumn("reason", reason)
+
+
+def usable_pages(fetched: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Fetched pages (``page_id, url, html, success, error``) and the dropped ones with a reason."""
+    marked = with_outcome(fetched)
     return (
         marked.where("reason is null").select("page_id", "url", "html"),
         marked.where("reason is not null").select("page_id", "url", "reason"),
@@ -58,29 +63,20 @@ def urls_from_json(spark: SparkSession, path: str, url_key: str = "url") -> Data
     return urls_from_json_column(spark.read.text(path, wholetext=True), "value", url_key)
 
 
-def labels_from_lines(lines: DataFrame, column: str = "value", strict: bool = False) -> DataFrame:
-    """Label records of JSON lines; blank lines are skipped and, unless strict, broken ones too."""
-    kept = lines.where(strip_ws(F.col(column)) != "")
-    options = {"mode": "FAILFAST"} if strict else {}
-    text = F.col(column) if strict else F.when(F.try_parse_json(column).isNotNull(), F.col(column))
-    return kept.select(F.from_json(text, LABEL_SCHEMA, options).alias("r")).where("r is not null").select("r.*")
-
-
 def labels_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LABEL_SCHEMA).option("mode", "DROPMALFORMED").json(path)
 
 
-def products_json(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("multiLine", True).json(path)
-
-
 def cached_or_newest(snapshot: DataFrame, fetched: DataFrame, use_cache: bool) -> DataFrame:
     """One page per URL: the stored snapshot where allowed and present, else the newest fetch.
 
-    ``fetched`` carries ``url, html, fetched_at, fetch_id``; the snapshot ``url, html``.
+    ``fetched`` carries ``url, html, fetched_at, fetch_id`` (``fetch_id`` unique); the snapshot
+    ``url, html``. The newest fetch is chosen by its id, and its html joined back for the chosen
+    ones only.
     """
-    newest = fetched.groupBy("url").agg(F.max_by("html", F.struct("fetched_at", "fetch_id")).alias("html"))
-    if not use_cache:
-        return newest.withColumn("source", F.lit("fetch"))
-    missing = newest.join(snapshot.select("url"), "url", "left_anti").withColumn("source", F.lit("fetch"))
-    return snapshot.select("url", "html", F.lit("cache").alias("source")).unionByName(missing)
+    newest = fetched.groupBy("url").agg(F.max(F.struct("fetched_at", "fetch_id")).alias("n"))
+    if use_cache:
+        newest = newest.join(snapshot.select("url"), "url", "left_anti")
+    chosen = newest.select(F.col("n.fetch_id").alias("fetch_id"))
+    taken = fetched.join(chosen, "fetch_id", "left_semi").select("url", "html", F.lit("fetch").alias("source"))
+    return snapshot.select("url", "html", F.lit("cache").alias("source")).unionByName(taken) if use_cache else taken

