@@ -16,7 +16,7 @@ from pagemill.session import settled
 #: Arrow batches end at this many rows or bytes, so that a task's memory follows the batch and
 #: its longest text, never the partition.
 BATCH_ROWS = 2_000
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def limit_batches(spark: SparkSession) -> None:
