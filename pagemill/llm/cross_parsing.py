@@ -22,8 +22,9 @@ UNKNOWN = "und"
 def suffix_automaton(symbols: np.ndarray, alphabet: int) -> np.ndarray:
     """The automaton of all substrings, as a table ``state * alphabet + symbol``.
 
-    An entry is twice the next state, plus 1 where the text so far has no such continuation: the
-    phrase ends, and the next one starts with this symbol (from the root, if it occurs at all).
+    An entry is four times the next state, plus the phrases that end: one where the text so far has no
+    such continuation (the next phrase starts with this symbol), and one for a symbol that never
+    occurs, which is a phrase of its own and leads back to the root. At the root no phrase is open.
     """
     following: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
@@ -50,14 +51,14 @@ def suffix_automaton(symbols: np.ndarray, alphabet: int) -> np.ndarray:
                     following[at][c] = copy
                     at = link[at]
         last = new
-    root = np.zeros(alphabet, np.int32)
+    root = np.ones(alphabet, np.int32)  # a symbol that never occurs: back to the root, one phrase
     for c, to in following[0].items():
-        root[c] = 2 * to
+        root[c] = 4 * to
     step = np.tile(root + 1, (len(following), 1)).astype(np.int32)
-    # A symbol that never occurs is a phrase of its own at the root as elsewhere.
+    step[0] = root
     states = np.repeat(np.arange(len(following)), [len(x) for x in following])
     chars = np.fromiter((c for x in following for c in x), np.int64, len(states))
-    step[states, chars] = 2 * np.fromiter((to for x in following for to in x.values()), np.int64, len(states))
+    step[states, chars] = 4 * np.fromiter((to for x in following for to in x.values()), np.int64, len(states))
     return step.ravel()
 
 
@@ -90,7 +91,7 @@ class CrossParser:
         tables, offsets, at = [], [], 0
         for own in parts:
             offsets.append(at)
-            tables.append(suffix_automaton(self.index(own), self.unknown + 1) + 2 * at)
+            tables.append(suffix_automaton(self.index(own), self.unknown + 1) + 4 * at)
             at += len(tables[-1]) // (self.unknown + 1)
         self.step = np.concatenate(tables)
         self.roots = np.array(offsets, np.int64)[:, None]
@@ -134,9 +135,9 @@ class CrossParser:
         ended = np.zeros((len(self.languages), len(lane_row)), np.int64)
         for k, n in enumerate(active.tolist()):
             move = self.step[state[:, :n] * width + symbols[lane_start[:n] + k]]
-            ended[:, :n] += move & 1
-            state[:, :n] = move >> 1
-        ended += 1  # the phrase that the end of the block cuts off
+            ended[:, :n] += move & 3
+            state[:, :n] = move >> 2
+        ended += state != self.roots  # the phrase that the end of the block cuts off
         for i in range(len(self.languages)):
             total[i] = np.bincount(lane_row, ended[i], len(texts)).astype(np.int64)
         return total, count, letters
