@@ -78,11 +78,12 @@ class _Bins:
                 del self.holding[gap][n]
                 del self.sorted_lengths[gap][bisect_left(self.sorted_lengths[gap], n)]
 
-    def partner(self, total: int) -> tuple[int, int] | None:
-        """A bin and the length of a document in it, which gains most by taking ``total`` for it."""
+    def partner(self, total: int, most: int) -> tuple[int, int] | None:
+        """A bin with a gap of at most ``most`` and the length of a document in it, which gains most by
+        taking ``total`` for it."""
         best = None
         for gap, held in self.sorted_lengths.items():
-            k = bisect_left(held, total - gap)
+            k = bisect_left(held, total - gap) if gap <= most else len(held)
             if k < len(held) and held[k] < total and (best is None or total - held[k] > best[0]):
                 best = total - held[k], min(self.holding[gap][held[k]]), held[k]
         return best and best[1:]
@@ -120,7 +121,8 @@ class _Bins:
 
         The source is never fuller than the target, so each shift that fills the target further
         raises the sum of squared fills; the search ends as that sum is bounded. It stops early at
-        the least number of bins the total allows.
+        the least number of bins the total allows. What no bin took from an emptier source isn't tried
+        again until something moved.
         """
         least = -(-int(self.lengths.sum()) // self.capacity)
         alive = sum(map(bool, self.items))
@@ -128,38 +130,34 @@ class _Bins:
             self.index(b)
         moved = True
         while moved and alive > least:
-            moved, failed = False, set()
+            moved, failed, level = False, set(), (0, set())
             for source in sorted((b for b in range(len(self.items)) if self.items[b]), key=lambda b: (self.fill[b], b)):
-                if alive <= least or not self.capacity - self.fill[source]:
+                if alive <= least:
                     break
-                self.unindex(source)
-                self._gap_out(source, self.capacity - self.fill[source])
-                progress = bool(self.items[source])
-                while progress:
-                    progress = False
-                    for total, docs in self.offers(source):
-                        if (total, len(docs)) in failed or total >= self.capacity:
-                            continue
-                        gap = self.smallest_gap(total)
-                        target = (min(self.with_gap[gap]), None) if gap is not None else self.partner(total)
-                        if target is None:
-                            failed.add((total, len(docs)))
-                        elif self.fill[target[0]] + total - (target[1] or 0) > self.fill[source]:
-                            self._gap_in(source, self.capacity - self.fill[source])
-                            self.index(source)
-                            self.shift(source, docs, *target)
-                            moved = progress = True
-                            failed.clear()
-                            if self.items[source]:
-                                self.unindex(source)
-                                self._gap_out(source, self.capacity - self.fill[source])
-                            break
-                    progress = progress and bool(self.items[source])
-                if self.items[source]:
-                    self._gap_in(source, self.capacity - self.fill[source])
+                if self.fill[source] != level[0]:
+                    failed |= level[1]
+                    level = self.fill[source], set()
+                while self.items[source]:
+                    room = self.capacity - self.fill[source]
+                    self.unindex(source)
+                    self._gap_out(source, room)
+                    found = None
+                    for total, docs in self.offers(source) if room else ():
+                        if total < self.capacity and total not in failed:
+                            gap = self.smallest_gap(total)
+                            found = (min(self.with_gap[gap]), None) if gap is not None and gap <= room else self.partner(total, room)
+                            if found:
+                                break
+                            level[1].add(total)
+                    self._gap_in(source, room)
                     self.index(source)
-                else:
-                    alive -= 1
+                    if not found:
+                        break
+                    self.shift(source, docs, *found)
+                    moved = True
+                    failed.clear()
+                    level[1].clear()
+                alive -= not self.items[source]
 
 
 def pack_lengths(lengths: np.ndarray, capacity: int = LIMIT) -> tuple[np.ndarray, np.ndarray]:
