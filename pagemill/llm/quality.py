@@ -19,8 +19,8 @@ TRAIN_ROWS = 3_000
 BUCKETS = 1 << 15
 CHAR_SIZES = (3, 5)
 STEPS = 80
-#: Kept from this calibrated probability of good quality on.
-KEEP_FROM = 0.5
+#: Kept from this calibrated probability of good quality on: to lose a clean document costs more than to keep a poor one.
+KEEP_FROM = 0.25
 LEAST_WORDS = 20
 WINDOW = 8
 MOST_REPEATED = 30  # per cent of words
@@ -139,16 +139,29 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept of the calibrated probability, by Newton steps with smoothed targets."""
+    """Slope and intercept of the calibrated probability.
+
+    Newton steps on the log loss against smoothed targets, (n + 1) / (n + 2) of n good ones and
+    1 / (m + 2) of m bad ones, so that classes that don't overlap get finite values, too; a step is halved
+    until the loss falls.
+    """
     good = y.sum()
     t = np.where(y == 1, (good + 1) / (good + 2), 1 / (len(y) - good + 2))
-    x = np.column_stack([z, np.ones_like(z)])
-    ab = np.array([1.0, 0.0])
-    for _ in range(30):
+    centre, scale = z.mean(), max(z.std(), 1e-9)
+    x = np.column_stack([(z - centre) / scale, np.ones_like(z)])
+    loss = lambda ab: np.logaddexp(0, x @ ab).sum() - t @ (x @ ab)
+    ab = np.zeros(2)
+    for _ in range(50):
         p = _sigmoid(x @ ab)
-        grad = x.T @ (p - t) + 1e-3 * (ab - [1.0, 0.0])
-        ab = ab - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), grad)
-    return float(ab[0]), float(ab[1])
+        hessian = (x * (p * (1 - p))[:, None]).T @ x + 1e-9 * np.eye(2)
+        step = np.linalg.solve(hessian, x.T @ (p - t))
+        size = 1.0
+        while size > 1e-6 and loss(ab - size * step) > loss(ab):
+            size /= 2
+        ab = ab - size * step
+        if np.abs(size * step).max() < 1e-6:
+            break
+    return float(ab[0] / scale), float(ab[1] - ab[0] * centre / scale)
 
 
 def _fit(rows: pd.DataFrame) -> pd.DataFrame:
