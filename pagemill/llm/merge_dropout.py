@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from heapq import heapify, heappop, heappush
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -82,8 +83,11 @@ class Pieces:
         return [self.of_byte[b] for b in char.encode()]
 
 
-def _key(word: str, seed: int) -> int:
-    return xxhash.xxh64_intdigest(word, seed & 0xFFFFFFFFFFFFFFFF)
+def _keys(words: list[str], seed: int) -> np.ndarray:
+    """The hash of each word under a seed."""
+    plain = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    with np.errstate(over="ignore"):
+        return scramble(plain + np.uint64(seed & 0xFFFFFFFFFFFFFFFF) * np.uint64(0xD1B54A32D192ED03))
 
 
 def _skipped(base, start, middle, end, dropout: float) -> np.ndarray:
@@ -155,67 +159,63 @@ def together(pieces: Pieces, words: list[str], bases: np.ndarray, dropout: float
 
     if width > 1:
         score, made = rate(ids[:, :-1], ids[:, 1:], place[:, :-2], place[:, 1:-1], place[:, 2:], base[:, None])
-        while len(row):
+        while True:
             best = np.argmax(score, axis=1)
             going = score[np.arange(len(row)), best] > _NONE
-            result[row[~going], : ids.shape[1]] = ids[~going]
-            result[row[~going], ids.shape[1] :] = -2
-            row, base, best, ids, place, score, made = (x[going] for x in (row, base, best, ids, place, score, made))
+            if not going.all():
+                stay = ~going
+                result[row[stay], : ids.shape[1]] = ids[stay]
+                result[row[stay], ids.shape[1] :] = -2
+                row, base, best, ids, place, score, made = (x[going] for x in (row, base, best, ids, place, score, made))
             if not len(row):
                 break
-            every, columns = np.arange(len(row)), np.arange(ids.shape[1])
-            ids[every, best] = made[every, best]
-            # Take the slot on the right of the merge out; the last column becomes padding.
-            shift = lambda x, after, fill: np.concatenate([np.take_along_axis(x, np.minimum(np.arange(x.shape[1]) + (np.arange(x.shape[1]) >= after[:, None]), x.shape[1] - 1), 1)[:, :-1], np.full((len(x), 1), fill, x.dtype)], 1)
-            last = place[:, -1]
-            ids = shift(ids, best + 1, -2)
-            place = shift(place, best + 1, 0)
-            place[:, -1] = last
-            score, made = shift(score, best, _NONE), shift(made, best, -1)
+            ids[np.arange(len(row)), best] = made[np.arange(len(row)), best]
+            # Every row loses the slot on the right of its merge, so all stay equally wide.
+            without = lambda x, at: x[np.arange(x.shape[1]) != at[:, None]].reshape(len(x), x.shape[1] - 1)
+            ids, place = without(ids, best + 1), without(place, best + 1)
+            score, made = without(score, best), without(made, best)
             for at in (best - 1, best):
-                ok = np.flatnonzero((at >= 0) & (at + 1 < len(columns)))
+                ok = np.flatnonzero((at >= 0) & (at + 1 < ids.shape[1]))
                 k = at[ok]
-                score[ok, k], made[ok, k] = rate(ids[ok, k], ids[ok, k + 1], place[ok, k], place[ok, k + 1], place[ok, np.minimum(k + 2, place.shape[1] - 1)], base[ok])
-    out = []
-    plain = ~(result == -1).any(axis=1)
-    counts = (result != -2).sum(axis=1)
-    small = result.astype("<u2")
-    for i, word in enumerate(words):
-        if plain[i]:
-            out.append(small[i, : counts[i]].tobytes())
-        else:
-            # Unknown characters are single slots: walk the word along the pieces.
-            at, own = 0, []
-            for x in result[i, : counts[i]].tolist():
-                if x >= 0:
-                    own.append(x)
-                    at += len(pieces.text[x].decode())
-                else:
-                    own += pieces.bytes_of(word[at])
-                    at += 1
-            out.append(np.array(own, "<u2").tobytes())
+                score[ok, k], made[ok, k] = rate(ids[ok, k], ids[ok, k + 1], place[ok, k], place[ok, k + 1], place[ok, k + 2], base[ok])
+            if not score.shape[1]:
+                result[row, : ids.shape[1]] = ids
+                result[row, ids.shape[1] :] = -2
+                break
+    used = result != -2
+    data = result[used].astype("<u2").tobytes()
+    ends = (2 * np.cumsum(used.sum(axis=1))).tolist()
+    out = [data[a:b] for a, b in zip([0, *ends], ends)]
+    for i in np.flatnonzero((result == -1).any(axis=1)).tolist():
+        # Unknown characters are single slots: walk the word along the pieces.
+        at, own = 0, []
+        for x in result[i][used[i]].tolist():
+            if x >= 0:
+                own.append(x)
+                at += len(pieces.text[x].decode())
+            else:
+                own += pieces.bytes_of(words[i][at])
+                at += 1
+        out[i] = np.array(own, "<u2").tobytes()
     return out
 
 
-def _segment(pieces: Pieces, words: list[str], seed: int, dropout: float) -> None:
-    """Remember the segmentation of each (variant, word) that is new."""
-    for variant, known in enumerate(pieces.known):
-        new = [w for v, w in words if v == variant and w not in known]
-        new = sorted(set(new), key=len)
-        at = 0
-        while at < len(new):
-            limit = max(8, 1 << (len(new[at]) - 1).bit_length())
-            stop = at
-            while stop < len(new) and stop - at < 50_000 and len(new[stop]) <= limit:
-                stop += 1
-            part = new[at:stop]
-            bases = np.array([_key(w, seed * VARIANTS + variant) for w in part], np.uint64)
-            if limit <= TOGETHER:
-                found = together(pieces, part, bases, dropout)
-            else:
-                found = [np.array(agenda(pieces, w, int(b), dropout), "<u2").tobytes() for w, b in zip(part, bases, strict=True)]
-            known.update(zip(part, found, strict=True))
-            at = stop
+def _segment(pieces: Pieces, known: dict[str, bytes], words: list[str], seed: int, dropout: float) -> None:
+    """Remember the segmentations of new words under a seed."""
+    new = sorted(words, key=len)
+    lengths = np.fromiter(map(len, new), np.int64, len(new))
+    at = 0
+    while at < len(new):
+        limit = max(6, -(-int(lengths[at]) // 3) * 3)  # words of about one length at a time
+        stop = min(at + 20_000, int(np.searchsorted(lengths, limit, "right")))
+        part = new[at:stop]
+        bases = _keys(part, seed)
+        if limit <= TOGETHER:
+            found = together(pieces, part, bases, dropout)
+        else:
+            found = [np.array(agenda(pieces, w, int(b), dropout), "<u2").tobytes() for w, b in zip(part, bases, strict=True)]
+        known.update(zip(part, found, strict=True))
+        at = stop
 
 
 def units_of(text: str) -> list[str]:
@@ -237,21 +237,20 @@ def encode_texts(pieces: Pieces, keys: list, texts: list[str | None], seed: int,
             known.clear()
         pieces.known_for = (seed, dropout)
     split = [units_of(t or "") for t in texts]
-    choice = []
-    for key, units in zip(keys, split, strict=True):
-        base = np.uint64(_key(str(key), seed))
-        with np.errstate(over="ignore"):
-            places = base + np.arange(len(units), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        choice.append((scramble(places) % np.uint64(VARIANTS)).tolist())
-    wanted = set()
-    for picks, units in zip(choice, split, strict=True):
-        wanted.update(zip(picks, units, strict=True))
-    own = np.array(pieces.bytes_of(_SPACE), "<u2").tobytes()
-    _segment(pieces, [x for x in wanted if x[1][0] != "\0" or x[1] != "\0" + _SPACE], seed, dropout)
-    for known in pieces.known:
-        known["\0" + _SPACE] = own
+    sizes = np.array([len(u) for u in split], np.int64)
+    units = list(chain.from_iterable(split))
+    first = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    with np.errstate(over="ignore"):
+        places = np.repeat(_keys([str(k) for k in keys], seed), sizes) + (np.arange(len(units)) - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    picks = (scramble(places) % np.uint64(VARIANTS)).astype(np.int64)
+    literal = np.array(pieces.bytes_of(_SPACE), "<u2").tobytes()
+    for variant, known in enumerate(pieces.known):
+        known["\0" + _SPACE] = literal
+        _segment(pieces, known, list(set(compress(units, (picks == variant).tolist())).difference(known)), seed * VARIANTS + variant, dropout)
     known = pieces.known
-    return [b"".join([known[v][w] for v, w in zip(picks, units, strict=True)]) for picks, units in zip(choice, split, strict=True)]
+    found = [known[v][w] for v, w in zip(picks.tolist(), units, strict=True)]
+    ends = np.cumsum(sizes).tolist()
+    return [b"".join(found[a:b]) for a, b in zip([0, *ends], ends)]
 
 
 def decode_ids(pieces: Pieces, ids: np.ndarray) -> str:
