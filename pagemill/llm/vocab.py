@@ -8,21 +8,29 @@ import re
 import numpy as np
 
 #: Chunks a worker remembers; beyond it, it forgets them all and starts anew (only speed changes).
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 #: White space as the tokenizers' patterns see it (Unicode White_Space): a fixed value.
 _SPACE = "\t-\r \x85\xa0  -     　"
+#: Letters and digits, and marks, whose borders every pattern cuts at: fixed values. An apostrophe is
+#: neither, as it may begin a contraction.
+_LETTER = "0-9A-Za-zÀ-ÖØ-öø-ÿ"
+_MARK = re.escape("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
 #: One space leads the word it stands before; of other white space, the last character is apart.
-_LEADING = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+_LEADING_FINE = re.compile(
+    f" ?[{_LETTER}]+(?=[{_MARK}{_SPACE}])|[{_MARK}]+(?=[{_LETTER}{_SPACE}])| ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+)
+_WORDS = re.compile("[^ \t-\r]+")
+_WORDS_FINE = re.compile(f"[{_LETTER}]+(?=[{_MARK} \t-\r])|[{_MARK}]+(?=[{_LETTER} \t-\r])|{_WORDS.pattern}")
 
 
 class ChunkEncoder:
     """Encode texts with a tokenizer file, a chunk at a time.
 
-    A word-end vocabulary never joins across ASCII white space and drops it, so its chunks are the
-    runs between; a byte-level vocabulary is cut where its own pattern cuts. The ids are those of
-    the tokenizer on the whole text (tests compare them), at the cost of a look-up for each chunk
-    seen before.
+    Chunks end where the tokenizer's own pattern cuts for sure: at white space, and between letters and
+    marks. A word-end vocabulary drops white space and writes A-Z small, so its chunks do too. Texts
+    that may hold a special token are cut at white space only, or not at all. The ids are those of the
+    tokenizer on the whole text (tests compare them), at the cost of a look-up for each chunk seen before.
     """
 
     _loaded: dict[str, ChunkEncoder] = {}
@@ -32,8 +40,11 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: Between words that are encoded in one go: the tokenizer cuts there before anything else.
+        self.mark = "<|endoftext|>"
+        self.mark_id = self.tokenizer.token_to_id(self.mark)
         self.drops_space = '"</w>"' in self.tokenizer.to_str()
-        self.known: dict = {}
+        self.known: dict[str, bytes] = {}
 
     @classmethod
     def at(cls, path: str) -> ChunkEncoder:
@@ -42,8 +53,11 @@ class ChunkEncoder:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
-    def chunks(self, text: str) -> list:
-        return text.encode().split() if self.drops_space else _LEADING.findall(text)
+    def chunks(self, text: str) -> list[str]:
+        if self.drops_space:
+            return _WORDS.findall(text) if "<|" in text else _WORDS_FINE.findall(text.encode().lower().decode())
+        # White space before a special token is cut as at the end of a text.
+        return [text] if self.mark in text else _LEADING_FINE.findall(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
@@ -51,10 +65,16 @@ class ChunkEncoder:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         new = list(set().union(*split).difference(self.known)) if split else []
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            words = [c.decode() if self.drops_space else c for c in part]
-            for chunk, e in zip(part, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-                self.known[chunk] = np.array(e.ids, "<u4").tobytes()
+        for word in [w for w in new if "<|" in w or self.mark_id is None]:
+            self.known[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        plain = [w for w in new if w not in self.known]
+        for at in range(0, len(plain), 5_000):
+            part = plain[at : at + 5_000]
+            ids = self.tokenizer.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids
+            raw = np.array([*ids, self.mark_id], "<u4")
+            data, start = raw.tobytes(), 0
+            for word, end in zip(part, (4 * np.flatnonzero(raw == self.mark_id)).tolist(), strict=True):
+                self.known[word] = data[start:end]
+                start = end + 4
         of = self.known.__getitem__
         return [b"".join(map(of, chunks)) for chunks in split]
