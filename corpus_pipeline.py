@@ -29,9 +29,12 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that their source repeats on many of its pages; ``n_chars`` follows the text."""
+    """Documents without the lines that their source repeats in many of its texts; ``n_chars`` follows the text.
+
+    Copies count once: near-duplicate removal comes later and could keep none that has its text.
+    """
     limit_batches(spark)
-    cut = line_dedup.drop_boilerplate(docs)
+    cut = line_dedup.drop_boilerplate(docs, distinct_texts=True)
     if "n_chars" in docs.columns:
         changed = F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
         cut = cut.withColumn("n_chars", changed)

@@ -22,20 +22,30 @@ def _digest(line: Column) -> Column:
     return F.unhex(F.md5(line))
 
 
-def boilerplate_lines(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate_lines(
+    docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, distinct_texts: bool = False
+) -> DataFrame:
     """The lines that more than ``ratio`` of a host's pages contain: ``host, line`` (an MD5 digest).
 
     A page counts once for a line, however often it repeats it; lines are compared without the
     spaces around them, and empty ones don't count. Counts are summed before the shuffle, so a
     host or line that most rows share sends one row per task.
+
+    With ``distinct_texts`` the pages of a host are its distinct texts (no text is one of them): copies
+    of a page count once. They become one by the digest of the whole text, in each task before the
+    shuffle; what is shuffled then are the line digests of each text.
     """
     lines = F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.trim(x)))
     kept = F.filter(lines, lambda x: x != "")
-    pages = docs.select(F.col(host).alias("host")).groupBy("host").agg(F.count("*").alias("pages"))
+    counted = docs.select(F.col(host).alias("host"))
+    held = docs.select(F.col(host).alias("host"), F.explode(kept).alias("line")).select("host", _digest(F.col("line")).alias("line"))
+    if distinct_texts:
+        text = docs.select(F.col(host).alias("host"), _digest(F.col("text")).alias("of"), F.transform(kept, _digest).alias("lines"))
+        counted = text.select("host", "of").distinct()
+        held = text.groupBy("host", "of").agg(F.first("lines").alias("lines")).select("host", F.explode("lines").alias("line"))
+    pages = counted.groupBy("host").agg(F.count("*").alias("pages"))
     containing = (
-        docs.select(F.col(host).alias("host"), F.explode(kept).alias("line"))
-        .select("host", _digest(F.col("line")).alias("line"))
-        .groupBy("host", "line")
+        held.groupBy("host", "line")
         .agg(F.count("*").alias("with_line"))
         .where(F.col("with_line") >= min_pages)
     )
@@ -46,18 +56,22 @@ def boilerplate_lines(docs: DataFrame, host: str = "source", ratio: float = RATI
     )
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(
+    docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, distinct_texts: bool = False
+) -> DataFrame:
     """``docs`` with the boilerplate lines of each host taken out of ``text``, and ``n_lines, n_dropped``.
 
     Rows and other columns stay as they are. A null text stays null, with 0 lines; a null host is a
     host of its own; a text that is boilerplate throughout becomes empty. Lines that stay keep
     their order and white space. Every page of a host counts, also those without text; repeated
-    rows count as often as they are there.
+    rows count as often as they are there. So a text whose copies are more than ``ratio`` of a host's
+    rows becomes empty in all of them; with ``distinct_texts`` copies count once (see
+    ``boilerplate_lines``), and a text goes only if other texts share its lines.
 
     A host has at most (mean lines per page / ``ratio``) boilerplate lines: they are small enough to
     go to its pages as one array.
     """
-    found = settled(boilerplate_lines(docs, host, ratio, min_pages))
+    found = settled(boilerplate_lines(docs, host, ratio, min_pages, distinct_texts))
     by_host = found.groupBy("host").agg(F.collect_list(F.hex("line")).alias("__pm_lines")).withColumnRenamed("host", "__pm_host")
     if found.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES:
         by_host = F.broadcast(by_host)

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pagemill.llm import block_topk, fit_packing, prob_minhash, url_filter, warc
+from pagemill.llm import block_topk, fit_packing, line_dedup, prob_minhash, url_filter, warc
 
 
 def set_of(text):
@@ -276,6 +276,21 @@ def test_stages_keep_columns_and_rows_of_their_input(stages):
     assert lost == {9001, 9002, 9003}
 
 
+def test_a_copy_of_each_large_group_keeps_its_text(spark):
+    own = lambda i: "\n".join(f"{w} {i} stands here by itself in text {i}" for w in ("alpha", "beta", "gamma"))
+    copies = [f"copied {k} one two three four five\nsecond line of copy {k} six seven eight" for k in range(2)]
+    rows = [(i, f"menu\n{own(i)}", "s") for i in range(60)] + [(100 + 10 * k + j, copies[k], "s") for k in range(2) for j in range(8)]
+    rows += [(300 + j, None, "s") for j in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    cut = {r.doc_id: r.text for r in corpus_pipeline.without_boilerplate(spark, docs, DATA).collect()}
+    assert all(cut[i] == own(i) for i in range(60)) and all(cut[i] is None for i in range(300, 330))
+    assert all(cut[100 + 10 * k + j] == copies[k] for k in range(2) for j in range(8))
+    apart = corpus_pipeline.near_duplicates(spark, corpus_pipeline.without_boilerplate(spark, docs, DATA), DATA)
+    assert sorted(r.text for r in apart.where("doc_id >= 100 and doc_id < 300").collect()) == copies
+    lines = line_dedup.boilerplate_lines(docs, ratio=60 / 63, distinct_texts=True)  # 60 of 63 texts: not above the share
+    assert lines.count() == 0 and line_dedup.boilerplate_lines(docs, ratio=0.95, distinct_texts=True).count() == 1
+
+
 def test_one_document_of_each_class_stays_and_is_packed(stages):
     *_, cut, apart, packed = stages
     rows = [(r.doc_id, r.text) for r in cut.collect()]
