@@ -26,12 +26,12 @@ OUTSIDERS, OTHERS = 512, 2_048
 BROADCAST_NODES = 500_000
 
 
-def shingles(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct runs of five words, as sorted hashes, and how often each occurs.
+def shingles(text: str) -> np.ndarray:
+    """The distinct runs of five words, as sorted hashes.
 
     Words are lower-cased and split at ASCII white space; a shorter text is one run.
     """
-    return np.unique(shingle_hashes(word_hashes(text.lower().encode().split()), WORDS), return_counts=True)
+    return np.unique(shingle_hashes(word_hashes(text.lower().encode().split()), WORDS))
 
 
 def prob_minhash(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, docs: int, registers: int = REGISTERS) -> np.ndarray:
@@ -72,13 +72,9 @@ def _sketch(batch: pa.RecordBatch) -> dict:
     for start in range(0, len(keys), 200):
         part = keys[start : start + 200]
         sets = [shingles(distinct[d]) for d in part]
-        sizes = [len(s[0]) for s in sets]
-        signed = prob_minhash(
-            np.repeat(np.arange(len(part)), sizes),
-            np.concatenate([s[0] for s in sets]),
-            1 + np.log(np.concatenate([s[1] for s in sets])),
-            len(part),
-        )
+        sizes = [len(s) for s in sets]
+        # Equal weights: registers then agree as the plain Jaccard that links are verified by.
+        signed = prob_minhash(np.repeat(np.arange(len(part)), sizes), np.concatenate(sets), np.ones(sum(sizes)), len(part))
         found.update((d, row.astype("<u4").tobytes() if n else None) for d, row, n in zip(part, signed, sizes, strict=True))
     return {"doc_id": batch.column(0), "digest": digests, "sig": [found[d] for d in digests]}
 
@@ -112,7 +108,7 @@ def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     held = given.join(wanted, given["doc_id"] == wanted["node"]).where(F.unhex(F.md5("text")) == F.col("d")).select("node", "text")
     hashed = map_batches(
         held,
-        lambda batch: {"node": batch.column(0), "shingles": [shingles(t)[0].astype("<u8").tobytes() for t in batch.column(1).to_pylist()]},
+        lambda batch: {"node": batch.column(0), "shingles": [shingles(t).astype("<u8").tobytes() for t in batch.column(1).to_pylist()]},
         "node bigint, shingles binary",
     )
     return settled(hashed.dropDuplicates(["node"]))
@@ -204,8 +200,8 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """``doc_id, class_id`` of every row: the smallest ``doc_id`` it is connected with by links.
 
     Texts link if they are equal, or if the Jaccard similarity of their five-word shingles is
-    ``least`` or more. Candidates share a band of their ProbMinHash signatures, whose weights are 1
-    plus the logarithm of a shingle's count.
+    ``least`` or more. Candidates share a band of their ProbMinHash signatures, in which each distinct
+    shingle has the weight 1, so that candidates and links are cut by the same similarity.
 
     1. A signature per row, where it is read; equal texts become one node (smallest ``doc_id``).
     2. Each bucket's nodes are checked against its smallest node, exactly, if the signatures come

@@ -87,6 +87,24 @@ def test_variants_of_a_hidden_base_stay_linked(spark):
     assert {r.doc_id: r.class_id for r in got} == brute_classes(rows)
 
 
+def test_near_copies_that_repeat_passages_are_found(spark):
+    """In half of the pairs one text is the other with its passages said again and again; counts are not similarity."""
+    rng = random.Random(12)
+    rows = []
+    for k in range(60):
+        words = [f"p{k}w{i}" for i in range(120)]
+        other = list(words)
+        for at in rng.sample(range(120), 2):
+            other[at] = f"q{k}w{at}"
+        if k % 2:
+            other = other + other[:60] * 50 if k % 4 == 1 else other * 30
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    got = prob_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    want = brute_classes(rows)
+    assert sum(d != c for d, c in want.items()) >= 40
+    assert {r.doc_id: r.class_id for r in got} == want
+
+
 def test_registers_agree_as_the_probability_jaccard():
     rng = np.random.default_rng(2)
     a = {int(x): float(w) for x, w in zip(rng.integers(0, 2**63, 60), rng.uniform(0.5, 4, 60))}
