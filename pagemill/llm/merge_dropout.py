@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from heapq import heapify, heappop, heappush
-from itertools import chain, compress
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,12 +15,12 @@ from pagemill.llm.common import map_batches, scramble, table
 
 #: Share of candidate merges that are skipped.
 DROPOUT = 0.1
-#: Ways a word is segmented under one seed; each occurrence takes one by a keyed hash of its place.
-VARIANTS = 4
-#: Segmented words a worker remembers; beyond it, it forgets them all (only speed changes).
+#: Undropped words a worker remembers; beyond it, it forgets them all (only speed changes).
 REMEMBERED = 400_000
-#: Words of more characters go through the agenda one by one, others many at a time.
+#: Words of more characters go through the agenda one by one and aren't remembered, others many at a time.
 TOGETHER = 48
+#: Occurrences whose draws are made at a time.
+DRAWN = 100_000
 
 _SPACE = "▁"
 _UNITS = re.compile(f"{_SPACE}*[^{_SPACE}\n]+|{_SPACE}+|\n")
@@ -64,8 +64,14 @@ class Pieces:
         self.pair = np.array(sorted(pairs), np.int64)
         self.made = np.array([pairs[k] for k in self.pair.tolist()], np.int32)
         self.pairs = pairs
-        self.known: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
-        self.known_for: tuple | None = None
+        self.forget()
+
+    def forget(self) -> None:
+        #: Remembered words by number: undropped ids, and the places of the merges that come up on the way.
+        self.known: dict[str, int] = {"\0" + _SPACE: 0}
+        self.forms: list[bytes] = [np.array(self.bytes_of(_SPACE), "<u2").tobytes()]
+        self.places = np.zeros(0, np.uint64)
+        self.sizes = np.zeros(1, np.int64)
 
     @classmethod
     def at(cls, path: str) -> Pieces:
@@ -90,9 +96,13 @@ def _keys(words: list[str], seed: int) -> np.ndarray:
         return scramble(plain + np.uint64(seed & 0xFFFFFFFFFFFFFFFF) * np.uint64(0xD1B54A32D192ED03))
 
 
-def _skipped(base, start, middle, end, dropout: float) -> np.ndarray:
-    """Whether the keyed hash skips the merge of start..middle with middle..end."""
-    place = np.asarray(start, np.uint64) + (np.asarray(middle, np.uint64) << np.uint64(20)) + (np.asarray(end, np.uint64) << np.uint64(40))
+def _place(start, middle, end) -> np.ndarray:
+    """The merge of start..middle with middle..end, as a number."""
+    return np.asarray(start, np.uint64) + (np.asarray(middle, np.uint64) << np.uint64(20)) + (np.asarray(end, np.uint64) << np.uint64(40))
+
+
+def _skipped(base, place, dropout: float) -> np.ndarray:
+    """Whether the keyed hash skips the merge at a place."""
     with np.errstate(over="ignore"):
         h = scramble(np.asarray(base, np.uint64) + place * np.uint64(0x9E3779B97F4A7C15))
     return (h >> np.uint64(11)).astype(np.float64) < dropout * 2.0**53
@@ -113,7 +123,7 @@ def agenda(pieces: Pieces, word: str, base: int, dropout: float) -> list[int]:
         b = end[a]
         if b < n and ids[a] >= 0 and ids[b] >= 0:
             made = pieces.pairs.get(ids[a] << 32 | ids[b])
-            if made is not None and not _skipped(base, a, b, end[b], dropout):
+            if made is not None and not _skipped(base, _place(a, b, end[b]), dropout):
                 return -pieces.score[made], a, b, end[b], made
         return None
 
@@ -136,8 +146,11 @@ def agenda(pieces: Pieces, word: str, base: int, dropout: float) -> list[int]:
     return out
 
 
-def together(pieces: Pieces, words: list[str], bases: np.ndarray, dropout: float) -> list[bytes]:
-    """``agenda`` for many short words: each round, every word makes its best merge."""
+def together(pieces: Pieces, words: list[str], bases: np.ndarray, dropout: float, met: list | None = None) -> list[bytes]:
+    """``agenda`` for many short words: each round, every word makes its best merge.
+
+    ``met`` gets the candidate merges as they come up: which words, and the places.
+    """
     lengths = np.array([len(w) for w in words])
     width = int(lengths.max())
     codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
@@ -146,19 +159,22 @@ def together(pieces: Pieces, words: list[str], bases: np.ndarray, dropout: float
     ids[inside] = pieces.of_char[codes]
     result = ids.copy()
     place = np.minimum(np.arange(width + 1), lengths[:, None]).astype(np.int32)
-    row, base = np.arange(len(words)), bases
+    row = np.arange(len(words))
 
-    def rate(left, right, start, middle, end, base):
+    def rate(left, right, start, middle, end, row):
         made = pieces.join(left, right)
         found = np.flatnonzero(made.ravel() >= 0)
         score = np.full(made.size, _NONE)
         pick = lambda x: np.broadcast_to(x, made.shape).ravel()[found]
-        skip = _skipped(pick(base), pick(start), pick(middle), pick(end), dropout)
+        of, merge = pick(row), _place(pick(start), pick(middle), pick(end))
+        if met is not None:
+            met.append((of, merge))
+        skip = _skipped(bases[of], merge, dropout)
         score[found] = np.where(skip, _NONE, pieces.score[made.ravel()[found]])
         return score.reshape(made.shape), made
 
     if width > 1:
-        score, made = rate(ids[:, :-1], ids[:, 1:], place[:, :-2], place[:, 1:-1], place[:, 2:], base[:, None])
+        score, made = rate(ids[:, :-1], ids[:, 1:], place[:, :-2], place[:, 1:-1], place[:, 2:], row[:, None])
         while True:
             best = np.argmax(score, axis=1)
             going = score[np.arange(len(row)), best] > _NONE
@@ -166,7 +182,7 @@ def together(pieces: Pieces, words: list[str], bases: np.ndarray, dropout: float
                 stay = ~going
                 result[row[stay], : ids.shape[1]] = ids[stay]
                 result[row[stay], ids.shape[1] :] = -2
-                row, base, best, ids, place, score, made = (x[going] for x in (row, base, best, ids, place, score, made))
+                row, best, ids, place, score, made = (x[going] for x in (row, best, ids, place, score, made))
             if not len(row):
                 break
             ids[np.arange(len(row)), best] = made[np.arange(len(row)), best]
@@ -177,7 +193,7 @@ def together(pieces: Pieces, words: list[str], bases: np.ndarray, dropout: float
             for at in (best - 1, best):
                 ok = np.flatnonzero((at >= 0) & (at + 1 < ids.shape[1]))
                 k = at[ok]
-                score[ok, k], made[ok, k] = rate(ids[ok, k], ids[ok, k + 1], place[ok, k], place[ok, k + 1], place[ok, k + 2], base[ok])
+                score[ok, k], made[ok, k] = rate(ids[ok, k], ids[ok, k + 1], place[ok, k], place[ok, k + 1], place[ok, k + 2], row[ok])
             if not score.shape[1]:
                 result[row, : ids.shape[1]] = ids
                 result[row, ids.shape[1] :] = -2
@@ -200,22 +216,53 @@ def together(pieces: Pieces, words: list[str], bases: np.ndarray, dropout: float
     return out
 
 
-def _segment(pieces: Pieces, known: dict[str, bytes], words: list[str], seed: int, dropout: float) -> None:
-    """Remember the segmentations of new words under a seed."""
-    new = sorted(words, key=len)
-    lengths = np.fromiter(map(len, new), np.int64, len(new))
-    at = 0
-    while at < len(new):
+def _segment(pieces: Pieces, words: list[str], bases: np.ndarray, dropout: float, met: list | None = None) -> list[bytes]:
+    """The segmentation of each word under its own draws."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    order = np.argsort(lengths, kind="stable")
+    lengths, out, at = lengths[order], [b""] * len(words), 0
+    while at < len(order):
         limit = max(6, -(-int(lengths[at]) // 3) * 3)  # words of about one length at a time
         stop = min(at + 20_000, int(np.searchsorted(lengths, limit, "right")))
-        part = new[at:stop]
-        bases = _keys(part, seed)
+        which = order[at:stop]
+        part = [words[i] for i in which.tolist()]
         if limit <= TOGETHER:
-            found = together(pieces, part, bases, dropout)
+            own: list | None = None if met is None else []
+            found = together(pieces, part, bases[which], dropout, own)
+            if met is not None:
+                met += [(which[of], merge) for of, merge in own or []]
         else:
-            found = [np.array(agenda(pieces, w, int(b), dropout), "<u2").tobytes() for w, b in zip(part, bases, strict=True)]
-        known.update(zip(part, found, strict=True))
+            found = [np.array(agenda(pieces, w, int(b), dropout), "<u2").tobytes() for w, b in zip(part, bases[which], strict=True)]
+        for i, x in zip(which.tolist(), found, strict=True):
+            out[i] = x
         at = stop
+    return out
+
+
+def _remember(pieces: Pieces, words: list[str]) -> None:
+    """Remember new words without dropout, with all candidate merges that came up."""
+    met: list = []
+    found = _segment(pieces, words, np.zeros(len(words), np.uint64), 0.0, met)
+    of = np.concatenate([np.zeros(0, np.int64), *(x for x, _ in met)])
+    merges = np.concatenate([np.zeros(0, np.uint64), *(x for _, x in met)])
+    pieces.known.update(zip(words, range(len(pieces.forms), len(pieces.forms) + len(words)), strict=True))
+    pieces.forms += found
+    pieces.places = np.concatenate([pieces.places, merges[np.argsort(of, kind="stable")]])
+    pieces.sizes = np.concatenate([pieces.sizes, np.bincount(of, minlength=len(words))])
+
+
+def _touched(pieces: Pieces, number: np.ndarray, bases: np.ndarray, dropout: float) -> np.ndarray:
+    """Whether the draws of each occurrence skip a candidate merge of its word, which it then takes another way."""
+    out = np.zeros(len(number), bool)
+    starts = np.cumsum(pieces.sizes) - pieces.sizes
+    for at in range(0, len(number), DRAWN):
+        own = at + np.flatnonzero(pieces.sizes[number[at : at + DRAWN]] > 0)
+        if len(own):
+            sizes = pieces.sizes[number[own]]
+            ends = np.cumsum(sizes)
+            places = pieces.places[np.repeat(starts[number[own]] - (ends - sizes), sizes) + np.arange(ends[-1])]
+            out[own] = np.logical_or.reduceat(_skipped(np.repeat(bases[own], sizes), places, dropout), ends - sizes)
+    return out
 
 
 def units_of(text: str) -> list[str]:
@@ -231,24 +278,26 @@ def units_of(text: str) -> list[str]:
 
 
 def encode_texts(pieces: Pieces, keys: list, texts: list[str | None], seed: int, dropout: float) -> list[bytes]:
-    """Ids (unsigned 16 bit) of each text; ``keys`` tell texts apart for the choice of variants."""
-    if pieces.known_for != (seed, dropout) or sum(map(len, pieces.known)) > REMEMBERED:
-        for known in pieces.known:
-            known.clear()
-        pieces.known_for = (seed, dropout)
+    """Ids (unsigned 16 bit) of each text; ``keys`` tell texts apart, so that each occurrence has draws of its own."""
+    if len(pieces.forms) > REMEMBERED:
+        pieces.forget()
     split = [units_of(t or "") for t in texts]
     sizes = np.array([len(u) for u in split], np.int64)
     units = list(chain.from_iterable(split))
     first = np.repeat(np.cumsum(sizes) - sizes, sizes)
     with np.errstate(over="ignore"):
         places = np.repeat(_keys([str(k) for k in keys], seed), sizes) + (np.arange(len(units)) - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    picks = (scramble(places) % np.uint64(VARIANTS)).astype(np.int64)
-    literal = np.array(pieces.bytes_of(_SPACE), "<u2").tobytes()
-    for variant, known in enumerate(pieces.known):
-        known["\0" + _SPACE] = literal
-        _segment(pieces, known, list(set(compress(units, (picks == variant).tolist())).difference(known)), seed * VARIANTS + variant, dropout)
-    known = pieces.known
-    found = [known[v][w] for v, w in zip(picks.tolist(), units, strict=True)]
+        bases = scramble(places)
+    _remember(pieces, [w for w in set(units).difference(pieces.known) if len(w) <= TOGETHER])
+    number = np.fromiter((pieces.known.get(w, -1) for w in units), np.int64, len(units))
+    found = [pieces.forms[n] for n in number.tolist()]
+    anew = number < 0
+    if dropout > 0:
+        held = np.flatnonzero(~anew)
+        anew[held] = _touched(pieces, number[held], bases[held], dropout)
+    anew = np.flatnonzero(anew)
+    for i, x in zip(anew.tolist(), _segment(pieces, [units[i] for i in anew.tolist()], bases[anew], dropout), strict=True):
+        found[i] = x
     ends = np.cumsum(sizes).tolist()
     return [b"".join(found[a:b]) for a, b in zip([0, *ends], ends)]
 
@@ -275,10 +324,11 @@ def _kept(docs: DataFrame, names: tuple) -> tuple[list[str], str]:
 def encode(docs: DataFrame, seed: int = 1, dropout: float = DROPOUT, model: str | None = None) -> DataFrame:
     """``docs`` with ``ids array<int>``: the pieces of ``text`` under merge-dropout.
 
-    Each word's merges leave an agenda by score; a candidate is skipped if the hash of seed, word,
-    variant and place falls into the share ``dropout``. Each occurrence of a word takes one of
-    VARIANTS variants by the hash of seed, ``doc_id`` and its place, so repeated words vary, other
-    seeds give other segmentations, and the same seed the same ones on any machine. With dropout 0
+    Each word's merges leave an agenda by score; a candidate is skipped if the hash of seed,
+    ``doc_id``, the word's place in the text and the candidate's place in the word falls into the share
+    ``dropout``. So each occurrence of a word has its own draws, other seeds give other segmentations,
+    and the same seed the same ones on any machine. An occurrence takes its word's remembered
+    undropped form only if no candidate on the way there is skipped. With dropout 0
     the ids are the model's own. Characters without a piece become bytes, and so does a literal
     "▁", so that every text decodes to itself.
 

@@ -150,6 +150,23 @@ def test_dropout_varies_and_decodes_to_the_text(odd_docs):
     assert len(long) > 1.05 * 900 * 2 * len(plain) / 2 or len(set(map(tuple, [long[:8], long[8:16]]))) == 2
 
 
+def test_each_occurrence_has_its_own_draws(pieces):
+    rng = random.Random(5)
+    texts = [" ".join(["understanding"] * 3000), "".join(rng.choice("abeinorst 🙂é") for _ in range(3000)), "x" * 70 + " ▁low " + "internationalisation " * 20]
+    for rate in (0.0, 0.1, 0.5, 1.0):
+        got = merge_dropout.encode_texts(pieces, [7, None, 9], texts, 3, rate)
+        again = merge_dropout.encode_texts(pieces, [9, 7], [texts[2], texts[0]], 3, rate)
+        assert again == [got[2], got[0]]
+        for key, text, ids in zip([7, None, 9], texts, got):
+            want, origin = [], int(merge_dropout._keys([str(key)], 3)[0])
+            for i, unit in enumerate(merge_dropout.units_of(text)):
+                base = merge_dropout.scramble(np.array([(origin + i * 0x9E3779B97F4A7C15) % 2**64], np.uint64))[0]
+                want += pieces.bytes_of("▁") if unit[0] == "\0" else merge_dropout.agenda(pieces, unit, int(base), rate)
+            assert np.frombuffer(ids, "<u2").tolist() == want
+    words = [np.frombuffer(x, "<u2").tolist() for x in merge_dropout.encode_texts(pieces, list(range(3000)), ["understanding"] * 3000, 1, 0.1)]
+    assert len(set(map(tuple, words))) > 10  # four, when a word had four forms a seed
+
+
 def brute_lines(rows, ratio, least):
     pages, seen = Counter(r.source for r in rows), Counter()
     for r in rows:
