@@ -16,6 +16,8 @@ from pagemill.session import ensure_checkpoint_dir, settled
 #: Bound of the labelled sample that the trees are fitted on.
 TRAIN_ROWS = 8_000
 TREES, DEPTH = 12, 3
+#: Suffix counts are broadcast up to so many suffixes; more are joined by a shuffle.
+BROADCAST_SUFFIXES = 200_000
 #: A suffix's block rate counts as if so many URLs of the overall rate had been seen with it.
 PRIOR = 8
 
@@ -86,37 +88,46 @@ def lexical_features(urls: DataFrame) -> DataFrame:
     )
 
 
-def labelled_sample(urls: DataFrame, rows: int) -> DataFrame:
-    """At most ``rows`` distinct labelled URLs, those of the smallest hashes, with a 0/1 ``label``."""
-    known = urls.where("verdict in ('allow', 'block') and url is not null").groupBy("url", "host", "path").agg(
+def labelled_urls(urls: DataFrame) -> DataFrame:
+    """The distinct labelled URLs, with a 0/1 ``label``."""
+    return urls.where("verdict in ('allow', 'block') and url is not null").groupBy("url", "host", "path").agg(
         F.max((F.col("verdict") == "block").cast("double")).alias("label")
     )
-    return known.orderBy(F.xxhash64("url"), "url").limit(rows)
 
 
 def _with_rates(rows: DataFrame, stats: dict[str, DataFrame], overall: float, own: Column | None = None) -> DataFrame:
     """Add each suffix's smoothed block rate, and how often it was seen. ``own``: the row's label, left out of its rate."""
     for k, table_ in stats.items():
-        rows = rows.join(F.broadcast(table_), k, "left")  # at most one row per row of the bounded sample
+        rows = rows.join(table_, k, "left")
         seen = F.coalesce(f"{k}_n", F.lit(0.0)) - (0 if own is None else 1)
         hits = F.coalesce(f"{k}_block", F.lit(0.0)) - (0 if own is None else own)
         rows = rows.withColumn(f"f_{k}_rate", (hits + PRIOR * overall) / (seen + PRIOR)).withColumn(f"f_{k}_seen", F.log1p(seen))
     return rows
 
 
+def suffix_counts(known: DataFrame) -> dict[str, DataFrame]:
+    """How many of the distinct labelled URLs have each suffix, and how many of those are blocked."""
+    out = {}
+    for k, n in SUFFIXES.items():
+        suffix = F.substring_index("host", ".", -n).alias(k)
+        counted = settled(known.groupBy(suffix).agg(F.count("*").cast("double").alias(f"{k}_n"), F.sum("label").alias(f"{k}_block")))
+        out[k] = F.broadcast(counted) if counted.limit(BROADCAST_SUFFIXES + 1).count() <= BROADCAST_SUFFIXES else counted
+    return out
+
+
 def train(urls: DataFrame, rows: int = TRAIN_ROWS) -> tuple[PipelineModel, dict[str, DataFrame], float] | float:
     """Trees, suffix statistics and the overall block rate, from labelled ``url, host, path, verdict``.
 
-    Only the rate, if the labels are all alike (0.0 without any).
+    The rates and counts are of all distinct labelled URLs; the trees are fitted on at most ``rows`` of
+    them, those of the smallest hashes. Only the rate, if the labels are all alike (0.0 without any).
     """
     ensure_checkpoint_dir(urls.sparkSession)  # the trees' own checkpoints go to the shared folder
-    sample = settled(lexical_features(labelled_sample(urls, rows)))
-    found = sample.agg(F.avg("label").alias("rate")).first()
-    overall = found.rate or 0.0
+    known = settled(labelled_urls(urls))
+    overall = known.agg(F.avg("label").alias("rate")).first().rate or 0.0
     if overall in (0.0, 1.0):
         return overall
-    stats = {k: sample.groupBy(k).agg(F.count("*").cast("double").alias(f"{k}_n"), F.sum("label").alias(f"{k}_block")) for k in SUFFIXES}
-    stats = {k: settled(v) for k, v in stats.items()}
+    stats = suffix_counts(known)
+    sample = settled(lexical_features(known.orderBy(F.xxhash64("url"), "url").limit(rows)))
     ready = settled(_with_rates(sample, stats, overall, F.col("label")).select("label", *FEATURES))
     assemble = VectorAssembler(inputCols=FEATURES, outputCol="__pm_features")
     trees = GBTClassifier(featuresCol="__pm_features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=5, maxMemoryInMB=64)
@@ -127,12 +138,13 @@ def judge_urls(urls: DataFrame, rules: list[tuple[str, str]], rows: int = TRAIN_
     """``urls`` with ``host, path, rule, verdict, block_probability``; needs ``url``.
 
     The longest rule that fits decides. The URLs it decides are the labelled ones; trees on length,
-    depth, digit ratio, entropy, parameter counts and suffix statistics, fitted on at most ``rows`` of
-    them, decide the others: ``block`` from a probability of one half on. If the labels are all
+    depth, digit ratio, entropy, parameter counts and suffix statistics (counted on all labelled URLs),
+    fitted on at most ``rows`` of them, decide the others: ``block`` from a probability of one half on. If the labels are all
     alike, so are the trees' verdicts; without any label all are allowed. Null URLs and those without
     ``://`` have an empty host and path and are judged by the trees as an empty text or as they are.
 
-    Everything is a DataFrame function; URLs are scored where they are read, without a shuffle.
+    Everything is a DataFrame function; URLs are scored where they are read, without a
+    shuffle unless there are more than BROADCAST_SUFFIXES suffixes.
     Repeated rows are judged alike. Columns of ``urls`` of these names are replaced; others stay.
     """
     out = ["host", "path", "rule", "verdict", "block_probability"]

@@ -179,6 +179,20 @@ def test_trees_learn_from_the_labelled_urls(spark):
     assert {r.verdict for r in url_filter.judge_urls(pages, []).collect()} == {"allow"}
 
 
+@pytest.mark.parametrize("limit", [200_000, 0])  # by a broadcast, by a shuffle
+def test_suffixes_are_counted_on_all_labelled_urls(spark, monkeypatch, limit):
+    monkeypatch.setattr(url_filter, "BROADCAST_SUFFIXES", limit)
+    rows = [(f"http://w{j}.site{i}.org/{i}/{j}", f"w{j}.site{i}.org", "block" if i % 3 == 0 else "allow") for i in range(200) for j in range(3)]
+    given = [(u, h, "/x", v) for u, h, v in [*rows, *rows[:50], ("http://n.net/", "n.net", None)]]
+    urls = spark.createDataFrame(given, "url string, host string, path string, verdict string")
+    model, stats, overall = url_filter.train(urls, rows=40)
+    assert overall == pytest.approx(sum(v == "block" for *_, v in rows) / len(rows))
+    assert {tuple(r) for r in stats["suffix"].collect()} == {(f"site{i}.org", 3.0, 3.0 * (i % 3 == 0)) for i in range(200)}
+    assert [tuple(r) for r in stats["tld"].collect()] == [("org", 600.0, 201.0)]
+    judged = url_filter.judge_urls(urls.select("url"), [(f"site{i}.org/{i}", "block" if i % 3 == 0 else "allow") for i in range(30)], rows=40)
+    assert judged.count() == len(given) and judged.where("verdict is null").count() == 0
+
+
 def test_features_by_hand(spark):
     rows = spark.createDataFrame([("http://a.b-c.org/x/y1?p=1&q=2#f", "a.b-c.org", "/x/y1"), ("aabb", "", ""), (None, "", "")], "url string, host string, path string")
     one, two, three = url_filter.lexical_features(rows).collect()
