@@ -15,6 +15,8 @@ MODULES = [
     "url_filter",
     "merge_dropout",
     "prob_minhash",
+    "pivotal_grams",
+    "reversed_search",
 ]
 
 
