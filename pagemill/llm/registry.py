@@ -16,6 +16,7 @@ MODULES = [
     "merge_dropout",
     "prob_minhash",
     "pivotal_grams",
+    "disclosure",
     "reversed_search",
 ]
 
