@@ -41,6 +41,20 @@ def map_batches(rows: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: s
     return rows.mapInArrow(run, schema)
 
 
+_in_use: dict = {}
+
+
+def held(key: object, make: Callable[[], object]):
+    """What ``make`` gives, kept in the worker process until something else is asked for.
+
+    Workers are reused by other tasks, also of other operators: each holds one model at a time.
+    """
+    if key not in _in_use:
+        _in_use.clear()
+        _in_use[key] = make()
+    return _in_use[key]
+
+
 def word_hashes(words: list) -> np.ndarray:
     """A 64-bit hash of each word; the same on every machine."""
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
@@ -67,4 +81,28 @@ def scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-__all__ = ["limit_batches", "table", "map_batches", "word_hashes", "shingle_hashes", "scramble", "settled"]
+class Ragged:
+    """Columns of rows of different sizes, one after another."""
+
+    def __init__(self, sizes: list[int], **columns: np.ndarray):
+        self.columns = columns
+        self.sizes = np.array(sizes, np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def __getitem__(self, name: str) -> np.ndarray:
+        return self.columns[name]
+
+    def extend(self, sizes: np.ndarray, **columns: np.ndarray) -> None:
+        end = len(next(iter(self.columns.values())))
+        self.starts = np.concatenate([self.starts, end + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.columns = {k: np.concatenate([v, columns[k].astype(v.dtype)]) for k, v in self.columns.items()}
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of rows of these starts and sizes, row after row."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+__all__ = ["limit_batches", "table", "map_batches", "word_hashes", "shingle_hashes", "scramble", "settled", "held", "Ragged", "spread"]

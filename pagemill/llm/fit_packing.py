@@ -8,11 +8,13 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import map_batches, table
+from pagemill.llm.common import map_batches, spread, table
 from pagemill.llm.vocab import ChunkEncoder
+from pagemill.session import settled
 
 LIMIT = 2048
 #: Pieces that one task packs together, about: with so many, what the last bin of a shard leaves
@@ -178,20 +180,26 @@ def token_pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end_id: in
     A text becomes its token ids and then ``end_id``; null counts as empty. Only texts of more than
     ``limit`` ids are cut, each ``limit`` ids. Reads ``doc_id`` and ``text`` alone.
     """
+
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batch):
-        out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
         encoded = ChunkEncoder.at(tokenizer).encode([t or "" for t in batch.column(1).to_pylist()])
-        for doc_id, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
-            ids += end
-            for piece, at in enumerate(range(0, len(ids), 4 * limit)):
-                own = ids[at : at + 4 * limit]
-                for k, v in zip(out, (doc_id, piece, at // 4, len(own) // 4, zlib.crc32(own)), strict=True):
-                    out[k].append(v)
-        return out
-
-    return map_batches(docs.select("doc_id", "text"), cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+        data = memoryview(end.join([*encoded, b""]))
+        n = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
+        ends = np.cumsum(n + 1)
+        pieces = -(-(n + 1) // limit)
+        of = np.repeat(np.arange(len(n)), pieces)
+        piece = spread(np.zeros(len(n), np.int64), pieces)
+        start = piece * limit
+        length = np.minimum(limit, n[of] + 1 - start)
+        first = (ends - n - 1)[of] + start
+        crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(first.tolist(), (first + length).tolist(), strict=True)]
+        return {"doc_id": batch.column(0).take(pa.array(of)), "piece": piece.astype(np.int32), "start": start, "length": length, "ids_crc32": crc}
+
+    return map_batches(
+        docs.select(F.col("doc_id").cast("long"), "text"), cut, "doc_id long, piece int, start long, length long, ids_crc32 long"
+    )
 
 
 def pack(pieces: DataFrame, about: int, capacity: int = LIMIT, shard: int = SHARD) -> DataFrame:
@@ -223,7 +231,11 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, limit: int = L
     import public_tokenizers
 
     tokenizer = tokenizer or public_tokenizers.path("word_bpe_49k.json")
-    return pack(token_pieces(docs, tokenizer, limit), docs.count(), limit)
+    pieces = settled(token_pieces(docs, tokenizer, limit))
+    # A full piece is a sequence where it is; only others are packed.
+    full = pieces.where(F.col("length") == limit).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
+    open_ = pieces.where(F.col("length") < limit)
+    return pack(open_, open_.count(), limit).union(full)
 
 
 def op1_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,19 +4,20 @@ from __future__ import annotations
 
 import re
 from heapq import heapify, heappop, heappush
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm.common import map_batches, scramble, table
+from pagemill.llm.common import Ragged, held, map_batches, scramble, spread, table
 
 #: Share of candidate merges that are skipped.
 DROPOUT = 0.1
-#: Undropped words a worker remembers; beyond it, it forgets them all (only speed changes).
-REMEMBERED = 400_000
+#: Words a worker remembers (about 450 bytes each); beyond it, it forgets
+#: them all (only speed changes).
+REMEMBERED = 150_000
 #: Words of more characters go through the agenda one by one and aren't remembered, others many at a time.
 TOGETHER = 48
 #: Occurrences whose draws are made at a time.
@@ -24,14 +25,11 @@ DRAWN = 100_000
 
 _SPACE = "▁"
 _UNITS = re.compile(f"{_SPACE}*[^{_SPACE}\n]+|{_SPACE}+|\n")
-_NONE = -np.inf
 
 
 class Pieces:
     """A BPE model's pieces: which two make a third, and how good that one is."""
 
-    _loaded: dict[str, Pieces] = {}
-
     def __init__(self, path: str):
         import sentencepiece
 
@@ -64,26 +62,43 @@ class Pieces:
         self.pair = np.array(sorted(pairs), np.int64)
         self.made = np.array([pairs[k] for k in self.pair.tolist()], np.int32)
         self.pairs = pairs
+        #: Whether a pair with a hash may be there: most pairs of pieces make none, and needn't be looked for.
+        self.maybe = np.zeros(1 << 22, bool)
+        self.maybe[self._slot(self.pair)] = True
+        #: Characters of a piece; its rank by score (equal scores have one rank).
+        self.longest = max(map(len, number))
+        self.rank = np.unique(-self.score, return_inverse=True)[1]
         self.forget()
 
     def forget(self) -> None:
-        #: Remembered words by number: undropped ids, and the places of the merges that come up on the way.
+        #: Remembered words by number. Of each: its characters' ids, undropped ids, and all places where two of its
+        #: pieces make a third, in the agenda's order.
         self.known: dict[str, int] = {"\0" + _SPACE: 0}
-        self.forms: list[bytes] = [np.array(self.bytes_of(_SPACE), "<u2").tobytes()]
-        self.places = np.zeros(0, np.uint64)
-        self.sizes = np.zeros(1, np.int64)
+        none = lambda kind: np.zeros(0, kind)
+        self.chars = Ragged([0], id=none(np.int32))
+        space = self.bytes_of(_SPACE)
+        self.forms = Ragged([len(space)], id=np.array(space, np.uint16))
+        #: ``need`` are the three borders of a merge as bits, ``reach`` all bits from the first to the last of them.
+        self.places = Ragged([0], start=none(np.uint8), middle=none(np.uint8), end=none(np.uint8), made=none(np.uint16), need=none(np.uint64), reach=none(np.uint64))
 
     @classmethod
     def at(cls, path: str) -> Pieces:
-        if path not in cls._loaded:
-            cls._loaded[path] = cls(path)
-        return cls._loaded[path]
+        """The one that a worker process holds."""
+        return held(("pieces", path), lambda: cls(path))
+
+    @staticmethod
+    def _slot(pair: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)
 
     def join(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """The piece that two make, or -1."""
-        key = left.astype(np.int64) << 32 | np.maximum(right, 0)
-        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
-        return np.where((self.pair[at] == key) & (left >= 0) & (right >= 0), self.made[at], -1)
+        """The piece that two pieces make, or -1."""
+        key = left.astype(np.int64) << 32 | right
+        out = np.full(len(key), -1, np.int32)
+        which = np.flatnonzero(self.maybe[self._slot(key)])
+        at = np.minimum(np.searchsorted(self.pair, key[which]), len(self.pair) - 1)
+        out[which] = np.where(self.pair[at] == key[which], self.made[at], -1)
+        return out
 
     def bytes_of(self, char: str) -> list[int]:
         return [self.of_byte[b] for b in char.encode()]
@@ -146,123 +161,146 @@ def agenda(pieces: Pieces, word: str, base: int, dropout: float) -> list[int]:
     return out
 
 
-def together(pieces: Pieces, words: list[str], bases: np.ndarray, dropout: float, met: list | None = None) -> list[bytes]:
-    """``agenda`` for many short words: each round, every word makes its best merge.
+def _all_places(pieces: Pieces, ids: np.ndarray, word: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``word, start, middle, end, made`` of all places where two pieces make a third, in the agenda's order.
 
-    ``met`` gets the candidate merges as they come up: which words, and the places.
+    ``ids`` are words' characters with a -1 after each word, ``word`` and ``first`` tell where a character
+    belongs. Longer pieces are put together from shorter ones, for all words at once.
     """
-    lengths = np.array([len(w) for w in words])
-    width = int(lengths.max())
-    codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
-    inside = np.arange(width) < lengths[:, None]
-    ids = np.full((len(words), width), -2, np.int32)
-    ids[inside] = pieces.of_char[codes]
-    result = ids.copy()
-    place = np.minimum(np.arange(width + 1), lengths[:, None]).astype(np.int32)
-    row = np.arange(len(words))
-
-    def rate(left, right, start, middle, end, row):
-        made = pieces.join(left, right)
-        found = np.flatnonzero(made.ravel() >= 0)
-        score = np.full(made.size, _NONE)
-        pick = lambda x: np.broadcast_to(x, made.shape).ravel()[found]
-        of, merge = pick(row), _place(pick(start), pick(middle), pick(end))
-        if met is not None:
-            met.append((of, merge))
-        skip = _skipped(bases[of], merge, dropout)
-        score[found] = np.where(skip, _NONE, pieces.score[made.ravel()[found]])
-        return score.reshape(made.shape), made
-
-    if width > 1:
-        score, made = rate(ids[:, :-1], ids[:, 1:], place[:, :-2], place[:, 1:-1], place[:, 2:], row[:, None])
-        while True:
-            best = np.argmax(score, axis=1)
-            going = score[np.arange(len(row)), best] > _NONE
-            if not going.all():
-                stay = ~going
-                result[row[stay], : ids.shape[1]] = ids[stay]
-                result[row[stay], ids.shape[1] :] = -2
-                row, best, ids, place, score, made = (x[going] for x in (row, best, ids, place, score, made))
-            if not len(row):
-                break
-            ids[np.arange(len(row)), best] = made[np.arange(len(row)), best]
-            # Every row loses the slot on the right of its merge, so all stay equally wide.
-            without = lambda x, at: x[np.arange(x.shape[1]) != at[:, None]].reshape(len(x), x.shape[1] - 1)
-            ids, place = without(ids, best + 1), without(place, best + 1)
-            score, made = without(score, best), without(made, best)
-            for at in (best - 1, best):
-                ok = np.flatnonzero((at >= 0) & (at + 1 < ids.shape[1]))
-                k = at[ok]
-                score[ok, k], made[ok, k] = rate(ids[ok, k], ids[ok, k + 1], place[ok, k], place[ok, k + 1], place[ok, k + 2], row[ok])
-            if not score.shape[1]:
-                result[row, : ids.shape[1]] = ids
-                result[row, ids.shape[1] :] = -2
-                break
-    used = result != -2
-    data = result[used].astype("<u2").tobytes()
-    ends = (2 * np.cumsum(used.sum(axis=1))).tolist()
-    out = [data[a:b] for a, b in zip([0, *ends], ends)]
-    for i in np.flatnonzero((result == -1).any(axis=1)).tolist():
-        # Unknown characters are single slots: walk the word along the pieces.
-        at, own = 0, []
-        for x in result[i][used[i]].tolist():
-            if x >= 0:
-                own.append(x)
-                at += len(pieces.text[x].decode())
-            else:
-                own += pieces.bytes_of(words[i][at])
-                at += 1
-        out[i] = np.array(own, "<u2").tobytes()
-    return out
+    #: By length: the piece of that length that begins at a character, and where there is one.
+    piece, held = {1: ids}, {1: np.flatnonzero(ids >= 0)}
+    found = []
+    for size in range(2, pieces.longest + 1):
+        piece[size] = np.full(len(ids) + 1, -1, np.int32)
+        for left in range(1, size):
+            at = held[left]
+            right = piece[size - left][np.minimum(at + left, len(ids) - 1)]
+            both = np.flatnonzero(right >= 0)
+            at, right = at[both], right[both]
+            made = pieces.join(piece[left][at], right)
+            both = np.flatnonzero(made >= 0)
+            if len(both):
+                at, made = at[both], made[both]
+                piece[size][at] = made
+                found.append((at, np.full(len(at), left, np.uint8), np.full(len(at), size, np.uint8), made))
+        held[size] = np.flatnonzero(piece[size] >= 0)
+    if not found:
+        return (np.zeros(0, np.int64),) * 5
+    at, left, size, made = (np.concatenate(x) for x in zip(*found, strict=True))
+    own, start = word[at], at - first[at]
+    order = np.argsort(own << 32 | pieces.rank[made] << 8 | start, kind="stable")
+    own, start, left, size, made = (x[order] for x in (own, start, left, size, made))
+    return own, start, start + left, start + size, made
+
+
+_BIT = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 
-def _segment(pieces: Pieces, words: list[str], bases: np.ndarray, dropout: float, met: list | None = None) -> list[bytes]:
-    """The segmentation of each word under its own draws."""
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    order = np.argsort(lengths, kind="stable")
-    lengths, out, at = lengths[order], [b""] * len(words), 0
+def _remember(pieces: Pieces, words: list[str]) -> None:
+    """Remember new words of up to ``TOGETHER`` characters: their places, and their ids without dropout."""
+    if not words:
+        return
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64)
+    ids = pieces.of_char[codes]
+    ids = np.where(ids < 0, -2 - codes, ids).astype(np.int32)  # an unknown character stands for itself, below 0
+    begin = np.cumsum(sizes + 1) - sizes - 1
+    spaced = np.full(len(ids) + len(words), -1, np.int32)
+    spaced[spread(begin, sizes)] = np.maximum(ids, -1)
+    word, start, middle, end, made = _all_places(pieces, spaced, np.repeat(np.arange(len(words)), sizes + 1), np.repeat(begin, sizes + 1))
+    number = len(pieces.known) + np.arange(len(words))
+    pieces.known.update(zip(words, number.tolist(), strict=True))
+    pieces.chars.extend(sizes, id=ids)
+    low, high = _BIT[start], _BIT[end]
+    pieces.places.extend(np.bincount(word, minlength=len(words)), start=start, middle=middle, end=end, made=made, need=low | _BIT[middle] | high, reach=high - low | high)
+    flat, n = _segmented(pieces, number, None)
+    pieces.forms.extend(n, id=flat)
+
+
+def _segmented(pieces: Pieces, number: np.ndarray, skipped: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and their numbers, of occurrences of remembered words. ``skipped`` tells for each place of each of them, one
+    after another, whether the merge there is skipped."""
+    sizes = pieces.places.sizes[number]
+    first = np.cumsum(sizes) - sizes
+    order = np.argsort(sizes, kind="stable")
+    ordered, n, found, at = sizes[order], np.zeros(len(number), np.int64), [], 0
     while at < len(order):
-        limit = max(6, -(-int(lengths[at]) // 3) * 3)  # words of about one length at a time
-        stop = min(at + 20_000, int(np.searchsorted(lengths, limit, "right")))
+        limit = max(4, -(-int(ordered[at]) // 4) * 4)  # words of about as many places at a time
+        stop = min(at + 4_000, int(np.searchsorted(ordered, limit, "right")))
         which = order[at:stop]
-        part = [words[i] for i in which.tolist()]
-        if limit <= TOGETHER:
-            own: list | None = None if met is None else []
-            found = together(pieces, part, bases[which], dropout, own)
-            if met is not None:
-                met += [(which[of], merge) for of, merge in own or []]
-        else:
-            found = [np.array(agenda(pieces, w, int(b), dropout), "<u2").tobytes() for w, b in zip(part, bases[which], strict=True)]
-        for i, x in zip(which.tolist(), found, strict=True):
-            out[i] = x
+        ids, n[which] = _rounds(pieces, number[which], sizes[which], skipped, first[which])
+        found.append(ids)
         at = stop
-    return out
+    if not found:
+        return np.zeros(0, np.uint16), n
+    starts = np.zeros(len(number), np.int64)
+    starts[order] = np.cumsum(n[order]) - n[order]
+    return np.concatenate(found)[spread(starts, n)], n
 
 
-def _remember(pieces: Pieces, words: list[str]) -> None:
-    """Remember new words without dropout, with all candidate merges that came up."""
-    met: list = []
-    found = _segment(pieces, words, np.zeros(len(words), np.uint64), 0.0, met)
-    of = np.concatenate([np.zeros(0, np.int64), *(x for x, _ in met)])
-    merges = np.concatenate([np.zeros(0, np.uint64), *(x for _, x in met)])
-    pieces.known.update(zip(words, range(len(pieces.forms), len(pieces.forms) + len(words)), strict=True))
-    pieces.forms += found
-    pieces.places = np.concatenate([pieces.places, merges[np.argsort(of, kind="stable")]])
-    pieces.sizes = np.concatenate([pieces.sizes, np.bincount(of, minlength=len(words))])
-
-
-def _touched(pieces: Pieces, number: np.ndarray, bases: np.ndarray, dropout: float) -> np.ndarray:
-    """Whether the draws of each occurrence skip a candidate merge of its word, which it then takes another way."""
-    out = np.zeros(len(number), bool)
-    starts = np.cumsum(pieces.sizes) - pieces.sizes
-    for at in range(0, len(number), DRAWN):
-        own = at + np.flatnonzero(pieces.sizes[number[at : at + DRAWN]] > 0)
-        if len(own):
-            sizes = pieces.sizes[number[own]]
-            ends = np.cumsum(sizes)
-            places = pieces.places[np.repeat(starts[number[own]] - (ends - sizes), sizes) + np.arange(ends[-1])]
-            out[own] = np.logical_or.reduceat(_skipped(np.repeat(bases[own], sizes), places, dropout), ends - sizes)
-    return out
+def _rounds(pieces: Pieces, number: np.ndarray, sizes: np.ndarray, skipped: np.ndarray | None, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The agenda for many occurrences at once.
+
+    What is left of a word's borders between characters is a bit set: a merge is possible while its three
+    borders are there and none between them, and takes the middle one away. Each round, every
+    occurrence makes its first possible merge in the agenda's order.
+    """
+    lengths, most = pieces.chars.sizes[number], int(sizes.max())
+    column = np.arange(int(lengths.max()))
+    inside = column < lengths[:, None]
+    ids = np.zeros(inside.shape, np.int32)
+    ids[inside] = pieces.chars["id"][spread(pieces.chars.starts[number], lengths)]
+    kind = np.uint32 if len(column) < 32 else np.uint64
+    state = (_BIT[lengths] - np.uint64(1) | _BIT[lengths]).astype(kind)
+    if most:
+        slot, base = np.arange(most), pieces.places.starts[number]
+        held = slot < sizes[:, None]
+        at = np.where(held, base[:, None] + slot, 0)
+        if skipped is not None:
+            held &= ~skipped[np.where(held, first[:, None] + slot, 0)]
+        need, reach = pieces.places["need"][at].astype(kind), pieces.places["reach"][at].astype(kind)
+        reach[~held], need[~held] = 0, 1  # never equal
+        row, now, k = np.arange(len(number)), state, np.arange(len(number))
+        while True:
+            free = (now[:, None] & reach) == need
+            pick = free.argmax(axis=1)
+            going = np.flatnonzero(free[k, pick])
+            if not len(going):
+                break
+            place = (base + pick)[going]
+            now[going] ^= _BIT[pieces.places["middle"][place]].astype(kind)
+            ids[row[going], pieces.places["start"][place]] = pieces.places["made"][place]
+            if len(going) < 0.7 * len(row):
+                state[row] = now
+                row, now, base, need, reach = row[going], now[going], base[going], need[going], reach[going]
+                k = k[: len(row)]
+        state[row] = now
+    left = inside & (state[:, None] >> column.astype(kind) & kind(1)).astype(bool)
+    flat, n = ids[left], left.sum(axis=1)
+    if (flat < 0).any():
+        # Unknown characters become their bytes.
+        unknown, back = np.unique(flat, return_inverse=True)
+        known = [[x] if x >= 0 else pieces.bytes_of(chr(-2 - x)) for x in unknown.tolist()]
+        every, each = np.array([i for x in known for i in x]), np.array([len(x) for x in known])
+        flat = every[spread((np.cumsum(each) - each)[back], each[back])]
+        n = np.bincount(np.repeat(np.arange(len(n)), n), each[back], len(n)).astype(np.int64)
+    return flat.astype(np.uint16), n
+
+
+def _draws(pieces: Pieces, number: np.ndarray, bases: np.ndarray, dropout: float) -> np.ndarray:
+    """Whether the draws of each occurrence skip each place of its word, one occurrence after another."""
+    sizes = pieces.places.sizes[number]
+    at = spread(pieces.places.starts[number], sizes)
+    return _skipped(np.repeat(bases, sizes), _place(*(pieces.places[k][at] for k in ("start", "middle", "end"))), dropout)
+
+
+def together(pieces: Pieces, words: list[str], bases: np.ndarray, dropout: float) -> list[bytes]:
+    """``agenda`` for many words of up to ``TOGETHER`` characters, as bytes of ids."""
+    _remember(pieces, sorted(set(words).difference(pieces.known)))
+    number = np.array([pieces.known[w] for w in words], np.int64)
+    flat, sizes = _segmented(pieces, number, _draws(pieces, number, bases, dropout))
+    ends = np.cumsum(sizes).tolist()
+    return [flat[a:b].tobytes() for a, b in zip([0, *ends], ends)]
 
 
 def units_of(text: str) -> list[str]:
@@ -279,7 +317,7 @@ def units_of(text: str) -> list[str]:
 
 def encode_texts(pieces: Pieces, keys: list, texts: list[str | None], seed: int, dropout: float) -> list[bytes]:
     """Ids (unsigned 16 bit) of each text; ``keys`` tell texts apart, so that each occurrence has draws of its own."""
-    if len(pieces.forms) > REMEMBERED:
+    if len(pieces.known) > REMEMBERED:
         pieces.forget()
     split = [units_of(t or "") for t in texts]
     sizes = np.array([len(u) for u in split], np.int64)
@@ -289,17 +327,30 @@ def encode_texts(pieces: Pieces, keys: list, texts: list[str | None], seed: int,
         places = np.repeat(_keys([str(k) for k in keys], seed), sizes) + (np.arange(len(units)) - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         bases = scramble(places)
     _remember(pieces, [w for w in set(units).difference(pieces.known) if len(w) <= TOGETHER])
-    number = np.fromiter((pieces.known.get(w, -1) for w in units), np.int64, len(units))
-    found = [pieces.forms[n] for n in number.tolist()]
-    anew = number < 0
-    if dropout > 0:
-        held = np.flatnonzero(~anew)
-        anew[held] = _touched(pieces, number[held], bases[held], dropout)
-    anew = np.flatnonzero(anew)
-    for i, x in zip(anew.tolist(), _segment(pieces, [units[i] for i in anew.tolist()], bases[anew], dropout), strict=True):
-        found[i] = x
-    ends = np.cumsum(sizes).tolist()
-    return [b"".join(found[a:b]) for a, b in zip([0, *ends], ends)]
+    number = np.fromiter(map(pieces.known.get, units, repeat(-1)), np.int64, len(units))
+    starts, n = np.where(number >= 0, pieces.forms.starts[number], 0), np.where(number >= 0, pieces.forms.sizes[number], 0)
+    pool, used = [pieces.forms["id"]], len(pieces.forms["id"])
+
+    def put(which: np.ndarray, flat: np.ndarray, own: np.ndarray) -> None:
+        nonlocal used
+        starts[which], n[which] = used + np.cumsum(own) - own, own
+        pool.append(flat)
+        used += len(flat)
+
+    for at in range(0, len(units) if dropout > 0 else 0, DRAWN):
+        held = at + np.flatnonzero(number[at : at + DRAWN] >= 0)
+        held = held[pieces.places.sizes[number[held]] > 0]
+        if len(held):
+            own = pieces.places.sizes[number[held]]
+            skipped = _draws(pieces, number[held], bases[held], dropout)
+            touched = np.logical_or.reduceat(skipped, np.cumsum(own) - own)
+            put(held[touched], *_segmented(pieces, number[held[touched]], skipped[np.repeat(touched, own)]))
+    for i in np.flatnonzero(number < 0).tolist():
+        ids = np.array(agenda(pieces, units[i], int(bases[i]), dropout), np.uint16)
+        put(np.array([i]), ids, np.array([len(ids)]))
+    flat = np.concatenate(pool)[spread(starts, n)]
+    ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+    return [flat[a:b].tobytes() for a, b in zip(ends, ends[1:])]
 
 
 def decode_ids(pieces: Pieces, ids: np.ndarray) -> str:
@@ -341,8 +392,8 @@ def encode(docs: DataFrame, seed: int = 1, dropout: float = DROPOUT, model: str
     def run(batch: pa.RecordBatch) -> dict:
         texts, keys = (batch.column(kept.index(c)).to_pylist() for c in ("text", "doc_id"))
         found = []
-        for at in range(0, len(texts), 500):
-            found += encode_texts(Pieces.at(path), keys[at : at + 500], texts[at : at + 500], seed, dropout)
+        for at in range(0, len(texts), 1_000):
+            found += encode_texts(Pieces.at(path), keys[at : at + 1_000], texts[at : at + 1_000], seed, dropout)
         offsets = np.concatenate([[0], np.cumsum([len(x) // 2 for x in found])]).astype(np.int32)
         values = pa.array(np.frombuffer(b"".join(found), "<u2").astype(np.int32))
         absent = pa.array([t is None for t in texts])
