@@ -14,7 +14,7 @@ K = 5
 #: Vectors of a document-range block, the unit that bounds skip.
 BLOCK = 128
 #: Vectors and queries that a task holds at once.
-SHARD_ROWS = 32_768
+SHARD_ROWS = 8_192
 QUERY_ROWS = 4_096
 
 
@@ -41,15 +41,16 @@ def block_at_a_time(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndar
     strong = np.argsort(-vectors.astype(float).var(axis=0), kind="stable")[:16]
     order = np.lexsort([ids, *(vectors[:, d] > 0 for d in strong[::-1])])
     vectors, ids = vectors[order], ids[order]
-    # Integer products are exact in doubles while their sums stay under 2^53.
-    largest = float(np.abs(vectors).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(1, vectors.shape[1])
-    kind = np.float64 if largest < 2**53 else object
+    # Sums of integer products are exact in doubles under 2^53, in 64-bit integers under 2^63.
+    largest = max((abs(int(x)) for x in (vectors.max(initial=0), vectors.min(initial=0)))) * max((abs(int(x)) for x in (queries.max(initial=0), queries.min(initial=0))))
+    largest *= max(1, vectors.shape[1])
+    kind, none = (np.float64, -np.inf) if largest < 2**53 else (np.int64, -(2**63)) if largest < 2**63 else (object, -(2**200))
     starts = np.arange(0, len(ids), block)
     q, v = queries.astype(kind), vectors.astype(kind)
     top, low = np.maximum.reduceat(v, starts), np.minimum.reduceat(v, starts)
     bounds = np.maximum(q, 0) @ top.T + np.minimum(q, 0) @ low.T
-    turn = np.argsort(-bounds.astype(float), axis=1, kind="stable")
-    best_score = np.full((len(q), k), -np.inf, kind)
+    turn = np.argsort(-bounds, axis=1, kind="stable")
+    best_score = np.full((len(q), k), none, kind)
     best_id = np.full((len(q), k), np.iinfo(np.int64).max, np.int64)
     active = np.arange(len(q))
     for step in range(len(starts)):
@@ -62,14 +63,16 @@ def block_at_a_time(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndar
             b = turn[group[0], step]
             own = slice(starts[b], starts[b] + block)
             score = q[group] @ v[own].T
-            score[query_ids[group][:, None] == ids[own][None, :]] = -np.inf
+            score[query_ids[group][:, None] == ids[own][None, :]] = none
             score = np.concatenate([best_score[group], score], axis=1)
             number = np.concatenate([best_id[group], np.broadcast_to(ids[own], (len(group), len(ids[own])))], axis=1)
             for i, row in enumerate(group):
                 near = np.flatnonzero(score[i] >= np.partition(score[i], -k)[-k]) if score.shape[1] > k else np.arange(score.shape[1])
-                pick = near[np.lexsort([number[i][near], -score[i][near].astype(float)])][:k]
+                # Ties go to the smaller id; ids first, then the scores by a stable sort, whatever their kind.
+                near = near[np.argsort(number[i][near], kind="stable")]
+                pick = near[np.argsort(~score[i][near] if kind is np.int64 else -score[i][near], kind="stable")][:k]
                 best_score[row], best_id[row] = score[i][pick], number[i][pick]
-    found = best_score > -np.inf
+    found = best_score > none
     return [(int(query_ids[i]), int(best_id[i, j]), int(best_score[i, j])) for i, j in zip(*np.nonzero(found), strict=True)]
 
 

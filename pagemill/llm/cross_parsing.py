@@ -7,25 +7,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import map_batches, table
+from pagemill.llm.common import held, map_batches, table
 
-#: Bounds of the labelled sample: so many rows of each language, and of their letters so many in all.
+#: Bounds of the labelled sample: so many texts of each language, and so many characters of each and of all languages.
 TRAIN_ROWS = 64
-TRAIN_CHARS = 40_000
+TRAIN_CHARS, TRAIN_CHARS_IN_ALL = 40_000, 2_000_000
 #: A text is parsed in blocks of so many symbols; a phrase ends with its block.
 BLOCK = 1_024
-#: Rejected as no language if phrases are shorter than this, in letters on average (see ``unlike``).
-LEAST_PHRASE = 1.5
+#: Letters of a language that have a column of the automaton's table; its rarer ones are searched for.
+DENSE = 62
+#: Rejected as no language if phrases are shorter than this share of what the language's own text has (see ``unlike``).
+LEAST_SHARE = 0.5
 UNKNOWN = "und"
 
 
-def suffix_automaton(symbols: np.ndarray, alphabet: int) -> np.ndarray:
-    """The automaton of all substrings, as a table ``state * alphabet + symbol``.
-
-    An entry is four times the next state, plus the phrases that end: one where the text so far has no
-    such continuation (the next phrase starts with this symbol), and one for a symbol that never
-    occurs, which is a phrase of its own and leads back to the root. At the root no phrase is open.
-    """
+def suffix_automaton(symbols: np.ndarray) -> list[dict[int, int]]:
+    """The automaton of all substrings: each state's next states by symbol. State 0 is the root."""
     following: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in symbols.tolist():
@@ -51,15 +48,7 @@ def suffix_automaton(symbols: np.ndarray, alphabet: int) -> np.ndarray:
                     following[at][c] = copy
                     at = link[at]
         last = new
-    root = np.ones(alphabet, np.int32)  # a symbol that never occurs: back to the root, one phrase
-    for c, to in following[0].items():
-        root[c] = 4 * to
-    step = np.tile(root + 1, (len(following), 1)).astype(np.int32)
-    step[0] = root
-    states = np.repeat(np.arange(len(following)), [len(x) for x in following])
-    chars = np.fromiter((c for x in following for c in x), np.int64, len(states))
-    step[states, chars] = 4 * np.fromiter((to for x in following for to in x.values()), np.int64, len(states))
-    return step.ravel()
+    return following
 
 
 def symbols_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,35 +70,76 @@ def symbols_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndar
 class CrossParser:
     """Phrases that each text takes from each language's sample."""
 
-    _made: dict[int, CrossParser] = {}
-
     def __init__(self, samples: dict[str, str]):
+        """The table of moves has a row for each state of each language and a column for each of its commonest letters.
+
+        A move is four times the next state, plus the phrases that end: one where the text so far has no
+        such continuation (the next phrase starts with this symbol), and one for a symbol that never
+        occurs, which is a phrase of its own and leads back to the root. At the root no phrase is open. So a
+        large alphabet costs its occurrences, not its size times the states.
+        """
         self.languages = sorted(samples)
         parts = [symbols_of([samples[name]])[0] for name in self.languages]
-        self.alphabet = np.unique(np.concatenate([*parts, [0]]))
+        self.alphabet, index = np.unique(np.concatenate([*parts, [0]]), return_inverse=True)
         self.unknown = len(self.alphabet)
-        tables, offsets, at = [], [], 0
-        for own in parts:
-            offsets.append(at)
-            tables.append(suffix_automaton(self.index(own), self.unknown + 1) + 4 * at)
-            at += len(tables[-1]) // (self.unknown + 1)
+        ends = np.cumsum([len(p) for p in parts])
+        own = [index[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        count = np.stack([np.bincount(x, minlength=self.unknown) for x in own])
+        self.width = min(DENSE, int((count > 0).sum(axis=1).max(initial=0))) + 2
+        # Columns: common letters, then rarer ones (searched for), then symbols that the language hasn't.
+        self.column = np.full((len(parts), self.unknown + 1), self.width - 1, np.int64)
+        tables, roots, keys, moves, at = [], [], [], [], 0
+        self.restart = np.zeros((len(parts), self.unknown + 1), np.int32)
+        for k, symbols in enumerate(own):
+            order = np.argsort(-count[k], kind="stable")[: int((count[k] > 0).sum())]
+            self.column[k, order] = np.minimum(np.arange(len(order)), self.width - 2)
+            following = suffix_automaton(symbols)
+            states = np.repeat(np.arange(len(following)), [len(x) for x in following])
+            chars = np.fromiter((c for x in following for c in x), np.int64, len(states))
+            to = 4 * (at + np.fromiter((to for x in following for to in x.values()), np.int64, len(states)))
+            root = np.full(self.width, 4 * at + 1, np.int32)  # a symbol that never occurs: back to the root, one phrase
+            first = states == 0
+            self.restart[k, chars[first]] = to[first] + 1
+            column = self.column[k, chars]
+            root[column[first]] = to[first]
+            step = np.tile(root + 1, (len(following), 1)).astype(np.int32)
+            step[0] = root
+            step[states, column] = to
+            rare = column == self.width - 2
+            keys.append((at + states[rare]) * (self.unknown + 1) + chars[rare])
+            moves.append(to[rare])
+            tables.append(step.ravel())
+            roots.append(at)
+            at += len(following)
         self.step = np.concatenate(tables)
-        self.roots = np.array(offsets, np.int64)[:, None]
+        self.roots = np.array(roots, np.int64)[:, None]
+        key, move = np.concatenate(keys), np.concatenate(moves)
+        order = np.argsort(key)
+        self.rare, self.rare_move = key[order], move[order]
         self.bits = np.log2(np.maximum(2, [len(p) for p in parts]))
 
     @classmethod
     def of(cls, samples: dict[str, str]) -> CrossParser:
-        """One per worker process and sample."""
-        key = hash(tuple(sorted(samples.items())))
-        if key not in cls._made:
-            cls._made.clear()
-            cls._made[key] = cls(samples)
-        return cls._made[key]
+        """The one that a worker process holds."""
+        return held(("languages", hash(tuple(sorted(samples.items())))), lambda: cls(samples))
 
     def index(self, codes: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.alphabet, codes), len(self.alphabet) - 1)
         return np.where(self.alphabet[at] == codes, at, self.unknown)
 
+    def move(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The moves of each language's states (``languages x lanes``) by one symbol of each lane."""
+        column = self.column[:, symbol]
+        out = self.step[state * self.width + column]
+        if len(self.rare):
+            language, lane = np.nonzero(column == self.width - 2)
+            if len(lane):
+                key = state[language, lane] * (self.unknown + 1) + symbol[lane]
+                at = np.minimum(np.searchsorted(self.rare, key), len(self.rare) - 1)
+                # At the root the restart is the move itself, without a phrase that ends.
+                out[language, lane] = np.where(self.rare[at] == key, self.rare_move[at], self.restart[language, symbol[lane]])
+        return out
+
     def phrases(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """By text: phrases for each language (``languages x texts``), symbols, letters.
 
@@ -129,12 +159,12 @@ class CrossParser:
         lane_len = np.minimum(BLOCK, count[lane_row] - lane_no * BLOCK)
         order = np.argsort(-lane_len, kind="stable")
         lane_row, lane_start, lane_len = lane_row[order], lane_start[order], lane_len[order]
-        symbols, width = self.index(codes), self.unknown + 1
+        symbols = self.index(codes)
         active = np.searchsorted(-lane_len, -np.arange(lane_len[0]), side="left")
         state = np.repeat(self.roots, len(lane_row), axis=1)
         ended = np.zeros((len(self.languages), len(lane_row)), np.int64)
         for k, n in enumerate(active.tolist()):
-            move = self.step[state[:, :n] * width + symbols[lane_start[:n] + k]]
+            move = self.move(state[:, :n], symbols[lane_start[:n] + k])
             ended[:, :n] += move & 3
             state[:, :n] = move >> 2
         ended += state != self.roots  # the phrase that the end of the block cuts off
@@ -147,18 +177,29 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def training_sample(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> dict[str, str]:
-    """Language to labelled text, from documents that aren't held out: at most ``rows`` rows of each
-    language (those of the smallest hashes, cut down before the shuffle) and ``chars`` characters.
+def training_sample(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS, in_all: int = TRAIN_CHARS_IN_ALL) -> dict[str, str]:
+    """Language to labelled text, from documents that aren't held out: at most ``rows`` different texts of each
+    language (those of the smallest hashes, cut down before the shuffle) and ``chars`` characters, or fewer where
+    there are so many languages that they would take more than ``in_all``.
+
+    A text is one however many copies it has. Of one longer than a quarter of that, a passage from its middle is
+    taken; none is left out for its length.
     """
-    labelled = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") <= chars // 4))
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "text")
-    taken = labelled.select("doc_id", "lang", "text").withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= rows)
+    labelled = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 0))
+    digest = F.unhex(F.md5("text"))
+    texts = labelled.select("lang", digest.alias("d")).distinct()
+    # By language: no more rows than there are languages come back.
+    languages = texts.select("lang").distinct().count()
+    if not languages:
+        return {}
+    chars = max(1_000, min(chars, in_all // languages))
+    part = chars // 4
+    taken = texts.withColumn("_rn", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("d"), "d"))).where(F.col("_rn") <= rows)
+    passage = F.substring("text", F.greatest(F.floor((F.length("text") - part) / 2), F.lit(0)).cast("int") + 1, F.lit(part))
+    passages = labelled.select(F.col("lang").alias("l"), digest.alias("of"), passage.alias("text")).join(F.broadcast(taken), (F.col("l") == F.col("lang")) & (F.col("of") == F.col("d")))
     out: dict[str, str] = {}
-    for r in taken.orderBy("lang", "_rn").collect():
-        joined = f"{out[r.lang]} {r.text}" if r.lang in out else r.text
-        if len(joined) <= chars:
-            out[r.lang] = joined
+    for r in passages.groupBy("lang", "_rn").agg(F.first("text").alias("text")).orderBy("lang", "_rn").collect():
+        out[r.lang] = (f"{out[r.lang]} {r.text}" if r.lang in out else r.text)[:chars]
     return {k: v for k, v in out.items() if symbols_of([v])[2][0]}
 
 
@@ -198,9 +239,26 @@ def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
     return map_batches(docs.select(*kept), predict, f"{schema}, lang_pred string, score double, phrase_letters double")
 
 
-def unlike(phrase_letters: Column, lang_pred: Column, least: float = LEAST_PHRASE) -> Column:
-    """Texts that are no known language: without letters, or of phrases of hardly a letter each."""
-    return (lang_pred == UNKNOWN) | (phrase_letters < least)
+def shortest_phrases(samples: dict[str, str], share: float = LEAST_SHARE) -> dict[str, float]:
+    """By language, the share ``share`` of the mean phrase, in letters, that one half of its sample has in the other.
+
+    The whole sample gives longer phrases than half of it, so a text of the language lies well above.
+    """
+    out = {}
+    for name, text in samples.items():
+        half = len(text) // 2
+        total, _, letters = CrossParser({name: text[:half]}).phrases([text[half:]])
+        out[name] = share * float(letters[0]) / max(1, int(total[0, 0]))
+    return out
+
+
+def unlike(phrase_letters: Column, lang_pred: Column, least: dict[str, float]) -> Column:
+    """Texts that are no known language: without letters, or of phrases that are shorter than ``least`` (see
+    ``shortest_phrases``) of the language that comes nearest."""
+    short = F.lit(False)
+    for name, letters in least.items():
+        short = short | ((lang_pred == name) & (phrase_letters < letters))
+    return (lang_pred == UNKNOWN) | short
 
 
 def op6_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,9 @@ REMEMBERED = 150_000
 #: Words of more characters go through the agenda one by one and aren't remembered, others many at a time.
 TOGETHER = 48
 #: Occurrences whose draws are made at a time.
-DRAWN = 100_000
+DRAWN = 50_000
+#: New words that are taken apart at a time.
+TAKEN_APART = 10_000
 
 _SPACE = "▁"
 _UNITS = re.compile(f"{_SPACE}*[^{_SPACE}\n]+|{_SPACE}+|\n")
@@ -78,8 +80,9 @@ class Pieces:
         self.chars = Ragged([0], id=none(np.int32))
         space = self.bytes_of(_SPACE)
         self.forms = Ragged([len(space)], id=np.array(space, np.uint16))
+        #: ``met`` are those that come up without dropout: an occurrence that skips none of them is undropped.
         #: ``need`` are the three borders of a merge as bits, ``reach`` all bits from the first to the last of them.
-        self.places = Ragged([0], start=none(np.uint8), middle=none(np.uint8), end=none(np.uint8), made=none(np.uint16), need=none(np.uint64), reach=none(np.uint64))
+        self.places = Ragged([0], start=none(np.uint8), middle=none(np.uint8), end=none(np.uint8), made=none(np.uint16), need=none(np.uint64), reach=none(np.uint64), met=none(bool))
 
     @classmethod
     def at(cls, path: str) -> Pieces:
@@ -204,15 +207,20 @@ def _remember(pieces: Pieces, words: list[str]) -> None:
     codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64)
     ids = pieces.of_char[codes]
     ids = np.where(ids < 0, -2 - codes, ids).astype(np.int32)  # an unknown character stands for itself, below 0
-    begin = np.cumsum(sizes + 1) - sizes - 1
-    spaced = np.full(len(ids) + len(words), -1, np.int32)
-    spaced[spread(begin, sizes)] = np.maximum(ids, -1)
-    word, start, middle, end, made = _all_places(pieces, spaced, np.repeat(np.arange(len(words)), sizes + 1), np.repeat(begin, sizes + 1))
+    ends, found = np.concatenate([[0], np.cumsum(sizes)]), []
+    for at in range(0, len(words), TAKEN_APART):
+        part = sizes[at : at + TAKEN_APART]
+        begin = np.cumsum(part + 1) - part - 1
+        spaced = np.full(int(part.sum()) + len(part), -1, np.int32)
+        spaced[spread(begin, part)] = np.maximum(ids[ends[at] : ends[at + len(part)]], -1)
+        word, *rest = _all_places(pieces, spaced, np.repeat(np.arange(len(part)), part + 1), np.repeat(begin, part + 1))
+        found.append((np.bincount(word, minlength=len(part)), *rest))
+    counts, start, middle, end, made = (np.concatenate(x) for x in zip(*found, strict=True))
     number = len(pieces.known) + np.arange(len(words))
     pieces.known.update(zip(words, number.tolist(), strict=True))
     pieces.chars.extend(sizes, id=ids)
     low, high = _BIT[start], _BIT[end]
-    pieces.places.extend(np.bincount(word, minlength=len(words)), start=start, middle=middle, end=end, made=made, need=low | _BIT[middle] | high, reach=high - low | high)
+    pieces.places.extend(counts, start=start, middle=middle, end=end, made=made, need=low | _BIT[middle] | high, reach=high - low | high, met=np.zeros(len(start), bool))
     flat, n = _segmented(pieces, number, None)
     pieces.forms.extend(n, id=flat)
 
@@ -263,6 +271,8 @@ def _rounds(pieces: Pieces, number: np.ndarray, sizes: np.ndarray, skipped: np.n
         row, now, k = np.arange(len(number)), state, np.arange(len(number))
         while True:
             free = (now[:, None] & reach) == need
+            if skipped is None:
+                pieces.places["met"][(base[:, None] + slot)[free]] = True
             pick = free.argmax(axis=1)
             going = np.flatnonzero(free[k, pick])
             if not len(going):
@@ -343,7 +353,8 @@ def encode_texts(pieces: Pieces, keys: list, texts: list[str | None], seed: int,
         if len(held):
             own = pieces.places.sizes[number[held]]
             skipped = _draws(pieces, number[held], bases[held], dropout)
-            touched = np.logical_or.reduceat(skipped, np.cumsum(own) - own)
+            met = pieces.places["met"][spread(pieces.places.starts[number[held]], own)]
+            touched = np.logical_or.reduceat(skipped & met, np.cumsum(own) - own)
             put(held[touched], *_segmented(pieces, number[held[touched]], skipped[np.repeat(touched, own)]))
     for i in np.flatnonzero(number < 0).tolist():
         ids = np.array(agenda(pieces, units[i], int(bases[i]), dropout), np.uint16)
@@ -392,8 +403,8 @@ def encode(docs: DataFrame, seed: int = 1, dropout: float = DROPOUT, model: str
     def run(batch: pa.RecordBatch) -> dict:
         texts, keys = (batch.column(kept.index(c)).to_pylist() for c in ("text", "doc_id"))
         found = []
-        for at in range(0, len(texts), 1_000):
-            found += encode_texts(Pieces.at(path), keys[at : at + 1_000], texts[at : at + 1_000], seed, dropout)
+        for at in range(0, len(texts), 500):
+            found += encode_texts(Pieces.at(path), keys[at : at + 500], texts[at : at + 500], seed, dropout)
         offsets = np.concatenate([[0], np.cumsum([len(x) // 2 for x in found])]).astype(np.int32)
         values = pa.array(np.frombuffer(b"".join(found), "<u2").astype(np.int32))
         absent = pa.array([t is None for t in texts])

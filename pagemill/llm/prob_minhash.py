@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,18 +21,22 @@ SIMILARITY = 0.8
 REGISTERS, BAND = 64, 4
 #: Pairs whose signatures agree in a smaller share are not verified: four standard deviations below 0.8.
 LEAST_ESTIMATE = 0.6
-#: Rows of a bucket that meet in one task: outsiders, and others.
-OUTSIDERS, OTHERS = 512, 2_048
+#: Buckets of up to so many rows give pairs; in larger ones, so many outsiders and others meet in one task.
+SMALL, OUTSIDERS, OTHERS = 24, 512, 2_048
 #: Candidates whose ids are broadcast to fetch their texts; more are joined by a shuffle.
 BROADCAST_NODES = 500_000
 
 
-def shingles(text: str) -> np.ndarray:
-    """The distinct runs of five words, as sorted hashes.
+def counted_shingles(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct runs of five words, as sorted hashes, and how often each occurs.
 
     Words are lower-cased and split at ASCII white space; a shorter text is one run.
     """
-    return np.unique(shingle_hashes(word_hashes(text.lower().encode().split()), WORDS))
+    return np.unique(shingle_hashes(word_hashes(text.lower().encode().split()), WORDS), return_counts=True)
+
+
+def shingles(text: str) -> np.ndarray:
+    return counted_shingles(text)[0]
 
 
 def prob_minhash(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, docs: int, registers: int = REGISTERS) -> np.ndarray:
@@ -71,14 +76,31 @@ def _sketch(batch: pa.RecordBatch) -> dict:
     keys = list(distinct)
     for start in range(0, len(keys), 200):
         part = keys[start : start + 200]
-        sets = [shingles(distinct[d]) for d in part]
-        sizes = [len(s) for s in sets]
-        # Equal weights: registers then agree as the plain Jaccard that links are verified by.
-        signed = prob_minhash(np.repeat(np.arange(len(part)), sizes), np.concatenate(sets), np.ones(sum(sizes)), len(part))
-        found.update((d, row.astype("<u4").tobytes() if n else None) for d, row, n in zip(part, signed, sizes, strict=True))
+        sets = [counted_shingles(distinct[d]) for d in part]
+        plain, weighted = _signed([(x, np.ones(len(x))) for x, _ in sets]), {}
+        # Where no shingle repeats, both signatures are the same.
+        repeating = [i for i, (_, n) in enumerate(sets) if len(n) and n.max() > 1]
+        for i, row in zip(repeating, _signed([(sets[i][0], 1 + np.log(sets[i][1])) for i in repeating]), strict=True):
+            weighted[i] = row
+        for i, (d, row) in enumerate(zip(part, plain, strict=True)):
+            found[d] = np.concatenate([row, weighted.get(i, row)]).astype("<u4").tobytes() if len(sets[i][0]) else None
     return {"doc_id": batch.column(0), "digest": digests, "sig": [found[d] for d in digests]}
 
 
+def _signed(sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The signature of each set of elements with weights."""
+    if not sets:
+        return np.zeros((0, REGISTERS), np.uint32)
+    sizes = [len(x) for x, _ in sets]
+    return prob_minhash(np.repeat(np.arange(len(sets)), sizes), np.concatenate([x for x, _ in sets]), np.concatenate([w for _, w in sets]), len(sets))
+
+
+def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The larger of the shares in which plain and weighted signatures agree, row by row."""
+    same = (x == y).reshape(-1, 2, REGISTERS)
+    return same.mean(axis=2).max(axis=1)
+
+
 def connected(links: DataFrame) -> DataFrame:
     """``node, comp`` for each end of the links ``a, b``: the smallest node that it is connected with.
 
@@ -100,12 +122,12 @@ def connected(links: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The shingle hashes (sorted, little-endian) of each node's text: ``node, shingles``."""
-    wanted = nodes.select("node", F.col("digest").alias("d"))
+    """The shingle hashes (sorted, little-endian) of each node's text: ``node, shingles``. ``nodes`` has ``node, first, digest``."""
+    wanted = nodes.select("node", "first", F.col("digest").alias("d"))
     if nodes.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES:
         wanted = F.broadcast(wanted)
     given = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    held = given.join(wanted, given["doc_id"] == wanted["node"]).where(F.unhex(F.md5("text")) == F.col("d")).select("node", "text")
+    held = given.join(wanted, given["doc_id"] == wanted["first"]).where(F.unhex(F.md5("text")) == F.col("d")).select("node", "text")
     hashed = map_batches(
         held,
         lambda batch: {"node": batch.column(0), "shingles": [shingles(t).astype("<u8").tobytes() for t in batch.column(1).to_pylist()]},
@@ -141,7 +163,7 @@ def _met(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     a, b, comp = _signatures(left["sig"]), _signatures(right["sig"]), right["comp"].to_numpy()
     hit, mine = np.zeros(len(b), bool), np.zeros(len(a), bool)
     for i, own in enumerate(left["comp"].to_numpy()):
-        near = ((b == a[i]).mean(axis=1) >= LEAST_ESTIMATE) & (comp != own)
+        near = (agreement(b, a[i]) >= LEAST_ESTIMATE) & (comp != own)
         hit |= near
         mine[i] = near.any()
     nodes = np.unique(np.concatenate([left["node"].to_numpy()[mine], right["node"].to_numpy()[hit]]))
@@ -159,7 +181,7 @@ def _linked(least: float):
             for sig, own, node, mine in zip(_signatures(left["sig"]), left["comp"], left["node"], left["shingles"], strict=True):
                 x = np.frombuffer(mine, "<u8")
                 fits = (np.minimum(size, len(x)) >= least * np.maximum(size, len(x))) & (comp != own)
-                agree = np.where(fits, (b == sig).mean(axis=1), 0)
+                agree = np.where(fits, agreement(b, sig), 0)
                 near = np.flatnonzero(agree >= LEAST_ESTIMATE)
                 seen = set()
                 for j in near[np.argsort(-agree[near], kind="stable")]:
@@ -173,22 +195,33 @@ def _linked(least: float):
     return link
 
 
-def _blocks(rows: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame]:
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The rows (``key, node, comp``) of buckets with several components, with ``all``: the bucket's rows, ``main``: the
+    component that has most of them, and ``inside``: how many."""
+    sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    stats = sizes.groupBy("key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("most")).where("all > most.n")
+    stats = stats.select(F.col("key").alias("k"), "all", F.col("most.comp").alias("main"), F.col("most.n").alias("inside"))
+    return settled(rows.join(stats, rows["key"] == stats["k"]).select("key", "node", "comp", "all", "main", "inside"))
+
+
+def _pairs(mixed: DataFrame) -> DataFrame:
+    """Every two nodes ``a, b`` of different components that share a bucket of a bounded size."""
+    held = mixed.groupBy("key").agg(F.collect_set(F.struct("node", "comp")).alias("s"))
+    others = lambda x: F.transform(F.filter("s", lambda y: (y["node"] > x["node"]) & (y["comp"] != x["comp"])), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))
+    return held.select(F.explode(F.flatten(F.transform("s", others))).alias("p")).select("p.*").distinct()
+
+
+def _blocks(mixed: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame]:
     """Bucket rows as (outsiders, all), both with ``key, i, j``: blocks of a bounded size that meet once.
 
     Outsiders are the rows outside the component that has most rows of the bucket; any pair of two
-    components has one at least. A bucket of one component gives nothing.
+    components has one at least.
     """
-    sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    stats = sizes.groupBy("key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("most")).where("all > most.n")
-    stats = stats.select(
-        F.col("key").alias("k"), F.col("most.comp").alias("main"),
-        F.ceil((F.col("all") - F.col("most.n")) / OUTSIDERS).cast("int").alias("ni"), F.ceil(F.col("all") / OTHERS).cast("int").alias("nj"),
-    )
-    path = scratch_dir(rows.sparkSession, "buckets")
-    rows.join(stats, rows["key"] == stats["k"]).select("key", "node", "comp", *keep, "main", "ni", "nj").write.parquet(path)
+    path = scratch_dir(mixed.sparkSession, "buckets")
+    parts = lambda rows, size: F.ceil(rows / size).cast("int")
+    mixed.withColumns({"ni": parts(F.col("all") - F.col("inside"), OUTSIDERS), "nj": parts(F.col("all"), OTHERS)}).write.parquet(path)
     # Read twice: two sides of one group must not share their columns' identities.
-    held, other = (rows.sparkSession.read.parquet(path) for _ in range(2))
+    held, other = (mixed.sparkSession.read.parquet(path) for _ in range(2))
     spread = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     columns = ["key", "node", "comp", *keep]
@@ -200,56 +233,81 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """``doc_id, class_id`` of every row: the smallest ``doc_id`` it is connected with by links.
 
     Texts link if they are equal, or if the Jaccard similarity of their five-word shingles is
-    ``least`` or more. Candidates share a band of their ProbMinHash signatures, in which each distinct
-    shingle has the weight 1, so that candidates and links are cut by the same similarity.
+    ``least`` or more. Candidates share a band of one of their two ProbMinHash signatures: in the first each distinct
+    shingle has the weight 1, so that candidates and links are cut by the same similarity; in the second the
+    weight 1 + ln(occurrences), so that it estimates the probability Jaccard of the weighted shingles.
 
-    1. A signature per row, where it is read; equal texts become one node (smallest ``doc_id``).
+    1. Signatures of each row, where it is read; equal texts become one node.
     2. Each bucket's nodes are checked against its smallest node, exactly, if the signatures come
        near. Copies of one text become a star, not pairs.
-    3. What is left are buckets of several components. Their outsiders are compared with all rows of
+    3. What is left are buckets of several components. Small ones give the pairs between components, of which those
+       with near signatures are verified. In larger ones the outsiders are compared with all rows of
        the bucket, in blocks of a bounded size, and only exact links between components come out.
-    4. Connected components of both kinds of links.
+    4. Connected components of all links.
 
     Null texts and null ids are classes of their own (a null id has a null class); texts without
-    words link to equal ones only. Repeated rows share a class and are returned as often as they are
+    words link to equal ones only. A ``doc_id`` on several texts is several documents, each in the class of its text.
+    Repeated rows share a class and are returned as often as they are
     there. Other columns are ignored.
     """
-    given = docs.select("doc_id", "text")
+    return text_classes(docs, least).select("doc_id", "class_id")
+
+
+def text_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """``near_duplicates`` with the MD5 ``digest`` of each row's text and its class's number ``comp``; null where there
+    is no text or id."""
+    given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     sketch = settled(map_batches(given.where("doc_id is not null and text is not null"), _sketch, "doc_id bigint, digest binary, sig binary"))
-    nodes = settled(sketch.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")))
+    # A node is a text, numbered as it is written.
+    nodes = sketch.groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("sig").alias("sig"))
+    nodes = settled(nodes.select(F.monotonically_increasing_id().alias("node"), "digest", "first", "sig"))
     signed = nodes.where("sig is not null")
-    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1)), lambda k: F.xxhash64(k, F.substring(F.col("sig"), k * (4 * BAND) + 1, F.lit(4 * BAND)))))
-    rows = signed.select(band.alias("key"), "node")
+    place = lambda half, k: half * (4 * REGISTERS) + k * (4 * BAND) + 1
+    keys = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1)), lambda k: F.array(*(F.xxhash64(k, F.substring(F.col("sig"), place(h, k), F.lit(4 * BAND))) for h in (0, 1))))
+    rows = signed.select(F.explode(F.array_distinct(F.flatten(keys))).alias("key"), "node")
     shared = rows.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select(F.col("key").alias("k"), "hub")
     buckets = settled(rows.join(shared, rows["key"] == shared["k"]).select("key", "node", "hub"))
-
-    stars = buckets.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    sig = lambda name, out: signed.select(F.col("node").alias(name), F.col("sig").alias(out)).dropDuplicates([name])
+    sig = lambda name, out: signed.select(F.col("node").alias(name), F.col("sig").alias(out))
 
     def close(batch: pa.RecordBatch) -> dict:
         x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u4").reshape(batch.num_rows, -1) for k in (2, 3))
-        return {"a": batch.column(0), "b": batch.column(1), "near": (x == y).mean(axis=1) >= LEAST_ESTIMATE}
-
-    near = map_batches(stars.join(sig("a", "x"), "a").join(sig("b", "y"), "b").select("a", "b", "x", "y"), close, "a bigint, b bigint, near boolean")
-    near = settled(near.where("near").select("a", "b"))
-    ends = lambda links: links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
-    with_digest = lambda wanted: wanted.join(nodes.select("node", "digest"), "node")
-    first = settled(_similar(near, _texts(docs, settled(with_digest(ends(near)))), least))
-
-    comps = connected(first)
-    labelled = buckets.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp")).join(sig("node", "sig"), "node")
-    outside, every = _blocks(labelled, ["sig"])
-    keys = ["key", "i", "j"]
-    met = settled(outside.groupBy(*keys).cogroup(every.groupBy(*keys)).applyInPandas(_met, "key bigint, node bigint").distinct())
-    sets = _texts(docs, settled(with_digest(met.select("node").distinct())))
-    again = met.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp")).join(sig("node", "sig"), "node").join(sets, "node")
-    outside, every = _blocks(again, ["sig", "shingles"])
-    second = outside.groupBy(*keys).cogroup(every.groupBy(*keys)).applyInPandas(_linked(least), "a bigint, b bigint")
-
-    final = connected(first.union(second))
-    of_text = nodes.select("digest", "node").join(final, "node", "left").select("digest", F.coalesce("comp", "node").alias("class_id"))
-    alone = given.where("doc_id is null or text is null").select("doc_id", F.col("doc_id").alias("class_id"))
-    return sketch.select("doc_id", "digest").join(of_text, "digest").select("doc_id", "class_id").union(alone)
+        return {"a": batch.column(0), "b": batch.column(1), "near": agreement(x, y) >= LEAST_ESTIMATE}
+
+    def near(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sig("a", "x"), "a").join(sig("b", "y"), "b").select("a", "b", "x", "y")
+        return settled(map_batches(both, close, "a bigint, b bigint, near boolean").where("near").select("a", "b"))
+
+    ends = lambda links: links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node")))
+    sets_of = lambda wanted: _texts(given, settled(wanted.distinct().join(nodes.select("node", "first", "digest"), "node")))
+    stars = near(buckets.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
+    links = [_similar(stars, sets_of(ends(stars)), least)]
+
+    comps = connected(links[0])
+    label = lambda rows: rows.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    mixed = _mixed(label(buckets))
+    large = mixed.where(F.col("all") > SMALL)
+    between = near(_pairs(mixed.where(F.col("all") <= SMALL)))
+    if large.isEmpty():
+        links.append(_similar(between, sets_of(ends(between)), least))
+    else:
+        meeting = ["key", "i", "j"]
+        outside, every = _blocks(large.join(sig("node", "sig"), "node"), ["sig"])
+        met = settled(outside.groupBy(*meeting).cogroup(every.groupBy(*meeting)).applyInPandas(_met, "key bigint, node bigint").distinct())
+        sets = sets_of(ends(between).union(met.select("node")))
+        links.append(_similar(between, sets, least))
+        again = _mixed(label(met))
+        outside, every = _blocks(again.join(sig("node", "sig"), "node").join(sets, "node"), ["sig", "shingles"])
+        links.append(outside.groupBy(*meeting).cogroup(every.groupBy(*meeting)).applyInPandas(_linked(least), "a bigint, b bigint"))
+
+    final = connected(reduce(DataFrame.union, links[1:], links[0]))
+    of_text = settled(nodes.select("digest", "node", "first").join(final, "node", "left").select("digest", "first", F.coalesce("comp", "node").alias("comp")))
+    # The smallest doc_id of each class. One of a single text is that text's own.
+    least_of = of_text.groupBy("comp").agg(F.min("first").alias("class_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    if least_of.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES:
+        least_of = F.broadcast(least_of)
+    classes = of_text.join(least_of, "comp", "left").select("digest", F.coalesce("class_id", "first").alias("class_id"), "comp")
+    alone = given.where("doc_id is null or text is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(None).cast("binary").alias("digest"), F.lit(None).cast("bigint").alias("comp"))
+    return sketch.select("doc_id", "digest").join(classes, "digest").select("doc_id", "class_id", "digest", "comp").union(alone)
 
 
 def op4_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -167,7 +167,7 @@ _PART = f"{_READ}, segment int, total bigint, declared string, block binary"
 def _finish(kind: str, declared: str | None, block: bytes, keep: bool) -> tuple:
     """``payload_bytes, payload_digest, problem, payload`` of a whole record."""
     if kind == "revisit":
-        return None, None, None, None
+        return None, declared, None, None
     payload = _decoded(block)
     if payload is None:
         return None, None, "broken framing", None
@@ -183,7 +183,7 @@ def read_archives(spark: SparkSession, path: str, keep_payload: bool = True) ->
     Segments are grouped by origin and put in order of their numbers; the numbers must be 1 to the
     last without a gap, the sum of their bytes the last one's total length, the chunked framing
     whole, and the payload of the declared digest. Otherwise ``problem`` says what is wrong and the
-    payload columns are null. Revisits have no payload of their own (see ``resolve_revisits``).
+    payload columns are null. Revisits have no payload of their own, only its digest (see ``resolve_revisits``).
     Without ``keep_payload`` the payload stays null. Records that are whole are decoded where they
     are read; only the blocks of segments are shuffled.
     """
@@ -231,27 +231,37 @@ def read_archives(spark: SparkSession, path: str, keep_payload: bool = True) ->
     return map_batches(grouped, join_up, _READ)
 
 
-def resolve_revisits(records: DataFrame) -> DataFrame:
-    """Payload columns of revisits from the response they refer to; ``problem`` if there is none."""
+def resolve_revisits(records: DataFrame, keep_payload: bool = True) -> DataFrame:
+    """Payload columns of revisits from the response they refer to: one of that ``page_id`` and of the digest that
+    the revisit declares. ``problem`` if there is none; then the payload columns are null.
+
+    A page on several records may have several payloads, so the id alone doesn't say which is meant. Without
+    ``keep_payload`` only sizes are looked up, by a broadcast unless there are too many groups of copies.
+    """
     records = settled(records)
-    found = records.where("record_type = 'response' and problem is null and page_id is not null").groupBy("page_id").agg(
-        *(F.max(c).alias(f"r_{c}") for c in ("payload_bytes", "payload_digest", "payload"))
-    )
-    found = found.withColumnRenamed("page_id", "r_page_id")
-    joined = records.join(found, F.col("refers_to") == F.col("r_page_id"), "left")
-    lost = (F.col("record_type") == "revisit") & F.col("problem").isNull() & F.col("r_page_id").isNull()
+    revisit = F.col("record_type") == "revisit"
+    kept = ["payload_bytes", "payload"] if keep_payload else ["payload_bytes"]
+    wanted = records.where(revisit).select(F.col("refers_to").alias("r_page_id"), F.col("payload_digest").alias("r_digest")).distinct()
+    whole = records.where("record_type = 'response' and problem is null and page_id is not null")
+    found = whole.groupBy(F.col("page_id").alias("r_page_id"), F.col("payload_digest").alias("r_digest")).agg(*(F.max(c).alias(f"r_{c}") for c in kept))
+    found = found.join(wanted, ["r_page_id", "r_digest"], "left_semi")
+    if not keep_payload:
+        found = settled(found)
+        found = F.broadcast(found) if found.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS else found
+    joined = records.join(found, revisit & (F.col("refers_to") == F.col("r_page_id")) & (F.col("payload_digest") == F.col("r_digest")), "left")
+    lost = revisit & F.col("problem").isNull() & F.col("r_page_id").isNull()
     return joined.select(
         "record_id", "page_id", "url", "record_type", "refers_to",
-        *(F.coalesce(c, f"r_{c}").alias(c) for c in ("payload_bytes", "payload_digest")),
+        F.coalesce("payload_bytes", "r_payload_bytes").alias("payload_bytes"), F.when(~lost, F.col("payload_digest")).alias("payload_digest"),
         F.when(lost, "response missing").otherwise(F.col("problem")).alias("problem"),
-        F.coalesce("payload", "r_payload").alias("payload"),
+        (F.coalesce("payload", "r_payload") if keep_payload else F.col("payload")).alias("payload"),
     )
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "archives")
     write_archives(table(spark, sf_dir, "pages"), path)
-    back = resolve_revisits(read_archives(spark, path, keep_payload=False))
+    back = resolve_revisits(read_archives(spark, path, keep_payload=False), keep_payload=False)
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.col("problem").isNull().alias("intact"))
 
 
