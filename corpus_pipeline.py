@@ -17,8 +17,10 @@ from pagemill.session import apply_settings, scratch_dir
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones teach; null texts and texts without letters go."""
     limit_batches(spark)
-    found = cross_parsing.identify(docs, cross_parsing.training_sample(docs))
-    return found.where(~cross_parsing.unlike(F.col("phrase_letters"), F.col("lang_pred"))).select(docs.columns)
+    samples = cross_parsing.training_sample(docs)
+    found = cross_parsing.identify(docs, samples)
+    unlike = cross_parsing.unlike(F.col("phrase_letters"), F.col("lang_pred"), cross_parsing.shortest_phrases(samples))
+    return found.where(~unlike).select(docs.columns)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,15 +46,17 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates: that of the smallest ``doc_id``, once.
 
-    Rows without a ``doc_id`` or text are classes of their own and stay.
+    A document is a ``doc_id`` with a text: several texts of one ``doc_id`` are several documents. Rows without a
+    ``doc_id`` or text are classes of their own and stay.
     """
     limit_batches(spark)
-    classes = prob_minhash.near_duplicates(docs)
-    heads = classes.where("doc_id = class_id").select(F.col("doc_id").alias("__pm_head")).distinct()
-    kept = docs.join(heads, docs["doc_id"] == heads["__pm_head"], "left_semi")
-    w = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
+    classes = prob_minhash.text_classes(docs).where("digest is not null")
+    heads = classes.groupBy("comp").agg(F.min(F.struct("doc_id", "digest")).alias("h")).select(F.col("h.doc_id").alias("__pm_head"), F.col("h.digest").alias("__pm_text"))
+    digest = F.unhex(F.md5("text"))
+    kept = docs.join(heads, (docs["doc_id"] == heads["__pm_head"]) & (digest == heads["__pm_text"]), "left_semi")
+    w = Window.partitionBy("doc_id", digest).orderBy(F.xxhash64(*docs.columns))
     first = kept.withColumn("__pm_rn", F.row_number().over(w)).where("__pm_rn = 1").drop("__pm_rn")
-    return first.union(docs.where("doc_id is null"))
+    return first.union(docs.where("doc_id is null or text is null"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
