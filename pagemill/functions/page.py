@@ -1,13 +1,14 @@
 """One page taken apart in Python: its tokens, and its elements as intervals of tokens.
 
-Everything here handles one page and is linear in its size (times its nesting depth where text
-or markup of elements is cut out). ``operators/elements.py`` applies it to page tables.
+Everything here handles one page and holds memory linear in its size: rows of elements are made one by
+one, and text or markup is cut out when a row is. ``operators/elements.py`` applies it to page tables.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from functools import cached_property
 from itertools import accumulate
 
 from pagemill.functions import patterns as P
@@ -111,28 +112,58 @@ class Page:
             opens = opens + 1 if kind == "open" else 0
         return out
 
-    def elements(self, text: bool, fragment: bool) -> list[tuple]:
-        """Rows of the element table (see ``operators/elements.py``)."""
+    @cached_property
+    def kept(self) -> tuple[list[str], list[int]]:
+        """The texts that aren't empty, and how many of them come before each token."""
+        return [t for t in self.texts if t], [0, *accumulate(int(t != "") for t in self.texts)]
+
+    def text_of(self, start: int, end: int, separator: str = "") -> str:
+        kept, before = self.kept
+        return separator.join(kept[before[max(start, 0)] : before[end + 1]])
+
+    def markup(self, start: int, end: int) -> str:
+        return "".join(self.tokens[max(start, 0) : end + 1])
+
+    def source(self, start: int) -> str:
+        """The open tag of the element that starts there; -1 is the body of a page without one."""
+        if start < 0:
+            return "<body>"
+        return _OPEN.match(self.tokens[start])[1] if self.kinds[start] == "raw" else self.tokens[start]
+
+    def _all_spans(self) -> list[tuple[int, int, bool]]:
         spans = self.spans()
+        if self.tokens and "body" not in self.tags:
+            spans = [(-1, len(self.tokens) - 1, False), *spans]  # a page without a body is one itself
+        return spans
+
+    def opened(self) -> Iterator[tuple[int, int, str, str]]:
+        """``start, end, tag, open tag`` of each element, in order of starts."""
+        for start, end, _ in self._all_spans():
+            yield start, end, "body" if start < 0 else self.tags[start], self.source(start)
+
+    def elements(self, text: bool | tuple[int, int], fragment: bool) -> Iterator[tuple]:
+        """Rows of the element table (see ``operators/elements.py``), one by one.
+
+        With bounds as ``text``, only elements with more than the first and less than the second number of
+        characters have their text.
+        """
+        spans = self._all_spans()
         size = len(self.tokens)
         sums = lambda values: [0, *accumulate(values)]
         chars, octets = sums(map(len, self.tokens)), sums(len(t.encode()) for t in self.tokens)
         lines = sums(t.count("\n") for t in self.tokens)
-        kept = [t for t in self.texts if t]
-        pieces, letters = sums(int(t != "") for t in self.texts), sums(len(t) + 1 if t else 0 for t in self.texts)
+        letters = sums(len(t) + 1 if t else 0 for t in self.texts)
         words = sums(len(t.split()) for t in self.texts)
         action = self._actions()
         actions = sums(action)
         images = sums(int(k == "void" and t == "img") for k, t in zip(self.kinds, self.tags, strict=True))
+        around = int(bool(spans) and spans[0][0] < 0)
         steps = [0] * (size + 1)
-        for start, end, _ in spans:
+        for start, end, _ in spans[around:]:
             steps[start] += 1
             steps[end + 1] -= 1
         depth = list(accumulate(steps))
-        around = int(size > 0 and "body" not in self.tags)
-        if around:
-            spans = [(-1, size - 1, False), *spans]  # a page without a body is one itself
-        rows = []
+        low, high = text if isinstance(text, tuple) else (-1, chars[-1] + 1) if text else (0, 0)
         above: list[tuple[int, int]] = []  # elements around the one at hand, innermost last
         for start, end, closed in spans:
             while above and above[-1][1] < start:
@@ -141,20 +172,18 @@ class Page:
             above.append((start, end))
             made = start < 0
             here, stop, own = start + 1, end + 1, int(closed)
-            kind = "open" if made else self.kinds[start]
-            src = "<body>" if made else _OPEN.match(self.tokens[start])[1] if kind == "raw" else self.tokens[start]
             begin = 0 if made else start
-            rows.append((
-                start, "body" if made else self.tags[start], src, start, end, parent, closed,
+            text_len = max(letters[stop] - letters[here] - 1, 0)
+            yield (
+                start, "body" if made else self.tags[start], self.source(start), start, end, parent, closed,
                 0 if made else depth[start] - 1 + around, chars[begin], chars[stop] - chars[begin],
                 octets[stop] - octets[here] - own * len(self.tokens[end].encode()),
                 lines[begin] + 1, lines[stop] - lines[begin] + 1,
-                max(letters[stop] - letters[here] - 1, 0), words[stop] - words[here], images[stop] - images[here],
+                text_len, words[stop] - words[here], images[stop] - images[here],
                 actions[stop] - actions[here] - own * action[end],
-                " ".join(kept[pieces[here] : pieces[stop]]) if text else None,
-                "".join(self.tokens[begin:stop]) if fragment else None,
-            ))
-        return rows
+                self.text_of(here, end, " ") if low < text_len < high else None,
+                self.markup(start, end) if fragment else None,
+            )
 
     def without(self, tags: Iterable[str], comments: bool) -> str:
         """The page without elements of these tags and their content."""

@@ -17,7 +17,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pagemill.functions.page import Page
 
 BIN = 64  # token positions per bin of the interval join
-ROWS = 2_000  # element rows per Arrow batch, about; one page's rows stay together
+ROWS = 2_000  # element rows per Arrow batch
+CHARS = 4 << 20  # characters of text and markup per Arrow batch, and those of one row
 _FIELDS = {
     "node_id": "int", "tag": "string", "src": "string", "start_pos": "int", "end_pos": "int", "parent_pos": "int", "closed": "boolean",
     "depth": "int", "off": "bigint", "outer_len": "bigint", "inner_bytes": "bigint", "start_line": "bigint",
@@ -26,14 +27,19 @@ _FIELDS = {
 }
 
 
-def elements(pages: DataFrame, text: bool = False, fragment: bool = False) -> DataFrame:
+def elements(pages: DataFrame, text: bool | tuple[int, int] = False, fragment: bool = False) -> DataFrame:
     """One row per element of ``pages`` (``page_id, html``), with its interval and sizes.
 
     ``parent_pos`` is the ``start_pos`` of the innermost element around it, ``depth`` how many there are.
     ``off``/``outer_len`` locate the element in the page. ``text`` and ``fragment`` add its text and
-    its markup. Closing rules: see :meth:`pagemill.functions.page.Page.spans`. A page without a body
+    its markup; with bounds (``low, high``) as ``text``, only elements of a ``text_len`` between them have theirs, others null.
+    Closing rules: see :meth:`pagemill.functions.page.Page.spans`. A page without a body
     tag gets an element ``body`` around all of it, with ``node_id`` -1. Null and empty pages have no
     elements.
+
+    Rows leave in batches of a bounded size, and text is cut when its row is made. So a task holds a page and a
+    batch, however deep elements are nested; still, text or markup of *all* nested elements is much to
+    write. Choose elements first and cut theirs by :func:`with_markup` where that does.
     """
     names = [n for n in _FIELDS if n not in ("text", "fragment") or (text if n == "text" else fragment)]
     key = pages.schema["page_id"].dataType.simpleString()
@@ -48,18 +54,47 @@ def elements(pages: DataFrame, text: bool = False, fragment: bool = False) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
+            rows, chars = [], 0
             for page_id, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows += [(page_id, *r) for r in Page(html).elements(text, fragment)]
-                if len(rows) >= ROWS:
-                    yield batch_of(rows)
-                    rows = []
+                for row in Page(html).elements(text, fragment):
+                    rows.append((page_id, *row))
+                    chars += len(row[-1] or "") + len(row[-2] or "")
+                    if len(rows) >= ROWS or chars >= CHARS:
+                        yield batch_of(rows)
+                        rows, chars = [], 0
             if rows:
                 yield batch_of(rows)
 
     return pages.select("page_id", "html").mapInArrow(run, schema)
 
 
+def with_markup(chosen: DataFrame, pages: DataFrame) -> DataFrame:
+    """``chosen`` elements (``page_id, off, outer_len`` and others) with their markup as ``fragment``.
+
+    The chosen ones of a page meet one copy of it (``page_id, html``) and are cut out of it there.
+    """
+    kept = [c for c in chosen.columns if c not in ("page_id", "fragment")]
+    grouped = chosen.groupBy("page_id").agg(F.collect_list(F.struct(*kept)).alias("chosen"))
+    fields = ", ".join(f"`{c}` {chosen.schema[c].dataType.simpleString()}" for c in kept)
+    schema = f"page_id {chosen.schema['page_id'].dataType.simpleString()}, {fields}, fragment string"
+    kinds = to_arrow_schema(chosen.select("page_id", *kept).schema).append(pa.field("fragment", pa.string()))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, chars = [], 0
+            for page_id, html, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for e in own:
+                    rows.append((page_id, *(e[c] for c in kept), html[e["off"] : e["off"] + e["outer_len"]]))
+                    chars += e["outer_len"]
+                    if len(rows) >= ROWS or chars >= CHARS:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
+                        rows, chars = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
+
+    return pages.select("page_id", "html").join(grouped, "page_id").select("page_id", "html", "chosen").mapInArrow(cut, schema)
+
+
 _ARROW = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
 
 

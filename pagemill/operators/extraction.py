@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from pagemill.functions import markup as M
 from pagemill.functions import patterns as P
+from pagemill.functions import selectors as SEL
+from pagemill.functions.page import Page
 from pagemill.functions.staged import computed
 from pagemill.functions.text import is_blank, strip_ws
 from pagemill.operators import elements as E
@@ -19,118 +25,16 @@ PRODUCT_FIELDS = ["name", "title", "price", "original_price", "discount", "image
 
 # ---------------------------------------------------------------- selectors
 
-_NAME = r"[A-Za-z0-9_-]+"
-_VALUE = r"""(?:"[^"]*"|'[^']*'|[^\]\s"']+)"""
-_CONDITION = rf"\[\s*[A-Za-z0-9_:.-]+\s*(?:[~|^$*]?=\s*{_VALUE}\s*)?\]"
-_PART = rf"(?:\.{_NAME}|#{_NAME}|{_CONDITION})"
-_SIMPLE = rf"(?:(?:[A-Za-z][A-Za-z0-9-]*|\*){_PART}*|{_PART}+)"
-_PATH = rf"{_SIMPLE}(?:(?:\s*>\s*|\s+){_SIMPLE})*"
 #: Selectors that are understood: tags, classes, ids, attribute conditions, descendants, children, lists.
-SELECTOR = rf"^\s*(?:{_PATH}(?:\s*,\s*{_PATH})*)?\s*$"
+SELECTOR = rf"^\s*(?:{SEL.PATH}(?:\s*,\s*{SEL.PATH})*)?\s*$"
+#: Schemas (by domain) that go to the pages by a broadcast; more are joined by a shuffle.
+BROADCAST_SCHEMAS = 5_000
 
 
 def understood(selector: Column) -> Column:
     return F.coalesce(selector.rlike(SELECTOR), F.lit(False))
 
 
-def _step(text: Column) -> Column:
-    """One step of a path: ``tag, classes, ids, conditions, child``."""
-    conditions = F.regexp_extract_all(text, F.lit(_CONDITION), F.lit(0))
-    bare = F.regexp_replace(text, _CONDITION, "")
-    named = lambda mark: F.regexp_extract_all(bare, F.lit(rf"{mark}({_NAME})"), F.lit(1))
-    return F.struct(
-        F.lower(F.regexp_extract(bare, r"^>?\s*([A-Za-z][A-Za-z0-9-]*)", 1)).alias("tag"),
-        named(r"\.").alias("classes"),
-        named("#").alias("ids"),
-        F.transform(
-            conditions,
-            lambda c: F.struct(
-                F.lower(F.regexp_extract(c, r"^\[\s*([A-Za-z0-9_:.-]+)", 1)).alias("name"),
-                F.regexp_extract(c, r"^\[\s*[A-Za-z0-9_:.-]+\s*([~|^$*]?=)", 1).alias("test"),
-                F.regexp_replace(F.regexp_extract(c, rf"=\s*({_VALUE})\s*\]$", 1), r"""^["']|["']$""", "").alias("value"),
-            ),
-        ).alias("conditions"),
-        text.startswith(">").alias("child"),
-    )
-
-
-def selector_paths(selector: Column) -> Column:
-    """Each path of a comma list as an array of steps, outermost first; an empty selector has none."""
-    paths = F.regexp_extract_all(strip_ws(selector), F.lit(_PATH), F.lit(0))
-    return F.transform(
-        paths, lambda p: F.transform(F.regexp_extract_all(p, F.lit(rf">?\s*{_SIMPLE}"), F.lit(0)), lambda s: _step(F.trim(s)))
-    )
-
-
-def matches(step: Column, element: Column) -> Column:
-    """Does an element (``tag, cls, html_id, attrs``) satisfy one selector step?"""
-
-    def holds(c: Column) -> Column:
-        value, wanted = F.try_element_at(element["attrs"], c["name"]), c["value"]
-        given = wanted != ""
-        return F.coalesce(
-            F.when(c["test"] == "", F.lit(True))
-            .when(c["test"] == "=", value == wanted)
-            .when(c["test"] == "~=", F.array_contains(F.split(value, r"\s+"), wanted))
-            .when(c["test"] == "|=", (value == wanted) | value.startswith(F.concat(wanted, F.lit("-"))))
-            .when(c["test"] == "^=", given & value.startswith(wanted))
-            .when(c["test"] == "$=", given & value.endswith(wanted))
-            .otherwise(given & value.contains(wanted))
-            & value.isNotNull(),
-            F.lit(False),
-        )
-
-    return (
-        ((step["tag"] == "") | (step["tag"] == element["tag"]))
-        & F.forall(step["classes"], lambda c: F.array_contains(element["cls"], c))
-        & F.forall(step["ids"], lambda i: F.coalesce(i == element["html_id"], F.lit(False)))
-        & F.forall(step["conditions"], holds)
-    )
-
-
-def _selectable(elems: DataFrame) -> DataFrame:
-    """Add ``el``, what selectors look at; the first of repeated attributes counts."""
-    src = F.col("src")
-    found = computed(elems, names=F.transform(M.attribute_list(src), M.attribute_name), values=F.transform(M.attribute_list(src), M.attribute_text))
-    distinct = F.array_distinct("names")
-    attrs = F.map_from_arrays(distinct, F.transform(distinct, lambda n: F.element_at("values", F.array_position("names", n).cast("int"))))
-    typed = computed(found, attrs=attrs)
-    el = F.struct(
-        "tag",
-        F.split(F.coalesce(F.try_element_at("attrs", F.lit("class")), F.lit("")), r"\s+").alias("cls"),
-        F.try_element_at("attrs", F.lit("id")).alias("html_id"),
-        "attrs",
-    )
-    return typed.withColumn("el", el).drop("names", "values", "attrs")
-
-
-def select(elems: DataFrame, wanted: DataFrame, columns: list[str], max_steps: int) -> DataFrame:
-    """Elements matched by the paths of ``wanted`` (``domain, steps`` and ``columns``), each once.
-
-    The last step names the element; each earlier step must match an ancestor of the element found
-    for the step after it, or its parent where that step asks for a child.
-    """
-    own = ["page_id", "domain", "start_pos", "end_pos", "parent_pos"]
-    found = elems.select(*own, "el").join(wanted, "domain").where((F.size("steps") > 0) & matches(F.element_at("steps", -1), F.col("el")))
-    place = F.struct("start_pos", "end_pos", F.col("parent_pos").alias("parent"))
-    found = found.select(*own, *columns, "steps", place.alias("at"))
-    outer = elems.select("page_id", "start_pos", "end_pos", F.struct("parent_pos", "el").alias("o"))
-    for back in range(2, max_steps + 1):
-        need = F.size("steps") >= back
-        done, open_ = found.where(~need), found.where(need)
-        inner = open_.withColumns({"mine": F.struct("start_pos", "end_pos"), "start_pos": F.col("at.start_pos"), "end_pos": F.col("at.end_pos")})
-        after = F.element_at("steps", 1 - back)
-        pairs = E.containing(inner, outer).where(~after["child"] | (F.col("o_start") == F.col("at.parent")))
-        climbed = pairs.where(matches(F.element_at("steps", -back), F.col("o.el")))
-        found = done.unionByName(
-            climbed.select(
-                "page_id", "domain", F.col("mine.start_pos").alias("start_pos"), F.col("mine.end_pos").alias("end_pos"), "parent_pos",
-                *columns, "steps", F.struct(F.col("o_start").alias("start_pos"), F.col("o_end").alias("end_pos"), F.col("o.parent_pos").alias("parent")).alias("at"),
-            )
-        )
-    return found.select("page_id", "domain", "start_pos", "end_pos", *columns).distinct()
-
-
 def schema_fields(schemas: DataFrame) -> DataFrame:
     """Stored extraction schemas (``domain, schema_json``) as one row per field, in order of ``place``."""
     field = "struct<name: string, selector: string, type: string, attribute: string, default: string>"
@@ -158,57 +62,55 @@ def rejected_fields(fields: DataFrame) -> DataFrame:
     return fields.withColumn("reason", reason).where("reason is not null")
 
 
-def schema_extract(
-    pages: DataFrame, fields: DataFrame, elems: DataFrame | None = None, columns: list[str] | None = None
-) -> DataFrame:
+def schema_extract(pages: DataFrame, fields: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row per base element of each page, with a column per field.
 
     ``pages``: ``page_id, domain, html``; ``fields``: rows of :func:`schema_fields`, each page using
     those of its own domain; the rows of :func:`rejected_fields` are left out. A field without a match,
     or without the attribute, takes its own default, else NULL; of fields of one name the first with a
     value counts. Without ``columns`` these are PRODUCT_FIELDS, and all others go to the map ``other``.
-    ``elems``: elements with their ``fragment``.
+
+    A page meets its domain's schema and is walked along once: all selectors are found on the way (see
+    :class:`pagemill.functions.selectors.SelectorIndex`), and only what they find is cut out. Nothing is
+    shuffled, unless there are too many schemas to broadcast.
     """
-    elems = elems if elems is not None else E.elements(pages, fragment=True)
-    placed = settled(
-        _selectable(
-            elems.select("page_id", "tag", "src", "start_pos", "end_pos", "parent_pos", "fragment").join(pages.select("page_id", "domain"), "page_id")
-        )
-    )
     if "place" not in fields.columns:
         fields = fields.withColumn("place", F.lit(0))
     usable = fields.where(understood(F.col("selector")) & understood(F.col("base_selector")) & (strip_ws("base_selector") != ""))
-    stepped = settled(usable.withColumns({"paths": selector_paths(F.col("selector")), "base_paths": selector_paths(F.col("base_selector"))}))
-    longest = lambda c: F.coalesce(F.array_max(F.transform(c, F.size)), F.lit(0))
-    depth = stepped.select(F.max(F.greatest(longest("paths"), longest("base_paths")))).first()[0] or 0
-    base_steps = stepped.select("domain", "base_selector", F.explode("base_paths").alias("steps")).distinct()
-    bases = settled(select(placed, base_steps, ["base_selector"], depth))
-    spec = ["base_selector", "field", "selector", "type", "attribute", "default_value", "place"]
-    around = bases.select("page_id", "start_pos", "end_pos", F.col("base_selector").alias("o_selector"))
-    wanted = stepped.where("selector <> ''").select("domain", F.explode("paths").alias("steps"), "base_selector", "field", "selector", "place")
-    hits = select(placed, wanted, ["base_selector", "field", "selector", "place"], depth)
-    inside = E.containing(hits, around).where("o_selector = base_selector").withColumn("base_id", F.col("o_start"))
-    keys = ["page_id", "base_id", "base_selector", "field", "selector", "place"]
-    first = inside.groupBy(*keys).agg(F.min("start_pos").alias("hit_pos"))
-    cells = bases.withColumnRenamed("start_pos", "base_id").join(stepped.select("domain", *spec), ["domain", "base_selector"])
-    cells = cells.join(first, keys, "left").withColumn("node", F.when(F.col("selector") == "", F.col("base_id")).otherwise(F.col("hit_pos")))
-    marked = cells.join(placed.select("page_id", F.col("start_pos").alias("node"), "src", "fragment"), ["page_id", "node"], "left")
-    named = F.filter(M.attribute_list(F.col("src")), lambda a: M.attribute_name(a) == F.lower("attribute"))
-    value = (
-        F.when(F.col("type") == "html", F.col("fragment"))
-        .when(F.col("type") == "attribute", M.attribute_text(F.get(named, F.lit(0))))
-        .otherwise(M.inner_text(F.col("fragment")))
-    )
-    valued = computed(marked, value=F.coalesce(value, F.col("default_value"))).where("value is not null")
-    firsts = valued.groupBy("page_id", "base_id", "field").agg(F.min_by("value", F.struct("place", "selector", "base_selector")).alias("value"))
+    spec = F.struct("base_selector", "field", "selector", "type", "attribute", "default_value", "place")
+    schemas = settled(usable.groupBy("domain").agg(F.collect_list(spec).alias("specs")))
+    if schemas.limit(BROADCAST_SCHEMAS + 1).count() <= BROADCAST_SCHEMAS:
+        schemas = F.broadcast(schemas)
     shown = columns or PRODUCT_FIELDS
-    pivot = firsts.groupBy("page_id", "base_id").pivot("field", shown).agg(F.first("value"))
-    out = bases.select("page_id", "domain", F.col("start_pos").alias("base_id")).distinct().join(pivot, ["page_id", "base_id"], "left")
+    key = pages.schema["page_id"].dataType.simpleString()
+    kinds = to_arrow_schema(pages.select("page_id", "domain").schema)
+    kinds = kinds.append(pa.field("base_id", pa.int32())).append(pa.field("found", pa.map_(pa.string(), pa.string())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index: dict[str, SEL.SelectorIndex] = {}
+        for batch in batches:
+            rows, chars = [], 0
+            for page_id, domain, html, specs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                if domain not in index:
+                    if len(index) >= 64:
+                        index.clear()
+                    index[domain] = SEL.SelectorIndex(specs.as_py())
+                for base, values in index[domain].bases(Page(html)):
+                    rows.append((page_id, domain, base, sorted(values.items())))
+                    chars += sum(map(len, values.values()))
+                    if len(rows) >= E.ROWS or chars >= E.CHARS:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
+                        rows, chars = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
+
+    joined = pages.select("page_id", "domain", "html").join(schemas, "domain").select("page_id", "domain", "html", "specs")
+    found = joined.mapInArrow(run, f"page_id {key}, domain string, base_id int, found map<string, string>")
+    out = found.select("page_id", "domain", "base_id", *(F.try_element_at("found", F.lit(c)).alias(c) for c in shown), "found")
     if columns:
-        return out
-    rest = firsts.where(~F.col("field").isin(shown)).groupBy("page_id", "base_id")
-    other = rest.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", "value")))).alias("other"))
-    return out.join(other, ["page_id", "base_id"], "left")
+        return out.drop("found")
+    other = F.map_filter("found", lambda k, _: ~k.isin(shown))
+    return out.withColumn("other", F.when(F.size(other) > 0, other)).drop("found")
 
 
 # ---------------------------------------------------------------- payloads
@@ -269,11 +171,11 @@ def product_dedup(products: DataFrame, order: list[str]) -> DataFrame:
 
 
 def extract_by_mode(
-    pages: DataFrame, fields: DataFrame, responses: DataFrame, elems: DataFrame | None = None
+    pages: DataFrame, fields: DataFrame, responses: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
     """Products of pages (``page_id, domain, html, mode``) by their mode, and the pages with an unknown mode."""
     known = pages.where(F.col("mode").isin("schema", "llm"))
-    by_schema = schema_extract(known.where("mode = 'schema'"), fields, elems).select(
+    by_schema = schema_extract(known.where("mode = 'schema'"), fields).select(
         "page_id", "domain", "name", "title", "price", F.lit("schema").alias("mode")
     )
     asked = responses.join(known.where("mode = 'llm'").select("page_id"), "page_id", "left_semi")
@@ -284,12 +186,14 @@ def extract_by_mode(
     return product_validate(by_schema.unionByName(by_model)), rejected.select("page_id", "mode")
 
 
-def pagination_chain(starts: DataFrame, edges: DataFrame, max_depth: int = P.MAX_PAGE_DEPTH) -> DataFrame:
+def pagination_chain(starts: DataFrame, edges: DataFrame, max_depth: int | None = P.MAX_PAGE_DEPTH) -> DataFrame:
     """Pages reached from each start (``page_url``) over ``page_url -> next_page``, each once.
 
     ``depth`` 1 is the start itself; at most ``max_depth`` pages are followed, so the list of
-    seen pages stays that short.
+    seen pages stays that short. None follows chains to their end or to where they close (see ``_whole_chains``).
     """
+    if max_depth is None:
+        return _whole_chains(starts, edges)
     front = starts.select(
         F.col("page_url").alias("start_url"), "page_url", F.lit(1).alias("depth"), F.array("page_url").alias("seen")
     )
@@ -304,6 +208,25 @@ def pagination_chain(starts: DataFrame, edges: DataFrame, max_depth: int = P.MAX
     return out.select("start_url", "depth", "page_url")
 
 
+def _whole_chains(starts: DataFrame, edges: DataFrame) -> DataFrame:
+    """``pagination_chain`` to any depth, by pointer doubling: each round jumps twice as far as the one before, from all
+    pages reached so far, so a chain of n pages takes log2(n) joins. A page reached again stays at its
+    least depth; the rounds end when nothing new is reached, also in a loop. Of several next pages of a page the
+    smallest counts."""
+    jump = settled(edges.where("next_page is not null").groupBy("page_url").agg(F.min("next_page").alias("to")))
+    reached = settled(starts.select(F.col("page_url").alias("start_url"), "page_url", F.lit(1).cast("bigint").alias("depth")).distinct())
+    length, count = 1, reached.count()
+    while True:
+        further = reached.join(jump, "page_url").select("start_url", F.col("to").alias("page_url"), (F.col("depth") + length).alias("depth"))
+        reached = settled(reached.unionByName(further).groupBy("start_url", "page_url").agg(F.min("depth").alias("depth")))
+        before, count = count, reached.count()
+        if count == before:
+            return reached.select("start_url", "depth", "page_url")
+        second = jump.select(F.col("page_url").alias("to"), F.col("to").alias("further"))
+        jump = settled(jump.join(second, "to").select("page_url", F.col("further").alias("to")))
+        length *= 2
+
+
 def _items(elems: DataFrame) -> DataFrame:
     """Product items: elements whose class mentions the item marker."""
     return elems.where(F.coalesce(M.attribute(F.col("src"), "class"), F.lit("")).contains(P.ITEM_CLASS))

@@ -16,19 +16,22 @@ from pagemill.functions.urls import base_domain, url_resolve
 from pagemill.operators.skew import first_per_key
 
 
+def _cuts(html: Column) -> Column:
+    """A page's anchors as they are written, each with what follows it."""
+    visible = M.remove_containers(html, P.ANCHOR_EXCLUDED_TAGS)
+    return F.filter(F.split(visible, r"(?i)(?=<a[\s>])"), lambda s: s.rlike(r"(?i)^<a[\s>]"))
+
+
 def anchors(pages: DataFrame) -> DataFrame:
     """``page_id, page_url, ordinal, href, html, title`` for every anchor of every page.
 
     Anchors do not nest, so a page is cut before each ``<a``; an anchor that is never closed
     keeps the text up to the next tag.
     """
-    visible = M.remove_containers(F.col("html"), P.ANCHOR_EXCLUDED_TAGS)
-    cuts = F.split(visible, r"(?i)(?=<a[\s>])")
-    found = F.filter(cuts, lambda s: s.rlike(r"(?i)^<a[\s>]"))
     return pages.select(
         "page_id",
         F.col("url").alias("page_url"),
-        F.posexplode(F.transform(found, _link)).alias("ordinal", "link"),
+        F.posexplode(F.transform(_cuts(F.col("html")), _link)).alias("ordinal", "link"),
     ).select("page_id", "page_url", "ordinal", "link.href", "link.html", "link.title")
 
 
@@ -84,6 +87,26 @@ def prune(links: DataFrame) -> DataFrame:
     return first_seen(kept)
 
 
+def page_links(pages: DataFrame) -> DataFrame:
+    """``prune(anchors(pages))`` without a shuffle: ``page_id, page_url, ordinal, href, html, title, url, domain, page_domain``.
+
+    All links of a page are in its row. There they are resolved and put in order of URL and place, so that
+    repeats lie side by side; the first of each is left.
+    """
+    staged = computed(pages.select("page_id", F.col("url").alias("page_url"), "html"), cuts=_cuts(F.col("html")), page_domain=base_domain(F.col("page_url")))
+    staged = computed(staged.select("page_id", "page_url", "page_domain", "cuts"), links=F.transform("cuts", lambda c, i: F.struct(i.alias("ordinal"), _link(c).alias("link"))))
+
+    def target(x: Column) -> Column:
+        url = url_resolve(strip_ws(x["link"]["href"]), F.col("page_url"))
+        return let(url, lambda u: F.struct(u.alias("url"), x["ordinal"].alias("ordinal"), base_domain(u).alias("domain"), x["link"].alias("link")))
+
+    found = F.transform(F.filter("links", lambda x: scheme_ok(x["link"]["href"])), target)
+    inside = computed(staged.select("page_id", "page_url", "page_domain", "links"), found=F.array_sort(F.filter(found, lambda x: x["domain"] == F.col("page_domain"))))
+    repeats = lambda x, i: (i > 0) & (F.get(F.col("found")["url"], i - 1) == x["url"])
+    first = inside.select("page_id", "page_url", "page_domain", F.explode(F.filter("found", lambda x, i: ~repeats(x, i))).alias("x"))
+    return first.select("page_id", "page_url", "x.ordinal", "x.link.href", "x.link.html", "x.link.title", "x.url", "x.domain", "page_domain")
+
+
 def reject_reason(url: Column) -> Column:
     """Name of the first non-category pattern that matches, NULL when none does."""
     groups = list(P.NON_CATEGORY_GROUPS.items())
@@ -95,7 +118,7 @@ def reject_reason(url: Column) -> Column:
 
 def category_links(pages: DataFrame) -> DataFrame:
     """Absolute category-link rows ready for the catalog."""
-    found = prune(anchors(pages)).where(reject_reason(F.col("url")).isNull())
+    found = page_links(pages).where(reject_reason(F.col("url")).isNull())
     return found.select(
         "page_id", "domain", "ordinal", F.col("url").alias("href"), clean_anchor(F.col("html")).alias("html")
     )

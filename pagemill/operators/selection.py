@@ -87,16 +87,19 @@ def crop_to_card(candidates: DataFrame, flagged: DataFrame, max_chars: int = P.C
     )
 
 
-def card_fragments(cards: DataFrame, flagged: DataFrame) -> DataFrame:
+def card_fragments(cards: DataFrame, flagged: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """Markup of each distinct card without its promotion descendants.
 
-    ``cards``: ``page_id, card_id``; ``flagged`` has the markup of its elements (``fragment``).
+    ``cards``: ``page_id, card_id``. The cards' markup is cut from ``pages`` (``page_id, html``); without them, ``flagged``
+    has that of all its elements (``fragment``).
     Output: ``page_id, card_id, card_end, start_line, fragment``.
     """
     distinct = cards.select("page_id", F.col("card_id").alias("node_id")).distinct()
     kept = flagged.join(distinct, ["page_id", "node_id"], "left_semi").select(
-        "page_id", "node_id", "start_pos", "end_pos", "start_line", "off", "outer_len", "fragment"
+        "page_id", "node_id", "start_pos", "end_pos", "start_line", "off", "outer_len", *(["fragment"] if pages is None else [])
     )
+    if pages is not None:
+        kept = settled(E.with_markup(kept, pages))
     promos = flagged.where("promo").select(
         "page_id", "start_pos", "end_pos", F.col("off").alias("cut_from"), (F.col("off") + F.col("outer_len")).alias("cut_to")
     )
@@ -149,21 +152,25 @@ def product_filter(
     min_words: int = P.MIN_WORDS,
     min_chars: int = P.MIN_CHARS,
     max_chars: int = P.MAX_CHARS,
+    pages: DataFrame | None = None,
 ) -> DataFrame:
     """Product fragments of every page: filter, score, de-nest, drop near-duplicates, keep the best.
 
-    ``elems``: elements with ``text`` and ``fragment``. ``vectors``: ``page_id, node_id, embedding``
+    ``elems``: elements with the ``text`` of those of product size. The markup of the chosen ones is cut from ``pages``
+    (``page_id, html``); without them, ``elems`` has everyone's (``fragment``). ``vectors``: ``page_id, node_id, embedding``
     for those that have one; an element without a vector is never a near-duplicate. ``keep_top_n``
     None keeps all. Output: ``page_id, rank, node_id, score, fragment``.
     """
     scored = S.product_candidates(elems, entities, min_chars, max_chars, min_words)
-    outer = settled(remove_nested(scored).select("page_id", "node_id", "start_pos", "end_pos", "score", "fragment"))
+    outer = settled(remove_nested(scored).select("page_id", "node_id", "start_pos", "end_pos", "score", *(["fragment"] if pages is None else ["off", "outer_len"])))
     ranked = outer.join(vectors, ["page_id", "node_id"]).select("page_id", "node_id", "score", "embedding")
     kept = V.semantic_dedup(ranked.withColumnRenamed("node_id", "vec_id"), similarity)
     dropped = ranked.select("page_id", "node_id").join(
         kept.select("page_id", F.col("vec_id").alias("node_id")), ["page_id", "node_id"], "left_anti"
     )
     best = top_n(outer.join(dropped, ["page_id", "node_id"], "left_anti"), keep_top_n)
+    if pages is not None:
+        best = E.with_markup(best.select("page_id", "rank", "node_id", "score", "off", "outer_len"), pages)
     return best.select("page_id", "rank", "node_id", "score", "fragment")
 
 
@@ -175,14 +182,14 @@ def ecommerce_filter(
     Output: ``page_id, position, card_id, fragment`` in source order; ``keep_top_n`` None keeps all.
     """
     clean = C.strip_elements(pages, P.JUNK_TAGS, comments=True)
-    flagged = settled(S.price_flags(E.elements(clean, text=True, fragment=True)))
+    flagged = settled(S.price_flags(E.elements(clean, text=True)))
     in_body = flagged.where(~F.col("tag").isin("html", "head", "body"))
     scored = S.card_candidates(in_body).withColumn("score", S.card_score(query))
     cropped = settled(
         crop_to_card(scored.select("page_id", "node_id", "start_pos", "end_pos", "score"), flagged, card_chars)
     )
     best = top_n(uncovered(cropped, "card_id", "card_end"), keep_top_n)
-    fragments = distinct_fragments(card_fragments(best, flagged), "card_id")
+    fragments = distinct_fragments(card_fragments(best, flagged, clean), "card_id")
     place = F.row_number().over(Window.partitionBy("page_id").orderBy("card_id"))
     return fragments.select("page_id", place.alias("position"), "card_id", "fragment")
 
@@ -196,7 +203,7 @@ def clean_for_model(
     similarity: float = P.PIPELINE_SIMILARITY,
 ) -> DataFrame:
     """Model input of every page: its product fragments, cleaned and outlined; empty where there is none."""
-    found = product_filter(elems, entities, vectors, keep_top_n, similarity, P.PIPELINE_MIN_WORDS)
+    found = product_filter(elems, entities, vectors, keep_top_n, similarity, P.PIPELINE_MIN_WORDS, pages=pages)
     ordered = F.array_sort(F.collect_list(F.struct("rank", "fragment")))
     fragments = found.groupBy("page_id").agg(F.array_join(F.transform(ordered, lambda r: r["fragment"]), "\n").alias("html"))
     joined = pages.select("page_id").join(fragments, "page_id", "left")

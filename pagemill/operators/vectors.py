@@ -12,6 +12,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,11 +25,15 @@ PAIR_SCHEMA = "better bigint, worse bigint, cosine double, better_copies bigint,
 
 
 def mean_pool(tokens: DataFrame, group: str) -> DataFrame:
-    """Masked mean of token vectors (``group, embedding, mask``) as ``group, dim, value`` rows."""
-    parts = tokens.select(group, F.posexplode("embedding").alias("dim", "x"), F.col("mask").cast("double").alias("m"))
-    return parts.groupBy(group, "dim").agg(
-        (F.sum(F.col("x").cast("double") * F.col("m")) / F.greatest(F.sum("m"), F.lit(1e-9))).alias("value")
-    )
+    """Masked mean of token vectors (``group, embedding, mask``) as ``group, dim, value`` rows.
+
+    Whole vectors are combined in each partition before the shuffle; only results are taken apart. A group without
+    a masked-in vector has zeros. Vectors of one group have one length; null ones take no part.
+    """
+    given = tokens.where(F.col("embedding").isNotNull() & F.col("mask").isNotNull()).select(group, "embedding", F.col("mask").cast("double").alias("m"))
+    weighed = array_to_vector(F.transform("embedding", lambda x: x.cast("double") * F.col("m")))
+    found = given.groupBy(group).agg(Summarizer.sum(weighed).alias("total"), F.greatest(F.sum("m"), F.lit(1e-9)).alias("n"))
+    return found.select(group, F.posexplode(F.transform(vector_to_array("total"), lambda x: x / F.col("n"))).alias("dim", "value"))
 
 
 def collapse_copies(vectors: DataFrame) -> DataFrame:

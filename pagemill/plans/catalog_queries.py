@@ -89,19 +89,28 @@ def category_links_by_domain(spark, sf_dir):
 PAIR_KEY = "cast(domain_id as string) || ' ' || category_url"
 
 
+#: All offers, and some of them again under listings that the catalog doesn't know yet.
+BATCH = """(select * from offers union all
+    select * replace (copy_no + 10 as copy_no, category_url || '?later' as category_url) from offers where product_id % 5 = 0)"""
+
+
 @query(
     "product_insert",
     f"""select p.product_id, p.copy_no, p.name, p.price, d.id as domain_id, l.id as category_link_id
-        from offers p join domains d on d.name = p.domain join (
-          select id, domain_id, url from category_links where id % 4 > 0 union all
-          select {new_ids(PAIR_KEY, "select max(id) from category_links where id % 4 > 0")} as id, domain_id, category_url
-          from (select distinct d.id as domain_id, o.category_url from offers o join domains d on d.name = o.domain
-            where not exists (select 1 from category_links l where l.id % 4 > 0 and l.domain_id = d.id and l.url = o.category_url))
+        from {BATCH} p join domains d on d.name = p.domain join (
+          select id, domain_id, url from category_links union all
+          select {new_ids(PAIR_KEY, "select max(id) from category_links")} as id, domain_id, category_url
+          from (select distinct d.id as domain_id, o.category_url from {BATCH} o join domains d on d.name = o.domain
+            where not exists (select 1 from category_links l where l.domain_id = d.id and l.url = o.category_url))
         ) l on l.domain_id = d.id and l.url = p.category_url""",
 )
 def product_insert(spark, sf_dir):
     offers, links, domains = _load(spark, sf_dir, "offers", "category_links", "domains")
-    stored, _ = K.product_insert(offers, links.where("id % 4 > 0"), domains)
+    number = dict(offers.dtypes)["copy_no"]
+    later = offers.where("product_id % 5 = 0").withColumns(
+        {"copy_no": (F.col("copy_no") + 10).cast(number), "category_url": F.concat("category_url", F.lit("?later"))}
+    )
+    stored, _ = K.product_insert(offers.unionByName(later), links, domains)
     return stored.select("product_id", "copy_no", "name", "price", "domain_id", "category_link_id")
 
 
@@ -189,14 +198,15 @@ def unique_audit(spark, sf_dir):
     return K.unique_audit(names, doubled)
 
 
-STORED = """(select o.product_id as id, o.name, o.price, d.id as domain_id, l.id as category_link_id from offers o
-    join domains d on d.name = o.domain join category_links l on l.domain_id = d.id and l.url = o.category_url where o.copy_no = 1)"""
+# Each copy of an offer is a stored product of its own.
+STORED = """(select o.product_id * 2 + o.copy_no - 1 as id, o.name, o.price, d.id as domain_id, l.id as category_link_id from offers o
+    join domains d on d.name = o.domain join category_links l on l.domain_id = d.id and l.url = o.category_url)"""
 
 
 def _stored(spark, sf_dir):
     offers, links, domains = _load(spark, sf_dir, "offers", "category_links", "domains")
-    stored, _ = K.product_insert(offers.where("copy_no = 1"), links, domains)
-    return settled(stored.withColumnRenamed("product_id", "id"))
+    stored, _ = K.product_insert(offers, links, domains)
+    return settled(stored.withColumn("id", F.col("product_id") * 2 + F.col("copy_no") - 1).drop("product_id"))
 
 
 @query(

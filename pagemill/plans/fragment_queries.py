@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagemill.functions import markup as M
+from pagemill.functions import patterns as P
 from pagemill.functions.text import first_words
 from pagemill.operators import cleaning as C
 from pagemill.operators import elements as E
@@ -28,19 +29,23 @@ def _listing(spark, sf_dir):
     return V.view(spark, sf_dir, "listing")
 
 
+SIZED = (P.MIN_CHARS, P.MAX_CHARS)
+
+
 def _parsed(spark, sf_dir):
-    """The listing pages and their element table, written once for the steps that share it."""
+    """The listing pages and their element table, with the text of elements of product size, written once for the steps
+    that share it."""
     pages = _listing(spark, sf_dir)
-    return pages, settled(E.elements(pages, text=True, fragment=True))
+    return pages, settled(E.elements(pages, text=SIZED))
 
 
 def _scored(spark, sf_dir):
-    elems = settled(E.elements(_listing(spark, sf_dir), text=True))
+    _, elems = _parsed(spark, sf_dir)
     return S.product_candidates(elems, V.entities(elems))
 
 
-def _flagged(spark, sf_dir, fragment=False):
-    return S.price_flags(E.elements(_listing(spark, sf_dir), text=True, fragment=fragment))
+def _flagged(spark, sf_dir):
+    return S.price_flags(E.elements(_listing(spark, sf_dir), text=True))
 
 
 def _card_scored(spark, sf_dir):
@@ -74,7 +79,7 @@ NAV_SQL = "select '{0}' as source, page_id, node_id, tag from {1} where not " +
 @query("element_nav_filter", NAV_SQL.format("pages", "page_sized") + " union all " + NAV_SQL.format("listing", "listing_sized"))
 def element_nav_filter(spark, sf_dir):
     def kept(pages, source, min_words):
-        sized = S.size_prefilter(E.elements(pages, text=True), min_words=min_words)
+        sized = S.size_prefilter(E.elements(pages, text=SIZED), min_words=min_words)
         return sized.where(~S.is_navigation(F.col("tag"), F.col("src"), F.col("text"))).select(
             F.lit(source).alias("source"), "page_id", "node_id", "tag"
         )
@@ -174,9 +179,9 @@ def crop_to_card(spark, sf_dir):
        group by c.page_id, c.card_id""",
 )
 def card_promo_strip(spark, sf_dir):
-    flagged = settled(_flagged(spark, sf_dir, fragment=True).drop("text"))
+    flagged = settled(_flagged(spark, sf_dir).drop("text"))
     cards = X.crop_to_card(S.card_candidates(flagged), flagged)
-    return X.card_fragments(cards, flagged).select("page_id", "card_id", "fragment")
+    return X.card_fragments(cards, flagged, _listing(spark, sf_dir)).select("page_id", "card_id", "fragment")
 
 
 @query("fragment_exact_dedup", "select page_id, min(node_id) as node_id, md5(fragment) as hash from page_elements group by page_id, fragment")
@@ -271,8 +276,8 @@ def fragment_vectors(elems):
          select *, row_number() over (partition by page_id order by score desc, node_id) as rank from product_kept) where rank <= 20""",
 )
 def product_filter(spark, sf_dir):
-    _, elems = _parsed(spark, sf_dir)
-    found = X.product_filter(elems, V.entities(elems), fragment_vectors(elems), similarity=V.FRAGMENT_SIMILARITY)
+    pages, elems = _parsed(spark, sf_dir)
+    found = X.product_filter(elems, V.entities(elems), fragment_vectors(elems), similarity=V.FRAGMENT_SIMILARITY, pages=pages)
     return found.select("page_id", "rank", "node_id", F.round("score", 6).alias("score"), F.md5("fragment").alias("fragment_md5"))
 
 

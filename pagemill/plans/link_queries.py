@@ -91,7 +91,7 @@ def link_first_seen(spark, sf_dir):
 
 @query("link_prune", "select page_id, domain, ordinal, url, title from pruned")
 def link_prune(spark, sf_dir):
-    return L.prune(L.anchors(pages(spark, sf_dir))).select("page_id", "domain", "ordinal", "url", "title")
+    return L.page_links(pages(spark, sf_dir)).select("page_id", "domain", "ordinal", "url", "title")
 
 
 @query(
@@ -121,7 +121,7 @@ def category_link_output(spark, sf_dir):
          count(*) filter (length(c.clean_html) > 150) as n_cut from pruned p join clean_anchors c on p.page_id = c.page_id and p.ordinal = c.ordinal group by p.page_id""",
 )
 def classifier_prompt(spark, sf_dir):
-    return L.classifier_prompt(L.prune(L.anchors(pages(spark, sf_dir))))
+    return L.classifier_prompt(L.page_links(pages(spark, sf_dir)))
 
 
 @query(
@@ -130,7 +130,7 @@ def classifier_prompt(spark, sf_dir):
        where r.error is null""",
 )
 def classifier_match(spark, sf_dir):
-    pruned = L.prune(L.anchors(pages(spark, sf_dir)))
+    pruned = L.page_links(pages(spark, sf_dir))
     responses = (
         pruned.where("ordinal % 2 = 0")
         .groupBy("page_id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pagemill.functions import patterns as P
 from pagemill.functions.urls import base_domain
 from pagemill.operators import catalog as K
 from pagemill.operators import elements as E
@@ -39,15 +40,9 @@ left join {child_sql("fragment", "e.tag = 'p'")} b on b.page_id = i.page_id and
 left join {child_sql("text", f"e.tag = 'div' and {V.attr('e.src', 'class')} = 'promo'")} d on d.page_id = i.page_id and d.base_id = i.node_id"""
 
 
-def _listing(spark, sf_dir):
-    pages = settled(V.view(spark, sf_dir, "listing"))
-    return pages, settled(E.elements(pages, text=True, fragment=True))
-
-
 @query("schema_extract", EXTRACT_SQL)
 def schema_extract(spark, sf_dir):
-    pages, elems = _listing(spark, sf_dir)
-    return T.schema_extract(pages, settled(V.view(spark, sf_dir, "schema_fields")), elems, CELLS)
+    return T.schema_extract(V.view(spark, sf_dir, "listing"), settled(V.view(spark, sf_dir, "schema_fields")), CELLS)
 
 
 def _answers(spark, sf_dir):
@@ -117,10 +112,10 @@ def product_dedup(spark, sf_dir):
     ),
 )
 def extract_by_mode(spark, sf_dir):
-    pages, elems = _listing(spark, sf_dir)
+    pages = settled(V.view(spark, sf_dir, "listing"))
     mode = F.when(F.col("page_id") % 4 < 2, "schema").when(F.col("page_id") % 4 == 2, "llm").otherwise("other")
     products, rejected = T.extract_by_mode(
-        pages.withColumn("mode", mode), settled(V.view(spark, sf_dir, "schema_fields")), V.view(spark, sf_dir, "responses"), elems
+        pages.withColumn("mode", mode), settled(V.view(spark, sf_dir, "schema_fields")), V.view(spark, sf_dir, "responses")
     )
     null = F.lit(None).cast("string")
     failed = rejected.join(pages.select("page_id", "domain"), "page_id").select(
@@ -165,7 +160,7 @@ def listing_coverage(spark, sf_dir):
     ),
 )
 def fragment_coverage(spark, sf_dir):
-    pages, elems = _listing(spark, sf_dir)
+    elems = settled(E.elements(V.view(spark, sf_dir, "listing"), text=(P.MIN_CHARS, P.MAX_CHARS)))
     return T.fragment_coverage(S.product_candidates(elems, V.entities(elems)), elems)
 
 
@@ -229,7 +224,7 @@ def site_run(spark, sf_dir):
 )
 def strategy_as_data(spark, sf_dir):
     """Schemas stored as JSON versions; every page uses its own domain's latest one."""
-    pages, elems = _listing(spark, sf_dir)
+    pages = settled(V.view(spark, sf_dir, "listing"))
     fields = '[{"name":"name","selector":"div.grid h3","type":"text"}%s]'
     base = '"baseSelector":"body div.galleryItem","baseFields":[{"name":"sku","type":"attribute","attribute":"data-item-id"}]'
     with_price = '{%s,"fields":%s}' % (base, fields % ',{"name":"price","selector":"div.product-card [class]","type":"text"}')
@@ -238,5 +233,5 @@ def strategy_as_data(spark, sf_dir):
     old = sites.select("domain", F.lit(1).alias("version"), F.lit(without).alias("schema_json"))
     new = sites.where("no % 3 > 0").select("domain", F.lit(2).alias("version"), F.lit(with_price).alias("schema_json"))
     latest = old.unionByName(new).groupBy("domain").agg(F.max_by("schema_json", "version").alias("schema_json"))
-    out = T.schema_extract(pages, T.schema_fields(latest), elems)
+    out = T.schema_extract(pages, T.schema_fields(latest))
     return out.select("page_id", "base_id", "domain", "name", "price", "sku")
