@@ -27,7 +27,7 @@ def stream_content_dedup(spark, sf_dir):
     pages = V.table(spark, sf_dir, "pages")
     again = pages.withColumn("page_id", F.col("page_id") + 1000000)
     out = scratch_dir(spark, "deduped")
-    _arriving(spark, pages.unionByName(again), ["page_id < 1000000", "page_id >= 1000000"], J.content_dedup, path=out)
+    _arriving(spark, pages.unionByName(again), ["page_id < 1000000", "page_id >= 1000000"], J.content_dedup, each=J.accept_new(out))
     return spark.read.parquet(out).select("content_hash", F.length("html").alias("n_chars"))
 
 
@@ -36,8 +36,8 @@ def stream_label_stats(spark, sf_dir):
     samples = V.view(spark, sf_dir, "samples").select("doc_id", "domain", "is_plp")
     out = scratch_dir(spark, "stats")
     parts = ["doc_id % 3 = 0", "doc_id % 3 = 1", "doc_id % 3 = 2"]
-    _arriving(spark, samples, parts, J.label_stats, mode="complete", each=J.write_whole(out))
-    return spark.read.parquet(out)
+    _arriving(spark, samples, parts, J.label_stats, mode="update", each=J.log_changes(out))
+    return J.merged(spark, out, ["domain", "is_plp"])
 
 
 @query(
@@ -90,5 +90,5 @@ def stream_latest_schema(spark, sf_dir):
     schemas = V.view(spark, sf_dir, "product_schemas")
     out = scratch_dir(spark, "schemas")
     parts = ["id % 3 = 1", "id % 3 = 0", "id % 3 = 2"]
-    _arriving(spark, schemas, parts, J.latest_schema, mode="complete", each=J.write_whole(out))
-    return spark.read.parquet(out).withColumn("generated_at", F.date_format("generated_at", FORMAT))
+    _arriving(spark, schemas, parts, J.latest_schema, mode="update", each=J.log_changes(out))
+    return J.merged(spark, out, ["domain_id"]).withColumn("generated_at", F.date_format("generated_at", FORMAT))

@@ -22,24 +22,63 @@ def read_files(spark: SparkSession, path: str, schema, files_per_trigger: int |
     return reader.parquet(path)
 
 
-def content_dedup(stream: DataFrame, content: str = "html") -> DataFrame:
-    """Each distinct content once, the first time it arrives.
+def content_dedup(stream: DataFrame, content: str = "html", within: str = "10 minutes") -> DataFrame:
+    """Each distinct content once among those that arrive ``within`` some time of each other.
 
-    State holds one hash per distinct content, not the content.
+    State holds one hash per distinct content that arrived lately, not the content, and forgets it when the time
+    is over; ``accept_new`` asks the stored table for older ones. The time is that of arrival, so no row is late.
     """
-    return stream.withColumn("content_hash", F.md5(content)).dropDuplicates(["content_hash"])
+    arrived = stream.withColumns({"content_hash": F.md5(content), "arrived_at": F.current_timestamp()})
+    return arrived.withWatermark("arrived_at", within).dropDuplicatesWithinWatermark(["content_hash"])
+
+
+def accept_new(path: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that stores the rows whose ``content_hash`` no earlier batch has stored.
+
+    Batch ``n`` writes ``path/batch=n`` from the folders before it alone, so repeating it writes the same again. Only
+    the stored hashes are read, not the rows.
+    """
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        batch.limit(0).write.mode("ignore").parquet(f"{path}/batch=-1")
+        before = batch.sparkSession.read.parquet(path).where(F.col("batch") < batch_id).select("content_hash")
+        fresh = batch.dropDuplicates(["content_hash"]).join(before, "content_hash", "left_anti").select(batch.columns)
+        fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return apply
 
 
 def label_stats(stream: DataFrame) -> DataFrame:
-    """Running sample counts per site and label (complete mode)."""
+    """Running sample counts per site and label (update mode: the groups that a batch changes)."""
     return stream.groupBy("domain", "is_plp").agg(F.count("*").alias("n_samples"))
 
 
 def latest_schema(stream: DataFrame) -> DataFrame:
-    """Newest schema per domain so far (complete mode)."""
+    """Newest schema per domain so far (update mode: the domains that a batch changes)."""
     return K.latest_schema(stream)
 
 
+def log_changes(path: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function for update mode: a batch writes the groups that it changed, and nothing else."""
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return apply
+
+
+def merged(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The table that ``log_changes`` keeps: the newest row of each group."""
+    log = spark.read.parquet(path)
+    rest = [c for c in log.columns if c not in (*keys, "batch")]
+    return log.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
+
+
+def fold(spark: SparkSession, path: str, keys: list[str], to: str) -> None:
+    """Write the table as it is now as the first batch of a new log; its stream starts with a new checkpoint."""
+    merged(spark, path, keys).write.mode("overwrite").parquet(f"{to}/batch=-1")
+
+
 def catalog_upsert(store: str, domains: DataFrame) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function keeping a link table up to date by a log of changes.
 
@@ -102,12 +141,3 @@ def run_now(stream: DataFrame, checkpoint: str, path: str | None = None, mode: s
     query = writer.start()
     query.awaitTermination()
     return query
-
-
-def write_whole(path: str) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function for complete mode: each batch replaces the result table."""
-
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
-
-    return apply

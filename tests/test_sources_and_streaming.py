@@ -85,3 +85,36 @@ def test_stream_dedup(spark, tmp_path):
     spark.createDataFrame([(3, "x"), (4, "z")], "n int, html string").write.mode("append").parquet(source)
     run()
     assert sorted(r.html for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["x", "y", "z"]
+
+
+def test_dedup_state_stays_flat_and_no_repeat_is_accepted(spark, tmp_path):
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    make = lambda lo, hi: spark.range(lo, hi).select(F.col("id").alias("n"), F.concat(F.lit("text "), F.col("id") % 2_000).alias("html"))
+    sizes, apply = [], J.accept_new(out)
+    for k in range(10):
+        # Each batch brings 100 new contents and repeats old ones.
+        make(100 * k, 100 * k + 100).union(make(0, 100)).coalesce(1).write.mode("append").parquet(source)
+        query = J.run_now(J.content_dedup(J.read_files(spark, source, make(0, 1).schema), within="0 seconds"), checkpoint, each=apply)
+        sizes.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    stored = spark.read.parquet(out)
+    assert stored.count() == stored.select("content_hash").distinct().count() == 1_000
+    assert max(sizes[3:]) <= 400
+    # A batch that is run again writes the same rows again.
+    again = make(900, 1_000).withColumns({"content_hash": F.md5("html"), "arrived_at": F.current_timestamp()})
+    last = stored.agg(F.max("batch")).first()[0]
+    apply(again, last)
+    assert spark.read.parquet(out).where(F.col("batch") == last).count() == 100 and spark.read.parquet(out).count() == 1_000
+
+
+def test_a_batch_writes_the_groups_it_changes(spark, tmp_path):
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    make = lambda sites: spark.createDataFrame([(f"s{i}", bool(i % 2)) for i in sites], "domain string, is_plp boolean").coalesce(1)
+    for sites in (range(50), (1, 2, 3), (3,)):
+        make(sites).write.mode("append").parquet(source)
+        J.run_now(J.label_stats(J.read_files(spark, source, make((0,)).schema)), checkpoint, mode="update", each=J.log_changes(out))
+    log = {r.batch: r["count"] for r in spark.read.parquet(out).groupBy("batch").count().collect()}
+    assert log == {0: 50, 1: 3, 2: 1}
+    table = {r.domain: r.n_samples for r in J.merged(spark, out, ["domain", "is_plp"]).collect()}
+    assert len(table) == 50 and [table[f"s{i}"] for i in range(5)] == [1, 2, 2, 3, 1]
+    J.fold(spark, out, ["domain", "is_plp"], f"{out}-2")
+    assert sorted(J.merged(spark, f"{out}-2", ["domain", "is_plp"]).collect()) == sorted(J.merged(spark, out, ["domain", "is_plp"]).collect())
