@@ -178,18 +178,26 @@ def extraction_report(spark, sf_dir):
 SITE_NAMES = f"(select {V.base_domain('url')} as name from pages union select domain from listing)"
 SITE_DOMAINS = f"""(select id, name from domains union all select {new_ids("name", "select max(id) from domains")} as id, name
     from {SITE_NAMES} where name not in (select name from domains))"""
-SITE_URLS = f"(select url from pruned where {V.reject_reason('url')} is null union select url from listing)"
+# Each listing goes on for five pages of the same products, more than a run takes from a site.
+SITE_PAGES = "(select page_id, url || case when n > 0 then '?page=' || n else '' end as url from listing, range(5) r(n))"
+SITE_URLS = f"(select url from pruned where {V.reject_reason('url')} is null union select url from {SITE_PAGES})"
 
 
 @query(
     "site_run",
-    f"""select e.domain, l.url as category_url, e.name, e.price, e.url, e.sku, d.id as domain_id, k.id as category_link_id, '{V.AS_OF}' as crawled_at
-        from ({EXTRACT_SQL}) e join listing l on l.page_id = e.page_id join {SITE_DOMAINS} d on d.name = e.domain
-        join (select {new_ids("url", "0")} as id, url from {SITE_URLS}) k on k.url = l.url""",
+    f"""select r.most as links_a_site, e.domain, l.url as category_url, e.name, e.price, e.url, e.sku, d.id as domain_id, k.id as category_link_id,
+          '{V.AS_OF}' as crawled_at
+        from ({EXTRACT_SQL}) e join {SITE_PAGES} l on l.page_id = e.page_id join {SITE_DOMAINS} d on d.name = e.domain
+        join (select id, url, row_number() over (partition by {V.base_domain("url")} order by id) as turn
+              from (select {new_ids("url", "0")} as id, url from {SITE_URLS})) k on k.url = l.url
+        join (values (3), (1000000)) r(most) on k.turn <= r.most""",
 )
 def site_run(spark, sf_dir):
-    """Category phase, then product phase over all due links of every site, then their crawl marks."""
-    sites = settled(V.view(spark, sf_dir, "listing"))
+    """Category phase, then product phase over the due links of every site, then their crawl marks: once for all due
+    links, once for the three that are due first at each site."""
+    listed = V.view(spark, sf_dir, "listing").withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    further = F.when(F.col("n") > 0, F.concat(F.lit("?page="), "n")).otherwise("")
+    sites = settled(listed.withColumns({"page_id": F.col("page_id") * 10 + F.col("n"), "url": F.concat("url", further)}).drop("n"))
     crawled = V.table(spark, sf_dir, "pages")
     domains = settled(
         K.domain_upsert(
@@ -202,17 +210,21 @@ def site_run(spark, sf_dir):
     batch = found.unionByName(listed).withColumn("found_at", F.lit(V.EPOCH).cast("timestamp_ntz"))
     none = V.view(spark, sf_dir, "category_links").limit(0)
     links = settled(K.category_link_upsert(none, domains, batch, ["page_id", "ordinal"]))
-    turn = K.next_k_to_crawl(links, None).select("url")
-    due = settled(sites.join(turn, "url", "left_semi"))
-    products = settled(T.product_validate(T.schema_extract(due, settled(V.view(spark, sf_dir, "schema_fields")))))
-    placed = products.join(due.select("page_id", F.col("url").alias("category_url")), "page_id")
-    stored, _ = K.product_insert(placed, links, domains)
-    marks = due.select("domain", "url", F.lit(V.AS_OF).cast("timestamp_ntz").alias("crawled_at"))
-    marked = K.mark_crawled(links, domains, marks).select(F.col("id").alias("category_link_id"), "last_crawled_at")
-    return stored.join(marked, "category_link_id").select(
-        "domain", "category_url", "name", "price", "url", "sku", "domain_id", "category_link_id",
-        F.date_format("last_crawled_at", FORMAT).alias("crawled_at"),
-    )
+    fields = settled(V.view(spark, sf_dir, "schema_fields"))
+
+    def run(most):
+        due = settled(sites.join(K.next_k_to_crawl(links, most).select("url"), "url", "left_semi"))
+        products = T.product_validate(T.schema_extract(due, fields))
+        placed = settled(products.join(due.select("page_id", F.col("url").alias("category_url")), "page_id"))
+        stored, _ = K.product_insert(placed, links, domains)
+        marks = due.select("domain", "url", F.lit(V.AS_OF).cast("timestamp_ntz").alias("crawled_at"))
+        marked = K.mark_crawled(links, domains, marks).select(F.col("id").alias("category_link_id"), "last_crawled_at")
+        return stored.join(marked, "category_link_id").select(
+            F.lit(most or 1_000_000).alias("links_a_site"), "domain", "category_url", "name", "price", "url", "sku", "domain_id",
+            "category_link_id", F.date_format("last_crawled_at", FORMAT).alias("crawled_at"),
+        )
+
+    return run(None).unionByName(run(P.LINKS_PER_RUN))
 
 
 @query(

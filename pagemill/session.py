@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,16 +39,24 @@ def apply_settings(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def is_shared(folder: str, master: str) -> bool:
+    """Whether all executors see the files of a folder: those of a local session do, else it must not be on a disk."""
+    return master.startswith("local") or urlsplit(folder).scheme not in ("", "file")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and written tables, shared by all executors.
 
     It is the one that ``spark.checkpoint.dir`` names or the context already has; where neither is set,
-    as in tests, a folder of the warehouse.
+    as in tests, a folder of the warehouse. On a cluster that must be in a shared store, or this is an error: each
+    executor would write to its own disk, and nobody would find the files.
     """
     current = spark.sparkContext.getCheckpointDir()
     if not current:
         configured = spark.conf.get("spark.checkpoint.dir", None)
         warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if not configured and not is_shared(warehouse, spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(configured or f"{warehouse.rstrip('/')}/_checkpoints")
     return spark.sparkContext.getCheckpointDir()
 

@@ -45,10 +45,12 @@ def test_every_query_but_one_has_sql():
 
 
 def test_site_run_stores_every_valid_product_of_the_due_links(spark, sql):
-    # At this size every site has one listing page, so all of them are due.
+    # Every site has one listing at this size, of five pages.
     queries = registry.queries()
-    stored = queries["site_run"](spark, str(DATA)).toPandas()
+    both = queries["site_run"](spark, str(DATA)).toPandas()
+    stored, few = both[both["links_a_site"] > 3], both[both["links_a_site"] == 3]
+    assert set(few["category_url"]) < set(stored["category_url"]) and few.groupby("domain")["category_url"].nunique().max() <= 3 and len(few)
     extracted = queries["schema_extract"](spark, str(DATA)).toPandas()
-    assert sorted(stored["sku"]) == sorted(extracted["sku"]) and len(stored)
+    assert sorted(stored["sku"]) == sorted([*extracted["sku"]] * 5) and len(stored)
     assert stored.groupby("category_url")["category_link_id"].nunique().eq(1).all()
     assert stored.groupby("domain")["domain_id"].nunique().eq(1).all()

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from pagemill.sources import readers as R
 from pagemill.sources import sinks
+from pagemill.session import is_shared
 from pagemill.streaming import jobs as J
 
 T0 = dt.datetime(2024, 1, 1)
@@ -118,3 +119,9 @@ def test_a_batch_writes_the_groups_it_changes(spark, tmp_path):
     assert len(table) == 50 and [table[f"s{i}"] for i in range(5)] == [1, 2, 2, 3, 1]
     J.fold(spark, out, ["domain", "is_plp"], f"{out}-2")
     assert sorted(J.merged(spark, f"{out}-2", ["domain", "is_plp"]).collect()) == sorted(J.merged(spark, out, ["domain", "is_plp"]).collect())
+
+
+def test_scratch_folders_are_shared():
+    assert is_shared("/data/warehouse", "local[8]") and is_shared("file:/data/warehouse", "local-cluster[2,1,1024]")
+    assert is_shared("hdfs://store/warehouse", "yarn") and is_shared("s3a://bucket/x", "spark://host:7077")
+    assert not is_shared("/data/warehouse", "yarn") and not is_shared("file:///data/warehouse", "k8s://https://host")
