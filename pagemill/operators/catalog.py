@@ -27,13 +27,14 @@ def domain_upsert(domains: DataFrame, names: DataFrame) -> DataFrame:
     return domains.select("id", "name").unionByName(_numbered(absent, "name", domains).select("id", "name"))
 
 
-def category_link_upsert(links: DataFrame, domains: DataFrame, batch: DataFrame, order: list[str]) -> DataFrame:
+def category_link_upsert(links: DataFrame, domains: DataFrame, batch: DataFrame, order: list[str], ids: DataFrame | None = None) -> DataFrame:
     """Links plus the batch rows (``domain, url, link_html, found_at``) whose URL no domain has yet.
 
-    ``domains`` must know the batch's domains already.
+    ``domains`` must know the batch's domains already. ``ids``: the table whose highest ``id`` new ones follow, if
+    ``links`` is only a part of it (see ``linkstore.py``).
     """
     fresh = first_per_key(batch, ["url"], order).join(links.select("url"), "url", "left_anti")
-    numbered = _numbered(fresh, "url", links)
+    numbered = _numbered(fresh, "url", links if ids is None else ids)
     named = domains.select(F.col("id").alias("domain_id"), F.col("name").alias("domain"))
     rows = numbered.join(named, "domain").withColumn("last_crawled_at", F.lit(None).cast("timestamp_ntz"))
     columns = ["id", "url", "domain_id", "link_html", "found_at", "last_crawled_at"]

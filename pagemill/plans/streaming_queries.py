@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pagemill.functions.urls import base_domain
 from pagemill.operators import catalog as K
 from pagemill.operators import links as L
+from pagemill.operators import linkstore
 from pagemill.plans import views as V
 from pagemill.plans.catalog_queries import DUCK_FORMAT, FORMAT, UPSERTED_DOMAINS, new_ids
 from pagemill.plans.registry import query
@@ -14,6 +15,9 @@ from pagemill.session import scratch_dir, settled
 from pagemill.streaming import jobs as J
 
 
+STORE_BUCKETS = 8  # a small store
+
+
 def _arriving(spark, rows, parts, make, **run):
     """The parts of ``rows`` arrive one after the other; each is a batch of as many files as its tasks wrote."""
     path, checkpoint = scratch_dir(spark, "arriving"), scratch_dir(spark, "stream")
@@ -65,9 +69,9 @@ def stream_catalog_upsert(spark, sf_dir):
     )
     none = V.view(spark, sf_dir, "category_links").limit(0)
     store = scratch_dir(spark, "catalog")
-    J.start_catalog(spark, store, none)
-    _arriving(spark, settled(found), ["seq.part = 0", "seq.part = 1"], lambda s: s, each=J.catalog_upsert(store, domains))
-    links = settled(J.catalog_table(spark, store))
+    linkstore.create(none, store, STORE_BUCKETS)
+    _arriving(spark, settled(found), ["seq.part = 0", "seq.part = 1"], lambda s: s, each=J.store_upsert(store, domains, STORE_BUCKETS))
+    links = settled(linkstore.read(spark, store).drop("bucket"))
     named = links.join(domains.select(F.col("id").alias("domain_id"), F.col("name").alias("domain")), "domain_id")
     marks = named.where("id % 10 % 2 = 0").select(
         F.lit("crawled").alias("kind"), "domain", "url", "link_html", F.lit(V.AS_OF).cast("timestamp_ntz").alias("at"),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pagemill.operators import catalog as K
+from pagemill.operators import linkstore
 
 
 def read_files(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
@@ -100,6 +101,17 @@ def catalog_upsert(store: str, domains: DataFrame) -> Callable[[DataFrame, int],
     return apply
 
 
+def store_upsert(path: str, domains: DataFrame, buckets: int = linkstore.BUCKETS) -> Callable[[DataFrame, int], None]:
+    """``catalog_upsert`` on a bucketed store: a batch reads and rewrites the buckets of its links only."""
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        found = batch.where("kind = 'found'").select("domain", "url", "link_html", F.col("at").alias("found_at"), "seq")
+        marks = batch.where("kind = 'crawled'").select("domain", "url", F.col("at").alias("crawled_at"))
+        linkstore.apply(batch.sparkSession, path, domains, found, marks, ["seq"], buckets)
+
+    return apply
+
+
 LINK_COLUMNS = ["id", "url", "domain_id", "link_html", "found_at", "last_crawled_at"]
 LINK_TYPES = {"id": "bigint", "domain_id": "bigint"}
 

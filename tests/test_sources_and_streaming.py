@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from pagemill.sources import readers as R
 from pagemill.sources import sinks
+from pagemill.operators import linkstore
 from pagemill.session import is_shared
 from pagemill.streaming import jobs as J
 
@@ -125,3 +126,30 @@ def test_scratch_folders_are_shared():
     assert is_shared("/data/warehouse", "local[8]") and is_shared("file:/data/warehouse", "local-cluster[2,1,1024]")
     assert is_shared("hdfs://store/warehouse", "yarn") and is_shared("s3a://bucket/x", "spark://host:7077")
     assert not is_shared("/data/warehouse", "yarn") and not is_shared("file:///data/warehouse", "k8s://https://host")
+
+
+def test_a_batch_rewrites_the_buckets_it_touches(spark, tmp_path):
+    store = str(tmp_path / "links")
+    sites = spark.createDataFrame([(1, "a"), (2, "b")], "id bigint, name string")
+    many = spark.range(1, 2_001).select(
+        "id", F.concat(F.lit("u"), "id").alias("url"), F.lit(1).cast("bigint").alias("domain_id"), F.lit("h").alias("link_html"),
+        F.lit(T0).cast("timestamp_ntz").alias("found_at"), F.lit(None).cast("timestamp_ntz").alias("last_crawled_at"),
+    )
+    linkstore.create(many, store)
+    files = lambda: {p.parent.name: p.name for p in (tmp_path / "links").glob("bucket=*/*.parquet")}
+    batch = spark.createDataFrame(
+        [("found", "b", "u7", "x", T0, 1), ("found", "a", "new", "h", T0, 2), ("found", "b", "new", "h2", T0, 3), ("crawled", "a", "u9", None, T0, 4), ("crawled", "b", "u8", None, T0, 5)],
+        "kind string, domain string, url string, link_html string, at timestamp_ntz, seq int",
+    )
+    before = files()
+    J.store_upsert(store, sites)(batch, 0)
+    after = files()
+    rows = {r.url: r for r in linkstore.read(spark, store).collect()}
+    assert len(rows) == 2_001 and (rows["new"].id, rows["new"].domain_id, rows["new"].link_html) == (2_001, 1, "h")
+    assert rows["u9"].last_crawled_at == T0 and rows["u8"].last_crawled_at is None and rows["u7"].link_html == "h"
+    moved = {b for b in after if after[b] != before.get(b)}
+    assert len(before) == linkstore.BUCKETS and moved == {f"bucket={rows[u].bucket}" for u in ("new", "u9")}
+    J.store_upsert(store, sites)(batch, 0)
+    assert files() == after and linkstore.read(spark, store).count() == 2_001
+    empty = linkstore.apply(spark, store, sites, many.limit(0).select(F.lit("a").alias("domain"), "url", "link_html", "found_at", F.lit(0).alias("seq")), spark.createDataFrame([], "domain string, url string, crawled_at timestamp_ntz"), ["seq"])
+    assert empty == [] and files() == after
