@@ -18,6 +18,8 @@ BLOCK = 1_024
 DENSE = 62
 #: Rejected as no language if phrases are shorter than this share of what the language's own text has (see ``unlike``).
 LEAST_SHARE = 0.5
+#: ... unless a text has fewer letters than this: then its phrases say little.
+LEAST_LETTERS = 100
 UNKNOWN = "und"
 
 
@@ -204,24 +206,24 @@ def training_sample(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_
 
 
 def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
-    """``docs`` with ``lang_pred string, score double, phrase_letters double``; reads ``text`` alone.
+    """``docs`` with ``lang_pred string, score double, phrase_letters double, letters long``; reads ``text`` alone.
 
     A text is parsed greedily into the longest phrases that occur in a language's sample, by walking
     the sample's suffix automaton. Phrases times log2 of the sample's size, over the text's symbols,
     is the cross-parsing entropy; the language of the least wins, the first in order among equals.
     ``score`` is 1 minus the least over the second least (1 if there is one language).
-    ``phrase_letters`` is the mean phrase of the winner, in letters.
+    ``phrase_letters`` is the mean phrase of the winner, in letters, of which the text has ``letters``.
 
     Null texts and texts without a letter are ``und`` with score 0; so is all, if there is no sample.
     Whole texts are parsed, of any length. Columns of ``docs`` of these names are replaced.
     """
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "phrase_letters")]
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "phrase_letters", "letters")]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
     place = kept.index("text")
 
     def predict(batch: pa.RecordBatch) -> dict:
         texts = batch.column(place).to_pylist()
-        pred, score, mean = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+        pred, score, mean, letters = [UNKNOWN] * len(texts), *(np.zeros(len(texts)) for _ in range(3))
         if samples:
             parser = CrossParser.of(samples)
             total, count, letters = parser.phrases(texts)
@@ -234,9 +236,9 @@ def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
             mean = np.where(has, letters / np.maximum(total[best, np.arange(len(texts))], 1), 0.0)
             pred = [parser.languages[b] if h else UNKNOWN for b, h in zip(best, has, strict=True)]
         own = {c: batch.column(i) for i, c in enumerate(kept)}
-        return own | {"lang_pred": pred, "score": score, "phrase_letters": mean}
+        return own | {"lang_pred": pred, "score": score, "phrase_letters": mean, "letters": letters.astype(np.int64)}
 
-    return map_batches(docs.select(*kept), predict, f"{schema}, lang_pred string, score double, phrase_letters double")
+    return map_batches(docs.select(*kept), predict, f"{schema}, lang_pred string, score double, phrase_letters double, letters long")
 
 
 def shortest_phrases(samples: dict[str, str], share: float = LEAST_SHARE) -> dict[str, float]:
@@ -252,13 +254,13 @@ def shortest_phrases(samples: dict[str, str], share: float = LEAST_SHARE) -> dic
     return out
 
 
-def unlike(phrase_letters: Column, lang_pred: Column, least: dict[str, float]) -> Column:
-    """Texts that are no known language: without letters, or of phrases that are shorter than ``least`` (see
-    ``shortest_phrases``) of the language that comes nearest."""
+def unlike(phrase_letters: Column, lang_pred: Column, letters: Column, least: dict[str, float], enough: int = LEAST_LETTERS) -> Column:
+    """Texts that are no known language: without letters, or of ``enough`` letters and in phrases that are shorter than
+    ``least`` (see ``shortest_phrases``) of the language that comes nearest."""
     short = F.lit(False)
-    for name, letters in least.items():
-        short = short | ((lang_pred == name) & (phrase_letters < letters))
-    return (lang_pred == UNKNOWN) | short
+    for name, size in least.items():
+        short = short | ((lang_pred == name) & (phrase_letters < size))
+    return (lang_pred == UNKNOWN) | (short & (letters >= enough))
 
 
 def op6_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -148,7 +148,7 @@ def test_long_labels_teach_and_untaught_languages_are_rejected(spark):
     taught = {k: v for k, v in samples.items() if k != "c"}
     least = cross_parsing.shortest_phrases(taught)
     found = cross_parsing.identify(docs, taught)
-    gone = found.where(cross_parsing.unlike(found["phrase_letters"], found["lang_pred"], least))
+    gone = found.where(cross_parsing.unlike(found["phrase_letters"], found["lang_pred"], found["letters"], least))
     assert {r.lang for r in gone.collect()} == {"c"} and gone.count() == 40
     copies = docs.where("lang = 'a'").limit(1).crossJoin(spark.range(500).select()).union(docs.where("doc_id < 20"))
     assert len(cross_parsing.training_sample(copies)["a"]) > 5_000
