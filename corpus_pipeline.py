@@ -19,7 +19,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     limit_batches(spark)
     samples = cross_parsing.training_sample(docs)
     found = cross_parsing.identify(docs, samples)
-    unlike = cross_parsing.unlike(F.col("phrase_letters"), F.col("lang_pred"), cross_parsing.shortest_phrases(samples))
+    unlike = cross_parsing.unlike(F.col("phrase_letters"), F.col("lang_pred"), F.col("letters"), cross_parsing.shortest_phrases(samples))
     return found.where(~unlike).select(docs.columns)
 
 
