@@ -19,9 +19,9 @@ BATCH_ROWS = 2_000
 BATCH_BYTES = 4 << 20
 
 
-def limit_batches(spark: SparkSession) -> None:
+def limit_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,7 @@ def map_batches(rows: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: s
         for batch in batches:
             if batch.num_rows:
                 yield pa.RecordBatch.from_pydict(fn(batch), schema=kind)
+        pa.default_memory_pool().release_unused()  # a worker that waits for its next task keeps little
 
     return rows.mapInArrow(run, schema)
 
