@@ -13,10 +13,13 @@ from pagemill.llm import cross_parsing, fit_packing, line_dedup, prob_minhash, q
 from pagemill.llm.common import limit_batches, table
 from pagemill.session import apply_settings, scratch_dir
 
+#: Workers of one stage may still be there when the next one starts: half the batch of a query by itself.
+BATCH_BYTES = 2 << 20
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones teach; null texts and texts without letters go."""
-    limit_batches(spark)
+    limit_batches(spark, BATCH_BYTES)
     samples = cross_parsing.training_sample(docs)
     found = cross_parsing.identify(docs, samples)
     unlike = cross_parsing.unlike(F.col("phrase_letters"), F.col("lang_pred"), F.col("letters"), cross_parsing.shortest_phrases(samples))
@@ -25,8 +28,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the model fitted on ``labels``."""
-    limit_batches(spark)
-    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    labels = table(spark, sf_dir, "labels")
+    limit_batches(spark, BATCH_BYTES)
+    model = quality.train(docs, labels)
     return quality.judge(docs, model).where("kept").select(docs.columns)
 
 
@@ -35,7 +39,7 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     Copies count once: near-duplicate removal comes later and could keep none that has its text.
     """
-    limit_batches(spark)
+    limit_batches(spark, BATCH_BYTES)
     cut = line_dedup.drop_boilerplate(docs, distinct_texts=True)
     if "n_chars" in docs.columns:
         changed = F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
@@ -49,7 +53,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     A document is a ``doc_id`` with a text: several texts of one ``doc_id`` are several documents. Rows without a
     ``doc_id`` or text are classes of their own and stay.
     """
-    limit_batches(spark)
+    limit_batches(spark, BATCH_BYTES)
     classes = prob_minhash.text_classes(docs).where("digest is not null")
     heads = classes.groupBy("comp").agg(F.min(F.struct("doc_id", "digest")).alias("h")).select(F.col("h.doc_id").alias("__pm_head"), F.col("h.digest").alias("__pm_text"))
     digest = F.unhex(F.md5("text"))
@@ -61,7 +65,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents that are left, with their places in packed sequences."""
-    limit_batches(spark)
+    limit_batches(spark, BATCH_BYTES)
     return fit_packing.pack_documents(docs)
 
 
