@@ -233,4 +233,82 @@ def op12_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op12_disclosure": op12_disclosure}
-SQL: dict[str, str] = {}
+#: The patterns as the job states them, for the SQL.
+_STATED = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def _pieces_sql(source: str, text: str, pattern: str, keep: str) -> str:
+    """Matches ``m`` of a pattern in a text with their places ``a, b``, and the columns ``keep`` of the source."""
+    return f"""SELECT {keep}, m, CAST(e - length(m) AS BIGINT) AS a, CAST(e AS BIGINT) AS b FROM (
+        SELECT {keep}, m, sum(length(gap) + length(m)) OVER (PARTITION BY {keep} ORDER BY i) AS e FROM (
+          SELECT {keep}, unnest(regexp_extract_all({text}, '{pattern}')) AS m, unnest(regexp_split_to_array({text}, '{pattern}')[:-2]) AS gap,
+                 unnest(range(len(regexp_extract_all({text}, '{pattern}')))) AS i
+          FROM {source}))"""
+
+
+SQL = {
+    "op12_disclosure": f"""
+WITH docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
+), found AS (
+  {" UNION ALL ".join(f"SELECT r, {k} AS k, m, a, b FROM ({_pieces_sql('docs', 'text', p, 'r')})" for k, p in enumerate(_STATED.values()))}
+), sized AS (
+  SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS digits FROM found
+  WHERE k <> 2 OR length(regexp_replace(m, '[^0-9]', '', 'g')) BETWEEN 14 AND 19
+), beside AS (
+  SELECT *, coalesce(lag(b) OVER w, 0) AS lo, lead(a) OVER w AS hi FROM sized WINDOW w AS (PARTITION BY r, k ORDER BY a)
+), spans AS MATERIALIZED (
+  SELECT r, k, a, b, lo, hi,
+    CASE k WHEN 0 THEN 'email:' || lower(m) WHEN 1 THEN 'ip:' || m WHEN 2 THEN 'card:' || digits ELSE 'phone:' || digits END AS entity
+  FROM beside
+  WHERE CASE k
+    WHEN 0 THEN true
+    WHEN 1 THEN len(list_filter(string_split(m, '.'), lambda p: length(ltrim(p, '0')) > 3 OR CAST('0' || substr(ltrim(p, '0'), 1, 3) AS INTEGER) > 255)) = 0
+    WHEN 2 THEN list_sum(list_transform(range(1, length(digits) + 1), lambda i:
+      CASE WHEN (length(digits) - i) % 2 = 0 THEN CAST(digits[i] AS INTEGER)
+           WHEN CAST(digits[i] AS INTEGER) > 4 THEN CAST(digits[i] AS INTEGER) * 2 - 9 ELSE CAST(digits[i] AS INTEGER) * 2 END)) % 10 = 0
+    ELSE length(digits) BETWEEN 10 AND 15 END
+), windows AS MATERIALIZED (
+  SELECT row_number() OVER () AS w, * FROM (
+    SELECT r, entity, greatest(lo, a - {WINDOW}) AS base, substr(text, greatest(lo, a - {WINDOW}) + 1, a - greatest(lo, a - {WINDOW})) AS part,
+           a - {WINDOW} > lo AS cut_first, false AS cut_last
+    FROM spans JOIN docs USING (r)
+    UNION ALL
+    SELECT r, entity, b, substr(text, b + 1, least(coalesce(hi, length(text)), b + {WINDOW}) - b), false, b + {WINDOW} < coalesce(hi, length(text))
+    FROM spans JOIN docs USING (r))
+), words AS (
+  {_pieces_sql('windows', 'part', '\\p{L}{3,}', 'w')}
+), contexts AS MATERIALIZED (
+  SELECT DISTINCT r, entity, lower(m) AS term, base + a AS a, base + b AS b FROM words JOIN windows USING (w)
+  WHERE NOT (cut_first AND a = 0) AND NOT (cut_last AND b = length(part))
+), joint AS (
+  SELECT entity, term, count(*) AS j FROM (SELECT DISTINCT r, entity, term FROM contexts) JOIN docs USING (r)
+  GROUP BY entity, term HAVING count(DISTINCT text) >= {SUPPORT}
+), entities AS (
+  SELECT entity, count(DISTINCT r) AS e FROM spans GROUP BY entity
+), terms AS (
+  SELECT term, count(*) AS t FROM (SELECT unnest(list_distinct(list_transform(regexp_extract_all(text, '\\p{{L}}{{3,}}'), lambda x: lower(x)))) AS term FROM docs) GROUP BY term
+), told AS (
+  SELECT entity, term, 1.0 - ln(CAST(t AS DOUBLE) / j) / ln(CAST(n AS DOUBLE) / e) AS share
+  FROM joint JOIN entities USING (entity) JOIN terms USING (term), (SELECT count(*) AS n FROM docs) WHERE e < n
+), marked AS (
+  SELECT r, a, b, CASE WHEN max(share) >= {REMOVE} THEN 5 ELSE 4 END AS k
+  FROM contexts JOIN told USING (entity, term) WHERE share >= {GENERALISE} GROUP BY r, a, b
+), every AS (
+  SELECT r, k, a, b, ['email', 'ip', 'card', 'phone', 'generalise', 'remove'][k + 1] || ':' || a || ':' || b AS said
+  FROM (SELECT r, k, a, b FROM spans UNION ALL SELECT r, k, a, b FROM marked)
+), by_row AS (
+  SELECT r, count(*) FILTER (k = 0) AS n_email, count(*) FILTER (k = 1) AS n_ip, count(*) FILTER (k = 2) AS n_card, count(*) FILTER (k = 3) AS n_phone,
+         string_agg(said, ',' ORDER BY a, k, b) FILTER (k < 4) AS base, string_agg(said, ',' ORDER BY a, k, b) AS spans
+  FROM every GROUP BY r
+)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN by_row USING (r)
+"""
+}

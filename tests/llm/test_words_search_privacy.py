@@ -11,7 +11,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from pagemill.llm import disclosure, pivotal_grams, reversed_search
+from pagemill.llm import disclosure, pivotal_grams, registry, reversed_search
 
 SCHEMA = "doc_id bigint, text string, lang string"
 
@@ -267,3 +267,17 @@ def test_query_columns(spark):
         assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[1] == k for s in base) for k in range(4)]
         assert set(filter(None, joined.split(","))) <= set(r.spans.split(","))
+
+
+@pytest.mark.parametrize("name", ["op11_pivotal_grams", "op12_disclosure", "op13_reversed_search"])
+def test_queries_give_the_rows_of_their_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    sf, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    theirs = con.execute(registry.oracle_sql()[name])
+    names = [c[0] for c in theirs.description]
+    ours = registry.queries()[name](spark, sf)
+    assert sorted(names) == sorted(ours.columns)
+    rows = sorted(map(str, (tuple(r) for r in ours.select(names).collect())))
+    assert rows == sorted(map(str, theirs.fetchall())) and rows
