@@ -141,7 +141,10 @@ class Page:
         for start, end, _ in self._all_spans():
             yield start, end, "body" if start < 0 else self.tags[start], self.source(start)
 
-    def elements(self, text: bool | tuple[int, int], fragment: bool) -> Iterator[tuple]:
+    def elements(self, text: bool | tuple[int, int], fragment: bool) -> list[tuple]:
+        return list(self.rows(text, fragment))
+
+    def rows(self, text: bool | tuple[int, int], fragment: bool) -> Iterator[tuple]:
         """Rows of the element table (see ``operators/elements.py``), one by one.
 
         With bounds as ``text``, only elements with more than the first and less than the second number of

@@ -56,7 +56,7 @@ def elements(pages: DataFrame, text: bool | tuple[int, int] = False, fragment: b
         for batch in batches:
             rows, chars = [], 0
             for page_id, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for row in Page(html).elements(text, fragment):
+                for row in Page(html).rows(text, fragment):
                     rows.append((page_id, *row))
                     chars += len(row[-1] or "") + len(row[-2] or "")
                     if len(rows) >= ROWS or chars >= CHARS:

@@ -24,7 +24,7 @@ def test_memory_follows_the_page_not_its_depth():
     html = "<div>" * 20_000 + "x" * 5_000 + "</div>" * 20_000
     page = Page(html)
     tracemalloc.start()
-    rows = sum(1 for _ in page.elements((75, 3_500), False))
+    rows = sum(1 for _ in page.rows((75, 3_500), False))
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     # All markup would be 4.5 GB, all text 100 MB.
