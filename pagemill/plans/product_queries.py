@@ -147,7 +147,7 @@ def pagination_chain(spark, sf_dir):
     ),
 )
 def listing_coverage(spark, sf_dir):
-    return T.listing_coverage(_listing(spark, sf_dir)[1])
+    return T.listing_coverage(settled(E.elements(V.view(spark, sf_dir, "listing"))))
 
 
 @query(

@@ -54,3 +54,12 @@ def test_site_run_stores_every_valid_product_of_the_due_links(spark, sql):
     assert sorted(stored["sku"]) == sorted([*extracted["sku"]] * 5) and len(stored)
     assert stored.groupby("category_url")["category_link_id"].nunique().eq(1).all()
     assert stored.groupby("domain")["domain_id"].nunique().eq(1).all()
+
+
+def test_names_that_queries_use_are_defined():
+    import builtins
+    import dis
+
+    for name, fn in registry.queries().items():
+        used = {i.argval for i in dis.get_instructions(fn) if i.opname == "LOAD_GLOBAL"}
+        assert not {u for u in used if u not in fn.__globals__ and not hasattr(builtins, u)}, name
