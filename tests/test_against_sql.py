@@ -56,6 +56,11 @@ def test_site_run_stores_every_valid_product_of_the_due_links(spark, sql):
     assert stored.groupby("domain")["domain_id"].nunique().eq(1).all()
 
 
+def test_listing_coverage_counts_the_items_of_every_listing(spark, sql):
+    ours = registry.queries()["listing_coverage"](spark, str(DATA)).toPandas()
+    assert normal(ours) == normal(sql.execute(registry.oracle_sql()["listing_coverage"]).df()) and ours["found"].sum()
+
+
 def test_names_that_queries_use_are_defined():
     import builtins
     import dis
