@@ -27,6 +27,11 @@ _FIELDS = {
 }
 
 
+def each_row(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """The values of each row of a batch, made when it's their turn."""
+    return (tuple(v.as_py() for v in row) for row in zip(*batch.columns, strict=True))
+
+
 def elements(pages: DataFrame, text: bool | tuple[int, int] = False, fragment: bool = False) -> DataFrame:
     """One row per element of ``pages`` (``page_id, html``), with its interval and sizes.
 
@@ -99,13 +104,22 @@ _ARROW = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "boole
 
 
 def rewritten(pages: DataFrame, fn: Callable[[Page], str]) -> DataFrame:
-    """``page_id, html`` with each page's html put through ``fn``; null counts as empty."""
+    """``page_id, html`` with each page's html put through ``fn``; null counts as empty.
+
+    New pages leave as soon as they are ``CHARS`` characters together: a task holds these and its batch.
+    """
     key = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            new = [fn(Page(h)) for h in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string())], ["page_id", "html"])
+            new, chars, first = [], 0, 0
+            for i, (_, html) in enumerate(each_row(batch), 1):
+                new.append(fn(Page(html)))
+                chars += len(new[-1])
+                if chars >= CHARS or i == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(new)), pa.array(new, pa.string())], ["page_id", "html"])
+                    new, chars, first = [], 0, i
+        pa.default_memory_pool().release_unused()
 
     return pages.select("page_id", "html").mapInArrow(run, f"page_id {key}, html string")
 
