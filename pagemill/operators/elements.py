@@ -60,7 +60,7 @@ def elements(pages: DataFrame, text: bool | tuple[int, int] = False, fragment: b
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, chars = [], 0
-            for page_id, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for page_id, html in each_row(batch):
                 for row in Page(html).rows(text, fragment):
                     rows.append((page_id, *row))
                     chars += len(row[-1] or "") + len(row[-2] or "")
@@ -69,6 +69,7 @@ def elements(pages: DataFrame, text: bool | tuple[int, int] = False, fragment: b
                         rows, chars = [], 0
             if rows:
                 yield batch_of(rows)
+        pa.default_memory_pool().release_unused()  # a worker that waits for its next task keeps little
 
     return pages.select("page_id", "html").mapInArrow(run, schema)
 
@@ -87,7 +88,7 @@ def with_markup(chosen: DataFrame, pages: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, chars = [], 0
-            for page_id, html, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page_id, html, own in each_row(batch):
                 for e in own:
                     rows.append((page_id, *(e[c] for c in kept), html[e["off"] : e["off"] + e["outer_len"]]))
                     chars += e["outer_len"]
@@ -96,6 +97,7 @@ def with_markup(chosen: DataFrame, pages: DataFrame) -> DataFrame:
                         rows, chars = [], 0
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
+        pa.default_memory_pool().release_unused()
 
     return pages.select("page_id", "html").join(grouped, "page_id").select("page_id", "html", "chosen").mapInArrow(cut, schema)
 

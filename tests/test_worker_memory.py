@@ -52,3 +52,8 @@ def test_rewritten_pages_leave_in_small_batches(page, task):
     run = task(lambda: E.rewritten(page("x"), Page.outline))
     peak, largest, ids = peak_and_rows(run, list(range(PAGES)), [HTML] * (PAGES - 1) + [None])
     assert ids == list(range(PAGES)) and largest < 6 << 20 and peak < PAGES * SIZE / 2
+
+
+def test_elements_of_a_batch_are_made_page_by_page(page, task):
+    peak, _, ids = peak_and_rows(task(lambda: E.elements(page("x"))), list(range(PAGES)), [HTML] * PAGES)
+    assert ids == [i for i in range(PAGES) for _ in range(3)] and peak < PAGES * SIZE / 4
