@@ -90,7 +90,8 @@ def schema_extract(pages: DataFrame, fields: DataFrame, columns: list[str] | Non
         index: dict[str, SEL.SelectorIndex] = {}
         for batch in batches:
             rows, chars = [], 0
-            for page_id, domain, html, specs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+            for page_id, domain, html, specs in zip(*batch.columns, strict=True):
+                page_id, domain, html = page_id.as_py(), domain.as_py(), html.as_py()
                 if domain not in index:
                     if len(index) >= 64:
                         index.clear()
@@ -103,6 +104,7 @@ def schema_extract(pages: DataFrame, fields: DataFrame, columns: list[str] | Non
                         rows, chars = [], 0
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
+        pa.default_memory_pool().release_unused()
 
     joined = pages.select("page_id", "domain", "html").join(schemas, "domain").select("page_id", "domain", "html", "specs")
     found = joined.mapInArrow(run, f"page_id {key}, domain string, base_id int, found map<string, string>")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.page import Page
 from pagemill.operators import elements as E
+from pagemill.operators import extraction as T
 from pagemill.session import apply_settings
 
 PAGES, SIZE = 300, 100_000
@@ -57,3 +58,11 @@ def test_rewritten_pages_leave_in_small_batches(page, task):
 def test_elements_of_a_batch_are_made_page_by_page(page, task):
     peak, _, ids = peak_and_rows(task(lambda: E.elements(page("x"))), list(range(PAGES)), [HTML] * PAGES)
     assert ids == [i for i in range(PAGES) for _ in range(3)] and peak < PAGES * SIZE / 4
+
+
+def test_products_of_a_batch_are_made_page_by_page(spark, page, task):
+    fields = spark.createDataFrame([("d", "div.a", "name", "h3", "text", "", None)], "domain string, base_selector string, field string, selector string, type string, attribute string, default_value string")
+    run = task(lambda: T.schema_extract(page("x").withColumn("domain", F.lit("d")), fields))
+    spec = [{"base_selector": "div.a", "field": "name", "selector": "h3", "type": "text", "attribute": "", "default_value": None, "place": 0}]
+    peak, _, ids = peak_and_rows(run, list(range(PAGES)), ["d"] * PAGES, [HTML] * PAGES, [spec] * PAGES)
+    assert ids == list(range(PAGES)) and peak < PAGES * SIZE / 4
