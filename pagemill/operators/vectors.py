@@ -21,6 +21,7 @@ from pagemill.session import ensure_checkpoint_dir, settled
 
 BLOCK = 512
 HEADS, OTHERS = 1_024, 4_096  # vectors of a page that one task walks, and that meet the kept ones in one task
+PRODUCTS = 1 << 20  # numbers of a matrix product that are held at once
 PAIR_SCHEMA = "better bigint, worse bigint, cosine double, better_copies bigint, worse_copies bigint"
 
 
@@ -199,6 +200,18 @@ def first_wins(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return nodes.join(dropped, ["page_id", "vec_id"], "left_anti")
 
 
+def _planes(size: int, bands: int, bits: int, seed: int = 42) -> np.ndarray:
+    """Random hyperplanes for vectors of a size: ``bits`` for each band."""
+    return np.random.default_rng(seed).standard_normal((size, bands * bits))
+
+
+def _buckets(x: np.ndarray, planes: np.ndarray, bits: int) -> np.ndarray:
+    """The bucket of each vector in each band; a few vectors at a time, for there may be thousands of planes."""
+    step = max(1, PRODUCTS // planes.shape[1])
+    parts = [(x[at : at + step] @ planes > 0).reshape(-1, planes.shape[1] // bits, bits) @ (1 << np.arange(bits)) for at in range(0, len(x), step)]
+    return np.concatenate(parts)
+
+
 def band_keys(vectors: DataFrame, bands: int, bits: int, seed: int = 42) -> DataFrame:
     """Repeat each vector once per band of random-hyperplane sign bits (``band, bucket``)."""
     schema = ", ".join(f"{n} {t}" for n, t in vectors.dtypes) + ", band int, bucket bigint"
@@ -211,15 +224,49 @@ def band_keys(vectors: DataFrame, bands: int, bits: int, seed: int = 42) -> Data
                 continue
             x = np.array(batch["embedding"].tolist(), dtype=np.float64)
             if planes is None:
-                planes = np.random.default_rng(seed).standard_normal((x.shape[1], bands * bits))
-            signs = (x @ planes > 0).reshape(len(x), bands, bits)
-            buckets = signs @ (1 << np.arange(bits))
+                planes = _planes(x.shape[1], bands, bits, seed)
+            buckets = _buckets(x, planes, bits)
             for band in range(bands):
                 yield batch[columns].assign(band=band, bucket=buckets[:, band])
 
     return vectors.mapInPandas(project, schema)
 
 
+def _walk_banded(threshold: float, bands: int, bits: int):
+    def walk(group: pd.DataFrame) -> pd.DataFrame:
+        """Of the best vectors, in rank order: those not too similar to one kept before that shares a bucket with them."""
+        group = group.sort_values(["score", "vec_id"], ascending=[False, True], kind="stable")
+        x, unit = np.array(group["embedding"].tolist(), dtype=np.float64), _unit(group["embedding"])
+        buckets = _buckets(x, _planes(x.shape[1], bands, bits), bits)
+        open_ = np.ones(len(group), bool)
+        for i in range(len(group)):
+            if open_[i]:
+                alike = i + 1 + np.flatnonzero(open_[i + 1 :] & (unit[i + 1 :] @ unit[i] > threshold))
+                open_[alike] = (buckets[alike] != buckets[i]).all(axis=1)
+        return group[open_].drop(columns="block")
+
+    return walk
+
+
+def _unlike_banded(threshold: float, bands: int, bits: int):
+    def unlike(rest: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
+        """Vectors of a block without a kept one that resembles them and shares a bucket with them."""
+        alike = np.zeros(len(rest), bool)
+        if len(rest) and len(kept):
+            x, y = (np.array(rows["embedding"].tolist(), dtype=np.float64) for rows in (rest, kept))
+            planes = _planes(x.shape[1], bands, bits)
+            unit, others, theirs = _unit(rest["embedding"]), _unit(kept["embedding"]), _buckets(y, planes, bits)
+            for at in range(0, len(x), BLOCK):
+                i, j = np.nonzero(unit[at : at + BLOCK] @ others.T > threshold)
+                own, step = _buckets(x[at : at + BLOCK], planes, bits), max(1, PRODUCTS // bands)
+                for k in range(0, len(i), step):
+                    a, b = i[k : k + step], j[k : k + step]
+                    alike[at + a[(own[a] == theirs[b]).any(axis=1)]] = True
+        return rest[~alike].drop(columns="block")
+
+    return unlike
+
+
 def plan_bands(n: int, threshold: float, bucket: int = 256, missed: float = 0.01) -> tuple[int, int]:
     """``bands, bits`` for ``n`` vectors: buckets of about ``bucket`` unrelated vectors, and a share of
     at most ``missed`` of the pairs at the threshold that no band brings together."""
@@ -228,21 +275,49 @@ def plan_bands(n: int, threshold: float, bucket: int = 256, missed: float = 0.01
     return math.ceil(math.log(missed) / math.log(1 - min(agree, 0.99))), bits
 
 
-def semantic_dedup_lsh(vectors: DataFrame, threshold: float, bands: int | None = None, bits: int | None = None) -> DataFrame:
-    """Corpus-wide form: only vectors sharing a band bucket are compared.
+def semantic_dedup_lsh(
+    vectors: DataFrame, threshold: float, bands: int | None = None, bits: int | None = None, block: int = HEADS
+) -> DataFrame:
+    """Corpus-wide form: keep vectors in rank order, discarding those too similar to a kept one in a common band bucket.
 
-    Pairs are verified exactly, so nothing dissimilar is dropped; a similar pair that shares no
-    bucket may stay (see :func:`plan_bands`, which chooses both numbers from the corpus unless they
-    are given). Hot buckets are compared block by block like hot pages.
+    Similarity is verified exactly, so nothing dissimilar is dropped; a similar vector that shares no
+    bucket with the kept one may stay (see :func:`plan_bands`, which chooses both numbers from the corpus unless
+    they are given).
+
+    Each round walks the best ``block`` vectors in one task and takes away from the rest, in blocks of bounded size,
+    what meets one that was kept. Buckets are computed where they are compared: no pairs are stored and no vector
+    is repeated by band. Where few vectors are alike, rounds would be many: once one has taken away less than half
+    and there are fewer bands than rounds to come, the rest is repeated by band instead and its pairs are stored.
     """
-    ensure_checkpoint_dir(vectors.sparkSession)
+    if threshold < 0:
+        raise ValueError("threshold must not be negative")
+    columns = ["vec_id", "score", "copies", "embedding"]
     whole = vectors.withColumn("page_id", F.lit(0).cast("bigint"))
-    distinct = collapse_copies(whole).checkpoint()
+    distinct = settled(collapse_copies(whole).select(*columns))
     if bands is None or bits is None:
         planned = plan_bands(distinct.count(), threshold)
         bands, bits = bands or planned[0], bits or planned[1]
-    keyed = band_keys(distinct.select("vec_id", "score", "copies", "embedding"), bands, bits)
-    pairs = similar_pairs(keyed, threshold, ["band", "bucket"]).select("better", "worse").distinct()
-    return first_wins(distinct, pairs.withColumn("page_id", F.lit(0).cast("bigint"))).select(
-        "vec_id", "score", "copies", "embedding"
-    )
+    schema = ", ".join(f"{n} {t}" for n, t in distinct.dtypes)
+    kept, rest = distinct.where("embedding is null"), distinct.where("embedding is not null")
+    left = rest.count()
+    while left:
+        heads = settled(rest.orderBy(F.desc("score"), "vec_id").limit(block))
+        chosen = settled(heads.withColumn("block", F.lit(0)).groupBy("block").applyInPandas(_walk_banded(threshold, bands, bits), schema))
+        kept = kept.unionByName(chosen)
+        before = left - min(left, block)
+        if not before:
+            break
+        # Distinct vectors: each is a key. The heads are no more than a block.
+        later = rest.join(F.broadcast(heads.select("embedding")), "embedding", "left_anti").select(*columns)
+        n = math.ceil(before / OTHERS)
+        placed = later.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
+        beside = chosen.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        rest = settled(placed.groupBy("block").cogroup(beside.groupBy("block")).applyInPandas(_unlike_banded(threshold, bands, bits), schema))
+        left = rest.count()
+        if 2 * left > before and bands < left / block:
+            keyed = band_keys(rest, bands, bits)
+            pairs = similar_pairs(keyed, threshold, ["band", "bucket"]).select("better", "worse").distinct()
+            page = F.lit(0).cast("bigint")
+            kept = kept.unionByName(first_wins(rest.withColumn("page_id", page), pairs.withColumn("page_id", page)).select(*columns))
+            break
+    return kept

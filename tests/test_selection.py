@@ -103,6 +103,33 @@ def test_lsh_drops_only_similar_vectors(spark, vector_rows):
     assert len(kept) < len({tuple(r[3]) for r in rows})
 
 
+@pytest.mark.parametrize("threshold, bands, bits, block", [(0.25, None, None, 100), (0.9, 4, 6, 50), (0.25, 3, 8, 2000)])
+def test_lsh_keeps_what_a_walk_in_rank_order_keeps(spark, threshold, bands, bits, block):
+    rng = np.random.default_rng(11)
+    x = np.round(rng.normal(size=(900, 8)) + np.repeat(rng.normal(size=(30, 8)), 30, axis=0), 3)
+    rows = [(i // 50, i, int(s), v.tolist()) for i, (s, v) in enumerate(zip(rng.integers(0, 40, 900), x))]
+    rows += [(0, 5000, 1, None), (1, 5001, 3, None), (0, 6000, 50, x[7].tolist())]
+    found = VEC.semantic_dedup_lsh(vectors(spark, rows), threshold, bands, bits, block=block).collect()
+    most = VEC.plan_bands(901, threshold)
+    bands, bits = bands or most[0], bits or most[1]
+    signs = (x @ np.random.default_rng(42).standard_normal((8, bands * bits)) > 0).reshape(900, bands, bits)
+    unit, kept = x / np.linalg.norm(x, axis=1, keepdims=True), []
+    for score, v in sorted([(-(50 if r[1] == 7 else r[2]), r[1]) for r in rows[:900]]):
+        if not any(unit[v] @ unit[k] > threshold and (signs[v] == signs[k]).all(axis=1).any() for k in kept):
+            kept.append(v)
+    assert sorted(r.vec_id for r in found) == sorted([6000 if v == 7 else v for v in kept] + [5001])
+    assert {r.copies for r in found if r.vec_id in (5001, 6000)} == {2} and len(kept) < 900
+
+
+def test_lsh_stores_no_row_per_band_or_pair_where_many_are_alike(spark, monkeypatch):
+    refuse = lambda *a, **b: pytest.fail("vectors repeated by band")
+    monkeypatch.setattr(VEC, "band_keys", refuse)
+    rng = np.random.default_rng(3)
+    rows = [(0, i, i % 101, rng.normal(size=8).tolist()) for i in range(3000)]
+    kept = VEC.semantic_dedup_lsh(vectors(spark, rows), 0.25).collect()
+    assert 0 < len(kept) < 300
+
+
 CARD = (
     '<div class="galleryItem" data-item-id="{0}"><h3>item {0}</h3><span class="price">${0}.00</span>'
     "<p>a plain sentence that makes the card long enough to count, number {1}</p>"
