@@ -93,6 +93,11 @@ class Ragged:
     def __getitem__(self, name: str) -> np.ndarray:
         return self.columns[name]
 
+    def taken(self, which: np.ndarray) -> Ragged:
+        """The rows of these numbers."""
+        at = spread(self.starts[which], self.sizes[which])
+        return Ragged(self.sizes[which], **{k: v[at] for k, v in self.columns.items()})
+
     def extend(self, sizes: np.ndarray, **columns: np.ndarray) -> None:
         end = len(next(iter(self.columns.values())))
         self.starts = np.concatenate([self.starts, end + np.cumsum(sizes) - sizes])

@@ -15,8 +15,8 @@ from pagemill.llm.common import Ragged, held, map_batches, scramble, spread, tab
 
 #: Share of candidate merges that are skipped.
 DROPOUT = 0.1
-#: Words a worker remembers (about 450 bytes each); beyond it, it forgets
-#: them all (only speed changes).
+#: Words a worker remembers (about 450 bytes each); beyond it, it keeps up to half
+#: as many, those that came again (only speed changes).
 REMEMBERED = 150_000
 #: Words of more characters go through the agenda one by one and aren't remembered, others many at a time.
 TOGETHER = 48
@@ -61,12 +61,17 @@ class Pieces:
             number[p[:k]] << 32 | number[p[k:]]: i
             for p, i in number.items() for k in range(1, len(p)) if p[:k] in number and p[k:] in number
         }
-        self.pair = np.array(sorted(pairs), np.int64)
-        self.made = np.array([pairs[k] for k in self.pair.tolist()], np.int32)
         self.pairs = pairs
-        #: Whether a pair with a hash may be there: most pairs of pieces make none, and needn't be looked for.
-        self.maybe = np.zeros(1 << 22, bool)
-        self.maybe[self._slot(self.pair)] = True
+        #: The pairs by the slot of their hash, how many one slot has at most, and where a slot's begin. Most pairs of
+        #: pieces make none, and most of their slots are empty (-1).
+        pair = np.array(list(pairs), np.int64)
+        slot = self._slot(pair)
+        order = np.argsort(slot, kind="stable")
+        self.pair, self.made = pair[order], np.array(list(pairs.values()), np.int32)[order]
+        used, begin, count = np.unique(slot[order], return_index=True, return_counts=True)
+        self.beside = int(count.max(initial=1))
+        self.slots = np.full(1 << 21, -1, np.int32)
+        self.slots[used] = begin
         #: Characters of a piece; its rank by score (equal scores have one rank).
         self.longest = max(map(len, number))
         self.rank = np.unique(-self.score, return_inverse=True)[1]
@@ -76,6 +81,8 @@ class Pieces:
         #: Remembered words by number. Of each: its characters' ids, undropped ids, and all places where two of its
         #: pieces make a third, in the agenda's order.
         self.known: dict[str, int] = {"\0" + _SPACE: 0}
+        #: In how many calls of ``encode_texts`` a word came.
+        self.came = np.zeros(1, np.int32)
         none = lambda kind: np.zeros(0, kind)
         self.chars = Ragged([0], id=none(np.int32))
         space = self.bytes_of(_SPACE)
@@ -84,6 +91,16 @@ class Pieces:
         #: ``need`` are the three borders of a merge as bits, ``reach`` all bits from the first to the last of them.
         self.places = Ragged([0], start=none(np.uint8), middle=none(np.uint8), end=none(np.uint8), made=none(np.uint16), need=none(np.uint64), reach=none(np.uint64), met=none(bool))
 
+    def forget_rare(self) -> None:
+        """Keep the words that came again, ``REMEMBERED // 2`` at most; the most frequent ones, if they are more."""
+        again = 1 + np.flatnonzero(self.came[1:] > 1)
+        again = np.sort(again[np.argsort(-self.came[again], kind="stable")][: REMEMBERED // 2])
+        which = np.concatenate([[0], again])
+        words = list(self.known)  # in order of their numbers
+        self.known = {words[i]: k for k, i in enumerate(which.tolist())}
+        self.came = self.came[which] // 2
+        self.chars, self.forms, self.places = (x.taken(which) for x in (self.chars, self.forms, self.places))
+
     @classmethod
     def at(cls, path: str) -> Pieces:
         """The one that a worker process holds."""
@@ -92,15 +109,19 @@ class Pieces:
     @staticmethod
     def _slot(pair: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return (pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)
+            return (pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)
 
     def join(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece that two pieces make, or -1."""
         key = left.astype(np.int64) << 32 | right
         out = np.full(len(key), -1, np.int32)
-        which = np.flatnonzero(self.maybe[self._slot(key)])
-        at = np.minimum(np.searchsorted(self.pair, key[which]), len(self.pair) - 1)
-        out[which] = np.where(self.pair[at] == key[which], self.made[at], -1)
+        at = self.slots[self._slot(key)]
+        which = np.flatnonzero(at >= 0)
+        at = at[which]
+        for _ in range(self.beside):
+            same = self.pair[at] == key[which]
+            out[which[same]] = self.made[at[same]]
+            which, at = which[~same], np.minimum(at[~same] + 1, len(self.pair) - 1)
         return out
 
     def bytes_of(self, char: str) -> list[int]:
@@ -218,6 +239,7 @@ def _remember(pieces: Pieces, words: list[str]) -> None:
     counts, start, middle, end, made = (np.concatenate(x) for x in zip(*found, strict=True))
     number = len(pieces.known) + np.arange(len(words))
     pieces.known.update(zip(words, number.tolist(), strict=True))
+    pieces.came = np.concatenate([pieces.came, np.zeros(len(words), np.int32)])
     pieces.chars.extend(sizes, id=ids)
     low, high = _BIT[start], _BIT[end]
     pieces.places.extend(counts, start=start, middle=middle, end=end, made=made, need=low | _BIT[middle] | high, reach=high - low | high, met=np.zeros(len(start), bool))
@@ -328,7 +350,7 @@ def units_of(text: str) -> list[str]:
 def encode_texts(pieces: Pieces, keys: list, texts: list[str | None], seed: int, dropout: float) -> list[bytes]:
     """Ids (unsigned 16 bit) of each text; ``keys`` tell texts apart, so that each occurrence has draws of its own."""
     if len(pieces.known) > REMEMBERED:
-        pieces.forget()
+        pieces.forget_rare()
     split = [units_of(t or "") for t in texts]
     sizes = np.array([len(u) for u in split], np.int64)
     units = list(chain.from_iterable(split))
@@ -338,6 +360,7 @@ def encode_texts(pieces: Pieces, keys: list, texts: list[str | None], seed: int,
         bases = scramble(places)
     _remember(pieces, [w for w in set(units).difference(pieces.known) if len(w) <= TOGETHER])
     number = np.fromiter(map(pieces.known.get, units, repeat(-1)), np.int64, len(units))
+    pieces.came += np.bincount(number + 1, minlength=len(pieces.came) + 1)[1:] > 0
     starts, n = np.where(number >= 0, pieces.forms.starts[number], 0), np.where(number >= 0, pieces.forms.sizes[number], 0)
     pool, used = [pieces.forms["id"]], len(pieces.forms["id"])
 

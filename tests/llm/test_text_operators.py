@@ -136,6 +136,21 @@ def test_words_together_and_by_agenda_agree(pieces):
         assert [np.frombuffer(x, "<u2").tolist() for x in many] == one
 
 
+def test_words_that_came_again_are_remembered(monkeypatch):
+    pieces = merge_dropout.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(4)
+    texts = [" ".join(["often", "again", *("".join(rng.choice("abeinort") for _ in range(6)) for _ in range(40))]) for _ in range(12)]
+    run = lambda: [merge_dropout.encode_texts(pieces, [i], [t], 3, 0.2) for i, t in enumerate(texts)]
+    want = run()
+    pieces.forget()
+    monkeypatch.setattr(merge_dropout, "REMEMBERED", 100)
+    made = []
+    remember = merge_dropout._remember
+    monkeypatch.setattr(merge_dropout, "_remember", lambda p, words: (made.extend(words), remember(p, words)))
+    assert run() == want and len(pieces.known) < 200
+    assert made.count("▁again") == 1 and len(made) >= 480 and list(pieces.known.values()) == list(range(len(pieces.known)))
+
+
 def test_dropout_varies_and_decodes_to_the_text(odd_docs):
     def run(seed, rate=0.2):
         return merge_dropout.decode(merge_dropout.encode(odd_docs, seed, rate)).collect()
