@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 from heapq import heapify, heappop, heappush
-from itertools import chain, repeat
+from itertools import chain, compress, repeat
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,9 @@ REMEMBERED = 150_000
 #: Words of more characters go through the agenda one by one and aren't remembered, others many at a time.
 TOGETHER = 48
 #: Occurrences whose draws are made at a time.
-DRAWN = 50_000
+DRAWN = 100_000
+#: Equal words of up to this many places whose draws skip the same ones are taken apart once.
+ALIKE = 40
 #: New words that are taken apart at a time.
 TAKEN_APART = 10_000
 
@@ -62,18 +65,37 @@ class Pieces:
             for p, i in number.items() for k in range(1, len(p)) if p[:k] in number and p[k:] in number
         }
         self.pairs = pairs
-        #: The pairs by the slot of their hash, how many one slot has at most, and where a slot's begin. Most pairs of
-        #: pieces make none, and most of their slots are empty (-1).
-        pair = np.array(list(pairs), np.int64)
-        slot = self._slot(pair)
+        #: The pieces that merges can make, by length, and how long the left part is in each way to make them.
+        splits = {i: [] for i in sorted(plain, key=lambda i: len(names[i]))}
+        for i, ways in splits.items():
+            p = names[i]
+            for k in range(1, len(p)):
+                parts = number.get(p[:k]), number.get(p[k:])
+                if all(x is not None and (len(names[x]) == 1 or splits[x]) for x in parts):
+                    ways.append(k)
+        self.splits = Ragged([len(splits.get(i, ())) for i in range(size)], left=np.array([k for i in range(size) for k in splits.get(i, ())], np.uint8))
+        self.length = np.array([len(names[i]) for i in range(size)], np.uint8)
+        #: Their characters as a tree: a single character's node is its id, ``ends`` tells the piece that ends at a node.
+        edges, ends = {}, {}
+        for i in (i for i, ways in splits.items() if ways):
+            chars = [number[c] for c in names[i]]
+            node = chars[0]
+            for c in chars[1:]:
+                node = edges.setdefault(node << 32 | c, size + len(edges))
+            ends[node] = i
+        self.ends = np.full(size + len(edges), -1, np.int32)
+        self.ends[list(ends)] = list(ends.values())
+        #: The edges by the slot of their hash, how many one slot has at most, and where a slot's begin. Most slots are
+        #: empty (-1).
+        edge = np.array(list(edges), np.int64)
+        slot = self._slot(edge)
         order = np.argsort(slot, kind="stable")
-        self.pair, self.made = pair[order], np.array(list(pairs.values()), np.int32)[order]
+        self.edge, self.node = edge[order], np.array(list(edges.values()), np.int32)[order]
         used, begin, count = np.unique(slot[order], return_index=True, return_counts=True)
         self.beside = int(count.max(initial=1))
         self.slots = np.full(1 << 21, -1, np.int32)
         self.slots[used] = begin
-        #: Characters of a piece; its rank by score (equal scores have one rank).
-        self.longest = max(map(len, number))
+        #: A piece's rank by score (equal scores have one rank).
         self.rank = np.unique(-self.score, return_inverse=True)[1]
         self.forget()
 
@@ -87,9 +109,11 @@ class Pieces:
         self.chars = Ragged([0], id=none(np.int32))
         space = self.bytes_of(_SPACE)
         self.forms = Ragged([len(space)], id=np.array(space, np.uint16))
-        #: ``met`` are those that come up without dropout: an occurrence that skips none of them is undropped.
-        #: ``need`` are the three borders of a merge as bits, ``reach`` all bits from the first to the last of them.
-        self.places = Ragged([0], start=none(np.uint8), middle=none(np.uint8), end=none(np.uint8), made=none(np.uint16), need=none(np.uint64), reach=none(np.uint64), met=none(bool))
+        #: ``where`` are the three borders of a merge, a byte each.
+        self.places = Ragged([0], where=none(np.uint32), made=none(np.uint16))
+        #: The places whose merges are made without dropout. An occurrence that skips none of them is undropped: of what
+        #: is left on the agenda, the same one is best at every step. ``key`` is what a place adds to an occurrence's hash.
+        self.way = Ragged([0], key=none(np.uint64))
 
     def forget_rare(self) -> None:
         """Keep the words that came again, ``REMEMBERED // 2`` at most; the most frequent ones, if they are more."""
@@ -99,7 +123,7 @@ class Pieces:
         words = list(self.known)  # in order of their numbers
         self.known = {words[i]: k for k, i in enumerate(which.tolist())}
         self.came = self.came[which] // 2
-        self.chars, self.forms, self.places = (x.taken(which) for x in (self.chars, self.forms, self.places))
+        self.chars, self.forms, self.places, self.way = (x.taken(which) for x in (self.chars, self.forms, self.places, self.way))
 
     @classmethod
     def at(cls, path: str) -> Pieces:
@@ -107,21 +131,21 @@ class Pieces:
         return held(("pieces", path), lambda: cls(path))
 
     @staticmethod
-    def _slot(pair: np.ndarray) -> np.ndarray:
+    def _slot(edge: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return (pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)
+            return (edge.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)
 
-    def join(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """The piece that two pieces make, or -1."""
-        key = left.astype(np.int64) << 32 | right
+    def step(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """The nodes that characters lead to, or -1."""
+        key = node.astype(np.int64) << 32 | char
         out = np.full(len(key), -1, np.int32)
         at = self.slots[self._slot(key)]
         which = np.flatnonzero(at >= 0)
         at = at[which]
         for _ in range(self.beside):
-            same = self.pair[at] == key[which]
-            out[which[same]] = self.made[at[same]]
-            which, at = which[~same], np.minimum(at[~same] + 1, len(self.pair) - 1)
+            same = self.edge[at] == key[which]
+            out[which[same]] = self.node[at[same]]
+            which, at = which[~same], np.minimum(at[~same] + 1, len(self.edge) - 1)
         return out
 
     def bytes_of(self, char: str) -> list[int]:
@@ -140,11 +164,21 @@ def _place(start, middle, end) -> np.ndarray:
     return np.asarray(start, np.uint64) + (np.asarray(middle, np.uint64) << np.uint64(20)) + (np.asarray(end, np.uint64) << np.uint64(40))
 
 
-def _skipped(base, place, dropout: float) -> np.ndarray:
-    """Whether the keyed hash skips the merge at a place."""
+def _borders(where: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return where & np.uint32(255), where >> np.uint32(8) & np.uint32(255), where >> np.uint32(16)
+
+
+def _key(place: np.ndarray) -> np.ndarray:
+    """What a place adds to an occurrence's hash."""
+    with np.errstate(over="ignore"):
+        return place * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _skipped(base, key, dropout: float) -> np.ndarray:
+    """Whether the keyed hash skips the merge at the place of this key."""
     with np.errstate(over="ignore"):
-        h = scramble(np.asarray(base, np.uint64) + place * np.uint64(0x9E3779B97F4A7C15))
-    return (h >> np.uint64(11)).astype(np.float64) < dropout * 2.0**53
+        h = scramble(np.asarray(base, np.uint64) + key)
+    return (h >> np.uint64(11)) < np.uint64(ceil(dropout * 2.0**53))
 
 
 def agenda(pieces: Pieces, word: str, base: int, dropout: float) -> list[int]:
@@ -162,7 +196,7 @@ def agenda(pieces: Pieces, word: str, base: int, dropout: float) -> list[int]:
         b = end[a]
         if b < n and ids[a] >= 0 and ids[b] >= 0:
             made = pieces.pairs.get(ids[a] << 32 | ids[b])
-            if made is not None and not _skipped(base, _place(a, b, end[b]), dropout):
+            if made is not None and not _skipped(base, _key(_place(a, b, end[b])), dropout):
                 return -pieces.score[made], a, b, end[b], made
         return None
 
@@ -189,35 +223,32 @@ def _all_places(pieces: Pieces, ids: np.ndarray, word: np.ndarray, first: np.nda
     """``word, start, middle, end, made`` of all places where two pieces make a third, in the agenda's order.
 
     ``ids`` are words' characters with a -1 after each word, ``word`` and ``first`` tell where a character
-    belongs. Longer pieces are put together from shorter ones, for all words at once.
+    belongs. The pieces that begin at a character are found by following the tree, for all words at once.
     """
-    #: By length: the piece of that length that begins at a character, and where there is one.
-    piece, held = {1: ids}, {1: np.flatnonzero(ids >= 0)}
-    found = []
-    for size in range(2, pieces.longest + 1):
-        piece[size] = np.full(len(ids) + 1, -1, np.int32)
-        for left in range(1, size):
-            at = held[left]
-            right = piece[size - left][np.minimum(at + left, len(ids) - 1)]
-            both = np.flatnonzero(right >= 0)
-            at, right = at[both], right[both]
-            made = pieces.join(piece[left][at], right)
-            both = np.flatnonzero(made >= 0)
-            if len(both):
-                at, made = at[both], made[both]
-                piece[size][at] = made
-                found.append((at, np.full(len(at), left, np.uint8), np.full(len(at), size, np.uint8), made))
-        held[size] = np.flatnonzero(piece[size] >= 0)
+    at = np.flatnonzero(ids >= 0)
+    node, size, found = ids[at], 1, []
+    while len(at):
+        found.append((at, pieces.ends[node]))
+        node = pieces.step(node, ids[at + size])
+        on = np.flatnonzero(node >= 0)
+        at, node, size = at[on], node[on], size + 1
     if not found:
         return (np.zeros(0, np.int64),) * 5
-    at, left, size, made = (np.concatenate(x) for x in zip(*found, strict=True))
-    own, start = word[at], at - first[at]
-    order = np.argsort(own << 32 | pieces.rank[made] << 8 | start, kind="stable")
+    at, made = (np.concatenate(x) for x in zip(*found, strict=True))
+    ends = np.flatnonzero(made >= 0)
+    at, made = at[ends], made[ends]
+    ways = pieces.splits.sizes[made]
+    left = pieces.splits["left"][spread(pieces.splits.starts[made], ways)]
+    at, made = np.repeat(at, ways), np.repeat(made, ways)
+    own, start, size = word[at], at - first[at], pieces.length[made]
+    # Words are of fewer than 64 characters, ranks below 2**16.
+    order = np.argsort(own << 34 | pieces.rank[made] << 18 | start << 12 | size.astype(np.int64) << 6 | left)
     own, start, left, size, made = (x[order] for x in (own, start, left, size, made))
     return own, start, start + left, start + size, made
 
 
 _BIT = np.uint64(1) << np.arange(64, dtype=np.uint64)
+_ONE_OF = 2.0 ** np.arange(ALIKE + 1)
 
 
 def _remember(pieces: Pieces, words: list[str]) -> None:
@@ -241,15 +272,17 @@ def _remember(pieces: Pieces, words: list[str]) -> None:
     pieces.known.update(zip(words, number.tolist(), strict=True))
     pieces.came = np.concatenate([pieces.came, np.zeros(len(words), np.int32)])
     pieces.chars.extend(sizes, id=ids)
-    low, high = _BIT[start], _BIT[end]
-    pieces.places.extend(counts, start=start, middle=middle, end=end, made=made, need=low | _BIT[middle] | high, reach=high - low | high, met=np.zeros(len(start), bool))
-    flat, n = _segmented(pieces, number, None)
+    where = (start | middle << 8 | end << 16).astype(np.uint32)
+    pieces.places.extend(counts, where=where, made=made)
+    begin, way = pieces.places.starts[number[0]], np.zeros(len(where), bool)
+    flat, n = _segmented(pieces, number, None, lambda place: way.__setitem__(place - begin, True))
     pieces.forms.extend(n, id=flat)
+    pieces.way.extend(np.bincount(np.repeat(number - number[0], counts)[way], minlength=len(number)), key=_key(_place(*_borders(where[way]))))
 
 
-def _segmented(pieces: Pieces, number: np.ndarray, skipped: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+def _segmented(pieces: Pieces, number: np.ndarray, skipped: np.ndarray | None, tell=None) -> tuple[np.ndarray, np.ndarray]:
     """Ids and their numbers, of occurrences of remembered words. ``skipped`` tells for each place of each of them, one
-    after another, whether the merge there is skipped."""
+    after another, whether the merge there is skipped; ``tell`` is called with the places whose merges are made."""
     sizes = pieces.places.sizes[number]
     first = np.cumsum(sizes) - sizes
     order = np.argsort(sizes, kind="stable")
@@ -258,7 +291,7 @@ def _segmented(pieces: Pieces, number: np.ndarray, skipped: np.ndarray | None) -
         limit = max(4, -(-int(ordered[at]) // 4) * 4)  # words of about as many places at a time
         stop = min(at + 4_000, int(np.searchsorted(ordered, limit, "right")))
         which = order[at:stop]
-        ids, n[which] = _rounds(pieces, number[which], sizes[which], skipped, first[which])
+        ids, n[which] = _rounds(pieces, number[which], sizes[which], skipped, first[which], tell)
         found.append(ids)
         at = stop
     if not found:
@@ -268,7 +301,7 @@ def _segmented(pieces: Pieces, number: np.ndarray, skipped: np.ndarray | None) -
     return np.concatenate(found)[spread(starts, n)], n
 
 
-def _rounds(pieces: Pieces, number: np.ndarray, sizes: np.ndarray, skipped: np.ndarray | None, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _rounds(pieces: Pieces, number: np.ndarray, sizes: np.ndarray, skipped: np.ndarray | None, first: np.ndarray, tell) -> tuple[np.ndarray, np.ndarray]:
     """The agenda for many occurrences at once.
 
     What is left of a word's borders between characters is a bit set: a merge is possible while its three
@@ -288,20 +321,24 @@ def _rounds(pieces: Pieces, number: np.ndarray, sizes: np.ndarray, skipped: np.n
         at = np.where(held, base[:, None] + slot, 0)
         if skipped is not None:
             held &= ~skipped[np.where(held, first[:, None] + slot, 0)]
-        need, reach = pieces.places["need"][at].astype(kind), pieces.places["reach"][at].astype(kind)
+        # The three borders of each merge as bits, and all bits from the first to the last of them.
+        bit = _BIT.astype(kind)
+        low, middle, high = (bit[x] for x in _borders(pieces.places["where"][at]))
+        need, reach = low | middle | high, high - low | high
         reach[~held], need[~held] = 0, 1  # never equal
         row, now, k = np.arange(len(number)), state, np.arange(len(number))
         while True:
             free = (now[:, None] & reach) == need
-            if skipped is None:
-                pieces.places["met"][(base[:, None] + slot)[free]] = True
             pick = free.argmax(axis=1)
             going = np.flatnonzero(free[k, pick])
             if not len(going):
                 break
             place = (base + pick)[going]
-            now[going] ^= _BIT[pieces.places["middle"][place]].astype(kind)
-            ids[row[going], pieces.places["start"][place]] = pieces.places["made"][place]
+            if tell:
+                tell(place)
+            start, middle, _ = _borders(pieces.places["where"][place])
+            now[going] ^= bit[middle]
+            ids[row[going], start] = pieces.places["made"][place]
             if len(going) < 0.7 * len(row):
                 state[row] = now
                 row, now, base, need, reach = row[going], now[going], base[going], need[going], reach[going]
@@ -322,8 +359,24 @@ def _rounds(pieces: Pieces, number: np.ndarray, sizes: np.ndarray, skipped: np.n
 def _draws(pieces: Pieces, number: np.ndarray, bases: np.ndarray, dropout: float) -> np.ndarray:
     """Whether the draws of each occurrence skip each place of its word, one occurrence after another."""
     sizes = pieces.places.sizes[number]
-    at = spread(pieces.places.starts[number], sizes)
-    return _skipped(np.repeat(bases, sizes), _place(*(pieces.places[k][at] for k in ("start", "middle", "end"))), dropout)
+    where = pieces.places["where"][spread(pieces.places.starts[number], sizes)]
+    return _skipped(np.repeat(bases, sizes), _key(_place(*_borders(where))), dropout)
+
+
+def _alike(pieces: Pieces, number: np.ndarray, skipped: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One occurrence of each word and skipped places, and which of those every occurrence is like."""
+    sizes = pieces.places.sizes[number]
+    first = np.cumsum(sizes) - sizes
+    code = -1 - np.arange(len(number))  # like no other
+    few = np.flatnonzero((sizes <= ALIKE) & (number < 1 << 63 - ALIKE))
+    hit = np.flatnonzero(skipped)
+    own = np.searchsorted(first, hit, "right") - 1
+    bits = np.bincount(own, _ONE_OF[np.minimum(hit - first[own], ALIKE)], len(number))  # below 2**53: exact
+    code[few] = number[few] << ALIKE | bits[few].astype(np.int64)
+    like = np.unique(code, return_inverse=True)[1]
+    one = np.zeros(like.max(initial=-1) + 1, np.int64)
+    one[like] = np.arange(len(like))
+    return one, like
 
 
 def together(pieces: Pieces, words: list[str], bases: np.ndarray, dropout: float) -> list[bytes]:
@@ -358,30 +411,35 @@ def encode_texts(pieces: Pieces, keys: list, texts: list[str | None], seed: int,
     with np.errstate(over="ignore"):
         places = np.repeat(_keys([str(k) for k in keys], seed), sizes) + (np.arange(len(units)) - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         bases = scramble(places)
-    _remember(pieces, [w for w in set(units).difference(pieces.known) if len(w) <= TOGETHER])
     number = np.fromiter(map(pieces.known.get, units, repeat(-1)), np.int64, len(units))
+    new = np.flatnonzero(number < 0)
+    unknown = list(compress(units, number < 0))
+    _remember(pieces, [w for w in set(unknown) if len(w) <= TOGETHER])
+    number[new] = np.fromiter(map(pieces.known.get, unknown, repeat(-1)), np.int64, len(unknown))
     pieces.came += np.bincount(number + 1, minlength=len(pieces.came) + 1)[1:] > 0
     starts, n = np.where(number >= 0, pieces.forms.starts[number], 0), np.where(number >= 0, pieces.forms.sizes[number], 0)
     pool, used = [pieces.forms["id"]], len(pieces.forms["id"])
 
-    def put(which: np.ndarray, flat: np.ndarray, own: np.ndarray) -> None:
+    def put(which: np.ndarray, flat: np.ndarray, own: np.ndarray, like: np.ndarray) -> None:
         nonlocal used
-        starts[which], n[which] = used + np.cumsum(own) - own, own
+        starts[which], n[which] = (used + np.cumsum(own) - own)[like], own[like]
         pool.append(flat)
         used += len(flat)
 
     for at in range(0, len(units) if dropout > 0 else 0, DRAWN):
         held = at + np.flatnonzero(number[at : at + DRAWN] >= 0)
-        held = held[pieces.places.sizes[number[held]] > 0]
+        held = held[pieces.way.sizes[number[held]] > 0]
         if len(held):
-            own = pieces.places.sizes[number[held]]
+            own = pieces.way.sizes[number[held]]
+            skipped = _skipped(np.repeat(bases[held], own), pieces.way["key"][spread(pieces.way.starts[number[held]], own)], dropout)
+            held = held[np.logical_or.reduceat(skipped, np.cumsum(own) - own)]
             skipped = _draws(pieces, number[held], bases[held], dropout)
-            met = pieces.places["met"][spread(pieces.places.starts[number[held]], own)]
-            touched = np.logical_or.reduceat(skipped & met, np.cumsum(own) - own)
-            put(held[touched], *_segmented(pieces, number[held[touched]], skipped[np.repeat(touched, own)]))
+            one, like = _alike(pieces, number[held], skipped)
+            own = pieces.places.sizes[number[held]]
+            put(held, *_segmented(pieces, number[held[one]], skipped[spread((np.cumsum(own) - own)[one], own[one])]), like)
     for i in np.flatnonzero(number < 0).tolist():
         ids = np.array(agenda(pieces, units[i], int(bases[i]), dropout), np.uint16)
-        put(np.array([i]), ids, np.array([len(ids)]))
+        put(np.array([i]), ids, np.array([len(ids)]), np.zeros(1, np.int64))
     flat = np.concatenate(pool)[spread(starts, n)]
     ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(sizes)])].tolist()
     return [flat[a:b].tobytes() for a, b in zip(ends, ends[1:])]
@@ -413,7 +471,7 @@ def encode(docs: DataFrame, seed: int = 1, dropout: float = DROPOUT, model: str
     ``doc_id``, the word's place in the text and the candidate's place in the word falls into the share
     ``dropout``. So each occurrence of a word has its own draws, other seeds give other segmentations,
     and the same seed the same ones on any machine. An occurrence takes its word's remembered
-    undropped form only if no candidate on the way there is skipped. With dropout 0
+    undropped form only if no merge on the way there is skipped. With dropout 0
     the ids are the model's own. Characters without a piece become bytes, and so does a literal
     "▁", so that every text decodes to itself.
 

@@ -151,6 +151,37 @@ def test_words_that_came_again_are_remembered(monkeypatch):
     assert made.count("▁again") == 1 and len(made) >= 480 and list(pieces.known.values()) == list(range(len(pieces.known)))
 
 
+def test_only_occurrences_that_skip_a_merge_of_theirs_are_taken_apart(pieces, monkeypatch):
+    segmented, taken = merge_dropout._segmented, []
+    monkeypatch.setattr(merge_dropout, "_segmented", lambda p, number, skipped, *a: (taken.extend([] if skipped is None else number), segmented(p, number, skipped, *a))[1])
+    # Thirteen merges make one piece of it; many more places come up on the way there.
+    merge_dropout.encode_texts(pieces, [0], [" ".join(["understanding"] * 2000)], 1, 0.1)
+    assert 0 < len(taken) < 2000 * (1 - 0.9**13) + 100
+    # Few places: many occurrences skip the same ones.
+    taken.clear()
+    ids = np.frombuffer(merge_dropout.encode_texts(pieces, [0], [" ".join(["of"] * 2000)], 1, 0.1)[0], "<u2")
+    assert 0 < len(taken) < 20 < len(ids) - 2000
+
+
+def test_places_are_all_where_two_pieces_make_a_third(pieces):
+    words = ["▁understanding", "aaaaaaaaaaaa", "▁▁▁x🙂yable", "", "▁internationalisation", "ß"]
+    sizes = np.array([len(w) + 1 for w in words])
+    spaced = np.concatenate([[*pieces.of_char[[ord(c) for c in w]], -1] for w in words]).astype(np.int32)
+    found = merge_dropout._all_places(pieces, spaced, np.repeat(np.arange(len(words)), sizes), np.repeat(np.cumsum(sizes) - sizes, sizes))
+    want = []
+    for k, w in enumerate(words):
+        held = {(i, i + 1): int(pieces.of_char[ord(c)]) for i, c in enumerate(w) if pieces.of_char[ord(c)] >= 0}
+        for size in range(2, len(w) + 1):
+            for a in range(len(w) - size + 1):
+                for b in range(a + 1, a + size):
+                    made = pieces.pairs.get(held.get((a, b), -1) << 32 | held.get((b, a + size), -1))
+                    if made is not None:
+                        held[a, a + size] = made
+                        want.append((k, int(pieces.rank[made]), a, size, b, made))
+    own, start, middle, end, made = (x.tolist() for x in found)
+    assert [*zip(own, start, middle, end, made)] == [(k, a, b, a + size, made) for k, _, a, size, b, made in sorted(want)] and len(want) > 50
+
+
 def test_dropout_varies_and_decodes_to_the_text(odd_docs):
     def run(seed, rate=0.2):
         return merge_dropout.decode(merge_dropout.encode(odd_docs, seed, rate)).collect()
