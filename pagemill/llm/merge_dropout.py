@@ -21,8 +21,8 @@ DROPOUT = 0.1
 REMEMBERED = 150_000
 #: Words of more characters go through the agenda one by one and aren't remembered, others many at a time.
 TOGETHER = 48
-#: Occurrences whose draws are made at a time.
-DRAWN = 100_000
+#: Occurrences get their draws at a time as long as they have this many places together.
+DRAWN = 600_000
 #: Equal words of up to this many places whose draws skip the same ones are taken apart once.
 ALIKE = 40
 #: New words that are taken apart at a time.
@@ -426,9 +426,10 @@ def encode_texts(pieces: Pieces, keys: list, texts: list[str | None], seed: int,
         pool.append(flat)
         used += len(flat)
 
-    for at in range(0, len(units) if dropout > 0 else 0, DRAWN):
-        held = at + np.flatnonzero(number[at : at + DRAWN] >= 0)
-        held = held[pieces.way.sizes[number[held]] > 0]
+    drawn = np.flatnonzero(number >= 0) if dropout > 0 else np.zeros(0, np.int64)
+    drawn = drawn[pieces.way.sizes[number[drawn]] > 0]
+    part = np.cumsum(pieces.places.sizes[number[drawn]]) // DRAWN
+    for held in np.split(drawn, np.flatnonzero(np.diff(part)) + 1):
         if len(held):
             own = pieces.way.sizes[number[held]]
             skipped = _skipped(np.repeat(bases[held], own), pieces.way["key"][spread(pieces.way.starts[number[held]], own)], dropout)

@@ -163,6 +163,16 @@ def test_only_occurrences_that_skip_a_merge_of_theirs_are_taken_apart(pieces, mo
     assert 0 < len(taken) < 20 < len(ids) - 2000
 
 
+def test_draws_at_a_time_are_bounded_by_places(pieces, monkeypatch):
+    texts = [" ".join(["internationalisationsunderstandingrepresentation"[:46], "of"] * 200)] * 2
+    want = merge_dropout.encode_texts(pieces, [1, 2], texts, 1, 0.3)
+    draws, most = merge_dropout._draws, []
+    monkeypatch.setattr(merge_dropout, "DRAWN", 2_000)
+    monkeypatch.setattr(merge_dropout, "_draws", lambda *a: (found := draws(*a), most.append(len(found)))[0])
+    assert merge_dropout.encode_texts(pieces, [1, 2], texts, 1, 0.3) == want
+    assert len(most) > 10 and max(most) < 2_500
+
+
 def test_places_are_all_where_two_pieces_make_a_third(pieces):
     words = ["▁understanding", "aaaaaaaaaaaa", "▁▁▁x🙂yable", "", "▁internationalisation", "ß"]
     sizes = np.array([len(w) + 1 for w in words])
