@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import map_batches, table
-from pagemill.session import settled
+from pagemill.session import settled, shuffled
 
 #: Words have so many code points and occurrences at least.
 LEAST_LENGTH, LEAST_N = 6, 5
@@ -117,7 +117,7 @@ def near_words(words: DataFrame) -> DataFrame:
     overlap. So of the word whose last prefix gram comes first in order, one of the two disjoint pivots is
     left in the other word, and among that one's prefix grams. It lies where the difference in length says:
     as far from the start, or from the end. Pivots are joined with prefix grams on gram, place and
-    length; each candidate is then verified by its edit distance.
+    length, by a shuffle: a word has some fifteen of these; each candidate is then verified by its edit distance.
     """
     count = _gram_counts(words)
 
@@ -138,7 +138,7 @@ def near_words(words: DataFrame) -> DataFrame:
 
     schema = "{0} string, {0}_n bigint, gram string, place int, size int"
     named = lambda name, fn: map_batches(words.select("word", "n"), lambda b: dict(zip((name, f"{name}_n", "gram", "place", "size"), fn(b).values(), strict=True)), schema.format(name))
-    met = named("p", sides(True)).join(named("q", sides(False)), ["gram", "place", "size"]).where((F.col("p") != F.col("q")) & (F.levenshtein("p", "q", 1) == 1))
+    met = named("p", sides(True)).join(shuffled(named("q", sides(False))), ["gram", "place", "size"]).where((F.col("p") != F.col("q")) & (F.levenshtein("p", "q", 1) == 1))
     ordered = lambda x, y: F.when(F.col("p") < F.col("q"), F.col(x)).otherwise(F.col(y))
     return met.select(ordered("p", "q").alias("a"), ordered("p_n", "q_n").alias("a_n"), ordered("q", "p").alias("b"), ordered("q_n", "p_n").alias("b_n")).distinct()
 
@@ -149,7 +149,7 @@ def _roots(links: DataFrame) -> DataFrame:
     at = settled(links.select("word", F.col("form").alias("root")))
     while True:
         further = at.select(F.col("word").alias("of"), F.col("root").alias("next"))
-        at = settled(at.join(further, at["root"] == further["of"], "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
+        at = settled(at.join(shuffled(further), at["root"] == further["of"], "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
         if at.where("moved").isEmpty():
             return at.select("word", "root")
         at = at.select("word", "root")
@@ -168,9 +168,9 @@ def variants(words: DataFrame, times: int = TIMES) -> DataFrame:
     fits = lambda c: F.when(-F.col("top.less") >= times * F.col("own"), c)
     best = settled(best.select("w", "n_near", fits(F.col("top.o")).alias("form"), fits(-F.col("top.less")).alias("form_n")))
     roots = _roots(best.where("form is not null").select(F.col("w").alias("word"), "form"))
-    found = best.join(roots.withColumnRenamed("word", "w"), "w", "left")
+    found = best.join(shuffled(roots.withColumnRenamed("word", "w")), "w", "left")
     known: Column = F.coalesce("n_near", F.lit(0))
-    return words.select("word", "n").join(found, F.col("word") == F.col("w"), "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", known.alias("n_near"), "form_n")
+    return words.select("word", "n").join(shuffled(found), F.col("word") == F.col("w"), "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", known.alias("n_near"), "form_n")
 
 
 def group_variants(docs: DataFrame, least_length: int = LEAST_LENGTH, least_n: int = LEAST_N, times: int = TIMES) -> DataFrame:

@@ -78,3 +78,12 @@ def settled(rows: DataFrame) -> DataFrame:
     path = scratch_dir(rows.sparkSession, "settled")
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def shuffled(rows: DataFrame) -> DataFrame:
+    """A side of a join that shuffles both sides, whatever Spark takes its size for.
+
+    Spark takes an array for one entry, a text for 20 bytes, repeated rows for as few as were there before, and a written
+    table for its compressed files. So what it would broadcast as a few MB can be more than the driver holds.
+    """
+    return rows.hint("merge")

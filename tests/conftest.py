@@ -38,6 +38,14 @@ def spark(tmp_path_factory):
     session.stop()
 
 
+@pytest.fixture()
+def no_broadcasts(spark):
+    """Any table that would be broadcast fails the query."""
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1b")
+    yield
+    spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
 @pytest.fixture()
 def page(spark):
     def make(*htmls, url="https://www.shop.example.com/"):

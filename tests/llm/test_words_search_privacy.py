@@ -79,6 +79,13 @@ def test_variants_are_those_of_all_pairs(spark, monkeypatch):
         pivotal_grams.group_variants(docs, least_length=3)
 
 
+def test_variants_broadcast_nothing(spark, no_broadcasts):
+    rows = list(enumerate(worded(3)))
+    got = pivotal_grams.group_variants(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    want = brute_variants(rows)
+    assert {tuple(r) for r in got} == want and len(got) == len(want) and any(r.form for r in got)
+
+
 def test_pivots_are_disjoint_and_rarest():
     rng = random.Random(5)
     for _ in range(300):
