@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from pagemill.functions.page import Page
+from pagemill.session import shuffled
 
 BIN = 64  # token positions per bin of the interval join
 ROWS = 2_000  # element rows per Arrow batch
@@ -77,7 +78,8 @@ def elements(pages: DataFrame, text: bool | tuple[int, int] = False, fragment: b
 def with_markup(chosen: DataFrame, pages: DataFrame) -> DataFrame:
     """``chosen`` elements (``page_id, off, outer_len`` and others) with their markup as ``fragment``.
 
-    The chosen ones of a page meet one copy of it (``page_id, html``) and are cut out of it there.
+    The chosen ones of a page meet one copy of it (``page_id, html``) and are cut out of it there; pages are shuffled,
+    never broadcast.
     """
     kept = [c for c in chosen.columns if c not in ("page_id", "fragment")]
     grouped = chosen.groupBy("page_id").agg(F.collect_list(F.struct(*kept)).alias("chosen"))
@@ -99,7 +101,7 @@ def with_markup(chosen: DataFrame, pages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
         pa.default_memory_pool().release_unused()
 
-    return pages.select("page_id", "html").join(grouped, "page_id").select("page_id", "html", "chosen").mapInArrow(cut, schema)
+    return pages.select("page_id", "html").join(shuffled(grouped), "page_id").select("page_id", "html", "chosen").mapInArrow(cut, schema)
 
 
 _ARROW = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
@@ -143,6 +145,6 @@ def containing(inner: DataFrame, outer: DataFrame, strict: bool = True, bin_size
     inside = (F.col("o_start") <= F.col("start_pos")) & (F.col("end_pos") <= F.col("o_end"))
     if strict:
         inside = inside & (F.col("o_start") < F.col("start_pos"))
-    return i.join(o, (F.col("page_id") == F.col("o_page")) & (F.col("i_bin") == F.col("o_bin")) & inside).drop(
+    return i.join(shuffled(o), (F.col("page_id") == F.col("o_page")) & (F.col("i_bin") == F.col("o_bin")) & inside).drop(
         "o_page", "o_bin", "i_bin"
     )

@@ -15,6 +15,7 @@ from pagemill.functions import patterns as P
 from pagemill.functions.staged import computed
 from pagemill.functions.text import words
 from pagemill.operators import elements as E
+from pagemill.session import shuffled
 
 
 def size_prefilter(
@@ -55,7 +56,7 @@ def entity_score(elems: DataFrame, entities: DataFrame) -> DataFrame:
     outer = elems.select("page_id", "start_pos", "end_pos", F.col("node_id").alias("o_node"))
     inside = E.containing(per_node, outer, strict=False)
     total = inside.groupBy("page_id", F.col("o_node").alias("node_id")).agg(F.sum("weight").alias("entity_score"))
-    return elems.join(total, ["page_id", "node_id"], "left").withColumn(
+    return elems.join(shuffled(total), ["page_id", "node_id"], "left").withColumn(
         "entity_score", F.coalesce("entity_score", F.lit(0.0))
     )
 

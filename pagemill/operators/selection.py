@@ -12,7 +12,7 @@ from pagemill.operators import elements as E
 from pagemill.operators import scoring as S
 from pagemill.operators import vectors as V
 from pagemill.operators.skew import first_per_key
-from pagemill.session import settled
+from pagemill.session import settled, shuffled
 
 
 def remove_nested(candidates: DataFrame) -> DataFrame:
@@ -163,12 +163,12 @@ def product_filter(
     """
     scored = S.product_candidates(elems, entities, min_chars, max_chars, min_words)
     outer = settled(remove_nested(scored).select("page_id", "node_id", "start_pos", "end_pos", "score", *(["fragment"] if pages is None else ["off", "outer_len"])))
-    ranked = outer.join(vectors, ["page_id", "node_id"]).select("page_id", "node_id", "score", "embedding")
+    ranked = outer.join(shuffled(vectors), ["page_id", "node_id"]).select("page_id", "node_id", "score", "embedding")
     kept = V.semantic_dedup(ranked.withColumnRenamed("node_id", "vec_id"), similarity)
     dropped = ranked.select("page_id", "node_id").join(
-        kept.select("page_id", F.col("vec_id").alias("node_id")), ["page_id", "node_id"], "left_anti"
+        shuffled(kept.select("page_id", F.col("vec_id").alias("node_id"))), ["page_id", "node_id"], "left_anti"
     )
-    best = top_n(outer.join(dropped, ["page_id", "node_id"], "left_anti"), keep_top_n)
+    best = top_n(outer.join(shuffled(dropped), ["page_id", "node_id"], "left_anti"), keep_top_n)
     if pages is not None:
         best = E.with_markup(best.select("page_id", "rank", "node_id", "score", "off", "outer_len"), pages)
     return best.select("page_id", "rank", "node_id", "score", "fragment")
@@ -206,7 +206,7 @@ def clean_for_model(
     found = product_filter(elems, entities, vectors, keep_top_n, similarity, P.PIPELINE_MIN_WORDS, pages=pages)
     ordered = F.array_sort(F.collect_list(F.struct("rank", "fragment")))
     fragments = found.groupBy("page_id").agg(F.array_join(F.transform(ordered, lambda r: r["fragment"]), "\n").alias("html"))
-    joined = pages.select("page_id").join(fragments, "page_id", "left")
+    joined = pages.select("page_id").join(shuffled(fragments), "page_id", "left")
     stripped = C.strip_elements(joined, P.MODEL_TAGS_DROPPED)
     bare = stripped.withColumn("html", C.strip_attributes(F.col("html"), P.MODEL_ATTRS_DROPPED))
     return C.outline(bare)

@@ -17,7 +17,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.session import ensure_checkpoint_dir, settled
+from pagemill.session import ensure_checkpoint_dir, settled, shuffled
 
 BLOCK = 512
 HEADS, OTHERS = 1_024, 4_096  # vectors of a page that one task walks, and that meet the kept ones in one task
@@ -167,11 +167,11 @@ def semantic_dedup(vectors: DataFrame, threshold: float, block: int = HEADS) ->
         heads = rest.withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= block).drop("turn")
         chosen = settled(heads.groupBy("page_id").applyInPandas(_walk(threshold), schema))
         kept = kept.unionByName(chosen)
-        later = rest.join(heads.select("page_id", "vec_id"), ["page_id", "vec_id"], "left_anti")
+        later = rest.join(shuffled(heads.select("page_id", "vec_id")), ["page_id", "vec_id"], "left_anti")
         counts = later.groupBy("page_id").agg(F.ceil(F.count("*") / OTHERS).cast("int").alias("n"))
         # One count per page with vectors left: no more rows than large pages.
-        placed = later.join(counts, "page_id").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("n")).cast("int")).drop("n")
-        beside = chosen.join(counts, "page_id").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
+        placed = later.join(shuffled(counts), "page_id").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("n")).cast("int")).drop("n")
+        beside = chosen.join(shuffled(counts), "page_id").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
         keys = ["page_id", "block"]
         rest = settled(placed.groupBy(*keys).cogroup(beside.groupBy(*keys)).applyInPandas(_unlike(threshold), schema))
     return kept

@@ -10,6 +10,7 @@ from pagemill.operators import selection as X
 from pagemill.operators import vectors as VEC
 from pagemill.plans.fragment_queries import fragment_vectors
 from pagemill.plans.views import entities
+from pagemill.session import settled
 
 
 def tree(rng, start, depth):
@@ -178,6 +179,20 @@ def test_clean_for_model(page):
     assert 1 <= text.count("galleryItem") <= 20 and "\n <h3>" in text and "<form" not in text
 
 
+def written(page):
+    """Two listing pages and one without products, written as Parquet: small files, which Spark would broadcast."""
+    htmls = [listing(page, n).first().html for n in (60, 50)]
+    pages = settled(page(*htmls, "<p>short</p>"))
+    return pages, settled(E.elements(pages, text=True))
+
+
+def test_clean_for_model_broadcasts_nothing(page, no_broadcasts):
+    pages, elems = written(page)
+    found = X.clean_for_model(pages, elems, entities(elems), fragment_vectors(elems), similarity=1.0).orderBy("page_id").collect()
+    assert [r.page_id for r in found] == [0, 1, 2] and found[2].html == ""
+    assert [r.html.count("galleryItem") for r in found] == [20, 20, 0] and "\n <h3>" in found[1].html
+
+
 @pytest.mark.parametrize(
     "text, priced", [("now $ 5", True), ("USD 12.50!", True), ("abusd 5", False), ("€1,99x", True), ("€1x", False), ("5 $", False), ("£7", True)]
 )
