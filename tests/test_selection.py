@@ -186,6 +186,15 @@ def written(page):
     return pages, settled(E.elements(pages, text=True))
 
 
+def test_product_filter_broadcasts_nothing(page, no_broadcasts):
+    pages, elems = written(page)
+    args = elems, entities(elems), fragment_vectors(elems)
+    found = X.product_filter(*args, similarity=1.0, pages=pages).collect()
+    assert sorted((r.page_id, r["rank"]) for r in found) == [(p, k) for p in (0, 1) for k in range(1, 21)]
+    assert all(r.fragment.startswith('<div class="galleryItem"') and r.fragment.endswith("</a></div>") for r in found)
+    assert 0 < X.product_filter(*args, keep_top_n=None, similarity=0.9, pages=pages).count() < 110
+
+
 def test_clean_for_model_broadcasts_nothing(page, no_broadcasts):
     pages, elems = written(page)
     found = X.clean_for_model(pages, elems, entities(elems), fragment_vectors(elems), similarity=1.0).orderBy("page_id").collect()
